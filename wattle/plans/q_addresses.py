@@ -1 +1,272 @@
-"""Registered queries."""
+"""Registered address queries (search page E2 without the radius, statistics, autocomplete)."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from wattle.functions import text as T
+from wattle.operators import addresses as A
+from wattle.plans import domain as D
+from wattle.plans.oracle import sql
+from wattle.plans.registry import register
+from wattle.sources.tables import Tables
+
+# Parameters of the registered queries.
+SEARCH = dict(number="1", street="name 1", suburb="nation_1")
+PAGE_NO, PAGE_SIZE = 2, 50
+SUBURB_PREFIX = "nation_1"
+POSTCODE = "2001"
+
+STAR_SQL = """SELECT a.*, sl.street_name, sl.street_type_code, sl.date_retired AS street_date_retired, st.name AS street_type,
+ l.locality_name, l.state_pid, l.date_retired AS locality_date_retired, s.state_name, s.state_abbreviation
+FROM address a LEFT JOIN street_locality sl ON a.street_locality_pid = sl.street_locality_pid
+LEFT JOIN street_type_aut st ON sl.street_type_code = st.code
+LEFT JOIN locality l ON a.locality_pid = l.locality_pid
+LEFT JOIN state s ON l.state_pid = s.state_pid"""
+STAR_TABLES = ("address", "street_locality", "street_type_aut", "locality", "state")
+
+
+def star(t: Tables):
+    return A.star(D.address(t), D.street_locality(t), D.street_type_aut(t), D.locality(t), D.state(t))
+
+
+def _sq(body: str, *more: str, extra: dict | None = None) -> str:
+    ex = {"addr_star": STAR_SQL}
+    ex.update(extra or {})
+    return sql(body, *STAR_TABLES, *more, extra=ex)
+
+
+@register("j6_address_text", _sq("""SELECT address_detail_pid,
+ concat_ws(' ', NULL, flat_number) AS unit_part,
+ concat_ws(' ', number_first, CASE WHEN number_last IS NOT NULL THEN concat('-', number_last) END) AS street_number,
+ concat_ws(' ', street_name, street_type) AS street,
+ concat_ws(', ', nullif(trim(concat_ws(' ', NULL, flat_number)), ''), nullif(trim(concat_ws(' ', NULL, NULL)), ''),
+   trim(concat_ws(' ', number_first, CASE WHEN number_last IS NOT NULL THEN concat('-', number_last) END, street_name, street_type, NULL)),
+   locality_name, concat(state_abbreviation, ' ', postcode)) AS full_address,
+ concat_ws(' ', CASE WHEN flat_number IS NOT NULL THEN concat('Unit ', flat_number, ',') END, number_first, street_name, locality_name,
+   state_abbreviation, postcode) AS simple_address,
+ coalesce(NULL || '', '') || coalesce(cast(number_first AS varchar) || '', '') || coalesce(NULL || ' ', ' ') || coalesce(street_name || ' ', '')
+   || coalesce(street_type || ', ', ', ') || coalesce(locality_name || ' ', ' ') || coalesce(state_abbreviation || ' ', ' ')
+   || coalesce(postcode || '', '') AS search_address,
+ concat_ws(' ', NULL, flat_number, concat(number_first, ''), CASE WHEN number_last IS NOT NULL THEN concat('-', number_last, '') END) AS street_number_label
+FROM addr_star"""))
+def j6_address_text(spark, d):
+    df = A.with_address_text(star(Tables(spark, d)))
+    return df.select("address_detail_pid", "unit_part", "street_number", "street", "full_address", "simple_address",
+                     "search_address", "street_number_label")
+
+
+def _dict_values(dct: dict) -> str:
+    return "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in dct.items()) + ") AS t(k, v)"
+
+
+_SLUG = "regexp_replace(regexp_replace(lower({0}), '\\s+', '-', 'g'), '[^a-z0-9-]', '', 'g')"
+
+
+def _display_sql() -> str:
+    num = ("CASE WHEN number_last IS NOT NULL AND number_last <> 0 THEN cast(number_first AS varchar) || '-' || cast(number_last AS varchar) "
+           "ELSE coalesce(nullif(cast(number_first AS varchar), ''), 'N/A') END")
+    unit = "CASE WHEN flat_number IS NOT NULL AND flat_number <> 0 THEN cast(flat_number AS varchar) ELSE '' END"
+
+    def street(alias):
+        t = f"CASE WHEN nullif(street_type, '') IS NOT NULL THEN coalesce({alias}.v, lower(street_type)) ELSE '' END"
+        return _SLUG.format(f"concat_ws(' ', nullif(street_name, ''), nullif({t}, ''))")
+
+    def link(alias, prefix, unit_prefix, tail):
+        s = street(alias)
+        n = f"trim(replace({num}, 'N/A', ''))"
+        sub = _SLUG.format("coalesce(locality_name, '')")
+        st = "lower(coalesce(state_abbreviation, ''))"
+        pc = "coalesce(postcode, '')"
+        ok = f"{n} <> '' AND {s} <> '' AND {sub} <> '' AND {st} <> '' AND {pc} <> ''"
+        body = f"concat_ws('-', {n}, {s}, {sub}, {st}, {pc})"
+        return (f"CASE WHEN {ok} AND {unit} <> '' THEN '{prefix}{unit_prefix}' || {unit} || '-' || {body} || '{tail}' "
+                f"WHEN {ok} THEN '{prefix}' || {body} || '{tail}' ELSE '' END")
+
+    ok = "lat IS NOT NULL AND lon IS NOT NULL AND lat <> 0 AND lon <> 0"
+    body = f"""SELECT address_detail_pid,
+ trim(concat_ws(' ', nullif(street_name, ''), nullif(street_type, ''))) AS street_display,
+ {num} AS number_display,
+ CASE WHEN flat_number IS NOT NULL AND flat_number <> 0 THEN cast(flat_number AS varchar) ELSE '-' END AS unit_display,
+ CASE WHEN {ok} THEN printf('%.6f, %.6f', lat, lon) ELSE 'N/A' END AS coords_display,
+ CASE WHEN {ok} THEN printf('https://www.google.com/maps?q=%.6f,%.6f', lat, lon) ELSE '' END AS map_link,
+ {link('ab', 'https://www.realestate.com.au/property/', 'unit-', '/')} AS realestate_link,
+ {link('fu', 'https://www.domain.com.au/property-profile/', '', '')} AS domain_link
+FROM addr_star a LEFT JOIN abbr ab ON ab.k = lower(a.street_type) LEFT JOIN fullt fu ON fu.k = lower(a.street_type)
+WHERE a.date_retired IS NULL"""
+    return _sq(body, extra={"abbr": _dict_values(T.STREET_TYPE_ABBREVIATED), "fullt": _dict_values(T.STREET_TYPE_FULL)})
+
+
+@register("a8_address_display", _display_sql())
+def a8_address_display(spark, d):
+    df = A.with_display(A.active(star(Tables(spark, d)), "date_retired"))
+    return df.select("address_detail_pid", "street_display", "number_display", "unit_display", "coords_display",
+                     "map_link", "realestate_link", "domain_link")
+
+
+@register("j7_inner_star_active", sql("""SELECT a.address_detail_pid, sl.street_name, l.locality_name, s.state_name
+FROM address a JOIN street_locality sl ON a.street_locality_pid = sl.street_locality_pid
+JOIN locality l ON sl.locality_pid = l.locality_pid JOIN state s ON l.state_pid = s.state_pid
+WHERE a.date_retired IS NULL AND sl.date_retired IS NULL AND l.date_retired IS NULL""", *STAR_TABLES))
+def j7_inner_star_active(spark, d):
+    t = Tables(spark, d)
+    df = A.star(D.address(t), D.street_locality(t), D.street_type_aut(t), D.locality(t), D.state(t),
+                inner=True, locality_via_street=True)
+    df = A.active(df, "date_retired", "street_date_retired", "locality_date_retired")
+    return df.select("address_detail_pid", "street_name", "locality_name", "state_name")
+
+
+_SEARCH_WHERE = (f"date_retired IS NULL AND cast(number_first AS varchar) LIKE '%{SEARCH['number']}%' "
+                 f"AND upper(street_name) LIKE '%{SEARCH['street'].upper()}%' AND upper(locality_name) LIKE '%{SEARCH['suburb'].upper()}%'")
+
+
+def _search(t: Tables):
+    return A.search_filter(A.active(star(t), "date_retired"), **SEARCH)
+
+
+@register("o2_search_page", _sq(f"""SELECT address_detail_pid, number_first, street_name, locality_name, postcode FROM addr_star
+WHERE {_SEARCH_WHERE.replace('_1', chr(92) + '_1')} ESCAPE '{chr(92)}'
+ORDER BY address_detail_pid LIMIT {PAGE_SIZE} OFFSET {(PAGE_NO - 1) * PAGE_SIZE}""".replace(
+    f"LIKE '%{SEARCH['suburb'].upper().replace('_1', chr(92) + '_1')}%' ESCAPE", "LIKE '%NATION" + chr(92) + "_1%' ESCAPE")))
+def o2_search_page(spark, d):
+    df = A.distinct_on(_search(Tables(spark, d)), "address_detail_pid", ["locality_name", "street_name", "number_first"])
+    return A.page(df.select("address_detail_pid", "number_first", "street_name", "locality_name", "postcode"),
+                  ["address_detail_pid"], PAGE_NO, PAGE_SIZE)
+
+
+@register("ag26_search_total", _sq(f"""SELECT count(DISTINCT address_detail_pid) AS total_count FROM addr_star
+WHERE date_retired IS NULL AND cast(number_first AS varchar) LIKE '%1%' AND upper(street_name) LIKE '%NAME 1%'
+ AND upper(locality_name) LIKE '%NATION{chr(92)}_1%' ESCAPE '{chr(92)}'"""))
+def ag26_search_total(spark, d):
+    return A.distinct_address_count(_search(Tables(spark, d)))
+
+
+@register("o6_suburb_autocomplete", _sq(f"""SELECT DISTINCT locality_name, state_abbreviation, postcode FROM addr_star
+WHERE upper(locality_name) LIKE 'NATION{chr(92)}_1%' ESCAPE '{chr(92)}' ORDER BY locality_name, state_abbreviation, postcode LIMIT 20"""))
+def o6_suburb_autocomplete(spark, d):
+    return A.suburb_autocomplete(star(Tables(spark, d)), SUBURB_PREFIX)
+
+
+@register("o6_street_autocomplete", _sq("""SELECT street_name, street_type FROM (
+ SELECT DISTINCT street_name, street_type FROM addr_star WHERE upper(street_name) LIKE '%' ORDER BY street_name, street_type LIMIT 20) x
+WHERE NOT (try_cast(trim(street_name) AS double) IS NOT NULL AND contains(street_name, '.') AND abs(try_cast(trim(street_name) AS double)) <= 180)"""))
+def o6_street_autocomplete(spark, d):
+    return A.street_autocomplete(star(Tables(spark, d)), "")
+
+
+@register("o7_suburbs_by_postcode", sql(f"""SELECT DISTINCT locality_name, postcode, state_name FROM suburb_postcode
+WHERE postcode = '{POSTCODE}'""", "suburb_postcode"))
+def o7_suburbs_by_postcode(spark, d):
+    sp = D.suburb_postcode(Tables(spark, d))
+    return sp.filter(F.col("postcode") == POSTCODE).distinct().orderBy("locality_name")
+
+
+@register("d5_street_name_counts", sql("""SELECT street_locality_pid, street_name, count(*) OVER (PARTITION BY street_name) AS name_count
+FROM street_locality""", "street_locality"))
+def d5_street_name_counts(spark, d):
+    return A.street_name_counts(D.street_locality(Tables(spark, d))).select("street_locality_pid", "street_name", "name_count")
+
+
+@register("t5_junk_streets", sql("""SELECT sl.street_locality_pid, sl.street_name, sl.locality_pid, coalesce(c.n, 0) AS address_count
+FROM street_locality sl LEFT JOIN (SELECT street_locality_pid, count(*) AS n FROM address GROUP BY 1) c ON sl.street_locality_pid = c.street_locality_pid
+WHERE regexp_full_match(sl.street_name, '[0-9]+\\.[0-9]+')""", "street_locality", "address"))
+def t5_junk_streets(spark, d):
+    t = Tables(spark, d)
+    return A.coordinate_like_streets(D.street_locality(t), D.address(t))
+
+
+@register("ag1_count_by_locality", _sq("""SELECT locality_name, state_name, postcode, count(*) AS address_count FROM addr_star
+WHERE date_retired IS NULL GROUP BY locality_name, state_name, postcode"""))
+def ag1_count_by_locality(spark, d):
+    return A.count_by(A.active(star(Tables(spark, d)), "date_retired"), "locality_name", "state_name", "postcode")
+
+
+@register("ag2_locality_stats", sql("""SELECT l.locality_pid, l.locality_name, coalesce(c.n, 0) AS address_count FROM locality l
+LEFT JOIN (SELECT locality_pid, count(*) AS n FROM address GROUP BY 1) c ON l.locality_pid = c.locality_pid""", "locality", "address"))
+def ag2_locality_stats(spark, d):
+    t = Tables(spark, d)
+    return A.locality_statistics(D.locality(t), D.address(t))
+
+
+@register("ag3_suburb_summary_by_state", sql("""SELECT state_name, count(DISTINCT locality_name) AS suburb_count,
+ count(DISTINCT postcode) AS postcode_count, count(*) AS row_count FROM suburb_postcode GROUP BY state_name""", "suburb_postcode"))
+def ag3_suburb_summary_by_state(spark, d):
+    return A.suburb_summary_by_state(D.suburb_postcode(Tables(spark, d)))
+
+
+@register("ag5_localities_per_state", sql("""SELECT s.state_name, count(*) AS locality_count FROM locality l JOIN state s ON l.state_pid = s.state_pid
+WHERE l.date_retired IS NULL GROUP BY s.state_name""", "locality", "state"))
+def ag5_localities_per_state(spark, d):
+    t = Tables(spark, d)
+    loc = A.active(D.locality(t), "date_retired").join(F.broadcast(D.state(t)), "state_pid")
+    return A.count_by(loc, "state_name", name="locality_count")
+
+
+@register("ag6_state_stats", _sq("""SELECT state_name, count(DISTINCT street_locality_pid) AS street_count, count(DISTINCT locality_pid) AS locality_count,
+ count(DISTINCT address_detail_pid) AS address_count FROM addr_star WHERE date_retired IS NULL GROUP BY state_name"""))
+def ag6_state_stats(spark, d):
+    return A.state_statistics(A.active(star(Tables(spark, d)), "date_retired"))
+
+
+@register("ag7_multi_suburb_postcodes", sql("""SELECT postcode, count(*) AS suburb_count, string_agg(locality_name, ', ' ORDER BY locality_name) AS suburbs
+FROM (SELECT DISTINCT postcode, locality_name FROM suburb_postcode) p GROUP BY postcode HAVING count(*) > 1""", "suburb_postcode"))
+def ag7_multi_suburb_postcodes(spark, d):
+    return A.multi_suburb_postcodes(D.suburb_postcode(Tables(spark, d)))
+
+
+@register("ag8_geocode_coverage", sql("""SELECT 'address' AS table_name, count(*) AS total, count(lat) AS geocoded,
+ round(count(lat) * 100e0 / count(*), 2) AS pct FROM address
+UNION ALL SELECT 'school_profile', count(*), count(latitude), round(count(latitude) * 100e0 / count(*), 2) FROM school_profile""",
+                                      "address", "school_profile"))
+def ag8_geocode_coverage(spark, d):
+    t = Tables(spark, d)
+    return A.geocode_coverage({"address": D.address(t),
+                               "school_profile": D.school_profile(t).withColumnRenamed("latitude", "lat")})
+
+
+@register("ag9_coverage_by_suburb", _sq("""SELECT locality_name, count(DISTINCT address_detail_pid) AS total,
+ count(DISTINCT CASE WHEN lat IS NOT NULL AND lon IS NOT NULL THEN address_detail_pid END) AS geocoded,
+ round(count(DISTINCT CASE WHEN lat IS NOT NULL AND lon IS NOT NULL THEN address_detail_pid END) * 100e0 / count(DISTINCT address_detail_pid), 2) AS pct
+FROM addr_star WHERE date_retired IS NULL GROUP BY locality_name HAVING count(DISTINCT address_detail_pid) > 100"""))
+def ag9_coverage_by_suburb(spark, d):
+    return A.coverage_by_suburb(A.active(star(Tables(spark, d)), "date_retired"))
+
+
+@register("ag10_density_grid", sql("""SELECT round((cx + 0.5e0) * 0.01e0, 6) AS lon, round((cy + 0.5e0) * 0.01e0, 6) AS lat, count(*) AS address_count
+FROM (SELECT cast(floor(lon / 0.01e0) AS bigint) AS cx, cast(floor(lat / 0.01e0) AS bigint) AS cy FROM address
+ WHERE date_retired IS NULL AND lon IS NOT NULL AND lat IS NOT NULL AND lon / 0.01e0 <> floor(lon / 0.01e0) AND lat / 0.01e0 <> floor(lat / 0.01e0)
+ AND lon BETWEEN 151.0 AND 151.3 AND lat BETWEEN -34.0 AND -33.7) x
+GROUP BY cx, cy ORDER BY address_count DESC, lon, lat LIMIT 20""", "address"))
+def ag10_density_grid(spark, d):
+    return A.density_grid(A.active(D.address(Tables(spark, d)), "date_retired"), 0.01, 20, (151.0, -34.0, 151.3, -33.7))
+
+
+@register("ag11_postcode_centroids", sql("""SELECT postcode, round(avg(lon), 6) AS centroid_lon, round(avg(lat), 6) AS centroid_lat, count(*) AS address_count
+FROM address WHERE date_retired IS NULL AND lon IS NOT NULL AND lat IS NOT NULL GROUP BY postcode HAVING count(*) > 10""", "address"))
+def ag11_postcode_centroids(spark, d):
+    c = A.postcode_centroids(A.active(D.address(Tables(spark, d)), "date_retired"))
+    return c.select("postcode", F.round("centroid_lon", 6).alias("centroid_lon"), F.round("centroid_lat", 6).alias("centroid_lat"),
+                    "address_count")
+
+
+@register("a7_distinct_short_street", _sq("""SELECT DISTINCT street_name, street_type, locality_name, postcode FROM addr_star
+WHERE date_retired IS NULL"""))
+def a7_distinct_short_street(spark, d):
+    return (A.active(star(Tables(spark, d)), "date_retired")
+             .select("street_name", "street_type", "locality_name", "postcode").distinct())
+
+
+@register("s18_locality_postcodes", _sq("""SELECT DISTINCT locality_pid, locality_name, postcode, state_name, state_abbreviation FROM addr_star"""))
+def s18_locality_postcodes(spark, d):
+    return (star(Tables(spark, d)).select("locality_pid", "locality_name", "postcode", "state_name", "state_abbreviation")
+            .distinct())
+
+
+@register("ag27_matching_suburb_count", sql(f"""SELECT count(DISTINCT locality_name) AS suburb_count FROM suburb_postcode
+WHERE ('' = '' OR locality_name = '') AND ('{POSTCODE}' = '' OR postcode = '{POSTCODE}')""", "suburb_postcode"))
+def ag27_matching_suburb_count(spark, d):
+    sp = D.suburb_postcode(Tables(spark, d))
+    suburb, postcode = "", POSTCODE
+    cond = (F.lit(suburb) == "") | (F.col("locality_name") == suburb)
+    cond = cond & ((F.lit(postcode) == "") | (F.col("postcode") == postcode))
+    return sp.filter(cond).agg(F.count_distinct("locality_name").alias("suburb_count"))
