@@ -1 +1,283 @@
-"""Registered queries."""
+"""Registered spatial queries: catchment mapping (E3), radius and nearest-neighbour
+joins (E2), geometry scalars.  Oracles are arithmetic SQL: boxes by BETWEEN,
+polygons by an edge table and crossing parity, distances by haversine."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from wattle.functions import geo as G
+from wattle.operators import addresses as A
+from wattle.operators import spatial_join as S
+from wattle.plans import domain as D
+from wattle.plans.oracle import sql
+from wattle.plans.registry import register
+from wattle.sources.tables import Tables
+
+RADIUS_M = 1000.0
+CELL = 0.01
+NAMED_CATCHMENT = "PLACE1"
+
+PIP_SQL = """SELECT p.address_detail_pid, p.school_id, p.school_type FROM (
+  SELECT a.address_detail_pid, a.lon, a.lat, c.school_id, c.school_type FROM address a JOIN catchment c
+  ON a.lon BETWEEN c.x0 AND c.x0 + c.d AND a.lat BETWEEN c.y0 AND c.y0 + c.d WHERE a.date_retired IS NULL) p
+JOIN catchment_edge e ON e.school_id = p.school_id
+GROUP BY p.address_detail_pid, p.school_id, p.school_type, p.lon, p.lat
+HAVING sum(CASE WHEN ((e.ay > p.lat) <> (e.by > p.lat)) AND (p.lon < (e.bx - e.ax) * (p.lat - e.ay) / (e.by - e.ay) + e.ax) THEN 1 ELSE 0 END) % 2 = 1
+ AND sum(CASE WHEN (e.bx - e.ax) * (p.lat - e.ay) - (e.by - e.ay) * (p.lon - e.ax) = 0 AND p.lon BETWEEN least(e.ax, e.bx) AND greatest(e.ax, e.bx)
+   AND p.lat BETWEEN least(e.ay, e.by) AND greatest(e.ay, e.by) THEN 1 ELSE 0 END) = 0"""
+
+
+def _psql(body: str, *more: str, extra: dict | None = None) -> str:
+    ex = {"mapping": PIP_SQL}
+    ex.update(extra or {})
+    return sql(body, "address", "catchment_edge", *more, extra=ex)
+
+
+def mapping(t: Tables):
+    """Address-catchment mapping (the materialised view of the reference)."""
+    pts = A.active(D.address(t), "date_retired").select("address_detail_pid", "lon", "lat")
+    return S.points_in_polygons(pts, D.catchment_polygons(t), "school_id", CELL)
+
+
+@register("j15_address_catchment", _psql("SELECT address_detail_pid, school_id, school_type FROM mapping"))
+def j15_address_catchment(spark, d):
+    return mapping(Tables(spark, d)).select("address_detail_pid", "school_id", "school_type")
+
+
+@register("ag13_addresses_per_catchment", _psql("""SELECT school_id, school_type, count(*) AS address_count FROM mapping
+GROUP BY school_id, school_type"""))
+def ag13_addresses_per_catchment(spark, d):
+    return mapping(Tables(spark, d)).groupBy("school_id", "school_type").agg(F.count(F.lit(1)).alias("address_count"))
+
+
+@register("ag16_mapping_counts", _psql("""SELECT school_type AS metric, count(*) AS mapping_rows, count(DISTINCT address_detail_pid) AS addresses,
+ count(DISTINCT school_id) AS schools FROM mapping GROUP BY school_type
+UNION ALL SELECT 'TOTAL', count(*), count(DISTINCT address_detail_pid), count(DISTINCT school_id) FROM mapping"""))
+def ag16_mapping_counts(spark, d):
+    m = mapping(Tables(spark, d))
+    aggs = [F.count(F.lit(1)).alias("mapping_rows"), F.count_distinct("address_detail_pid").alias("addresses"),
+            F.count_distinct("school_id").alias("schools")]
+    per = m.groupBy(F.col("school_type").alias("metric")).agg(*aggs)
+    tot = m.agg(*aggs).select(F.lit("TOTAL").alias("metric"), "mapping_rows", "addresses", "schools")
+    return per.unionByName(tot)
+
+
+@register("ag18_overlapping_catchments", _psql("""SELECT m.address_detail_pid, count(*) AS catchment_count,
+ string_agg(n.school_name, ', ' ORDER BY n.school_name) AS school_names
+FROM mapping m JOIN school_catchment_name n ON m.school_id = n.school_id GROUP BY m.address_detail_pid HAVING count(*) > 1""",
+                                               "school_catchment_name"))
+def ag18_overlapping_catchments(spark, d):
+    t = Tables(spark, d)
+    m = mapping(t).join(D.school_catchment_name(t), "school_id")
+    g = m.groupBy("address_detail_pid").agg(F.count(F.lit(1)).alias("catchment_count"),
+                                            F.array_join(F.array_sort(F.collect_list("school_name")), ", ").alias("school_names"))
+    return g.filter(F.col("catchment_count") > 1)
+
+
+@register("ag17_catchment_coverage_by_suburb", _psql("""SELECT l.locality_name, count(DISTINCT a.address_detail_pid) AS total_addresses,
+ count(DISTINCT CASE WHEN m.school_type = 'PRIMARY' THEN a.address_detail_pid END) AS in_primary,
+ count(DISTINCT CASE WHEN m.school_type = 'SECONDARY' THEN a.address_detail_pid END) AS in_secondary
+FROM address a JOIN locality l ON a.locality_pid = l.locality_pid LEFT JOIN mapping m ON a.address_detail_pid = m.address_detail_pid
+WHERE a.date_retired IS NULL GROUP BY l.locality_name""", "locality"))
+def ag17_catchment_coverage_by_suburb(spark, d):
+    t = Tables(spark, d)
+    a = A.active(D.address(t), "date_retired").join(D.locality(t).select("locality_pid", "locality_name"), "locality_pid")
+    j = a.select("address_detail_pid", "locality_name").join(
+        mapping(t).select("address_detail_pid", "school_type"), "address_detail_pid", "left")
+    pid = F.col("address_detail_pid")
+    return j.groupBy("locality_name").agg(
+        F.count_distinct(pid).alias("total_addresses"),
+        F.count_distinct(F.when(F.col("school_type") == "PRIMARY", pid)).alias("in_primary"),
+        F.count_distinct(F.when(F.col("school_type") == "SECONDARY", pid)).alias("in_secondary"))
+
+
+@register("j18_primary_secondary", _psql("""SELECT a.address_detail_pid, p.school_id AS primary_school_id, s.school_id AS secondary_school_id
+FROM address a LEFT JOIN (SELECT * FROM mapping WHERE school_type = 'PRIMARY') p ON a.address_detail_pid = p.address_detail_pid
+LEFT JOIN (SELECT * FROM mapping WHERE school_type = 'SECONDARY') s ON a.address_detail_pid = s.address_detail_pid
+WHERE a.date_retired IS NULL"""))
+def j18_primary_secondary(spark, d):
+    t = Tables(spark, d)
+    m = mapping(t)
+    p = m.filter(F.col("school_type") == "PRIMARY").select("address_detail_pid", F.col("school_id").alias("primary_school_id"))
+    s = m.filter(F.col("school_type") == "SECONDARY").select("address_detail_pid", F.col("school_id").alias("secondary_school_id"))
+    a = A.active(D.address(t), "date_retired").select("address_detail_pid")
+    return a.join(p, "address_detail_pid", "left").join(s, "address_detail_pid", "left")
+
+
+@register("j16_addresses_of_named_catchment", sql(f"""SELECT p.address_detail_pid, p.school_id FROM (
+  SELECT a.address_detail_pid, a.lon, a.lat, c.school_id FROM address a JOIN catchment c
+  ON a.lon BETWEEN c.x0 AND c.x0 + c.d AND a.lat BETWEEN c.y0 AND c.y0 + c.d
+  JOIN school_catchment_name n ON n.school_id = c.school_id WHERE a.date_retired IS NULL AND upper(n.school_name) LIKE '%{NAMED_CATCHMENT}%') p
+JOIN catchment_edge e ON e.school_id = p.school_id GROUP BY p.address_detail_pid, p.school_id, p.lon, p.lat
+HAVING sum(CASE WHEN ((e.ay > p.lat) <> (e.by > p.lat)) AND (p.lon < (e.bx - e.ax) * (p.lat - e.ay) / (e.by - e.ay) + e.ax) THEN 1 ELSE 0 END) % 2 = 1
+ AND sum(CASE WHEN (e.bx - e.ax) * (p.lat - e.ay) - (e.by - e.ay) * (p.lon - e.ax) = 0 AND p.lon BETWEEN least(e.ax, e.bx) AND greatest(e.ax, e.bx)
+   AND p.lat BETWEEN least(e.ay, e.by) AND greatest(e.ay, e.by) THEN 1 ELSE 0 END) = 0""",
+                                                  "address", "catchment_edge", "school_catchment_name"))
+def j16_addresses_of_named_catchment(spark, d):
+    t = Tables(spark, d)
+    names = D.school_catchment_name(t).filter(F.upper("school_name").like(f"%{NAMED_CATCHMENT}%")).select("school_id")
+    polys = D.catchment_polygons(t).join(names, "school_id", "left_semi")
+    pts = A.active(D.address(t), "date_retired").select("address_detail_pid", "lon", "lat")
+    return S.points_in_polygons(pts, polys, "school_id", CELL).select("address_detail_pid", "school_id")
+
+
+_SCHOOL_PIP = """SELECT p.acara_sml_id, p.school_id, p.school_type FROM (
+  SELECT s.acara_sml_id, s.longitude AS lon, s.latitude AS lat, c.school_id, c.school_type FROM school_profile s JOIN catchment c
+  ON s.longitude BETWEEN c.x0 AND c.x0 + c.d AND s.latitude BETWEEN c.y0 AND c.y0 + c.d) p
+JOIN catchment_edge e ON e.school_id = p.school_id GROUP BY p.acara_sml_id, p.school_id, p.school_type, p.lon, p.lat
+HAVING sum(CASE WHEN ((e.ay > p.lat) <> (e.by > p.lat)) AND (p.lon < (e.bx - e.ax) * (p.lat - e.ay) / (e.by - e.ay) + e.ax) THEN 1 ELSE 0 END) % 2 = 1
+ AND sum(CASE WHEN (e.bx - e.ax) * (p.lat - e.ay) - (e.by - e.ay) * (p.lon - e.ax) = 0 AND p.lon BETWEEN least(e.ax, e.bx) AND greatest(e.ax, e.bx)
+   AND p.lat BETWEEN least(e.ay, e.by) AND greatest(e.ay, e.by) THEN 1 ELSE 0 END) = 0"""
+
+
+@register("j17_catchments_of_school_points", sql(_SCHOOL_PIP, "school_profile", "catchment_edge"))
+def j17_catchments_of_school_points(spark, d):
+    t = Tables(spark, d)
+    pts = D.school_profile(t).select("acara_sml_id", F.col("longitude").alias("lon"), F.col("latitude").alias("lat"))
+    return (S.points_in_polygons(pts, D.catchment_polygons(t), "school_id", CELL)
+             .select("acara_sml_id", "school_id", "school_type").distinct())
+
+
+_HAV = ("2 * 6371000e0 * atan2(sqrt(pow(sin((radians({la2}) - radians({la1})) / 2), 2) + cos(radians({la1})) * cos(radians({la2})) * "
+        "pow(sin((radians({lo2}) - radians({lo1})) / 2), 2)), sqrt(1 - (pow(sin((radians({la2}) - radians({la1})) / 2), 2) + "
+        "cos(radians({la1})) * cos(radians({la2})) * pow(sin((radians({lo2}) - radians({lo1})) / 2), 2))))")
+
+
+def hav_sql(la1, lo1, la2, lo2) -> str:
+    return _HAV.format(la1=la1, lo1=lo1, la2=la2, lo2=lo2)
+
+
+def _radius(t: Tables):
+    schools = D.school_profile(t).select("acara_sml_id", F.col("longitude").alias("lon"), F.col("latitude").alias("lat"))
+    addrs = A.active(D.address(t), "date_retired").select("address_detail_pid", F.col("lon").alias("r_lon"),
+                                                          F.col("lat").alias("r_lat"))
+    return S.within_distance(schools, addrs, RADIUS_M)
+
+
+_RADIUS_SQL = f"""SELECT s.acara_sml_id, a.address_detail_pid, {hav_sql('s.latitude', 's.longitude', 'a.lat', 'a.lon')} AS distance_m
+FROM school_profile s JOIN address a ON a.lat BETWEEN s.latitude - 0.01 AND s.latitude + 0.01 AND a.lon BETWEEN s.longitude - 0.02 AND s.longitude + 0.02
+WHERE a.date_retired IS NULL AND s.latitude IS NOT NULL"""
+
+
+@register("j19_addresses_within_1km", sql(f"""SELECT acara_sml_id, address_detail_pid, round(distance_m, 3) AS distance_m FROM r
+WHERE distance_m <= {RADIUS_M}""", "school_profile", "address", extra={"r": _RADIUS_SQL}))
+def j19_addresses_within_1km(spark, d):
+    return _radius(Tables(spark, d)).select("acara_sml_id", "address_detail_pid", F.round("distance_m", 3).alias("distance_m"))
+
+
+@register("ag26_radius_counts", sql(f"""SELECT acara_sml_id, count(*) AS address_count FROM r WHERE distance_m <= {RADIUS_M} GROUP BY acara_sml_id""",
+                                    "school_profile", "address", extra={"r": _RADIUS_SQL}))
+def ag26_radius_counts(spark, d):
+    return _radius(Tables(spark, d)).groupBy("acara_sml_id").agg(F.count(F.lit(1)).alias("address_count"))
+
+
+@register("j21_nearest_address", sql("""SELECT acara_sml_id, address_detail_pid, round(sqrt(d2), 9) AS distance_deg FROM (
+ SELECT s.acara_sml_id, a.address_detail_pid, (a.lon - s.longitude) * (a.lon - s.longitude) + (a.lat - s.latitude) * (a.lat - s.latitude) AS d2,
+  row_number() OVER (PARTITION BY s.acara_sml_id ORDER BY (a.lon - s.longitude) * (a.lon - s.longitude) + (a.lat - s.latitude) * (a.lat - s.latitude), a.address_detail_pid) AS rn
+ FROM school_profile s JOIN address a ON a.date_retired IS NULL AND s.latitude IS NOT NULL) x WHERE rn = 1""", "school_profile", "address"))
+def j21_nearest_address(spark, d):
+    t = Tables(spark, d)
+    schools = D.school_profile(t).select("acara_sml_id", F.col("longitude").alias("lon"), F.col("latitude").alias("lat"))
+    addrs = A.active(D.address(t), "date_retired").select("address_detail_pid", F.col("lon").alias("r_lon"),
+                                                          F.col("lat").alias("r_lat"))
+    nn = S.nearest_neighbour(schools, addrs, "acara_sml_id", "address_detail_pid", size=0.002, report_metres=False)
+    return nn.select("acara_sml_id", "address_detail_pid", F.round("distance_deg", 9).alias("distance_deg"))
+
+
+@register("j21_nearest_other_school", sql("""SELECT acara_sml_id, other_id, round(sqrt(d2), 9) AS distance_deg FROM (
+ SELECT s.acara_sml_id, o.acara_sml_id AS other_id, (o.longitude - s.longitude) * (o.longitude - s.longitude) + (o.latitude - s.latitude) * (o.latitude - s.latitude) AS d2,
+  row_number() OVER (PARTITION BY s.acara_sml_id ORDER BY (o.longitude - s.longitude) * (o.longitude - s.longitude) + (o.latitude - s.latitude) * (o.latitude - s.latitude), o.acara_sml_id) AS rn
+ FROM school_profile s JOIN school_profile o ON o.acara_sml_id <> s.acara_sml_id AND s.latitude IS NOT NULL AND o.latitude IS NOT NULL) x WHERE rn = 1""",
+                                           "school_profile"))
+def j21_nearest_other_school(spark, d):
+    t = Tables(spark, d)
+    s = D.school_profile(t).select("acara_sml_id", F.col("longitude").alias("lon"), F.col("latitude").alias("lat"))
+    o = s.select(F.col("acara_sml_id").alias("other_id"), F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"))
+    nn = S.nearest_neighbour(s, o.withColumnRenamed("other_id", "acara_sml_id_o"), "acara_sml_id", "acara_sml_id_o",
+                             size=0.001, report_metres=False, exclude_self=True)
+    return nn.select("acara_sml_id", F.col("acara_sml_id_o").alias("other_id"), F.round("distance_deg", 9).alias("distance_deg"))
+
+
+@register("j22_street_span_distance", sql(f"""SELECT s.street_locality_pid, first_pid, last_pid, round({hav_sql('f.lat', 'f.lon', 'l.lat', 'l.lon')}, 3) AS distance_m
+FROM (SELECT street_locality_pid, min(address_detail_pid) AS first_pid, max(address_detail_pid) AS last_pid FROM address GROUP BY 1) s
+JOIN address f ON f.address_detail_pid = s.first_pid JOIN address l ON l.address_detail_pid = s.last_pid""", "address"))
+def j22_street_span_distance(spark, d):
+    """J22 in batch form: distance between two chosen addresses (here the first and last
+    address of every street) - two key joins, no cross join."""
+    a = D.address(Tables(spark, d))
+    ends = a.groupBy("street_locality_pid").agg(F.min("address_detail_pid").alias("first_pid"),
+                                                F.max("address_detail_pid").alias("last_pid"))
+    f = a.select(F.col("address_detail_pid").alias("first_pid"), F.col("lon").alias("f_lon"), F.col("lat").alias("f_lat"))
+    l = a.select(F.col("address_detail_pid").alias("last_pid"), F.col("lon").alias("l_lon"), F.col("lat").alias("l_lat"))
+    j = ends.join(f, "first_pid").join(l, "last_pid")
+    return j.select("street_locality_pid", "first_pid", "last_pid",
+                    F.round(G.haversine_m("f_lat", "f_lon", "l_lat", "l_lon"), 3).alias("distance_m"))
+
+
+@register("sp18_hazard_exposure", sql("""SELECT c.postcode, h.hazard_id FROM (
+ SELECT postcode, avg(lon) AS clon, avg(lat) AS clat FROM address WHERE date_retired IS NULL GROUP BY postcode) c
+JOIN hazard_zone h ON c.clon BETWEEN h.x0 - 0.05 AND h.x0 + h.d + 0.05 AND c.clat BETWEEN h.y0 - 0.05 AND h.y0 + h.d + 0.05""",
+                                      "address", "hazard_zone"))
+def sp18_hazard_exposure(spark, d):
+    """SP18 (re-aimed): hazard zones whose box, grown by 0.05 degrees, holds a postcode centroid."""
+    t = Tables(spark, d)
+    cent = (A.postcode_centroids(A.active(D.address(t), "date_retired"), min_count=0)
+             .select("postcode", F.col("centroid_lon").alias("lon"), F.col("centroid_lat").alias("lat")))
+    hz = D.hazard_zone(t)
+    m = F.lit(0.05)
+    x0, y0, dd = F.col("x0"), F.col("y0"), F.col("d")
+
+    def v(x, y):
+        return F.struct(x.alias("x"), y.alias("y"))
+    ring = F.array(v(x0 - m, y0 - m), v(x0 + dd + m, y0 - m), v(x0 + dd + m, y0 + dd + m), v(x0 - m, y0 + dd + m), v(x0 - m, y0 - m))
+    boxes = hz.select("hazard_id", "x0", "y0", "d").withColumn("rings", F.array(ring))
+    # A box test (edges included) rather than ST_Contains: grid join + bbox filter only.
+    pts = cent.withColumn("_cx", G.square_cell("lon", 0.05)).withColumn("_cy", G.square_cell("lat", 0.05))
+    cells = S.polygon_cells(boxes, "hazard_id", 0.05).withColumnRenamed("cx", "_cx").withColumnRenamed("cy", "_cy")
+    j = pts.join(cells, ["_cx", "_cy"]).join(boxes.select("hazard_id", "x0", "y0", "d"), "hazard_id")
+    return j.filter(F.col("lon").between(x0 - m, x0 + dd + m) & F.col("lat").between(y0 - m, y0 + dd + m)) \
+            .select("postcode", "hazard_id")
+
+
+@register("sp8_school_bbox", sql("""SELECT acara_sml_id, round(longitude - (5e0 / 111e0) / greatest(1e-6, cos(radians(latitude))), 9) AS minx,
+ round(latitude - 5e0 / 111e0, 9) AS miny, round(longitude + (5e0 / 111e0) / greatest(1e-6, cos(radians(latitude))), 9) AS maxx,
+ round(latitude + 5e0 / 111e0, 9) AS maxy FROM school_profile WHERE latitude IS NOT NULL""", "school_profile"))
+def sp8_school_bbox(spark, d):
+    p = D.school_profile(Tables(spark, d)).filter(F.col("latitude").isNotNull())
+    minx, miny, maxx, maxy = G.bbox_for_point("latitude", "longitude", 5.0)
+    return p.select("acara_sml_id", F.round(minx, 9).alias("minx"), F.round(miny, 9).alias("miny"),
+                    F.round(maxx, 9).alias("maxx"), F.round(maxy, 9).alias("maxy"))
+
+
+@register("sp13_school_mercator", sql("""SELECT acara_sml_id, round(6378137e0 * radians(longitude), 3) AS x,
+ round(6378137e0 * ln(tan(pi() / 4 + radians(latitude) / 2)), 3) AS y FROM school_profile WHERE latitude IS NOT NULL""", "school_profile"))
+def sp13_school_mercator(spark, d):
+    p = D.school_profile(Tables(spark, d)).filter(F.col("latitude").isNotNull())
+    x, y = G.to_3857("longitude", "latitude")
+    return p.select("acara_sml_id", F.round(x, 3).alias("x"), F.round(y, 3).alias("y"))
+
+
+@register("sp4_schools_near_melbourne", sql("""SELECT acara_sml_id, school_name, round(6371e0 * acos(least(1e0, greatest(-1e0,
+ cos(radians(-37.8136)) * cos(radians(latitude)) * cos(radians(longitude) - radians(144.9631)) + sin(radians(-37.8136)) * sin(radians(latitude))))), 2) AS distance_km
+FROM school_location WHERE latitude IS NOT NULL AND longitude IS NOT NULL ORDER BY distance_km, acara_sml_id LIMIT 20""", "school_location"))
+def sp4_schools_near_melbourne(spark, d):
+    """SP4 + O1: 20 nearest schools to a fixed point by the spherical law of cosines."""
+    loc = D.school_location(Tables(spark, d)).filter(F.col("latitude").isNotNull() & F.col("longitude").isNotNull())
+    # Fixed value: the reference query's point (Melbourne CBD).
+    dist = F.round(G.cosine_law_km(-37.8136, 144.9631, "latitude", "longitude"), 2)
+    return loc.select("acara_sml_id", "school_name", dist.alias("distance_km")).orderBy("distance_km", "acara_sml_id").limit(20)
+
+
+@register("sp11_catchment_centroid", sql("""SELECT e.school_id, round(sum((e.ax + e.bx) * (e.ax * e.by - e.bx * e.ay)) / (3 * sum(e.ax * e.by - e.bx * e.ay)), 9) AS cx,
+ round(sum((e.ay + e.by) * (e.ax * e.by - e.bx * e.ay)) / (3 * sum(e.ax * e.by - e.bx * e.ay)), 9) AS cy FROM catchment_edge e GROUP BY e.school_id""", "catchment_edge"))
+def sp11_catchment_centroid(spark, d):
+    c = D.catchment_polygons(Tables(spark, d)).select("school_id", G.polygon_centroid("rings").alias("c"))
+    return c.select("school_id", F.round("c.x", 9).alias("cx"), F.round("c.y", 9).alias("cy"))
+
+
+@register("sp16_ring_validity", sql("""SELECT count(*) AS polygons, count(*) AS valid_rings FROM catchment""", "catchment"))
+def sp16_ring_validity(spark, d):
+    c = D.catchment_polygons(Tables(spark, d))
+    return c.agg(F.count(F.lit(1)).alias("polygons"),
+                 F.count_if(F.forall("rings", lambda r: G.ring_is_valid(r))).alias("valid_rings"))
