@@ -57,39 +57,65 @@ def planar_within(x1, y1, x2, y2, r_deg: float) -> Column:
     return dx * dx + dy * dy <= F.lit(float(r_deg) ** 2)
 
 
+def _let(value: Column, fn) -> Column:
+    """Bind ``value`` once and use it many times in ``fn`` (keeps expressions linear)."""
+    return F.transform(F.array(value), fn)[0]
+
+
 def vincenty_m(lat1, lon1, lat2, lon2, steps: int = 6) -> Column:
-    """SP2: geodesic distance on the WGS84 spheroid (Vincenty inverse, ``steps``
-    fixed-point iterations unrolled as columns).  Equal points give 0."""
+    """SP2: geodesic distance on the WGS84 spheroid (Vincenty inverse with ``steps``
+    fixed-point iterations).  Equal points give 0.
+
+    The iteration is an ``aggregate`` over ``sequence(1, steps)`` and shared
+    sub-terms are bound once, so the expression stays small however many
+    steps are taken (a plain unrolled column tree would grow exponentially).
+    """
     a, b, f = WGS84_A, WGS84_B, WGS84_F
+    one, two = F.lit(1.0), F.lit(2.0)
     u1 = F.atan(F.lit(1 - f) * F.tan(F.radians(_num(lat1))))
     u2 = F.atan(F.lit(1 - f) * F.tan(F.radians(_num(lat2))))
-    L = F.radians(_num(lon2)) - F.radians(_num(lon1))
-    su1, cu1, su2, cu2 = F.sin(u1), F.cos(u1), F.sin(u2), F.cos(u2)
-    lam = L
-    for _ in range(steps):
-        sl, cl = F.sin(lam), F.cos(lam)
-        ss = F.sqrt(F.pow(cu2 * sl, 2) + F.pow(cu1 * su2 - su1 * cu2 * cl, 2))
-        cs = su1 * su2 + cu1 * cu2 * cl
-        sig = F.atan2(ss, cs)
-        sa = F.when(ss == 0, F.lit(0.0)).otherwise(cu1 * cu2 * sl / ss)
-        c2a = F.lit(1.0) - sa * sa
-        c2sm = F.when(c2a == 0, F.lit(0.0)).otherwise(cs - F.lit(2.0) * su1 * su2 / c2a)
-        C = F.lit(f / 16) * c2a * (F.lit(4.0) + F.lit(f) * (F.lit(4.0) - F.lit(3.0) * c2a))
-        lam = L + (F.lit(1.0) - C) * F.lit(f) * sa * (
-            sig + C * ss * (c2sm + C * cs * (F.lit(-1.0) + F.lit(2.0) * c2sm * c2sm)))
-    sl, cl = F.sin(lam), F.cos(lam)
-    ss = F.sqrt(F.pow(cu2 * sl, 2) + F.pow(cu1 * su2 - su1 * cu2 * cl, 2))
-    cs = su1 * su2 + cu1 * cu2 * cl
-    sig = F.atan2(ss, cs)
-    sa = F.when(ss == 0, F.lit(0.0)).otherwise(cu1 * cu2 * sl / ss)
-    c2a = F.lit(1.0) - sa * sa
-    c2sm = F.when(c2a == 0, F.lit(0.0)).otherwise(cs - F.lit(2.0) * su1 * su2 / c2a)
-    u_sq = c2a * F.lit((a * a - b * b) / (b * b))
-    A = F.lit(1.0) + u_sq / 16384 * (F.lit(4096.0) + u_sq * (F.lit(-768.0) + u_sq * (F.lit(320.0) - F.lit(175.0) * u_sq)))
-    B = u_sq / 1024 * (F.lit(256.0) + u_sq * (F.lit(-128.0) + u_sq * (F.lit(74.0) - F.lit(47.0) * u_sq)))
-    ds = B * ss * (c2sm + B / 4 * (cs * (F.lit(-1.0) + F.lit(2.0) * c2sm * c2sm)
-                                   - B / 6 * c2sm * (F.lit(-3.0) + F.lit(4.0) * ss * ss) * (F.lit(-3.0) + F.lit(4.0) * c2sm * c2sm)))
-    return F.when(ss == 0, F.lit(0.0)).otherwise(F.lit(b) * A * (sig - ds))
+    base = F.struct(u1.alias("u1"), u2.alias("u2"), (F.radians(_num(lon2)) - F.radians(_num(lon1))).alias("L"))
+
+    def terms(g, lam):
+        def from_sc(sc):
+            ss = F.sqrt(F.pow(g["cu2"] * sc["sl"], 2) + F.pow(g["cu1"] * g["su2"] - g["su1"] * g["cu2"] * sc["cl"], 2))
+            cs = g["su1"] * g["su2"] + g["cu1"] * g["cu2"] * sc["cl"]
+
+            def from_q(q):
+                sa = F.when(q["ss"] == 0, F.lit(0.0)).otherwise(g["cu1"] * g["cu2"] * sc["sl"] / q["ss"])
+
+                def from_sa(r):
+                    c2a = one - r["sa"] * r["sa"]
+                    c2sm = F.when(c2a == 0, F.lit(0.0)).otherwise(q["cs"] - two * g["su1"] * g["su2"] / c2a)
+                    C = F.lit(f / 16) * c2a * (F.lit(4.0) + F.lit(f) * (F.lit(4.0) - F.lit(3.0) * c2a))
+                    return F.struct(q["ss"].alias("ss"), q["cs"].alias("cs"), F.atan2(q["ss"], q["cs"]).alias("sig"),
+                                    r["sa"].alias("sa"), c2a.alias("c2a"), c2sm.alias("c2sm"), C.alias("C"))
+                return _let(F.struct(sa.alias("sa")), from_sa)
+            return _let(F.struct(ss.alias("ss"), cs.alias("cs")), from_q)
+        return _let(F.struct(F.sin(lam).alias("sl"), F.cos(lam).alias("cl")), from_sc)
+
+    def with_trig(bs):
+        g = F.struct(F.sin(bs["u1"]).alias("su1"), F.cos(bs["u1"]).alias("cu1"),
+                     F.sin(bs["u2"]).alias("su2"), F.cos(bs["u2"]).alias("cu2"), bs["L"].alias("L"))
+
+        def solve(gv):
+            def step(lam, _i):
+                return _let(terms(gv, lam), lambda t: gv["L"] + (one - t["C"]) * F.lit(f) * t["sa"] * (
+                    t["sig"] + t["C"] * t["ss"] * (t["c2sm"] + t["C"] * t["cs"] * (F.lit(-1.0) + two * t["c2sm"] * t["c2sm"]))))
+            lam = F.aggregate(F.sequence(F.lit(1), F.lit(steps)), gv["L"], step)
+
+            def distance(t):
+                u_sq = t["c2a"] * F.lit((a * a - b * b) / (b * b))
+                A = one + u_sq / 16384 * (F.lit(4096.0) + u_sq * (F.lit(-768.0) + u_sq * (F.lit(320.0) - F.lit(175.0) * u_sq)))
+                B = u_sq / 1024 * (F.lit(256.0) + u_sq * (F.lit(-128.0) + u_sq * (F.lit(74.0) - F.lit(47.0) * u_sq)))
+                c2sm, ss, cs = t["c2sm"], t["ss"], t["cs"]
+                ds = B * ss * (c2sm + B / 4 * (cs * (F.lit(-1.0) + two * c2sm * c2sm)
+                                               - B / 6 * c2sm * (F.lit(-3.0) + F.lit(4.0) * ss * ss) * (F.lit(-3.0) + F.lit(4.0) * c2sm * c2sm)))
+                return F.when(ss == 0, F.lit(0.0)).otherwise(F.lit(b) * A * (t["sig"] - ds))
+            return _let(terms(gv, lam), distance)
+        return _let(g, solve)
+
+    return _let(base, with_trig)
 
 
 def bbox_for_point(lat, lon, radius_km: float):
