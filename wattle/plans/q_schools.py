@@ -1 +1,259 @@
-"""Registered queries."""
+"""Registered school queries: name resolution, lookup, search tiers, statistics."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from wattle.functions import geo as G
+from wattle.operators import schools as SC
+from wattle.plans import domain as D
+from wattle.plans.oracle import sql
+from wattle.plans.registry import register
+from wattle.sources.tables import Tables
+
+T1_QUERY = "place1"
+T2_QUERY, T2_STATE = "high", "NSW"
+T4_QUERY, T4_STATE = "place2", "NSW"
+T3_QUERY = "high schools"
+
+_ABBR_CASE = "CASE {0} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in SC.SCHOOL_TYPE_ABBREVIATIONS.items()) + " END"
+PARTS_SQL = f"""SELECT school_id, school_name, len(string_split(school_name, ' ')) AS word_count,
+ array_to_string(string_split(school_name, ' ')[1:len(string_split(school_name, ' ')) - 1], ' ') AS school_first,
+ string_split(school_name, ' ')[-1] AS school_abbrev, {_ABBR_CASE.format("string_split(school_name, ' ')[-1]")} AS school_type_name
+FROM school_catchment_name"""
+LOOKUP_SQL = """SELECT p.*, k.school_id, k.school_name AS catchment_school_name, k.school_first, k.school_abbrev, k.school_type_name,
+ p.school_name AS profile_school_name, 'https://myschool.edu.au/school/' || cast(p.acara_sml_id AS varchar) AS acara_url,
+ 'https://myschool.edu.au/school/' || cast(p.acara_sml_id AS varchar) || '/naplan/results' AS naplan_url
+FROM school_profile p LEFT JOIN (SELECT * FROM parts WHERE school_type_name IS NOT NULL) k ON concat_ws(' ', k.school_first, k.school_type_name) = p.school_name
+WHERE p.state = 'NSW' AND p.school_sector = 'Government'"""
+
+
+def _lsql(body: str, *more: str, extra: dict | None = None) -> str:
+    ex = {"parts": PARTS_SQL, "lookup": LOOKUP_SQL}
+    ex.update(extra or {})
+    return sql(body, "school_catchment_name", "school_profile", *more, extra=ex)
+
+
+def lookup(t: Tables):
+    return SC.build_lookup(D.school_catchment_name(t), D.school_profile(t), patches=SC.lookup_patches(t.spark))
+
+
+@register("a14_school_name_parts", sql(f"SELECT school_id, word_count, school_first, school_abbrev, school_type_name FROM ({PARTS_SQL}) x",
+                                       "school_catchment_name"))
+def a14_school_name_parts(spark, d):
+    return SC.with_name_parts(D.school_catchment_name(Tables(spark, d))).select(
+        "school_id", "word_count", "school_first", "school_abbrev", "school_type_name")
+
+
+_LOOKUP_COLS = ["school_id", "catchment_school_name", "acara_sml_id", "profile_school_name", "state", "school_sector",
+                "school_type_name", "acara_url", "naplan_url"]
+
+
+@register("j11_school_lookup", _lsql("SELECT " + ", ".join(_LOOKUP_COLS) + " FROM lookup"))
+def j11_school_lookup(spark, d):
+    return lookup(Tables(spark, d)).select(*_LOOKUP_COLS)
+
+
+@register("j9_profile_location", sql("""SELECT p.acara_sml_id, p.school_name, l.abs_remoteness_area_name, p.icsea, p.total_enrolments
+FROM school_profile p JOIN school_location l ON p.acara_sml_id = l.acara_sml_id""", "school_location"))
+def j9_profile_location(spark, d):
+    t = Tables(spark, d)
+    loc = D.school_location(t).select("acara_sml_id", "abs_remoteness_area_name")
+    return D.school_profile(t).join(loc, "acara_sml_id").select("acara_sml_id", "school_name", "abs_remoteness_area_name",
+                                                                 "icsea", "total_enrolments")
+
+
+@register("j10_profile_not_in_location", sql("""SELECT acara_sml_id, school_name FROM school_profile p
+WHERE NOT EXISTS (SELECT 1 FROM school_location l WHERE l.acara_sml_id = p.acara_sml_id)""", "school_location"))
+def j10_profile_not_in_location(spark, d):
+    t = Tables(spark, d)
+    return D.school_profile(t).join(D.school_location(t), "acara_sml_id", "left_anti").select("acara_sml_id", "school_name")
+
+
+@register("j10_location_not_in_profile", sql("""SELECT acara_sml_id, school_name FROM school_location l
+WHERE NOT EXISTS (SELECT 1 FROM school_profile p WHERE l.acara_sml_id = p.acara_sml_id)""", "school_location"))
+def j10_location_not_in_profile(spark, d):
+    t = Tables(spark, d)
+    return D.school_location(t).join(D.school_profile(t), "acara_sml_id", "left_anti").select("acara_sml_id", "school_name")
+
+
+@register("j26_coordinate_match", _lsql("""SELECT p.acara_sml_id, p.latitude = l.latitude AS lat_match, p.longitude = l.longitude AS lon_match,
+ k.school_id IS NOT NULL AS in_lookup FROM school_profile p JOIN school_location l ON p.acara_sml_id = l.acara_sml_id
+ LEFT JOIN (SELECT acara_sml_id, min(school_id) AS school_id FROM lookup GROUP BY 1) k ON k.acara_sml_id = p.acara_sml_id""",
+                                        "school_location"))
+def j26_coordinate_match(spark, d):
+    t = Tables(spark, d)
+    p = D.school_profile(t).select("acara_sml_id", "latitude", "longitude")
+    l = D.school_location(t).select("acara_sml_id", F.col("latitude").alias("l_lat"), F.col("longitude").alias("l_lon"))
+    k = lookup(t).groupBy("acara_sml_id").agg(F.min("school_id").alias("school_id"))
+    j = p.join(l, "acara_sml_id").join(k, "acara_sml_id", "left")
+    return j.select("acara_sml_id", (F.col("latitude") == F.col("l_lat")).alias("lat_match"),
+                    (F.col("longitude") == F.col("l_lon")).alias("lon_match"), F.col("school_id").isNotNull().alias("in_lookup"))
+
+
+@register("j27_catchment_icsea", _lsql("""SELECT c.school_id, c.school_name, lk.icsea, lk.acara_sml_id FROM school_catchment_name c
+LEFT JOIN lookup lk ON lk.school_id = c.school_id AND lk.catchment_school_name = c.school_name"""))
+def j27_catchment_icsea(spark, d):
+    t = Tables(spark, d)
+    lk = lookup(t).select("school_id", F.col("catchment_school_name").alias("school_name"), "icsea", "acara_sml_id")
+    return D.school_catchment_name(t).join(lk, ["school_id", "school_name"], "left").select(
+        "school_id", "school_name", "icsea", "acara_sml_id")
+
+
+@register("j28_school_detail", _lsql("""SELECT p.acara_sml_id, p.school_name, lk.school_id, lk.catchment_school_name, lk.acara_url,
+ coalesce(nullif(lk.profile_school_name, ''), lk.catchment_school_name) AS display_name
+FROM school_profile p LEFT JOIN lookup lk ON lk.acara_sml_id = p.acara_sml_id"""))
+def j28_school_detail(spark, d):
+    t = Tables(spark, d)
+    lk = lookup(t).select("acara_sml_id", "school_id", "catchment_school_name", "acara_url", "profile_school_name")
+    j = D.school_profile(t).select("acara_sml_id", "school_name").join(lk, "acara_sml_id", "left")
+    return j.select("acara_sml_id", "school_name", "school_id", "catchment_school_name", "acara_url",
+                    SC.display_name("profile_school_name", "catchment_school_name").alias("display_name"))
+
+
+@register("j29_school_point_fallback", _lsql("""SELECT e.school_id, round(coalesce(lk.latitude, sum((e.ay + e.by) * (e.ax * e.by - e.bx * e.ay)) / (3 * sum(e.ax * e.by - e.bx * e.ay))), 9) AS school_lat,
+ round(coalesce(lk.longitude, sum((e.ax + e.bx) * (e.ax * e.by - e.bx * e.ay)) / (3 * sum(e.ax * e.by - e.bx * e.ay))), 9) AS school_lon
+FROM catchment_edge e LEFT JOIN lookup lk ON lk.school_id = e.school_id GROUP BY e.school_id, lk.latitude, lk.longitude""", "catchment_edge"))
+def j29_school_point_fallback(spark, d):
+    t = Tables(spark, d)
+    cent = D.catchment_polygons(t).select("school_id", G.polygon_centroid("rings").alias("c"))
+    lk = lookup(t).filter(F.col("school_id").isNotNull()).select("school_id", "latitude", "longitude")
+    j = cent.join(lk, "school_id", "left")
+    return j.select("school_id", F.round(F.coalesce("latitude", "c.y"), 9).alias("school_lat"),
+                    F.round(F.coalesce("longitude", "c.x"), 9).alias("school_lon"))
+
+
+@register("ag20_coords_by_state", sql("""SELECT state, count(*) AS total, count(CASE WHEN latitude IS NOT NULL AND longitude IS NOT NULL THEN 1 END) AS with_coords,
+ count(CASE WHEN latitude IS NULL OR longitude IS NULL THEN 1 END) AS missing_coords FROM school_location GROUP BY state""", "school_location"))
+def ag20_coords_by_state(spark, d):
+    has = F.col("latitude").isNotNull() & F.col("longitude").isNotNull()
+    return D.school_location(Tables(spark, d)).groupBy("state").agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(has).alias("with_coords"), F.count_if(~has).alias("missing_coords"))
+
+
+@register("ag21_schools_by_type_sector", sql("""SELECT school_type, school_sector, count(*) AS school_count FROM school_profile
+GROUP BY school_type, school_sector""", "school_profile"))
+def ag21_schools_by_type_sector(spark, d):
+    return D.school_profile(Tables(spark, d)).groupBy("school_type", "school_sector").agg(F.count(F.lit(1)).alias("school_count"))
+
+
+@register("ag21_special_per_state", sql("""SELECT state, count(*) AS special_count FROM school_location WHERE special_school = 1 GROUP BY state""",
+                                        "school_location"))
+def ag21_special_per_state(spark, d):
+    return (D.school_location(Tables(spark, d)).filter(F.col("special_school") == 1)
+            .groupBy("state").agg(F.count(F.lit(1)).alias("special_count")))
+
+
+@register("ag22_icsea_by_remoteness", sql("""SELECT l.abs_remoteness_area_name, count(*) AS school_count, round(avg(p.icsea), 2) AS avg_icsea,
+ round(avg(p.total_enrolments), 2) AS avg_enrolments FROM school_profile p JOIN school_location l ON p.acara_sml_id = l.acara_sml_id
+GROUP BY l.abs_remoteness_area_name""", "school_location"))
+def ag22_icsea_by_remoteness(spark, d):
+    t = Tables(spark, d)
+    j = D.school_profile(t).join(D.school_location(t).select("acara_sml_id", "abs_remoteness_area_name"), "acara_sml_id")
+    return j.groupBy("abs_remoteness_area_name").agg(F.count(F.lit(1)).alias("school_count"),
+                                                     F.round(F.avg("icsea"), 2).alias("avg_icsea"),
+                                                     F.round(F.avg("total_enrolments"), 2).alias("avg_enrolments"))
+
+
+@register("ag23_coord_range_by_state", sql("""SELECT state, min(latitude) AS min_lat, max(latitude) AS max_lat, min(longitude) AS min_lon,
+ max(longitude) AS max_lon FROM school_location WHERE latitude IS NOT NULL GROUP BY state""", "school_location"))
+def ag23_coord_range_by_state(spark, d):
+    return (D.school_location(Tables(spark, d)).filter(F.col("latitude").isNotNull()).groupBy("state")
+            .agg(F.min("latitude").alias("min_lat"), F.max("latitude").alias("max_lat"),
+                 F.min("longitude").alias("min_lon"), F.max("longitude").alias("max_lon")))
+
+
+@register("ag24_lookup_summary", _lsql("""SELECT count(*) AS total_records, count(DISTINCT school_id) AS unique_schools,
+ count(acara_sml_id) AS matched_with_profile, count(DISTINCT state) AS states_covered FROM lookup"""))
+def ag24_lookup_summary(spark, d):
+    return lookup(Tables(spark, d)).agg(F.count(F.lit(1)).alias("total_records"), F.count_distinct("school_id").alias("unique_schools"),
+                                        F.count("acara_sml_id").alias("matched_with_profile"),
+                                        F.count_distinct("state").alias("states_covered"))
+
+
+@register("ag25_profile_completeness", sql("""SELECT state, count(*) AS schools, count(DISTINCT school_sector) AS sectors,
+ count(DISTINCT school_type) AS types, count(icsea) AS has_icsea, count(total_enrolments) AS has_enrolments,
+ count(latitude) AS has_coords FROM school_profile GROUP BY state""", "school_profile"))
+def ag25_profile_completeness(spark, d):
+    return D.school_profile(Tables(spark, d)).groupBy("state").agg(
+        F.count(F.lit(1)).alias("schools"), F.count_distinct("school_sector").alias("sectors"),
+        F.count_distinct("school_type").alias("types"), F.count("icsea").alias("has_icsea"),
+        F.count("total_enrolments").alias("has_enrolments"), F.count("latitude").alias("has_coords"))
+
+
+_CATCH_NAMED = """SELECT c.school_id, n.school_name, c.school_type FROM catchment c JOIN school_catchment_name n ON c.school_id = n.school_id"""
+
+
+def _catch_named(t: Tables):
+    return D.catchment(t).select("school_id", "school_type").join(D.school_catchment_name(t), "school_id")
+
+
+@register("t1_three_tier_match", sql(f"""SELECT school_id, school_name, school_type, rank_order FROM cand
+WHERE rank_order = (SELECT min(rank_order) FROM cand) ORDER BY school_name, school_id
+LIMIT CASE WHEN (SELECT min(rank_order) FROM cand) = 0 THEN 1000000000 ELSE 20 END""", "catchment", "school_catchment_name",
+                                     extra={"cn": _CATCH_NAMED, "cand": f"""SELECT school_id, school_name, school_type,
+ CASE WHEN upper(school_name) = '{T1_QUERY.upper()}' THEN 0 WHEN upper(school_name) LIKE '{T1_QUERY.upper()}%' THEN 1 ELSE 2 END AS rank_order
+ FROM cn WHERE upper(school_name) LIKE '%{T1_QUERY.upper()}%'"""}))
+def t1_three_tier_match(spark, d):
+    return SC.three_tier_match(_catch_named(Tables(spark, d)), T1_QUERY)
+
+
+@register("t2_ranked_search", sql(f"""SELECT acara_sml_id, school_name, state, school_sector,
+ CASE WHEN upper(school_name) LIKE '{T2_QUERY.upper()}%' THEN 1 WHEN list_contains(string_split_regex(lower(school_name), '[^a-z0-9]+'), '{T2_QUERY}') THEN 2 ELSE 3 END AS rank
+FROM school_profile WHERE (upper(school_name) LIKE '%{T2_QUERY.upper()}%' OR list_contains(string_split_regex(lower(school_name), '[^a-z0-9]+'), '{T2_QUERY}'))
+ AND state = '{T2_STATE}' ORDER BY rank, school_name, acara_sml_id LIMIT 20""", "school_profile"))
+def t2_ranked_search(spark, d):
+    return SC.ranked_search(D.school_profile(Tables(spark, d)), T2_QUERY, T2_STATE)
+
+
+@register("t4_name_search", _lsql(f"""SELECT acara_sml_id, school_id, coalesce(nullif(profile_school_name, ''), catchment_school_name) AS display_name, state
+FROM lookup WHERE (upper(profile_school_name) LIKE '%{T4_QUERY.upper()}%' OR upper(catchment_school_name) LIKE '%{T4_QUERY.upper()}%'
+ OR upper(school_first) LIKE '%{T4_QUERY.upper()}%') AND state = '{T4_STATE}' ORDER BY display_name, acara_sml_id LIMIT 50"""))
+def t4_name_search(spark, d):
+    return SC.name_search(lookup(Tables(spark, d)), T4_QUERY, T4_STATE)
+
+
+@register("t3_token_search")
+def t3_token_search(spark, d):
+    """Schools whose name tokens (stop words out, light stemming) hold every query token."""
+    p = D.school_profile(Tables(spark, d))
+    return p.filter(SC.tokens_match(SC.search_tokens("school_name"), T3_QUERY)).select("acara_sml_id", "school_name")
+
+
+@register("a23_school_cbd_distance", sql("""SELECT p.acara_sml_id, p.state, round(h / 1000, 3) AS cbd_km,
+ CASE WHEN h / 1000 < 1 THEN printf('%d m', cast(round(h / 1000 * 1000) AS bigint)) ELSE printf('%.2f km', h / 1000) END AS cbd_label
+FROM (SELECT p.*, """ + "2 * 6371000e0 * atan2(sqrt(pow(sin((radians(c.lat) - radians(p.latitude)) / 2), 2) + cos(radians(p.latitude)) * cos(radians(c.lat)) * pow(sin((radians(c.lon) - radians(p.longitude)) / 2), 2)), sqrt(1 - (pow(sin((radians(c.lat) - radians(p.latitude)) / 2), 2) + cos(radians(p.latitude)) * cos(radians(c.lat)) * pow(sin((radians(c.lon) - radians(p.longitude)) / 2), 2))))" + """ AS h
+ FROM school_profile p JOIN cbd c ON c.state = p.state WHERE p.latitude IS NOT NULL) p""", "school_profile",
+                                         extra={"cbd": "SELECT * FROM (VALUES " + ", ".join(f"('{s}', {la}, {lo})" for s, la, lo, _ in SC.STATE_CBDS)
+                                                + ") AS t(state, lat, lon)"}))
+def a23_school_cbd_distance(spark, d):
+    p = D.school_profile(Tables(spark, d)).filter(F.col("latitude").isNotNull())
+    return SC.with_cbd_distance(p).select("acara_sml_id", "state", "cbd_km", "cbd_label")
+
+
+@register("m1_fill_profile_coordinates", sql("""SELECT p.acara_sml_id,
+ CASE WHEN (p.latitude IS NULL OR p.longitude IS NULL) AND l.latitude IS NOT NULL THEN l.latitude ELSE p.latitude END AS latitude,
+ CASE WHEN (p.latitude IS NULL OR p.longitude IS NULL) AND l.latitude IS NOT NULL THEN l.longitude ELSE p.longitude END AS longitude
+FROM school_profile p LEFT JOIN school_location l ON p.acara_sml_id = l.acara_sml_id""", "school_location"))
+def m1_fill_profile_coordinates(spark, d):
+    t = Tables(spark, d)
+    return SC.fill_coordinates(D.school_profile(t), D.school_location(t)).select("acara_sml_id", "latitude", "longitude")
+
+
+@register("m4_coordinate_summary", sql("""SELECT state, count(*) AS total, count(CASE WHEN latitude IS NOT NULL AND longitude IS NOT NULL THEN 1 END) AS with_coords,
+ count(CASE WHEN NOT (latitude IS NOT NULL AND longitude IS NOT NULL) THEN 1 END) AS without_coords,
+ round(count(CASE WHEN latitude IS NOT NULL AND longitude IS NOT NULL THEN 1 END) * 100e0 / count(*), 2) AS pct_with
+FROM school_profile GROUP BY state""", "school_profile"))
+def m4_coordinate_summary(spark, d):
+    return SC.coordinate_summary(D.school_profile(Tables(spark, d)), "state")
+
+
+@register("sp12_school_geometry", _lsql("""SELECT p.acara_sml_id, k.school_id, CASE WHEN k.school_id IS NOT NULL THEN 'Y' ELSE 'N' END AS has_catchment,
+ CASE WHEN p.latitude IS NOT NULL AND p.longitude IS NOT NULL THEN 'Y' ELSE 'N' END AS has_geom_buffer,
+ CASE WHEN p.latitude IS NOT NULL AND p.longitude IS NOT NULL THEN 33 END AS buffer_vertices
+FROM school_profile p LEFT JOIN lookup k ON k.acara_sml_id = p.acara_sml_id LEFT JOIN catchment c ON c.school_id = k.school_id""", "catchment"))
+def sp12_school_geometry(spark, d):
+    t = Tables(spark, d)
+    g = SC.school_geometry(D.school_profile(t), lookup(t), D.catchment_polygons(t))
+    return g.select("acara_sml_id", "school_id", "has_catchment", "has_geom_buffer",
+                    F.size(F.col("geom_buffer_5km")[0]).alias("buffer_vertices"))
