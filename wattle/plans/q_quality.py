@@ -1 +1,59 @@
-"""Registered queries."""
+"""Registered data-quality queries."""
+
+from __future__ import annotations
+
+from wattle.operators import quality as Q
+from wattle.plans import domain as D
+from wattle.plans.oracle import sql
+from wattle.plans.registry import register
+from wattle.sources.tables import Tables
+
+
+@register("q1_primary_keys", sql("""SELECT 'address' AS table_name, 'address_detail_pid' AS pk, (SELECT count(*) FROM address) AS row_count,
+ (SELECT count(*) FROM (SELECT address_detail_pid FROM address GROUP BY 1 HAVING count(*) > 1) x) AS duplicate_keys,
+ (SELECT count(*) FROM address WHERE address_detail_pid IS NULL) AS null_keys
+UNION ALL SELECT 'street_locality', 'street_locality_pid', (SELECT count(*) FROM street_locality),
+ (SELECT count(*) FROM (SELECT street_locality_pid FROM street_locality GROUP BY 1 HAVING count(*) > 1) x),
+ (SELECT count(*) FROM street_locality WHERE street_locality_pid IS NULL)
+UNION ALL SELECT 'suburb_postcode', 'locality_name,postcode', (SELECT count(*) FROM suburb_postcode),
+ (SELECT count(*) FROM (SELECT locality_name, postcode FROM suburb_postcode GROUP BY 1, 2 HAVING count(*) > 1) x),
+ (SELECT count(*) FROM suburb_postcode WHERE locality_name IS NULL OR postcode IS NULL)""", "address", "street_locality", "suburb_postcode"))
+def q1_primary_keys(spark, d):
+    t = Tables(spark, d)
+    return Q.primary_key_report({"address": (D.address(t), ["address_detail_pid"]),
+                                 "street_locality": (D.street_locality(t), ["street_locality_pid"]),
+                                 "suburb_postcode": (D.suburb_postcode(t), ["locality_name", "postcode"])})
+
+
+@register("q2_orphans", sql("""SELECT 'address.street_locality_pid' AS fk_name, count(*) AS orphan_rows FROM address a
+ WHERE a.street_locality_pid IS NOT NULL AND NOT EXISTS (SELECT 1 FROM street_locality s WHERE s.street_locality_pid = a.street_locality_pid)
+UNION ALL SELECT 'address.locality_pid', count(*) FROM address a
+ WHERE a.locality_pid IS NOT NULL AND NOT EXISTS (SELECT 1 FROM locality l WHERE l.locality_pid = a.locality_pid)
+UNION ALL SELECT 'street_locality.locality_pid', count(*) FROM street_locality a
+ WHERE a.locality_pid IS NOT NULL AND NOT EXISTS (SELECT 1 FROM locality l WHERE l.locality_pid = a.locality_pid)
+UNION ALL SELECT 'locality.state_pid', count(*) FROM locality a
+ WHERE a.state_pid IS NOT NULL AND NOT EXISTS (SELECT 1 FROM state s WHERE s.state_pid = a.state_pid)""",
+                            "address", "street_locality", "locality", "state"))
+def q2_orphans(spark, d):
+    t = Tables(spark, d)
+    a, s, l, st = D.address(t), D.street_locality(t), D.locality(t), D.state(t)
+    return Q.orphan_report([("address.street_locality_pid", a, "street_locality_pid", s, "street_locality_pid"),
+                            ("address.locality_pid", a, "locality_pid", l, "locality_pid"),
+                            ("street_locality.locality_pid", s, "locality_pid", l, "locality_pid"),
+                            ("locality.state_pid", l, "state_pid", st, "state_pid")])
+
+
+@register("q3_postcode_format", sql("""SELECT (SELECT count(*) FROM address WHERE postcode IS NOT NULL AND NOT regexp_full_match(postcode, '[0-9]{4}')) AS bad_postcodes,
+ (SELECT count(*) FROM address WHERE postcode IS NULL) AS null_postcodes, (SELECT count(*) FROM address WHERE locality_pid IS NULL) AS null_suburbs,
+ (SELECT count(*) FROM (SELECT locality_pid, postcode FROM address GROUP BY 1, 2 HAVING count(*) > 1) x) AS duplicate_pairs""", "address"))
+def q3_postcode_format(spark, d):
+    return Q.postcode_format_report(D.address(Tables(spark, d)), "postcode", "locality_pid")
+
+
+@register("q4_column_population", sql("""SELECT column_name, populated, total FROM (
+ SELECT 'engagement' AS column_name, count(engagement) AS populated, count(*) AS total FROM bob
+ UNION ALL SELECT 'nui_etd', count(nui_etd), count(*) FROM bob
+ UNION ALL SELECT 'engagement_manager', count(engagement_manager), count(*) FROM bob
+ UNION ALL SELECT 'engagement_status', count(engagement_status), count(*) FROM bob) x""", "bob"))
+def q4_column_population(spark, d):
+    return Q.column_population(D.bob(Tables(spark, d)))
