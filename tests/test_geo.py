@@ -45,6 +45,9 @@ def test_point_in_polygon_edges_holes_multipart(spark):
                                 "name string, x double, y double")
     got = {r.name for r in pts.crossJoin(poly).filter(G.point_in_polygon(F.col("rings"), F.col("x"), F.col("y"))).collect()}
     assert got == {"in", "part2"}
+    # The edge-band plan gives the same answer on the same edge cases.
+    joined = S.points_in_polygons(pts, poly, "id", size=1.0, lon="x", lat="y", point_id="name")
+    assert {r.name for r in joined.collect()} == {"in", "part2"}
 
 
 def test_grid_pip_equals_brute_force(spark):
@@ -54,7 +57,9 @@ def test_grid_pip_equals_brute_force(spark):
     tri = [(0.005, 0.005), (0.09, 0.02), (0.04, 0.08), (0.005, 0.005)]
     poly = _poly(spark, [tri]).withColumnRenamed("id", "pid")
     p = spark.createDataFrame(pts, "id int, lon double, lat double")
-    grid = {r.id for r in S.points_in_polygons(p, poly, "pid", size=0.01).collect()}
+    grid = {r.id for r in S.points_in_polygons(p, poly, "pid", size=0.01, point_id="id").collect()}
+    rings = {r.id for r in S.points_in_polygons(p, poly, "pid", size=0.01, method="rings").collect()}
+    assert grid == rings
     brute = {r.id for r in p.crossJoin(poly).filter(G.point_in_polygon(F.col("rings"), F.col("lon"), F.col("lat"))).collect()}
     assert grid == brute and len(grid) > 50
 

@@ -37,7 +37,7 @@ def _psql(body: str, *more: str, extra: dict | None = None) -> str:
 def mapping(t: Tables):
     """Address-catchment mapping (the materialised view of the reference)."""
     pts = A.active(D.address(t), "date_retired").select("address_detail_pid", "lon", "lat")
-    return S.points_in_polygons(pts, D.catchment_polygons(t), "school_id", CELL)
+    return S.points_in_polygons(pts, D.catchment_polygons(t), "school_id", CELL, point_id="address_detail_pid")
 
 
 @register("j15_address_catchment", _psql("SELECT address_detail_pid, school_id, school_type FROM mapping"))
@@ -119,7 +119,7 @@ def j16_addresses_of_named_catchment(spark, d):
     names = D.school_catchment_name(t).filter(F.upper("school_name").like(f"%{NAMED_CATCHMENT}%")).select("school_id")
     polys = D.catchment_polygons(t).join(names, "school_id", "left_semi")
     pts = A.active(D.address(t), "date_retired").select("address_detail_pid", "lon", "lat")
-    return S.points_in_polygons(pts, polys, "school_id", CELL).select("address_detail_pid", "school_id")
+    return S.points_in_polygons(pts, polys, "school_id", CELL, point_id="address_detail_pid").select("address_detail_pid", "school_id")
 
 
 _SCHOOL_PIP = """SELECT p.acara_sml_id, p.school_id, p.school_type FROM (
@@ -135,7 +135,7 @@ HAVING sum(CASE WHEN ((e.ay > p.lat) <> (e.by > p.lat)) AND (p.lon < (e.bx - e.a
 def j17_catchments_of_school_points(spark, d):
     t = Tables(spark, d)
     pts = D.school_profile(t).select("acara_sml_id", F.col("longitude").alias("lon"), F.col("latitude").alias("lat"))
-    return (S.points_in_polygons(pts, D.catchment_polygons(t), "school_id", CELL)
+    return (S.points_in_polygons(pts, D.catchment_polygons(t), "school_id", CELL, point_id="acara_sml_id")
              .select("acara_sml_id", "school_id", "school_type").distinct())
 
 
