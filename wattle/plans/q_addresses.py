@@ -270,3 +270,23 @@ def ag27_matching_suburb_count(spark, d):
     cond = (F.lit(suburb) == "") | (F.col("locality_name") == suburb)
     cond = cond & ((F.lit(postcode) == "") | (F.col("postcode") == postcode))
     return sp.filter(cond).agg(F.count_distinct("locality_name").alias("suburb_count"))
+
+
+@register("ag11_postcode_hull")
+def ag11_postcode_hull(spark, d):
+    """AG11 hull part (SP10): per postcode with more than 10 active addresses, the convex
+    hull's vertex count and area.  Rows-only check (no hull in the SQL oracle); the
+    hull itself is tested against a single-pass hull in tests/test_hull.py."""
+    from wattle.operators.hull import convex_hulls
+    a = A.active(D.address(Tables(spark, d)), "date_retired")
+    big = A.postcode_centroids(a).select("postcode")
+    h = convex_hulls(a.join(big, "postcode", "left_semi"), ["postcode"])
+    return h.select("postcode", "hull_vertices", F.round("hull_area_m2", 1).alias("hull_area_m2"))
+
+
+@register("ag12_suburb_hull_geojson")
+def ag12_suburb_hull_geojson(spark, d):
+    """AG12: each suburb's convex hull boundary as GeoJSON text."""
+    from wattle.operators.hull import convex_hulls, hull_geojson
+    s = star(Tables(spark, d)).filter(F.col("date_retired").isNull())
+    return hull_geojson(convex_hulls(s, ["locality_name"])).select("locality_name", "hull_vertices", "geojson")
