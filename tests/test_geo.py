@@ -97,3 +97,15 @@ def test_buffer_ring_and_mercator(spark):
     x, y = G.to_3857(F.lit(151.2), F.lit(-33.87))
     back = spark.range(1).select(*G.from_3857(x, y)).first()
     assert abs(back[0] - 151.2) < 1e-9 and abs(back[1] + 33.87) < 1e-9
+
+
+def test_boundary_distance_join_equals_brute_force(spark):
+    random.seed(5)
+    pts = spark.createDataFrame([(i, 151 + random.uniform(0, 0.05), -34 + random.uniform(0, 0.05)) for i in range(600)],
+                                "id int, lon double, lat double")
+    ring = [(151.01, -33.99), (151.04, -33.99), (151.04, -33.96), (151.01, -33.96), (151.01, -33.99)]
+    poly = _poly(spark, [ring]).withColumnRenamed("id", "pid")
+    grid = {r.id for r in S.near_polygon_boundary(pts, poly, "pid", 300.0, size=0.002).collect()}
+    dist = F.array_min(F.transform(F.col("rings"), lambda r: G.segment_distance_m(F.col("lon"), F.col("lat"), r)))
+    brute = {r.id for r in pts.crossJoin(poly).filter(dist <= 300.0).collect()}
+    assert grid == brute and grid

@@ -22,7 +22,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattle.functions.geo import EARTH_RADIUS_M, haversine_m, point_in_polygon, rings_bbox, square_cell, vincenty_m
+from wattle.functions.geo import (EARTH_RADIUS_M, haversine_m, point_in_polygon, rings_bbox, segment_distance_m,
+                                 square_cell, vincenty_m)
 
 
 def _cells(lo: Column, hi: Column, size: float) -> Column:
@@ -187,3 +188,30 @@ def nearest_neighbour(left: DataFrame, right: DataFrame, left_id: str, right_id:
     if report_metres:
         out = out.withColumn("distance_m", vincenty_m(F.col(left_lat), F.col(left_lon), F.col("_ry"), F.col("_rx")))
     return out.drop("_rx", "_ry")
+
+
+def near_polygon_boundary(points: DataFrame, polys: DataFrame, poly_id: str, meters: float, size: float = 0.01,
+                          lon: str = "lon", lat: str = "lat", rings: str = "rings") -> DataFrame:
+    """J20/SP9: (point, polygon) pairs whose distance to the polygon boundary is at most
+    ``meters`` (inside or outside), with ``boundary_m``.
+
+    Polygon boxes are grown by the distance before the cell explode, so the same
+    cell join finds the candidates; the exact distance is the minimum over the
+    ring edges in a local plane around the point.
+    """
+    dlat = math.degrees(meters / EARTH_RADIUS_M) * 1.000001
+    minx, miny, maxx, maxy = rings_bbox(rings)
+    b = polys.select(poly_id, minx.alias("minx"), miny.alias("miny"), maxx.alias("maxx"), maxy.alias("maxy"))
+    dlon = F.lit(dlat) / F.cos(F.radians(F.least(F.lit(89.9), F.greatest(F.abs("miny"), F.abs("maxy")) + F.lit(dlat))))
+    b = b.select(poly_id, (F.col("minx") - dlon).alias("minx"), (F.col("miny") - dlat).alias("miny"),
+                 (F.col("maxx") + dlon).alias("maxx"), (F.col("maxy") + dlat).alias("maxy"))
+    cells = (b.withColumn("_cx", F.explode(_cells(F.col("minx"), F.col("maxx"), size)))
+              .withColumn("_cy", F.explode(_cells(F.col("miny"), F.col("maxy"), size))))
+    pts = (points.filter(F.col(lon).isNotNull() & F.col(lat).isNotNull())
+                 .withColumn("_cx", square_cell(lon, size)).withColumn("_cy", square_cell(lat, size)))
+    cand = (pts.join(cells, ["_cx", "_cy"])
+               .filter(F.col(lon).between(F.col("minx"), F.col("maxx")) & F.col(lat).between(F.col("miny"), F.col("maxy")))
+               .drop("_cx", "_cy", "minx", "miny", "maxx", "maxy"))
+    j = cand.join(polys.select(poly_id, rings), poly_id)
+    dist = F.array_min(F.transform(F.col(rings), lambda r: segment_distance_m(F.col(lon), F.col(lat), r)))
+    return j.withColumn("boundary_m", dist).filter(F.col("boundary_m") <= F.lit(float(meters))).drop(rings)

@@ -281,3 +281,68 @@ def sp16_ring_validity(spark, d):
     c = D.catchment_polygons(Tables(spark, d))
     return c.agg(F.count(F.lit(1)).alias("polygons"),
                  F.count_if(F.forall("rings", lambda r: G.ring_is_valid(r))).alias("valid_rings"))
+
+
+@register("ag15_catchment_stats_per_type", _psql("""SELECT school_type, count(*) AS catchments, sum(n) AS total_addresses,
+ cast(floor(avg(n)) AS bigint) AS avg_addresses, max(n) AS max_addresses
+FROM (SELECT school_id, school_type, count(*) AS n FROM mapping GROUP BY school_id, school_type) x GROUP BY school_type"""))
+def ag15_catchment_stats_per_type(spark, d):
+    """AG14 (its evident intent: mapped addresses per catchment) rolled up per type (AG15)."""
+    per = mapping(Tables(spark, d)).groupBy("school_id", "school_type").agg(F.count(F.lit(1)).alias("n"))
+    return per.groupBy("school_type").agg(F.count(F.lit(1)).alias("catchments"), F.sum("n").alias("total_addresses"),
+                                          F.floor(F.avg("n")).cast("long").alias("avg_addresses"), F.max("n").alias("max_addresses"))
+
+
+_STREETS_SQL = """SELECT DISTINCT m.school_id, m.school_type, sl.street_name, st.name AS street_type, l.locality_name, a.postcode
+FROM mapping m JOIN address a ON a.address_detail_pid = m.address_detail_pid
+JOIN street_locality sl ON sl.street_locality_pid = a.street_locality_pid LEFT JOIN street_type_aut st ON st.code = sl.street_type_code
+JOIN locality l ON l.locality_pid = a.locality_pid"""
+
+
+def catchment_streets(t: Tables):
+    """The distinct streets (with suburb and postcode) of every catchment."""
+    m = mapping(t).select("address_detail_pid", "school_id", "school_type")
+    a = D.address(t).select("address_detail_pid", "street_locality_pid", "locality_pid", "postcode")
+    sl = D.street_locality(t).select("street_locality_pid", "street_name", "street_type_code")
+    st = D.street_type_aut(t).select(F.col("code").alias("street_type_code"), F.col("name").alias("street_type"))
+    loc = D.locality(t).select("locality_pid", "locality_name")
+    j = (m.join(a, "address_detail_pid").join(sl, "street_locality_pid")
+          .join(F.broadcast(st), "street_type_code", "left").join(loc, "locality_pid"))
+    return j.select("school_id", "school_type", "street_name", "street_type", "locality_name", "postcode").distinct()
+
+
+@register("j24_catchment_streets", _psql(_STREETS_SQL, "street_locality", "street_type_aut", "locality"))
+def j24_catchment_streets(spark, d):
+    return catchment_streets(Tables(spark, d))
+
+
+CATCHMENT_FOR_STREETS, STREET_PREFIX = 7, "NAME 1"
+
+
+@register("o6_catchment_street_autocomplete", _psql(f"""SELECT DISTINCT street_name, street_type FROM streets
+WHERE school_id = {CATCHMENT_FOR_STREETS} AND upper(street_name) LIKE '{STREET_PREFIX}%' ORDER BY street_name, street_type LIMIT 20""",
+                                                    "street_locality", "street_type_aut", "locality", extra={"streets": _STREETS_SQL}))
+def o6_catchment_street_autocomplete(spark, d):
+    """O6 on the catchment-streets table: streets of one catchment by prefix, top 20."""
+    s = catchment_streets(Tables(spark, d)).filter(F.col("school_id") == CATCHMENT_FOR_STREETS)
+    return (s.filter(F.upper("street_name").like(f"{STREET_PREFIX}%")).select("street_name", "street_type").distinct()
+             .orderBy("street_name", "street_type").limit(20))
+
+
+@register("ag29_catchments_per_type", sql("""SELECT school_type, count(*) AS catchment_count FROM catchment GROUP BY school_type""", "catchment"))
+def ag29_catchments_per_type(spark, d):
+    """AG29/U1: catchment count per type table (the type tables are one union here)."""
+    return D.catchment(Tables(spark, d)).groupBy("school_type").agg(F.count(F.lit(1)).alias("catchment_count"))
+
+
+BOUNDARY_M = 150.0
+
+
+@register("j20_near_catchment_boundary")
+def j20_near_catchment_boundary(spark, d):
+    """Active addresses within 150 m of a catchment boundary (either side).
+    Rows-only check; the distance kernel is tested against brute force."""
+    t = Tables(spark, d)
+    pts = A.active(D.address(t), "date_retired").select("address_detail_pid", "lon", "lat")
+    near = S.near_polygon_boundary(pts, D.catchment_polygons(t), "school_id", BOUNDARY_M)
+    return near.select("address_detail_pid", "school_id", F.round("boundary_m", 1).alias("boundary_m"))
