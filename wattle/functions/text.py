@@ -251,3 +251,29 @@ def is_coordinate_like(c) -> Column:
     """Numeric text containing '.' with |value| <= 180 (e.g. '151.21' as a street name)."""
     v = F.trim(_s(c)).try_cast("double")
     return v.isNotNull() & _s(c).contains(".") & (F.abs(v) <= 180)
+
+
+def lot_address(c: dict) -> Column:
+    """A5: the catchment page's 17-part ``||`` chain (lot, flat, level, number, street).
+
+    ``c`` maps part names to columns (absent parts are null).  As in the
+    reference, the '-' before the last number appears only with a last-number
+    prefix, so ``number_last`` otherwise follows the first number directly.
+    """
+    def g(name):
+        v = c.get(name)
+        return _s(v) if v is not None else F.lit(None).cast("string")
+
+    def co(x, suffix):
+        return F.coalesce(F.concat(x, F.lit(suffix)), F.lit(""))
+
+    return F.concat(
+        co(g("lot_number_prefix"), " "), co(g("lot_number"), " "), co(g("lot_number_suffix"), " "),
+        co(g("flat_type"), " "), co(g("flat_number_prefix"), ""), co(g("flat_number"), ""),
+        co(g("flat_number_suffix"), " "), co(g("level_type_code"), " "), co(g("level_number_prefix"), ""),
+        co(g("level_number"), ""), co(g("level_number_suffix"), " "), co(g("number_first_prefix"), ""),
+        co(g("number_first"), ""), co(g("number_first_suffix"), ""),
+        F.coalesce(F.concat(F.lit("-"), g("number_last_prefix"), F.lit("")), F.lit("")),
+        co(g("number_last"), ""), co(g("number_last_suffix"), " "), co(g("street_name"), " "),
+        co(g("street_type"), " "),
+    )

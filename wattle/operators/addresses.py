@@ -251,3 +251,30 @@ def postcode_centroids(df: DataFrame, min_count: int = 10) -> DataFrame:
 def distinct_address_count(df: DataFrame) -> DataFrame:
     """AG26: pagination total - distinct addresses after the filters."""
     return df.agg(F.count_distinct("address_detail_pid").alias("total_count"))
+
+
+def global_statistics(localities: DataFrame, addresses: DataFrame, streets: DataFrame,
+                      with_refresh_time: bool = True) -> DataFrame:
+    """AG4: distinct active localities, addresses and streets (+ refresh time).
+
+    Three one-row aggregates are stacked and folded with ``max`` - an aggregate,
+    not a cross join of the three rows.
+    """
+    def one(df, key, name):
+        others = [n for n in ("total_localities", "total_addresses", "total_streets") if n != name]
+        return (df.filter(F.col("date_retired").isNull()).agg(F.count_distinct(key).alias(name))
+                  .select(name, *[F.lit(None).cast("long").alias(o) for o in others]))
+    u = one(localities, "locality_pid", "total_localities").unionByName(
+        one(addresses, "address_detail_pid", "total_addresses")).unionByName(
+        one(streets, "street_locality_pid", "total_streets"))
+    out = u.agg(*[F.max(c).alias(c) for c in ("total_localities", "total_addresses", "total_streets")])
+    return out.withColumn("last_refreshed", F.current_timestamp()) if with_refresh_time else out
+
+
+def street_type_autocomplete(streets: DataFrame, street_types: DataFrame, prefix: str, limit: int = 20) -> DataFrame:
+    """J8 + O6: active streets LEFT JOIN their type (a fixed code list, broadcast), by
+    case-insensitive prefix, distinct, ordered (name, then type for determinism)."""
+    st = F.broadcast(street_types.select(F.col("code").alias("street_type_code"), F.col("name").alias("street_type")))
+    j = streets.filter(F.col("date_retired").isNull()).join(st, "street_type_code", "left")
+    return (j.filter(T.istarts("street_name", prefix)).select("street_name", "street_type").distinct()
+             .orderBy("street_name", "street_type").limit(limit))

@@ -302,3 +302,51 @@ def coordinate_summary(df: DataFrame, by: str | None = None) -> DataFrame:
     aggs = [F.count(F.lit(1)).alias("total"), F.count_if(has).alias("with_coords"), F.count_if(~has).alias("without_coords")]
     g = df.groupBy(by).agg(*aggs) if by else df.agg(*aggs)
     return g.withColumn("pct_with", F.round(F.try_divide(F.col("with_coords") * F.lit(100.0), F.col("total")), 2))
+
+
+# ----------------------------------------------------------------------------- M2 / AG14 / AG19 / AG30 / D6
+def rebuild_geometry(profile: DataFrame, location: DataFrame, lookup: DataFrame, catchments: DataFrame) -> DataFrame:
+    """M2: coordinates refreshed from the location table (always overwritten, as the
+    migration does), then buffers and Y/N flags rebuilt from the new points."""
+    return school_geometry(fill_coordinates(profile, location, only_missing=False), lookup, catchments)
+
+
+def catchment_stats(catchments: DataFrame, names: DataFrame, mapping: DataFrame) -> DataFrame:
+    """AG14 (evident intent): per catchment its name, type, area-weighted centroid and the
+    number of addresses mapped to it (0 when none).  The mapping is pre-aggregated
+    before the join, so only one row per catchment meets the polygon table."""
+    counts = mapping.groupBy("school_id").agg(F.count(F.lit(1)).alias("address_count"))
+    c = catchments.select("school_id", "school_type", G.polygon_centroid("rings").alias("c"))
+    return (c.join(names.select("school_id", "school_name"), "school_id", "left").join(counts, "school_id", "left")
+             .select("school_id", "school_name", "school_type", F.col("c.x").alias("centroid_lon"),
+                     F.col("c.y").alias("centroid_lat"), F.coalesce("address_count", F.lit(0)).alias("address_count")))
+
+
+def year_flag_summary(tables: dict[str, tuple[DataFrame, str | None, str | None]], yes: str = "Y") -> DataFrame:
+    """AG19: per category (one table each): schools, and the sums of two chosen year
+    flags (0 when a category has no such flag)."""
+    parts = []
+    for cat, (df, f1, f2) in tables.items():
+        def s(f):
+            return F.sum(F.when(F.col(f) == yes, 1).otherwise(0)) if f else F.lit(0).cast("long")
+        parts.append(df.agg(F.lit(cat).alias("category"), F.count(F.lit(1)).alias("total_schools"),
+                            s(f1).alias("stat1"), s(f2).alias("stat2")))
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
+
+
+def catchment_rows(catchments: DataFrame) -> DataFrame:
+    """AG30: what the school page calls "address_count" - the number of catchment rows
+    carrying the school id."""
+    return catchments.groupBy("school_id").agg(F.count(F.lit(1)).alias("catchment_rows"))
+
+
+def first_lookup_per_school(lookup: DataFrame) -> DataFrame:
+    """D6 in batch form: for every school id, the lookup row with the smallest ACARA id
+    (the page's ``LIMIT 1``, made deterministic), via ``min(struct)``."""
+    best = (lookup.filter(F.col("school_id").isNotNull())
+                  .groupBy("school_id")
+                  .agg(F.min(F.struct("acara_sml_id", "profile_school_name", "icsea")).alias("b")))
+    return best.select("school_id", "b.acara_sml_id", "b.profile_school_name", "b.icsea")

@@ -88,3 +88,10 @@ def quota_decisions(log: DataFrame, user_limits: DataFrame) -> DataFrame:
                .when(F.col("_thr").isNull(), F.lit(True)) \
                .otherwise(key <= F.col("_thr"))
     return out.select("usage_id", "user_id", "month", "lim", allowed.alias("allowed"))
+
+
+def premium_users(state: DataFrame, tiers: DataFrame) -> DataFrame:
+    """users whose tier is 'Premium' and whose subscription is 'active'."""
+    j = state.join(tiers.select("tier_id", "tier_name"), "tier_id")
+    return j.filter((F.col("tier_name") == "Premium") & (F.col("subscription_status") == "active")) \
+            .select(F.col("customer_id").alias("user_id"), "tier_name", "subscription_status")

@@ -290,3 +290,57 @@ def ag12_suburb_hull_geojson(spark, d):
     from wattle.operators.hull import convex_hulls, hull_geojson
     s = star(Tables(spark, d)).filter(F.col("date_retired").isNull())
     return hull_geojson(convex_hulls(s, ["locality_name"])).select("locality_name", "hull_vertices", "geojson")
+
+
+@register("j8_street_type_autocomplete", sql("""SELECT DISTINCT sl.street_name, st.name AS street_type FROM street_locality sl
+LEFT JOIN street_type_aut st ON sl.street_type_code = st.code WHERE sl.date_retired IS NULL AND upper(sl.street_name) LIKE 'NAME 1%'
+ORDER BY street_name, street_type LIMIT 20""", "street_locality", "street_type_aut"))
+def j8_street_type_autocomplete(spark, d):
+    t = Tables(spark, d)
+    return A.street_type_autocomplete(D.street_locality(t), D.street_type_aut(t), "name 1")
+
+
+@register("ag4_global_stats", sql("""SELECT (SELECT count(DISTINCT locality_pid) FROM locality WHERE date_retired IS NULL) AS total_localities,
+ (SELECT count(DISTINCT address_detail_pid) FROM address WHERE date_retired IS NULL) AS total_addresses,
+ (SELECT count(DISTINCT street_locality_pid) FROM street_locality WHERE date_retired IS NULL) AS total_streets""",
+                                  "locality", "address", "street_locality"))
+def ag4_global_stats(spark, d):
+    t = Tables(spark, d)
+    return A.global_statistics(D.locality(t), D.address(t), D.street_locality(t), with_refresh_time=False)
+
+
+BOX = (151.1, -33.95, 151.15, -33.9)
+
+
+@register("f7_address_box", sql(f"""SELECT address_detail_pid, lon, lat FROM address WHERE date_retired IS NULL
+AND lon BETWEEN {BOX[0]} AND {BOX[2]} AND lat BETWEEN {BOX[1]} AND {BOX[3]}""", "address"))
+def f7_address_box(spark, d):
+    """a latitude/longitude box (two BETWEENs, pushed to the scan when lon/lat are stored columns)."""
+    a = A.active(D.address(Tables(spark, d)), "date_retired")
+    return a.filter(F.col("lon").between(BOX[0], BOX[2]) & F.col("lat").between(BOX[1], BOX[3])).select(
+        "address_detail_pid", "lon", "lat")
+
+
+@register("o4_street_addresses_numeric", sql("""SELECT address_detail_pid, cast(number_first AS integer) AS number_first, number_last
+FROM address WHERE street_locality_pid = 'ST7' AND date_retired IS NULL ORDER BY cast(number_first AS integer), address_detail_pid""", "address"))
+def o4_street_addresses_numeric(spark, d):
+    """F9 + O4: the addresses of one street, ordered by the house number as a number."""
+    a = A.active(D.address(Tables(spark, d)), "date_retired").filter(F.col("street_locality_pid") == "ST7")
+    return a.select("address_detail_pid", F.col("number_first").cast("int").alias("number_first"), "number_last") \
+            .orderBy("number_first", "address_detail_pid")
+
+
+@register("o7_suburbs_by_name", sql(f"""SELECT DISTINCT locality_name, postcode, state_name FROM suburb_postcode
+WHERE upper(locality_name) LIKE 'NATION{chr(92)}_1%' ESCAPE '{chr(92)}' ORDER BY locality_name, postcode, state_name LIMIT 50""", "suburb_postcode"))
+def o7_suburbs_by_name(spark, d):
+    """Suburbs by name prefix (case-insensitive, wildcards escaped), first 50."""
+    sp = D.suburb_postcode(Tables(spark, d))
+    return (sp.filter(T.istarts("locality_name", SUBURB_PREFIX)).distinct()
+              .orderBy("locality_name", "postcode", "state_name").limit(50))
+
+
+@register("o7_suburbs_by_state", sql("""SELECT DISTINCT locality_name, postcode FROM suburb_postcode WHERE state_name = 'ASIA'""", "suburb_postcode"))
+def o7_suburbs_by_state(spark, d):
+    """The suburbs of one state (the state-view form), ordered."""
+    sp = D.suburb_postcode(Tables(spark, d))
+    return sp.filter(F.col("state_name") == "ASIA").select("locality_name", "postcode").distinct().orderBy("locality_name", "postcode")

@@ -205,3 +205,10 @@ UNION ALL SELECT 0, seq, txt, '', '', '', '' FROM (
 def j5_wip_bob_reconciliation(spark, d):
     t = Tables(spark, d)
     return L.reconciliation(D.wip(t), L.prepare_book(D.bob(t)))
+
+
+@register("o5_top25_engagements", sql(_ENG_SQL.format(src=f"(SELECT * FROM wip WHERE {_FY})") + " ORDER BY ter DESC, engagement_id LIMIT 25", "wip"))
+def o5_top25_engagements(spark, d):
+    """The 25 engagements with the highest TER (the printed summary)."""
+    s = L.engagement_summary(_fy(Tables(spark, d)), order=False)
+    return s.orderBy(F.desc("ter"), "engagement_id").limit(25)

@@ -9,6 +9,7 @@ from wattle.operators import schools as SC
 from wattle.plans import domain as D
 from wattle.plans.oracle import sql
 from wattle.plans.registry import register
+from wattle.plans.q_spatial import PIP_SQL as _PIP_SQL
 from wattle.sources.tables import Tables
 
 T1_QUERY = "place1"
@@ -257,3 +258,57 @@ def sp12_school_geometry(spark, d):
     g = SC.school_geometry(D.school_profile(t), lookup(t), D.catchment_polygons(t))
     return g.select("acara_sml_id", "school_id", "has_catchment", "has_geom_buffer",
                     F.size(F.col("geom_buffer_5km")[0]).alias("buffer_vertices"))
+
+
+@register("d6_first_lookup_per_school", _lsql("""SELECT school_id, arg_min(acara_sml_id, acara_sml_id) AS acara_sml_id,
+ arg_min(profile_school_name, acara_sml_id) AS profile_school_name, arg_min(icsea, acara_sml_id) AS icsea
+FROM lookup WHERE school_id IS NOT NULL GROUP BY school_id"""))
+def d6_first_lookup_per_school(spark, d):
+    return SC.first_lookup_per_school(lookup(Tables(spark, d)))
+
+
+@register("f11_schools_by_sector", sql("""SELECT acara_sml_id, school_name, state FROM school_profile WHERE school_sector = 'Independent'
+ORDER BY school_name""", "school_profile"))
+def f11_schools_by_sector(spark, d):
+    """all schools of one sector (the documented browse-by-sector function)."""
+    p = D.school_profile(Tables(spark, d))
+    return p.filter(F.col("school_sector") == "Independent").select("acara_sml_id", "school_name", "state").orderBy("school_name")
+
+
+@register("m2_rebuild_geometry", _lsql("""SELECT p.acara_sml_id, k.school_id, coalesce(l.latitude, p.latitude) AS latitude, coalesce(l.longitude, p.longitude) AS longitude,
+ CASE WHEN c.school_id IS NOT NULL THEN 'Y' ELSE 'N' END AS has_catchment,
+ CASE WHEN coalesce(l.latitude, p.latitude) IS NOT NULL AND coalesce(l.longitude, p.longitude) IS NOT NULL THEN 'Y' ELSE 'N' END AS has_geom_buffer
+FROM school_profile p LEFT JOIN school_location l ON l.acara_sml_id = p.acara_sml_id
+LEFT JOIN lookup k ON k.acara_sml_id = p.acara_sml_id LEFT JOIN catchment c ON c.school_id = k.school_id""", "school_location", "catchment"))
+def m2_rebuild_geometry(spark, d):
+    t = Tables(spark, d)
+    g = SC.rebuild_geometry(D.school_profile(t), D.school_location(t), lookup(t), D.catchment_polygons(t))
+    return g.select("acara_sml_id", "school_id", "latitude", "longitude", "has_catchment", "has_geom_buffer")
+
+
+def _school_point_sql() -> str:
+    return """SELECT c.school_id, coalesce(lk.latitude, c.cy) AS slat, coalesce(lk.longitude, c.cx) AS slon FROM
+ (SELECT e.school_id, sum((e.ax + e.bx) * (e.ax * e.by - e.bx * e.ay)) / (3 * sum(e.ax * e.by - e.bx * e.ay)) AS cx,
+  sum((e.ay + e.by) * (e.ax * e.by - e.bx * e.ay)) / (3 * sum(e.ax * e.by - e.bx * e.ay)) AS cy FROM catchment_edge e GROUP BY e.school_id) c
+ LEFT JOIN (SELECT school_id, arg_min(latitude, acara_sml_id) AS latitude, arg_min(longitude, acara_sml_id) AS longitude
+            FROM lookup WHERE school_id IS NOT NULL GROUP BY school_id) lk ON lk.school_id = c.school_id"""
+
+
+@register("sp17_catchment_address_distance", _lsql(
+    "SELECT m.address_detail_pid, m.school_id, round(" +
+    "2 * 6371000e0 * atan2(sqrt(pow(sin((radians(a.lat) - radians(p.slat)) / 2), 2) + cos(radians(p.slat)) * cos(radians(a.lat)) * pow(sin((radians(a.lon) - radians(p.slon)) / 2), 2)), sqrt(1 - (pow(sin((radians(a.lat) - radians(p.slat)) / 2), 2) + cos(radians(p.slat)) * cos(radians(a.lat)) * pow(sin((radians(a.lon) - radians(p.slon)) / 2), 2))))"
+    + " / 1000e0, 2) AS distance_km FROM mapping m JOIN address a ON a.address_detail_pid = m.address_detail_pid JOIN spoint p ON p.school_id = m.school_id",
+    "address", "catchment_edge", extra={"mapping": _PIP_SQL, "spoint": _school_point_sql()}))
+def sp17_catchment_address_distance(spark, d):
+    """SP17 + J29: distance (km, 2 dp) from every mapped address to its school's point,
+    the point being the lookup's coordinates, else the catchment centroid."""
+    from wattle.plans.q_spatial import mapping
+    t = Tables(spark, d)
+    cent = D.catchment_polygons(t).select("school_id", G.polygon_centroid("rings").alias("c"))
+    lk = SC.first_lookup_per_school(lookup(t)).join(D.school_profile(t).select("acara_sml_id", "latitude", "longitude"),
+                                                    "acara_sml_id")
+    pt = cent.join(lk.select("school_id", "latitude", "longitude"), "school_id", "left").select(
+        "school_id", F.coalesce("latitude", "c.y").alias("slat"), F.coalesce("longitude", "c.x").alias("slon"))
+    m = mapping(t).select("address_detail_pid", "school_id", "lon", "lat").join(pt, "school_id")
+    return m.select("address_detail_pid", "school_id",
+                    F.round(G.haversine_m("slat", "slon", "lat", "lon") / 1000.0, 2).alias("distance_km"))

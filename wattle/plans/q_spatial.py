@@ -346,3 +346,143 @@ def j20_near_catchment_boundary(spark, d):
     pts = A.active(D.address(t), "date_retired").select("address_detail_pid", "lon", "lat")
     near = S.near_polygon_boundary(pts, D.catchment_polygons(t), "school_id", BOUNDARY_M)
     return near.select("address_detail_pid", "school_id", F.round("boundary_m", 1).alias("boundary_m"))
+
+
+# ----------------------------------------------------------------------------- radius page
+PAGE_KM, DISC_DEG, PAGE_SIZE = 5.0, 0.045, 100
+
+
+def _schools_and_addresses(t: Tables):
+    schools = D.school_profile(t).select("acara_sml_id", F.col("longitude").alias("lon"), F.col("latitude").alias("lat"))
+    addrs = A.active(D.address(t), "date_retired").select("address_detail_pid", F.col("lon").alias("r_lon"),
+                                                          F.col("lat").alias("r_lat"))
+    return schools, addrs
+
+
+_DISC_SQL = f"""SELECT s.acara_sml_id, a.address_detail_pid,
+ (a.lon - s.longitude) * (a.lon - s.longitude) + (a.lat - s.latitude) * (a.lat - s.latitude) AS d2,
+ round({hav_sql('s.latitude', 's.longitude', 'a.lat', 'a.lon')} / 1000e0, 2) AS distance_km
+FROM school_profile s JOIN address a ON a.date_retired IS NULL AND s.latitude IS NOT NULL
+ AND a.lat BETWEEN s.latitude - 0.05 AND s.latitude + 0.05 AND a.lon BETWEEN s.longitude - 0.05 AND s.longitude + 0.05
+WHERE (a.lon - s.longitude) * (a.lon - s.longitude) + (a.lat - s.latitude) * (a.lat - s.latitude) <= {DISC_DEG}e0 * {DISC_DEG}e0"""
+
+
+@register("o3_radius_page", sql(f"""SELECT acara_sml_id, address_detail_pid, distance_km, rank FROM (
+ SELECT *, row_number() OVER (PARTITION BY acara_sml_id ORDER BY d2, address_detail_pid) AS rank FROM disc WHERE distance_km <= {PAGE_KM}) x
+WHERE rank <= {PAGE_SIZE}""", "school_profile", "address", extra={"disc": _DISC_SQL}))
+def o3_radius_page(spark, d):
+    """O3 default mode: 5 km filter first, then the first page by KNN order, per school."""
+    schools, addrs = _schools_and_addresses(Tables(spark, d))
+    p = S.radius_page(schools, addrs, "acara_sml_id", "address_detail_pid", PAGE_KM, DISC_DEG, 1, PAGE_SIZE,
+                      faithful=False, metric="haversine")
+    return p.select("acara_sml_id", "address_detail_pid", "distance_km", "rank")
+
+
+@register("o3_radius_page_faithful", sql(f"""SELECT acara_sml_id, address_detail_pid, distance_km, rank FROM (
+ SELECT *, row_number() OVER (PARTITION BY acara_sml_id ORDER BY d2, address_detail_pid) AS rank FROM disc) x
+WHERE rank <= {PAGE_SIZE} AND distance_km <= {PAGE_KM}""", "school_profile", "address", extra={"disc": _DISC_SQL}))
+def o3_radius_page_faithful(spark, d):
+    """O3 faithful mode: page by KNN order inside the 0.045-degree disc, then drop rows
+    beyond 5 km (so pages can be short, as in the reference)."""
+    schools, addrs = _schools_and_addresses(Tables(spark, d))
+    p = S.radius_page(schools, addrs, "acara_sml_id", "address_detail_pid", PAGE_KM, DISC_DEG, 1, PAGE_SIZE,
+                      faithful=True, metric="haversine")
+    return p.select("acara_sml_id", "address_detail_pid", "distance_km", "rank")
+
+
+@register("ag26_disc_totals", sql(f"""SELECT acara_sml_id, count(*) AS disc_count, count(CASE WHEN distance_km <= {PAGE_KM} THEN 1 END) AS within_km_count
+FROM disc GROUP BY acara_sml_id""", "school_profile", "address", extra={"disc": _DISC_SQL}))
+def ag26_disc_totals(spark, d):
+    """AG26 trap made visible: the page total counts the 0.045-degree disc
+    (``disc_count``), not the addresses within 5 km (``within_km_count``)."""
+    schools, addrs = _schools_and_addresses(Tables(spark, d))
+    c = S.within_planar_disc(schools, addrs, DISC_DEG)
+    km = F.round(G.haversine_m("lat", "lon", "r_lat", "r_lon") / 1000.0, 2)
+    return c.groupBy("acara_sml_id").agg(F.count(F.lit(1)).alias("disc_count"),
+                                         F.count_if(km <= PAGE_KM).alias("within_km_count"))
+
+
+@register("sp6_within_500m_geodesic")
+def sp6_within_500m_geodesic(spark, d):
+    """SP6: addresses within 500 m of each school on the WGS84 spheroid (Vincenty) -
+    the reference's geography distance.  Rows-only check; tested against a
+    brute-force cross product in tests/test_more.py."""
+    schools, addrs = _schools_and_addresses(Tables(spark, d))
+    r = S.within_distance(schools, addrs, 500.0, metric="vincenty")
+    return r.select("acara_sml_id", "address_detail_pid", F.round("distance_m", 2).alias("distance_m"))
+
+
+# ----------------------------------------------------------------------------- corridor
+# The reference's example route (lon, lat).
+ROUTE = [(151.2100, -33.8700), (151.2150, -33.8650), (151.2200, -33.8600)]
+CORRIDOR_M = 100.0
+
+
+def _seg_sql(px: str, py: str) -> str:
+    kx = f"(pi() / 180 * 6371000e0) * cos(radians({py}))"
+    ky = "(pi() / 180 * 6371000e0)"
+    ax, ay = f"((e.x1 - {px}) * {kx})", f"((e.y1 - {py}) * {ky})"
+    bx, by = f"((e.x2 - {px}) * {kx})", f"((e.y2 - {py}) * {ky})"
+    dx, dy = f"({bx} - {ax})", f"({by} - {ay})"
+    len2 = f"({dx} * {dx} + {dy} * {dy})"
+    tt = f"(CASE WHEN {len2} = 0 THEN 0e0 ELSE least(1e0, greatest(0e0, -({ax} * {dx} + {ay} * {dy}) / {len2})) END)"
+    qx, qy = f"({ax} + {tt} * {dx})", f"({ay} + {tt} * {dy})"
+    return f"sqrt({qx} * {qx} + {qy} * {qy})"
+
+
+_ROUTE_EDGES = "SELECT * FROM (VALUES " + ", ".join(
+    f"({ROUTE[i][0]}e0, {ROUTE[i][1]}e0, {ROUTE[i + 1][0]}e0, {ROUTE[i + 1][1]}e0)" for i in range(len(ROUTE) - 1)) + \
+    ") AS t(x1, y1, x2, y2)"
+
+
+@register("j23_route_corridor", sql(f"""SELECT address_detail_pid, round(min({_seg_sql('a.lon', 'a.lat')}), 3) AS distance_m
+FROM address a, route_edges e WHERE a.date_retired IS NULL GROUP BY address_detail_pid HAVING min({_seg_sql('a.lon', 'a.lat')}) <= {CORRIDOR_M}""",
+                                    "address", extra={"route_edges": _ROUTE_EDGES}))
+def j23_route_corridor(spark, d):
+    """Active addresses within 100 m of a route polyline, with the distance."""
+    t = Tables(spark, d)
+    route = spark.createDataFrame([(1, [{"x": x, "y": y} for x, y in ROUTE])], "route_id int, path array<struct<x:double,y:double>>")
+    pts = A.active(D.address(t), "date_retired").select("address_detail_pid", "lon", "lat")
+    near = S.near_polyline(pts, route, "route_id", CORRIDOR_M)
+    return near.select("address_detail_pid", F.round("distance_m", 3).alias("distance_m"))
+
+
+# ----------------------------------------------------------------------------- catchment page text, stats
+@register("a5_catchment_page_address", _psql("""SELECT m.address_detail_pid, m.school_id,
+ coalesce(cast(a.flat_number AS varchar) || '', '') || coalesce(cast(a.number_first AS varchar) || '', '') || coalesce('-' || NULL || '', '')
+ || coalesce(cast(a.number_last AS varchar) || '', '') || coalesce(sl.street_name || ' ', '') || coalesce(st.name || ' ', '') AS full_address
+FROM mapping m JOIN address a ON a.address_detail_pid = m.address_detail_pid
+JOIN street_locality sl ON a.street_locality_pid = sl.street_locality_pid JOIN locality l ON sl.locality_pid = l.locality_pid
+JOIN state s ON l.state_pid = s.state_pid LEFT JOIN street_type_aut st ON sl.street_type_code = st.code
+WHERE a.date_retired IS NULL AND sl.date_retired IS NULL AND l.date_retired IS NULL""", "street_locality", "locality", "state", "street_type_aut"))
+def a5_catchment_page_address(spark, d):
+    """A5 + J7: the catchment page's address text for every mapped active address
+    (inner star through the street, active streets and localities only)."""
+    from wattle.functions.text import lot_address
+    t = Tables(spark, d)
+    s = A.star(D.address(t), D.street_locality(t), D.street_type_aut(t), D.locality(t), D.state(t),
+               inner=True, locality_via_street=True)
+    s = A.active(s, "date_retired", "street_date_retired", "locality_date_retired")
+    parts = {c: F.col(c) for c in ("flat_number", "number_first", "number_last", "street_name", "street_type")}
+    j = mapping(t).select("address_detail_pid", "school_id").join(s, "address_detail_pid")
+    return j.select("address_detail_pid", "school_id", lot_address(parts).alias("full_address"))
+
+
+@register("ag14_catchment_stats", _psql("""SELECT c.school_id, n.school_name, k.school_type, round(c.cx, 9) AS centroid_lon, round(c.cy, 9) AS centroid_lat,
+ coalesce(m.n, 0) AS address_count
+FROM (SELECT e.school_id, sum((e.ax + e.bx) * (e.ax * e.by - e.bx * e.ay)) / (3 * sum(e.ax * e.by - e.bx * e.ay)) AS cx,
+  sum((e.ay + e.by) * (e.ax * e.by - e.bx * e.ay)) / (3 * sum(e.ax * e.by - e.bx * e.ay)) AS cy FROM catchment_edge e GROUP BY e.school_id) c
+JOIN catchment k ON k.school_id = c.school_id LEFT JOIN school_catchment_name n ON n.school_id = c.school_id
+LEFT JOIN (SELECT school_id, count(*) AS n FROM mapping GROUP BY school_id) m ON m.school_id = c.school_id""", "school_catchment_name"))
+def ag14_catchment_stats(spark, d):
+    from wattle.operators.schools import catchment_stats
+    t = Tables(spark, d)
+    s = catchment_stats(D.catchment_polygons(t), D.school_catchment_name(t), mapping(t))
+    return s.select("school_id", "school_name", "school_type", F.round("centroid_lon", 9).alias("centroid_lon"),
+                    F.round("centroid_lat", 9).alias("centroid_lat"), "address_count")
+
+
+@register("ag30_catchment_rows", sql("""SELECT school_id, count(*) AS catchment_rows FROM catchment GROUP BY school_id""", "catchment"))
+def ag30_catchment_rows(spark, d):
+    from wattle.operators.schools import catchment_rows
+    return catchment_rows(D.catchment(Tables(spark, d)))

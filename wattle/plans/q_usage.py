@@ -43,3 +43,11 @@ def n1_quota_decisions(spark, d):
     limits = (st.select(F.col("customer_id").alias("user_id"), F.coalesce("tier_id", F.lit(1)).alias("tier_id"))
                 .join(F.broadcast(tiers), "tier_id").select("user_id", "searches_per_month"))
     return U.quota_decisions(D.usage_log(t), limits)
+
+
+@register("f10_premium_users", sql("""SELECT s.customer_id AS user_id, t.tier_name, s.subscription_status FROM st s
+JOIN (SELECT * FROM (VALUES (1, 'Free'), (2, 'Premium')) AS t(tier_id, tier_name)) t ON t.tier_id = s.tier_id
+WHERE t.tier_name = 'Premium' AND s.subscription_status = 'active'""", "subscription_event", extra={"st": _STATE_SQL}))
+def f10_premium_users(spark, d):
+    t = Tables(spark, d)
+    return U.premium_users(U.subscription_state(D.subscription_event(t)), U.tiers_table(spark))
