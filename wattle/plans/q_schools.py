@@ -214,7 +214,17 @@ def t4_name_search(spark, d):
     return SC.name_search(lookup(Tables(spark, d)), T4_QUERY, T4_STATE)
 
 
-@register("t3_token_search")
+def _tokens_sql(expr: str) -> str:
+    stops = "[" + ", ".join(f"'{w}'" for w in SC.STOP_WORDS) + "]"
+    stem = ("CASE WHEN t LIKE '%ies' AND length(t) > 4 THEN substr(t, 1, length(t) - 3) || 'y' "
+            "WHEN t LIKE '%sses' THEN substr(t, 1, length(t) - 2) "
+            "WHEN t LIKE '%s' AND NOT t LIKE '%ss' AND length(t) > 3 THEN substr(t, 1, length(t) - 1) ELSE t END")
+    return (f"list_distinct(list_transform(list_filter(string_split_regex(lower({expr}), '[^a-z0-9]+'), "
+            f"lambda t: t <> '' AND NOT list_contains({stops}, t)), lambda t: {stem}))")
+
+
+@register("t3_token_search", sql(f"""SELECT acara_sml_id, school_name FROM school_profile
+WHERE len({_tokens_sql(repr(T3_QUERY))}) > 0 AND list_has_all({_tokens_sql('school_name')}, {_tokens_sql(repr(T3_QUERY))})""", "school_profile"))
 def t3_token_search(spark, d):
     """Schools whose name tokens (stop words out, light stemming) hold every query token."""
     p = D.school_profile(Tables(spark, d))

@@ -338,10 +338,16 @@ def ag29_catchments_per_type(spark, d):
 BOUNDARY_M = 150.0
 
 
-@register("j20_near_catchment_boundary")
+def _j20_sql() -> str:
+    dist = _seg_sql("a.lon", "a.lat", "e.ax", "e.ay", "e.bx", "e.by")
+    return sql(f"""SELECT a.address_detail_pid, e.school_id, round(min({dist}), 1) AS boundary_m
+FROM address a JOIN catchment_edge e ON a.date_retired IS NULL
+ AND a.lon BETWEEN least(e.ax, e.bx) - 0.01 AND greatest(e.ax, e.bx) + 0.01 AND a.lat BETWEEN least(e.ay, e.by) - 0.01 AND greatest(e.ay, e.by) + 0.01
+GROUP BY a.address_detail_pid, e.school_id HAVING min({dist}) <= {BOUNDARY_M}""", "address", "catchment_edge")
+
+
 def j20_near_catchment_boundary(spark, d):
-    """Active addresses within 150 m of a catchment boundary (either side).
-    Rows-only check; the distance kernel is tested against brute force."""
+    """Active addresses within 150 m of a catchment boundary (either side)."""
     t = Tables(spark, d)
     pts = A.active(D.address(t), "date_retired").select("address_detail_pid", "lon", "lat")
     near = S.near_polygon_boundary(pts, D.catchment_polygons(t), "school_id", BOUNDARY_M)
@@ -402,11 +408,70 @@ def ag26_disc_totals(spark, d):
                                          F.count_if(km <= PAGE_KM).alias("within_km_count"))
 
 
-@register("sp6_within_500m_geodesic")
+def _num(x: float) -> str:
+    r = repr(float(x))
+    return r if "e" in r else r + "e0"
+
+
+def vincenty_sql(src: str, lat1: str, lon1: str, lat2: str, lon2: str, steps: int = 6) -> tuple[dict, str]:
+    """The Vincenty expression of ``wattle.functions.geo.vincenty_m`` as a chain of SQL
+    stages with the same operations in the same order (for the DuckDB oracle).
+    Returns (CTEs, name of the last stage, which has column ``vd``)."""
+    a, b, f = G.WGS84_A, G.WGS84_B, G.WGS84_F
+    ctes = {"v0": f"""SELECT *, atan({_num(1 - f)} * tan(radians({lat1}))) AS u1, atan({_num(1 - f)} * tan(radians({lat2}))) AS u2,
+ radians({lon2}) - radians({lon1}) AS vl FROM {src}""",
+            "v1": "SELECT *, sin(u1) AS su1, cos(u1) AS cu1, sin(u2) AS su2, cos(u2) AS cu2, vl AS lam0 FROM v0"}
+    prev = "v1"
+
+    def terms(lam: str) -> str:
+        return (f"SELECT *, sin({lam}) AS sl, cos({lam}) AS cl FROM {{p}}",
+                "SELECT *, sqrt(pow(cu2 * sl, 2) + pow(cu1 * su2 - su1 * cu2 * cl, 2)) AS ss, su1 * su2 + cu1 * cu2 * cl AS cs FROM {p}",
+                "SELECT *, CASE WHEN ss = 0 THEN 0e0 ELSE cu1 * cu2 * sl / ss END AS sa, atan2(ss, cs) AS sig FROM {p}",
+                "SELECT *, 1e0 - sa * sa AS c2a FROM {p}",
+                "SELECT *, CASE WHEN c2a = 0 THEN 0e0 ELSE cs - 2e0 * su1 * su2 / c2a END AS c2sm, "
+                f"{_num(f / 16)} * c2a * (4e0 + {_num(f)} * (4e0 - 3e0 * c2a)) AS cc FROM {{p}}")
+
+    n = 0
+    for i in range(steps + 1):
+        lam = f"lam{i}"
+        for tmpl in terms(lam):
+            n += 1
+            name = f"vs{n}"
+            ctes[name] = tmpl.format(p=prev)
+            prev = name
+        if i < steps:
+            n += 1
+            name = f"vs{n}"
+            ctes[name] = (f"SELECT * EXCLUDE (sl, cl, ss, cs, sa, sig, c2a, c2sm, cc), vl + (1e0 - cc) * {_num(f)} * sa * "
+                          f"(sig + cc * ss * (c2sm + cc * cs * (-1e0 + 2e0 * c2sm * c2sm))) AS lam{i + 1} FROM {prev}")
+            prev = name
+    n += 1
+    ctes[f"vs{n}"] = f"SELECT *, c2a * {_num((a * a - b * b) / (b * b))} AS usq FROM {prev}"
+    prev = f"vs{n}"
+    n += 1
+    ctes[f"vs{n}"] = (f"SELECT *, 1e0 + usq / 16384 * (4096e0 + usq * (-768e0 + usq * (320e0 - 175e0 * usq))) AS aa, "
+                      f"usq / 1024 * (256e0 + usq * (-128e0 + usq * (74e0 - 47e0 * usq))) AS bb FROM {prev}")
+    prev = f"vs{n}"
+    n += 1
+    ctes[f"vs{n}"] = (f"SELECT *, bb * ss * (c2sm + bb / 4 * (cs * (-1e0 + 2e0 * c2sm * c2sm) - bb / 6 * c2sm * (-3e0 + 4e0 * ss * ss) "
+                      f"* (-3e0 + 4e0 * c2sm * c2sm))) AS ds FROM {prev}")
+    prev = f"vs{n}"
+    n += 1
+    ctes[f"vs{n}"] = f"SELECT *, CASE WHEN ss = 0 THEN 0e0 ELSE {_num(b)} * aa * (sig - ds) END AS vd FROM {prev}"
+    return ctes, f"vs{n}"
+
+
+_SP6_CTES, _SP6_LAST = vincenty_sql("pairs", "slat", "slon", "alat", "alon")
+
+
+@register("sp6_within_500m_geodesic", sql(f"""SELECT acara_sml_id, address_detail_pid, round(vd, 2) AS distance_m FROM {_SP6_LAST} WHERE vd <= 500""",
+                                          "school_profile", "address", extra={"pairs": """SELECT s.acara_sml_id, a.address_detail_pid,
+ s.latitude AS slat, s.longitude AS slon, a.lat AS alat, a.lon AS alon FROM school_profile s JOIN address a ON a.date_retired IS NULL
+ AND s.latitude IS NOT NULL AND a.lat BETWEEN s.latitude - 0.006 AND s.latitude + 0.006 AND a.lon BETWEEN s.longitude - 0.008 AND s.longitude + 0.008""",
+                                                                              **_SP6_CTES}))
 def sp6_within_500m_geodesic(spark, d):
     """SP6: addresses within 500 m of each school on the WGS84 spheroid (Vincenty) -
-    the reference's geography distance.  Rows-only check; tested against a
-    brute-force cross product in tests/test_more.py."""
+    the reference's geography distance."""
     schools, addrs = _schools_and_addresses(Tables(spark, d))
     r = S.within_distance(schools, addrs, 500.0, metric="vincenty")
     return r.select("acara_sml_id", "address_detail_pid", F.round("distance_m", 2).alias("distance_m"))
@@ -418,11 +483,11 @@ ROUTE = [(151.2100, -33.8700), (151.2150, -33.8650), (151.2200, -33.8600)]
 CORRIDOR_M = 100.0
 
 
-def _seg_sql(px: str, py: str) -> str:
+def _seg_sql(px: str, py: str, x1: str = "e.x1", y1: str = "e.y1", x2: str = "e.x2", y2: str = "e.y2") -> str:
     kx = f"(pi() / 180 * 6371000e0) * cos(radians({py}))"
     ky = "(pi() / 180 * 6371000e0)"
-    ax, ay = f"((e.x1 - {px}) * {kx})", f"((e.y1 - {py}) * {ky})"
-    bx, by = f"((e.x2 - {px}) * {kx})", f"((e.y2 - {py}) * {ky})"
+    ax, ay = f"(({x1} - {px}) * {kx})", f"(({y1} - {py}) * {ky})"
+    bx, by = f"(({x2} - {px}) * {kx})", f"(({y2} - {py}) * {ky})"
     dx, dy = f"({bx} - {ax})", f"({by} - {ay})"
     len2 = f"({dx} * {dx} + {dy} * {dy})"
     tt = f"(CASE WHEN {len2} = 0 THEN 0e0 ELSE least(1e0, greatest(0e0, -({ax} * {dx} + {ay} * {dy}) / {len2})) END)"
@@ -486,3 +551,6 @@ def ag14_catchment_stats(spark, d):
 def ag30_catchment_rows(spark, d):
     from wattle.operators.schools import catchment_rows
     return catchment_rows(D.catchment(Tables(spark, d)))
+
+
+register("j20_near_catchment_boundary", _j20_sql())(j20_near_catchment_boundary)
