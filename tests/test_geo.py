@@ -109,3 +109,13 @@ def test_boundary_distance_join_equals_brute_force(spark):
     dist = F.array_min(F.transform(F.col("rings"), lambda r: G.segment_distance_m(F.col("lon"), F.col("lat"), r)))
     brute = {r.id for r in pts.crossJoin(poly).filter(dist <= 300.0).collect()}
     assert grid == brute and grid
+
+
+def test_staged_vincenty_equals_expression_form(spark):
+    random.seed(21)
+    rows = [(151 + random.uniform(-1, 1), -34 + random.uniform(-1, 1), 151 + random.uniform(-1, 1), -34 + random.uniform(-1, 1))
+            for _ in range(200)] + [(151.0, -34.0, 151.0, -34.0), (None, -34.0, 151.0, -34.0)]
+    df = spark.createDataFrame(rows, "lon1 double, lat1 double, lon2 double, lat2 double")
+    a = G.with_vincenty(df.withColumn("e", G.vincenty_m("lat1", "lon1", "lat2", "lon2")), "lat1", "lon1", "lat2", "lon2", "s")
+    for r in a.collect():
+        assert (r.e is None and r.s is None) or abs(r.e - r.s) < 1e-6

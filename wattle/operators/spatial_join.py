@@ -23,7 +23,12 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattle.functions.geo import (EARTH_RADIUS_M, haversine_m, point_in_polygon, rings_bbox, segment_distance_m,
-                                 square_cell, vincenty_m)
+                                 square_cell, vincenty_m, with_vincenty)
+
+# The sphere (R = 6371 km) and the WGS84 geodesic differ by well under 1 %, so a
+# haversine distance outside [0.99, 1.01] x limit decides a geodesic radius test
+# without evaluating Vincenty.
+_SPHEROID_SLACK = 0.01
 
 
 def _cells(lo: Column, hi: Column, size: float) -> Column:
@@ -126,9 +131,15 @@ def within_distance(left: DataFrame, right: DataFrame, meters: float, size: floa
     j = (l.join(r, ["_cx", "_cy"])
           .filter(F.col(right_lon).between(F.col("_minx"), F.col("_maxx")) &
                   F.col(right_lat).between(F.col("_miny"), F.col("_maxy"))))
-    dist = (vincenty_m if spheroid else haversine_m)(F.col(left_lat), F.col(left_lon), F.col(right_lat), F.col(right_lon))
-    return (j.withColumn(distance_col, dist).filter(F.col(distance_col) <= F.lit(float(meters)))
-             .drop("_cx", "_cy", "_minx", "_maxx", "_miny", "_maxy"))
+    hav = haversine_m(F.col(left_lat), F.col(left_lon), F.col(right_lat), F.col(right_lon))
+    j = j.drop("_cx", "_cy", "_minx", "_maxx", "_miny", "_maxy")
+    if not spheroid:
+        return j.withColumn(distance_col, hav).filter(F.col(distance_col) <= F.lit(float(meters)))
+    m = float(meters)
+    inside = (F.when(hav <= F.lit(m * (1 - _SPHEROID_SLACK)), F.lit(True))
+               .when(hav > F.lit(m * (1 + _SPHEROID_SLACK)), F.lit(False))
+               .otherwise(vincenty_m(F.col(left_lat), F.col(left_lon), F.col(right_lat), F.col(right_lon)) <= F.lit(m)))
+    return with_vincenty(j.filter(inside), left_lat, left_lon, right_lat, right_lon, distance_col)
 
 
 def nearest_neighbour(left: DataFrame, right: DataFrame, left_id: str, right_id: str, size: float = 0.01,
@@ -186,35 +197,62 @@ def nearest_neighbour(left: DataFrame, right: DataFrame, left_id: str, right_id:
     for d in done[1:]:
         out = out.unionByName(d)
     if report_metres:
-        out = out.withColumn("distance_m", vincenty_m(F.col(left_lat), F.col(left_lon), F.col("_ry"), F.col("_rx")))
+        out = with_vincenty(out, left_lat, left_lon, "_ry", "_rx", "distance_m")
     return out.drop("_rx", "_ry")
 
 
-def near_polygon_boundary(points: DataFrame, polys: DataFrame, poly_id: str, meters: float, size: float = 0.01,
-                          lon: str = "lon", lat: str = "lat", rings: str = "rings") -> DataFrame:
+def near_polygon_boundary(points: DataFrame, polys: DataFrame, poly_id: str, meters: float, size: float | None = None,
+                          lon: str = "lon", lat: str = "lat", rings: str = "rings", point_id: str | None = None) -> DataFrame:
     """J20/SP9: (point, polygon) pairs whose distance to the polygon boundary is at most
     ``meters`` (inside or outside), with ``boundary_m``.
 
-    Polygon boxes are grown by the distance before the cell explode, so the same
-    cell join finds the candidates; the exact distance is the minimum over the
-    ring edges in a local plane around the point.
+    Every ring edge is exploded to the cells of its box grown by the distance; a
+    point meets only the edges of its own cell (an edge within ``meters`` always
+    covers the point's cell), the point-segment distance is plain column
+    arithmetic in a local plane around the point, and the minimum per (point,
+    polygon) is an aggregate.  Work per point is the few edges near it, however
+    detailed the polygon.
     """
     dlat = math.degrees(meters / EARTH_RADIUS_M) * 1.000001
-    minx, miny, maxx, maxy = rings_bbox(rings)
-    b = polys.select(poly_id, minx.alias("minx"), miny.alias("miny"), maxx.alias("maxx"), maxy.alias("maxy"))
-    dlon = F.lit(dlat) / F.cos(F.radians(F.least(F.lit(89.9), F.greatest(F.abs("miny"), F.abs("maxy")) + F.lit(dlat))))
-    b = b.select(poly_id, (F.col("minx") - dlon).alias("minx"), (F.col("miny") - dlat).alias("miny"),
-                 (F.col("maxx") + dlon).alias("maxx"), (F.col("maxy") + dlat).alias("maxy"))
-    cells = (b.withColumn("_cx", F.explode(_cells(F.col("minx"), F.col("maxx"), size)))
-              .withColumn("_cy", F.explode(_cells(F.col("miny"), F.col("maxy"), size))))
-    pts = (points.filter(F.col(lon).isNotNull() & F.col(lat).isNotNull())
-                 .withColumn("_cx", square_cell(lon, size)).withColumn("_cy", square_cell(lat, size)))
-    cand = (pts.join(cells, ["_cx", "_cy"])
-               .filter(F.col(lon).between(F.col("minx"), F.col("maxx")) & F.col(lat).between(F.col("miny"), F.col("maxy")))
-               .drop("_cx", "_cy", "minx", "miny", "maxx", "maxy"))
-    j = cand.join(polys.select(poly_id, rings), poly_id)
-    dist = F.array_min(F.transform(F.col(rings), lambda r: segment_distance_m(F.col(lon), F.col(lat), r)))
-    return j.withColumn("boundary_m", dist).filter(F.col("boundary_m") <= F.lit(float(meters))).drop(rings)
+    if size is None:
+        size = 2 * dlat  # cells about twice the margin: few edges per point, few cells per edge
+    r = polys.select(poly_id, F.explode(rings).alias("_r"))
+    n = F.size("_r") - 1
+    e = r.select(poly_id, F.inline(F.zip_with(F.slice("_r", 1, n), F.slice("_r", 2, n),
+                                              lambda a, b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"),
+                                                                    b["x"].alias("bx"), b["y"].alias("by")))))
+    far = F.least(F.lit(89.9), F.greatest(F.abs("ay"), F.abs("by")) + F.lit(dlat))
+    dlon = F.lit(dlat) / F.cos(F.radians(far))
+    e = (e.withColumn("_dlon", dlon)
+          .withColumn("_cx", F.explode(_cells(F.least("ax", "bx") - F.col("_dlon"), F.greatest("ax", "bx") + F.col("_dlon"), size)))
+          .withColumn("_cy", F.explode(_cells(F.least("ay", "by") - F.lit(dlat), F.greatest("ay", "by") + F.lit(dlat), size)))
+          .drop("_dlon"))
+    pid = point_id or "_pid"
+    pts = points.filter(F.col(lon).isNotNull() & F.col(lat).isNotNull())
+    if point_id is None:
+        pts = pts.withColumn(pid, F.monotonically_increasing_id())
+    carried = [c for c in pts.columns if c != pid]
+    pts = pts.withColumn("_cx", square_cell(lon, size)).withColumn("_cy", square_cell(lat, size))
+    x, y = F.col(lon), F.col(lat)
+    kx = F.lit(math.pi / 180 * EARTH_RADIUS_M) * F.cos(F.radians(y))
+    ky = F.lit(math.pi / 180 * EARTH_RADIUS_M)
+    j = (pts.join(e, ["_cx", "_cy"])
+            .withColumn("_ax", (F.col("ax") - x) * kx).withColumn("_ay", (F.col("ay") - y) * ky)
+            .withColumn("_bx", (F.col("bx") - x) * kx).withColumn("_by", (F.col("by") - y) * ky)
+            .withColumn("_dx", F.col("_bx") - F.col("_ax")).withColumn("_dy", F.col("_by") - F.col("_ay"))
+            .withColumn("_l2", F.col("_dx") * F.col("_dx") + F.col("_dy") * F.col("_dy"))
+            .withColumn("_t", F.when(F.col("_l2") == 0, F.lit(0.0)).otherwise(
+                F.least(F.lit(1.0), F.greatest(F.lit(0.0), -(F.col("_ax") * F.col("_dx") + F.col("_ay") * F.col("_dy")) / F.col("_l2")))))
+            .withColumn("_qx", F.col("_ax") + F.col("_t") * F.col("_dx"))
+            .withColumn("_qy", F.col("_ay") + F.col("_t") * F.col("_dy"))
+            .withColumn("_d", F.sqrt(F.col("_qx") * F.col("_qx") + F.col("_qy") * F.col("_qy"))))
+    # Filter after the aggregate: a filter on ``_d`` before it would be pushed into
+    # the join condition with the whole distance expression inlined there (no
+    # common-subexpression elimination in join conditions); in the projection
+    # feeding the aggregate, codegen computes each shared term once.
+    out = (j.groupBy(pid, poly_id, *carried).agg(F.min("_d").alias("boundary_m"))
+            .filter(F.col("boundary_m") <= F.lit(float(meters))))
+    return out.drop("_pid") if point_id is None else out
 
 
 def within_planar_disc(left: DataFrame, right: DataFrame, r_deg: float, left_lon: str = "lon", left_lat: str = "lat",
@@ -234,36 +272,65 @@ def within_planar_disc(left: DataFrame, right: DataFrame, r_deg: float, left_lon
 
 def radius_page(left: DataFrame, right: DataFrame, left_id: str, right_id: str, km: float = 5.0,
                 r_deg: float = 0.045, page_no: int = 1, page_size: int = 100, faithful: bool = False,
-                metric: str = "vincenty", **cols) -> DataFrame:
+                metric: str = "vincenty", start_deg: float | None = None, **cols) -> DataFrame:
     """O3: the radius page for many centres at once.
 
     Candidates are the planar disc of ``r_deg`` degrees (SP5); each gets
-    ``distance_km`` (geodesic by default, rounded to 2 dp).  ``faithful=True``
-    reproduces the reference: order by planar distance, cut the page, *then*
-    drop rows beyond ``km`` (pages may come out short).  The default filters by
-    ``km`` first and pages the remaining rows.  Ranks come from
-    ``row_number() <= literal`` per centre, which Spark limits map-side.
+    ``distance_km`` (geodesic by default, rounded to 2 dp) and a rank by planar
+    distance (ties: smaller right id).  ``faithful=True`` reproduces the
+    reference: rank within the disc, cut the page, *then* drop rows beyond
+    ``km`` (pages may come out short).  The default filters by ``km`` first and
+    pages the remaining rows.
+
+    Only the first ``page_no * page_size`` ranks matter, so the disc is searched
+    outward: round r uses a disc of ``start_deg * 2**r``; a centre whose disc
+    already holds a full set of ranked rows is settled exactly (anything farther
+    away ranks after them) and leaves the search; the last round uses the full
+    ``r_deg``.  Work follows the page size, not the disc population.  Ranks use
+    ``row_number() <= literal``, which Spark limits map-side.  One small job per
+    round counts the open centres; the open set is checkpointed between rounds.
     """
     from pyspark.sql import Window
     llon, llat = cols.get("left_lon", "lon"), cols.get("left_lat", "lat")
     rlon, rlat = cols.get("right_lon", "r_lon"), cols.get("right_lat", "r_lat")
-    cand = within_planar_disc(left, right, r_deg, llon, llat, rlon, rlat)
-    dist = (vincenty_m if metric == "vincenty" else haversine_m)(F.col(llat), F.col(llon), F.col(rlat), F.col(rlon))
-    cand = cand.withColumn("distance_km", F.round(dist / 1000.0, 2))
-    if not faithful:
-        cand = cand.filter(F.col("distance_km") <= F.lit(float(km)))
-    w = Window.partitionBy(left_id).orderBy("d2", right_id)
     hi, lo = page_no * page_size, (page_no - 1) * page_size
-    paged = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= hi).filter(F.col("rank") > lo)
+    w = Window.partitionBy(left_id).orderBy("d2", right_id)
+    todo = left.filter(F.col(llon).isNotNull() & F.col(llat).isNotNull())
+    r = min(start_deg or r_deg / 8, r_deg)
+    done: list[DataFrame] = []
+    while True:
+        final = r >= r_deg
+        cand = within_planar_disc(todo, right, r, llon, llat, rlon, rlat)
+        if metric == "vincenty":
+            cand = with_vincenty(cand, llat, llon, rlat, rlon, "_m")
+        else:
+            cand = cand.withColumn("_m", haversine_m(F.col(llat), F.col(llon), F.col(rlat), F.col(rlon)))
+        cand = cand.withColumn("distance_km", F.round(F.col("_m") / 1000.0, 2)).drop("_m")
+        if not faithful:
+            cand = cand.filter(F.col("distance_km") <= F.lit(float(km)))
+        ranked = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= hi)
+        if final:
+            done.append(ranked)
+            break
+        full = ranked.filter(F.col("rank") == hi).select(left_id)
+        done.append(ranked.join(full, left_id, "left_semi"))
+        todo = todo.join(full, left_id, "left_anti").checkpoint()
+        if todo.isEmpty():
+            break
+        r = min(2 * r, r_deg)
+    out = done[0]
+    for d in done[1:]:
+        out = out.unionByName(d)
+    out = out.filter(F.col("rank") > lo)
     if faithful:
-        paged = paged.filter(F.col("distance_km") <= F.lit(float(km)))
-    return paged.drop("d2")
+        out = out.filter(F.col("distance_km") <= F.lit(float(km)))
+    return out.drop("d2")
 
 
-def near_polyline(points: DataFrame, lines: DataFrame, line_id: str, meters: float, size: float = 0.01,
-                  lon: str = "lon", lat: str = "lat", path: str = "path") -> DataFrame:
+def near_polyline(points: DataFrame, lines: DataFrame, line_id: str, meters: float, size: float | None = None,
+                  lon: str = "lon", lat: str = "lat", path: str = "path", point_id: str | None = None) -> DataFrame:
     """Points within ``meters`` of a polyline (``path array<struct<x,y>>``), with
     ``distance_m``; the grid join of ``near_polygon_boundary`` with the line as one ring."""
     as_rings = lines.select(line_id, F.array(F.col(path)).alias("rings"))
-    return (near_polygon_boundary(points, as_rings, line_id, meters, size, lon, lat, "rings")
+    return (near_polygon_boundary(points, as_rings, line_id, meters, size, lon, lat, "rings", point_id)
             .withColumnRenamed("boundary_m", "distance_m"))

@@ -350,7 +350,7 @@ def j20_near_catchment_boundary(spark, d):
     """Active addresses within 150 m of a catchment boundary (either side)."""
     t = Tables(spark, d)
     pts = A.active(D.address(t), "date_retired").select("address_detail_pid", "lon", "lat")
-    near = S.near_polygon_boundary(pts, D.catchment_polygons(t), "school_id", BOUNDARY_M)
+    near = S.near_polygon_boundary(pts, D.catchment_polygons(t), "school_id", BOUNDARY_M, point_id="address_detail_pid")
     return near.select("address_detail_pid", "school_id", F.round("boundary_m", 1).alias("boundary_m"))
 
 
@@ -508,7 +508,7 @@ def j23_route_corridor(spark, d):
     t = Tables(spark, d)
     route = spark.createDataFrame([(1, [{"x": x, "y": y} for x, y in ROUTE])], "route_id int, path array<struct<x:double,y:double>>")
     pts = A.active(D.address(t), "date_retired").select("address_detail_pid", "lon", "lat")
-    near = S.near_polyline(pts, route, "route_id", CORRIDOR_M)
+    near = S.near_polyline(pts, route, "route_id", CORRIDOR_M, point_id="address_detail_pid")
     return near.select("address_detail_pid", F.round("distance_m", 3).alias("distance_m"))
 
 
