@@ -111,3 +111,30 @@ def test_schema_and_column_count_checks(spark):
         raise AssertionError("expected mismatch")
     except ValueError:
         pass
+
+
+def test_subscription_state_stream_equals_batch(spark, tmp_path):
+    from wattle.plans import domain as D
+    from wattle.sources.tables import Tables
+    from wattle.streaming.usage_stream import subscription_events_stream, subscription_state_stream
+    from wattle.session import scratch_path
+
+    src = tmp_path / "events"
+    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    # Several files, written newest-first, so the stream sees events out of time order.
+    ev.orderBy(F.desc("ts")).repartition(4, "event_id").write.parquet(str(src))
+    name = f"subs{os.getpid()}"
+    q = (subscription_state_stream(subscription_events_stream(spark, str(src)))
+         .writeStream.outputMode("update").format("memory").queryName(name)
+         .option("checkpointLocation", scratch_path(spark, f"stream-{name}"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    # The memory sink keeps every update; the last one per customer is the final state.
+    got_rows = spark.sql(f"SELECT * FROM {name}").collect()
+    assert got_rows
+    batch = {r.customer_id: (r.tier_id, r.subscription_status)
+             for r in U.subscription_state(D.subscription_event(Tables(spark, "/root/testdata/sf0.001"))).collect()}
+    final = {}
+    for r in got_rows:
+        final[r.customer_id] = (r.tier_id, r.subscription_status)
+    assert final == batch

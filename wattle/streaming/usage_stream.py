@@ -40,3 +40,72 @@ def run_daily_usage(spark: SparkSession, source_folder: str, sink_path: str, nam
     return (out.writeStream.outputMode("append").format("parquet")
                .option("checkpointLocation", scratch_path(spark, f"stream-{name}"))
                .trigger(availableNow=True).start(sink_path))
+
+
+# ----------------------------------------------------------------------------- N3 as a stateful stream
+_STATE_SCHEMA = "tier_ts timestamp, tier_eid long, tier_id int, st_ts timestamp, st_eid long, status string"
+_OUT_SCHEMA = "customer_id long, tier_id int, subscription_status string"
+
+
+def _fold_subscription(key, batches, state):
+    """Per customer: keep the latest (ts, event_id) tier event and status event.
+
+    The state holds only those two keys and values, so events may arrive late or
+    out of order: an older event never overrides a newer one.  This is the same
+    fold as the batch ``subscription_state`` (N3).
+    """
+    import pandas as pd
+
+    from wattle.operators.usage import EVENT_COMPLETED, EVENT_DELETED, EVENT_UPDATED
+
+    if state.exists:
+        t_ts, t_eid, tier, s_ts, s_eid, status = state.get
+    else:
+        t_ts = t_eid = tier = s_ts = s_eid = status = None
+
+    def newer(ts, eid, cur_ts, cur_eid):
+        return cur_ts is None or (ts, eid) > (cur_ts, cur_eid)
+
+    for pdf in batches:
+        pdf = pdf.sort_values(["ts", "event_id"])
+        typ = pdf["type"]
+        tiers = pdf[typ.isin([EVENT_COMPLETED, EVENT_DELETED])]
+        if len(tiers):
+            last = tiers.iloc[-1]
+            ts, eid = pd.Timestamp(last["ts"]).to_pydatetime(), int(last["event_id"])
+            if newer(ts, eid, t_ts, t_eid):
+                t_ts, t_eid, tier = ts, eid, 2 if last["type"] == EVENT_COMPLETED else 1
+        stat = pdf[typ.isin([EVENT_COMPLETED, EVENT_DELETED, EVENT_UPDATED])]
+        if len(stat):
+            last = stat.iloc[-1]
+            ts, eid = pd.Timestamp(last["ts"]).to_pydatetime(), int(last["event_id"])
+            if newer(ts, eid, s_ts, s_eid):
+                s_ts, s_eid = ts, eid
+                status = ("active" if last["type"] == EVENT_COMPLETED else
+                          "cancelled" if last["type"] == EVENT_DELETED else last["status"])
+    state.update((t_ts, t_eid, tier, s_ts, s_eid, status))
+    yield pd.DataFrame({"customer_id": [int(key[0])], "tier_id": [tier], "subscription_status": [status]})
+
+
+def subscription_state_stream(events: DataFrame) -> DataFrame:
+    """N3 on a stream of billing events (customer_id, ts, event_id, type, status):
+    ``applyInPandasWithState`` keyed by customer, emitting the updated state of
+    every customer seen in a micro-batch (update mode)."""
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    ev = events.select("customer_id", F.col("ts").cast("timestamp").alias("ts"), "event_id", "type", "status")
+    return ev.groupBy("customer_id").applyInPandasWithState(
+        _fold_subscription, _OUT_SCHEMA, _STATE_SCHEMA, "update", GroupStateTimeout.NoTimeout)
+
+
+def subscription_events_stream(spark: SparkSession, folder: str) -> DataFrame:
+    """The driver's events folder read as a stream and shaped as billing events."""
+    sch = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
+    ev = spark.readStream.schema(sch).option("maxFilesPerTrigger", 1).parquet(folder)
+    et = F.col("event_type")
+    return ev.select(
+        "event_id", F.col("user_id").alias("customer_id"), "ts",
+        F.when(et.isin("signup", "purchase"), "checkout.session.completed")
+         .when(et == "error", "customer.subscription.deleted")
+         .otherwise("customer.subscription.updated").alias("type"),
+        F.when(F.col("event_id") % 2 == 0, "active").otherwise("past_due").alias("status"))
