@@ -119,3 +119,20 @@ def test_staged_vincenty_equals_expression_form(spark):
     a = G.with_vincenty(df.withColumn("e", G.vincenty_m("lat1", "lon1", "lat2", "lon2")), "lat1", "lon1", "lat2", "lon2", "s")
     for r in a.collect():
         assert (r.e is None and r.s is None) or abs(r.e - r.s) < 1e-6
+
+
+def test_interior_cells_with_hole_and_parts(spark):
+    random.seed(13)
+    shell = [(0.0, 0.0), (0.1, 0.0), (0.1, 0.1), (0.05, 0.06), (0.0, 0.1), (0.0, 0.0)]
+    hole = [(0.02, 0.02), (0.02, 0.04), (0.04, 0.04), (0.04, 0.02), (0.02, 0.02)]
+    part = [(0.2, 0.2), (0.25, 0.2), (0.25, 0.25), (0.2, 0.2)]
+    poly = _poly(spark, [shell, hole, part]).withColumnRenamed("id", "pid")
+    pts = [(i, random.uniform(-0.01, 0.26), random.uniform(-0.01, 0.26)) for i in range(3000)]
+    pts += [(9000, 0.02, 0.03), (9001, 0.1, 0.05), (9002, 0.05, 0.06), (9003, 0.03, 0.03)]  # hole edge, shell edge, vertex, in hole
+    p = spark.createDataFrame(pts, "id int, lon double, lat double")
+    cells = S.classified_cells(poly, "pid", 0.005)
+    assert cells.filter("_inside").count() > 50  # the fine grid really has wholly-inside cells
+    fast = {r.id for r in S.points_in_polygons(p, poly, "pid", size=0.005, point_id="id").collect()}
+    slow = {r.id for r in S.points_in_polygons(p, poly, "pid", size=0.005, method="rings").collect()}
+    assert fast == slow and len(fast) > 300
+    assert not ({9000, 9001, 9002, 9003} & fast)

@@ -55,6 +55,48 @@ def polygon_edges(polys: DataFrame, poly_id: str, band: float, rings: str = "rin
                     F.explode(_cells(F.least("ay", "by"), F.greatest("ay", "by"), band)).alias("_band"))
 
 
+def _parity_pairs(cand: DataFrame, edges: DataFrame, poly_id: str, keys: list[str], lon: str, lat: str,
+                  size: float) -> DataFrame:
+    """(keys, poly_id) rows of ``cand`` whose point is strictly inside the polygon:
+    odd crossing count over the edges of the point's latitude band that reach east
+    of it, and on no edge.  Plain column arithmetic, aggregated per key."""
+    px, py = F.col(lon), F.col(lat)
+    ax, ay, bx, by = F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")
+    cross = ((ay > py) != (by > py)) & (px < (bx - ax) * (py - ay) / (by - ay) + ax)
+    touch = (((bx - ax) * (py - ay) - (by - ay) * (px - ax)) == 0) & px.between(F.least(ax, bx), F.greatest(ax, bx)) \
+        & py.between(F.least(ay, by), F.greatest(ay, by))
+    return (cand.withColumn("_band", square_cell(lat, size))
+                .join(edges, [poly_id, "_band"]).filter(F.col("maxx") >= px)
+                .groupBy(*keys, poly_id)
+                .agg(F.sum(F.when(cross, 1).otherwise(0)).alias("_n"), F.max(touch).alias("_t"))
+                .filter((F.col("_n") % 2 == 1) & ~F.col("_t"))
+                .drop("_n", "_t"))
+
+
+def classified_cells(polys: DataFrame, poly_id: str, size: float, rings: str = "rings") -> DataFrame:
+    """(poly_id, _cx, _cy, _inside) for the cells of each polygon's bounding box that
+    matter: ``_inside`` true for cells wholly inside the polygon, false for cells
+    an edge may cross (their points need the exact test); cells wholly outside
+    are dropped.
+
+    A cell no edge's box touches cannot contain a boundary point, so all its
+    points share the inside/outside status of its centre, which is tested once.
+    """
+    edges = polygon_edges(polys, poly_id, size, rings)
+    boundary = (edges.withColumn("_cx", F.explode(_cells(F.least("ax", "bx"), F.greatest("ax", "bx"), size)))
+                     .select(poly_id, "_cx", F.col("_band").alias("_cy")).distinct()
+                     .withColumn("_edge", F.lit(True)))
+    cells = (polygon_cells(polys, poly_id, size, rings).select(poly_id, F.col("cx").alias("_cx"), F.col("cy").alias("_cy"))
+             .join(boundary, [poly_id, "_cx", "_cy"], "left"))
+    open_cells = (cells.filter(F.col("_edge").isNull())
+                       .select(poly_id, "_cx", "_cy",
+                               ((F.col("_cx") + F.lit(0.5)) * F.lit(size)).alias("_x"),
+                               ((F.col("_cy") + F.lit(0.5)) * F.lit(size)).alias("_y")))
+    inside = _parity_pairs(open_cells, edges, poly_id, ["_cx", "_cy"], "_x", "_y", size).withColumn("_inside", F.lit(True))
+    edge_cells = cells.filter(F.col("_edge").isNotNull()).select(poly_id, "_cx", "_cy", F.lit(False).alias("_inside"))
+    return edge_cells.unionByName(inside)
+
+
 def points_in_polygons(points: DataFrame, polys: DataFrame, poly_id: str, size: float = 0.01,
                        lon: str = "lon", lat: str = "lat", rings: str = "rings", keep_rings: bool = False,
                        point_id: str | None = None, method: str = "edges") -> DataFrame:
@@ -63,39 +105,33 @@ def points_in_polygons(points: DataFrame, polys: DataFrame, poly_id: str, size:
     Output: the point columns plus ``poly_id`` and the polygon's other columns
     (rings dropped unless ``keep_rings``).  Points without coordinates never match.
 
-    ``method='edges'`` (default): after the cell join and bbox filter, each
-    candidate meets only the polygon edges of its latitude band that reach east
-    of it; crossing parity and the on-edge test are a ``groupBy`` of plain
-    arithmetic (whole-stage codegen, partial aggregation).  Work per candidate is
-    the few edges near the point's latitude, not the whole ring, so detailed
-    polygons stay cheap.  ``method='rings'`` evaluates the ray cast on the ring
-    arrays (higher-order functions; simple, slower).
+    ``method='edges'`` (default): points join the polygons' classified cells
+    (``classified_cells``).  A point in a wholly-inside cell is a hit at once; a
+    point in a cell an edge may cross meets only the polygon edges of its
+    latitude band that reach east of it, and crossing parity plus the on-edge
+    test are a ``groupBy`` of plain arithmetic (whole-stage codegen, partial
+    aggregation).  Work per point is a cell lookup, or a few edges near its
+    latitude - never the whole ring.  ``method='rings'`` evaluates the ray cast
+    on the ring arrays (higher-order functions; simple, slower).
     """
     pts = (points.filter(F.col(lon).isNotNull() & F.col(lat).isNotNull())
                  .withColumn("_cx", square_cell(lon, size)).withColumn("_cy", square_cell(lat, size)))
-    cells = polygon_cells(polys, poly_id, size, rings).withColumnRenamed("cx", "_cx").withColumnRenamed("cy", "_cy")
-    cand = (pts.join(cells, ["_cx", "_cy"])
-               .filter(F.col(lon).between(F.col("minx"), F.col("maxx")) & F.col(lat).between(F.col("miny"), F.col("maxy")))
-               .drop("_cx", "_cy", "minx", "miny", "maxx", "maxy"))
+    others = [c for c in polys.columns if c != poly_id and (keep_rings or c != rings)]
     if method == "rings":
+        cells = polygon_cells(polys, poly_id, size, rings).withColumnRenamed("cx", "_cx").withColumnRenamed("cy", "_cy")
+        cand = (pts.join(cells, ["_cx", "_cy"])
+                   .filter(F.col(lon).between(F.col("minx"), F.col("maxx")) & F.col(lat).between(F.col("miny"), F.col("maxy")))
+                   .drop("_cx", "_cy", "minx", "miny", "maxx", "maxy"))
         hit = cand.join(polys, poly_id).filter(point_in_polygon(F.col(rings), F.col(lon), F.col(lat)))
         return hit if keep_rings else hit.drop(rings)
     if point_id is None:
         raise ValueError("method='edges' needs point_id (a unique point key)")
-    edges = polygon_edges(polys, poly_id, size, rings)
-    px, py = F.col(lon), F.col(lat)
-    ax, ay, bx, by = F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")
-    cross = ((ay > py) != (by > py)) & (px < (bx - ax) * (py - ay) / (by - ay) + ax)
-    touch = (((bx - ax) * (py - ay) - (by - ay) * (px - ax)) == 0) & px.between(F.least(ax, bx), F.greatest(ax, bx)) \
-        & py.between(F.least(ay, by), F.greatest(ay, by))
-    carried = [c for c in cand.columns if c not in (point_id, poly_id)]
-    hit = (cand.withColumn("_band", square_cell(lat, size))
-               .join(edges, [poly_id, "_band"]).filter(F.col("maxx") >= px)
-               .groupBy(point_id, poly_id, *carried)
-               .agg(F.sum(F.when(cross, 1).otherwise(0)).alias("_n"), F.max(touch).alias("_t"))
-               .filter((F.col("_n") % 2 == 1) & ~F.col("_t"))
-               .drop("_n", "_t"))
-    others = [c for c in polys.columns if c != poly_id and (keep_rings or c != rings)]
+    cand = pts.join(classified_cells(polys, poly_id, size, rings), ["_cx", "_cy"]).drop("_cx", "_cy")
+    carried = [c for c in cand.columns if c not in (point_id, poly_id, "_inside")]
+    direct = cand.filter(F.col("_inside")).drop("_inside")
+    tested = _parity_pairs(cand.filter(~F.col("_inside")).drop("_inside"), polygon_edges(polys, poly_id, size, rings),
+                           poly_id, [point_id, *carried], lon, lat, size)
+    hit = direct.unionByName(tested)
     return hit.join(polys.select(poly_id, *others), poly_id) if others else hit
 
 

@@ -15,7 +15,7 @@ from wattle.plans.registry import register
 from wattle.sources.tables import Tables
 
 RADIUS_M = 1000.0
-CELL = 0.01
+CELL = 0.0025  # about 1/16 of a catchment's width: most points fall in wholly-inside cells
 NAMED_CATCHMENT = "PLACE1"
 
 PIP_SQL = """SELECT p.address_detail_pid, p.school_id, p.school_type FROM (
