@@ -134,5 +134,6 @@ def test_interior_cells_with_hole_and_parts(spark):
     assert cells.filter("_inside").count() > 50  # the fine grid really has wholly-inside cells
     fast = {r.id for r in S.points_in_polygons(p, poly, "pid", size=0.005, point_id="id").collect()}
     slow = {r.id for r in S.points_in_polygons(p, poly, "pid", size=0.005, method="rings").collect()}
-    assert fast == slow and len(fast) > 300
+    single = {r.id for r in S.points_in_polygons(p, poly, "pid", size=0.005, point_id="id", single_pass=True).collect()}
+    assert fast == slow == single and len(fast) > 300
     assert not ({9000, 9001, 9002, 9003} & fast)

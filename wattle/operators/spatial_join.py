@@ -99,7 +99,7 @@ def classified_cells(polys: DataFrame, poly_id: str, size: float, rings: str = "
 
 def points_in_polygons(points: DataFrame, polys: DataFrame, poly_id: str, size: float = 0.01,
                        lon: str = "lon", lat: str = "lat", rings: str = "rings", keep_rings: bool = False,
-                       point_id: str | None = None, method: str = "edges") -> DataFrame:
+                       point_id: str | None = None, method: str = "edges", single_pass: bool = False) -> DataFrame:
     """All (point, polygon) pairs with ``ST_Contains(polygon, point)``.
 
     Output: the point columns plus ``poly_id`` and the polygon's other columns
@@ -113,6 +113,10 @@ def points_in_polygons(points: DataFrame, polys: DataFrame, poly_id: str, size:
     aggregation).  Work per point is a cell lookup, or a few edges near its
     latitude - never the whole ring.  ``method='rings'`` evaluates the ray cast
     on the ring arrays (higher-order functions; simple, slower).
+
+    ``single_pass=True`` handles both kinds of cell in one scan and one
+    aggregate (inside hits are shuffled too); the default keeps inside hits out
+    of the shuffle at the price of evaluating the cell join for each branch.
     """
     pts = (points.filter(F.col(lon).isNotNull() & F.col(lat).isNotNull())
                  .withColumn("_cx", square_cell(lon, size)).withColumn("_cy", square_cell(lat, size)))
@@ -128,10 +132,30 @@ def points_in_polygons(points: DataFrame, polys: DataFrame, poly_id: str, size:
         raise ValueError("method='edges' needs point_id (a unique point key)")
     cand = pts.join(classified_cells(polys, poly_id, size, rings), ["_cx", "_cy"]).drop("_cx", "_cy")
     carried = [c for c in cand.columns if c not in (point_id, poly_id, "_inside")]
-    direct = cand.filter(F.col("_inside")).drop("_inside")
-    tested = _parity_pairs(cand.filter(~F.col("_inside")).drop("_inside"), polygon_edges(polys, poly_id, size, rings),
-                           poly_id, [point_id, *carried], lon, lat, size)
-    hit = direct.unionByName(tested)
+    if single_pass:
+        # One scan: boundary-cell rows pick up their band's edges through a
+        # conditional left join, inside-cell rows pass through untouched, and one
+        # aggregate decides both.
+        edges = polygon_edges(polys, poly_id, size, rings)
+        px, py = F.col(lon), F.col(lat)
+        ax, ay, bx, by = F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")
+        c = cand.withColumn("_band", square_cell(lat, size)).alias("c")
+        e = edges.alias("e")
+        cond = ((F.col("c." + poly_id) == F.col("e." + poly_id)) & (F.col("c._band") == F.col("e._band"))
+                & ~F.col("c._inside") & (F.col("e.maxx") >= F.col("c." + lon)))
+        j = c.join(e, cond, "left").select("c.*", "e.ax", "e.ay", "e.bx", "e.by")
+        cross = ((ay > py) != (by > py)) & (px < (bx - ax) * (py - ay) / (by - ay) + ax)
+        touch = (((bx - ax) * (py - ay) - (by - ay) * (px - ax)) == 0) & px.between(F.least(ax, bx), F.greatest(ax, bx)) \
+            & py.between(F.least(ay, by), F.greatest(ay, by))
+        hit = (j.groupBy(point_id, poly_id, "_inside", *carried)
+                .agg(F.sum(F.when(cross, 1).otherwise(0)).alias("_n"), F.max(F.coalesce(touch, F.lit(False))).alias("_t"))
+                .filter(F.col("_inside") | ((F.col("_n") % 2 == 1) & ~F.col("_t")))
+                .drop("_n", "_t", "_inside"))
+    else:
+        direct = cand.filter(F.col("_inside")).drop("_inside")
+        tested = _parity_pairs(cand.filter(~F.col("_inside")).drop("_inside"), polygon_edges(polys, poly_id, size, rings),
+                               poly_id, [point_id, *carried], lon, lat, size)
+        hit = direct.unionByName(tested)
     return hit.join(polys.select(poly_id, *others), poly_id) if others else hit
 
 
