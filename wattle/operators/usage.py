@@ -22,13 +22,19 @@ EVENT_UPDATED = "customer.subscription.updated"
 EVENT_DELETED = "customer.subscription.deleted"
 
 
+def calendar_month(ts: str):
+    """First day of the calendar month as a DATE (time-zone independent for
+    TIMESTAMP_NTZ input; the session zone's calendar for zoned timestamps)."""
+    return F.trunc(F.col(ts).cast("date"), "month")
+
+
 def tiers_table(spark) -> DataFrame:
     return spark.createDataFrame(TIERS, "tier_id int, tier_name string, searches_per_month int")
 
 
 def monthly_usage(log: DataFrame) -> DataFrame:
     """AG28: per user and calendar month: searches and distinct search types."""
-    return (log.groupBy("user_id", F.date_trunc("month", "request_timestamp").alias("month"))
+    return (log.groupBy("user_id", calendar_month("request_timestamp").alias("month"))
                .agg(F.count(F.lit(1)).alias("search_count"), F.count_distinct("search_type").alias("unique_search_types")))
 
 
@@ -61,7 +67,7 @@ def quota_decisions(log: DataFrame, user_limits: DataFrame) -> DataFrame:
     # Users without a row get the default limit; a row with a null limit is unlimited.
     limits = user_limits.select("user_id", F.col("searches_per_month").cast("int").alias("_l"), F.lit(True).alias("_known"))
     lg = (log.select("usage_id", "user_id", "request_timestamp",
-                     F.date_trunc("month", "request_timestamp").alias("month"))
+                     calendar_month("request_timestamp").alias("month"))
              .join(limits, "user_id", "left")
              .withColumn("lim", F.when(F.col("_known").isNull(), F.lit(default)).otherwise(F.col("_l")))
              .drop("_l", "_known"))

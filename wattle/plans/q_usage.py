@@ -18,8 +18,8 @@ _STATE_SQL = """SELECT customer_id,
 FROM subscription_event GROUP BY customer_id"""
 
 
-@register("ag28_monthly_usage", sql("""SELECT user_id, date_trunc('month', request_timestamp) AS month, count(*) AS search_count,
- count(DISTINCT search_type) AS unique_search_types FROM usage_log GROUP BY user_id, date_trunc('month', request_timestamp)""", "usage_log"))
+@register("ag28_monthly_usage", sql("""SELECT user_id, cast(date_trunc('month', request_timestamp) AS date) AS month, count(*) AS search_count,
+ count(DISTINCT search_type) AS unique_search_types FROM usage_log GROUP BY user_id, cast(date_trunc('month', request_timestamp) AS date)""", "usage_log"))
 def ag28_monthly_usage(spark, d):
     return U.monthly_usage(D.usage_log(Tables(spark, d)))
 
@@ -29,9 +29,9 @@ def n3_subscription_state(spark, d):
     return U.subscription_state(D.subscription_event(Tables(spark, d)))
 
 
-@register("n1_quota_decisions", sql("""SELECT usage_id, l.user_id, date_trunc('month', request_timestamp) AS month, lim,
+@register("n1_quota_decisions", sql("""SELECT usage_id, l.user_id, cast(date_trunc('month', request_timestamp) AS date) AS month, lim,
  CASE WHEN lim IS NULL THEN true WHEN lim <= 0 THEN false
-  ELSE row_number() OVER (PARTITION BY l.user_id, date_trunc('month', request_timestamp) ORDER BY request_timestamp, usage_id) <= lim END AS allowed
+  ELSE row_number() OVER (PARTITION BY l.user_id, cast(date_trunc('month', request_timestamp) AS date) ORDER BY request_timestamp, usage_id) <= lim END AS allowed
 FROM (SELECT u.*, CASE WHEN s.customer_id IS NULL THEN 10 ELSE t.lim END AS lim FROM usage_log u
       LEFT JOIN st s ON s.customer_id = u.user_id LEFT JOIN tiers t ON t.tier_id = coalesce(s.tier_id, 1)) l""", "usage_log", "subscription_event",
                                     extra={"st": _STATE_SQL, "tiers": "SELECT * FROM (VALUES (1, 10), (2, NULL)) AS t(tier_id, lim)"}))

@@ -48,10 +48,13 @@ def get_session(master: str | None = None, app_name: str = "wattle",
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """Return the cluster's checkpoint folder, creating a private one only if unset."""
-    path = spark.conf.get("spark.checkpoint.dir", None)
+    path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
         path = tempfile.mkdtemp(prefix="wattle-ckpt-")
-        spark.conf.set("spark.checkpoint.dir", path)
+        try:
+            spark.conf.set("spark.checkpoint.dir", path)
+        except Exception:  # noqa: BLE001 - some deployments refuse runtime changes of core settings
+            pass
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
     return path
