@@ -13,7 +13,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from wattle.functions import text as T
@@ -151,8 +151,15 @@ def street_autocomplete(df: DataFrame, prefix: str, limit: int = 20, drop_coordi
 
 
 def street_name_counts(streets: DataFrame) -> DataFrame:
-    """``COUNT(*) OVER (PARTITION BY street_name)`` per street row."""
-    return streets.withColumn("name_count", F.count(F.lit(1)).over(Window.partitionBy("street_name")))
+    """``COUNT(*) OVER (PARTITION BY street_name)`` per street row.
+
+    Written as a count per name (combined map-side) joined back on the name
+    rather than a window, so a very common name is never sorted whole in one
+    task; the join of a hot name is split by AQE's skew handling.  Null names
+    form one group, as in the window.
+    """
+    counts = streets.groupBy("street_name").agg(F.count(F.lit(1)).alias("name_count"))
+    return streets.join(counts, streets.street_name.eqNullSafe(counts.street_name)).drop(counts.street_name)
 
 
 def coordinate_like_streets(streets: DataFrame, addresses: DataFrame) -> DataFrame:

@@ -116,18 +116,18 @@ def j7_inner_star_active(spark, d):
     return df.select("address_detail_pid", "street_name", "locality_name", "state_name")
 
 
-_SEARCH_WHERE = (f"date_retired IS NULL AND cast(number_first AS varchar) LIKE '%{SEARCH['number']}%' "
-                 f"AND upper(street_name) LIKE '%{SEARCH['street'].upper()}%' AND upper(locality_name) LIKE '%{SEARCH['suburb'].upper()}%'")
-
-
 def _search(t: Tables):
     return A.search_filter(A.active(star(t), "date_retired"), **SEARCH)
 
 
+_ESC = chr(92)  # the LIKE escape character
+_SEARCH_SQL_WHERE = (f"date_retired IS NULL AND cast(number_first AS varchar) LIKE '%{SEARCH['number']}%' "
+                     f"AND upper(street_name) LIKE '%{SEARCH['street'].upper()}%' "
+                     f"AND upper(locality_name) LIKE '%{SEARCH['suburb'].upper().replace('_', _ESC + '_')}%' ESCAPE '{_ESC}'")
+
+
 @register("o2_search_page", _sq(f"""SELECT address_detail_pid, number_first, street_name, locality_name, postcode FROM addr_star
-WHERE {_SEARCH_WHERE.replace('_1', chr(92) + '_1')} ESCAPE '{chr(92)}'
-ORDER BY address_detail_pid LIMIT {PAGE_SIZE} OFFSET {(PAGE_NO - 1) * PAGE_SIZE}""".replace(
-    f"LIKE '%{SEARCH['suburb'].upper().replace('_1', chr(92) + '_1')}%' ESCAPE", "LIKE '%NATION" + chr(92) + "_1%' ESCAPE")))
+WHERE {_SEARCH_SQL_WHERE} ORDER BY address_detail_pid LIMIT {PAGE_SIZE} OFFSET {(PAGE_NO - 1) * PAGE_SIZE}"""))
 def o2_search_page(spark, d):
     df = A.distinct_on(_search(Tables(spark, d)), "address_detail_pid", ["locality_name", "street_name", "number_first"])
     return A.page(df.select("address_detail_pid", "number_first", "street_name", "locality_name", "postcode"),
@@ -135,8 +135,7 @@ def o2_search_page(spark, d):
 
 
 @register("ag26_search_total", _sq(f"""SELECT count(DISTINCT address_detail_pid) AS total_count FROM addr_star
-WHERE date_retired IS NULL AND cast(number_first AS varchar) LIKE '%1%' AND upper(street_name) LIKE '%NAME 1%'
- AND upper(locality_name) LIKE '%NATION{chr(92)}_1%' ESCAPE '{chr(92)}'"""))
+WHERE {_SEARCH_SQL_WHERE}"""))
 def ag26_search_total(spark, d):
     return A.distinct_address_count(_search(Tables(spark, d)))
 
