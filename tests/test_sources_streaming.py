@@ -89,6 +89,11 @@ def test_usage_stream_available_now(spark, tmp_path):
     total = out.agg(F.sum("search_count")).first()[0]
     # Append mode emits a day once the watermark passes it; the last day stays open.
     assert 0 < total <= 1000
+    ev = spark.read.parquet("/root/testdata/sf0.001/events.parquet")
+    batch = {(r.user_id, str(r.d)): (r.n, r.k) for r in ev.groupBy("user_id", F.to_date("ts").alias("d")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_distinct("event_type").alias("k")).collect()}
+    for r in out.collect():
+        assert batch[(r.user_id, str(r.day_start.date()))] == (r.search_count, r.unique_search_types)
 
 
 def test_quota_limit_and_reset(spark):
