@@ -282,10 +282,21 @@ def prepare_book(df: DataFrame, text_col: str = "engagement") -> DataFrame:
 # ----------------------------------------------------------------------------- LG7
 def with_totals_row(df: DataFrame, label_col: str, numeric_cols: list[str],
                     label: str = "TOTAL") -> DataFrame:
-    """LG7: append a TOTAL row summing the (already rounded) numeric columns."""
-    tot = df.agg(*[F.sum(c).alias(c) for c in numeric_cols]) \
-            .select(F.lit(label).alias(label_col), *[F.round(c, 2).alias(c) for c in numeric_cols])
-    return df.unionByName(tot, allowMissingColumns=True)
+    """LG7: append a TOTAL row summing the (already rounded) numeric columns.
+
+    One pass over ``df``: grouping sets (every row's own columns) and () give the
+    rows themselves plus the grand total in a single aggregate, instead of a
+    union that would evaluate ``df`` - and the ledger behind it - twice.
+    Rows are assumed distinct on their columns (a summary has one row per key).
+    """
+    keys = [c for c in df.columns if c not in numeric_cols]
+    g = (df.groupingSets([[F.col(c) for c in keys], []], *keys)
+           .agg(*[F.sum(c).alias(c) for c in numeric_cols], F.grouping_id().alias("_gid")))
+    total = F.col("_gid") != 0
+    return g.select(*[F.when(total, F.lit(label)).otherwise(F.col(c)).alias(c) if c == label_col else F.col(c)
+                      for c in keys],
+                    *[F.when(total, F.round(c, 2)).otherwise(F.col(c)).alias(c) for c in numeric_cols]) \
+            .select(*df.columns)
 
 
 # ----------------------------------------------------------------------------- J5 / LG8
@@ -312,9 +323,15 @@ def reconciliation(ledger: DataFrame, book: DataFrame) -> DataFrame:
         F.when(in_b, "Yes").otherwise("No").alias("in_bob"),
         F.when(in_w & in_b, "Matched").when(in_w, "Missing in BoB").otherwise("Missing in WIP").alias("status"),
     )
-    counts = detail.agg(F.count_if(F.col("in_wip") == "Yes").alias("w"), F.count_if(F.col("in_bob") == "Yes").alias("b"),
-                        F.count_if(F.col("block") == 1).alias("m"), F.count_if(F.col("block") == 2).alias("ow"),
-                        F.count_if(F.col("block") == 3).alias("ob"))
+    # One pass over the detail: grouping sets give every detail row and the grand
+    # total (the counters) from one aggregate; the total row then unfolds into
+    # the seven counter rows.  A union of detail and counters would evaluate the
+    # ledger side twice.
+    cols = ["block", "engagement_id", "engagement_name", "in_wip", "in_bob", "status"]
+    g = (detail.groupingSets([[F.col(c) for c in cols], []], *cols)
+               .agg(F.count_if(F.col("in_wip") == "Yes").alias("w"), F.count_if(F.col("in_bob") == "Yes").alias("b"),
+                    F.count_if(F.col("block") == 1).alias("m"), F.count_if(F.col("block") == 2).alias("ow"),
+                    F.count_if(F.col("block") == 3).alias("ob"), F.grouping_id().alias("_gid")))
     texts = [F.lit("SUMMARY"),
              F.concat(F.lit("Total in WIP: "), F.col("w").cast("string")),
              F.concat(F.lit("Total in BoB: "), F.col("b").cast("string")),
@@ -322,9 +339,13 @@ def reconciliation(ledger: DataFrame, book: DataFrame) -> DataFrame:
              F.concat(F.lit("Only in WIP: "), F.col("ow").cast("string")),
              F.concat(F.lit("Only in BoB: "), F.col("ob").cast("string")),
              F.lit("")]
-    labels = F.array(*[F.struct(F.lit(i).alias("seq"), txt.alias("engagement_id")) for i, txt in enumerate(texts)])
-    summary = counts.select(F.inline(labels)).select(
-        F.lit(0).alias("block"), "seq", "engagement_id", F.lit("").alias("engagement_name"),
-        F.lit("").alias("in_wip"), F.lit("").alias("in_bob"), F.lit("").alias("status"))
-    return (summary.unionByName(detail.withColumn("seq", F.lit(0)))
-                   .orderBy("block", "seq", "engagement_id"))
+
+    def row(block, seq, eid, name, iw, ib, st):
+        return F.struct(block.alias("block"), seq.alias("seq"), eid.alias("engagement_id"), name.alias("engagement_name"),
+                        iw.alias("in_wip"), ib.alias("in_bob"), st.alias("status"))
+    empty = F.lit("")
+    counters = F.array(*[row(F.lit(0), F.lit(i), txt, empty, empty, empty, empty) for i, txt in enumerate(texts)])
+    own = F.array(row(F.col("block"), F.lit(0), F.col("engagement_id"), F.col("engagement_name"), F.col("in_wip"),
+                      F.col("in_bob"), F.col("status")))
+    return (g.select(F.inline(F.when(F.col("_gid") != 0, counters).otherwise(own)))
+             .orderBy("block", "seq", "engagement_id"))
