@@ -18,25 +18,23 @@ def _union(parts: list[DataFrame]) -> DataFrame:
 
 
 def primary_key_report(tables: dict[str, tuple[DataFrame, list[str]]]) -> DataFrame:
-    """Q1: per table: rows, keys occurring more than once, rows with a null key part."""
+    """Q1: per table: rows, keys occurring more than once, rows with a null key part.
+
+    One aggregate per table: the per-key counts (combined map-side) carry
+    everything the three numbers need.
+    """
     parts = []
     for name, (df, pk) in tables.items():
-        nulls = df.agg(F.count_if(reduce(lambda a, b: a | b, [F.col(c).isNull() for c in pk])).alias("null_keys"),
-                       F.count(F.lit(1)).alias("row_count"))
-        dups = df.groupBy(*pk).count().agg(F.count_if(F.col("count") > 1).alias("duplicate_keys"))
-        parts.append(_pk_row(name, pk, nulls, dups))
+        any_null = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in pk])
+        per_key = df.groupBy(*pk).agg(F.count(F.lit(1)).alias("_n"), F.max(any_null).alias("_null"))
+        parts.append(per_key.agg(F.sum("_n").cast("long").alias("row_count"),
+                                 F.count_if(F.col("_n") > 1).alias("duplicate_keys"),
+                                 F.coalesce(F.sum(F.when(F.col("_null"), F.col("_n"))), F.lit(0)).cast("long").alias("null_keys"))
+                     .select(F.lit(name).alias("table_name"), F.lit(",".join(pk)).alias("pk"),
+                             "row_count", "duplicate_keys", "null_keys"))
     return _union(parts)
 
 
-def _pk_row(name, pk, nulls: DataFrame, dups: DataFrame) -> DataFrame:
-    # Both sides are single-row aggregates; a union + max keeps it a plain aggregate.
-    u = nulls.select("row_count", "null_keys", F.lit(None).cast("long").alias("duplicate_keys")).unionByName(
-        dups.select(F.lit(None).cast("long").alias("row_count"), F.lit(None).cast("long").alias("null_keys"), "duplicate_keys"))
-    return u.agg(F.max("row_count").alias("row_count"), F.max("duplicate_keys").alias("duplicate_keys"),
-                 F.max("null_keys").alias("null_keys")).select(
-        F.lit(name).alias("table_name"), F.lit(",".join(pk)).alias("pk"), "row_count", "duplicate_keys", "null_keys")
-
-
 def orphan_report(fks: list[tuple[str, DataFrame, str, DataFrame, str]]) -> DataFrame:
     """Q2: per foreign key (name, child, child column, parent, parent column): child rows
     whose non-null key has no parent (a left-anti join, then a count)."""
@@ -51,15 +49,14 @@ def orphan_report(fks: list[tuple[str, DataFrame, str, DataFrame, str]]) -> Data
 
 def postcode_format_report(df: DataFrame, postcode: str = "postcode", suburb: str = "locality_name") -> DataFrame:
     """Q3: postcodes not matching ``^[0-9]{4}$``, null postcodes/suburbs, and
-    (suburb, postcode) pairs occurring more than once."""
-    bad = df.agg(F.count_if(F.col(postcode).isNotNull() & ~F.col(postcode).rlike(r"^[0-9]{4}$")).alias("bad_postcodes"),
-                 F.count_if(F.col(postcode).isNull()).alias("null_postcodes"),
-                 F.count_if(F.col(suburb).isNull()).alias("null_suburbs"))
-    dup = df.groupBy(suburb, postcode).count().agg(F.count_if(F.col("count") > 1).alias("duplicate_pairs"))
-    u = bad.select("*", F.lit(None).cast("long").alias("duplicate_pairs")).unionByName(
-        dup.select(*[F.lit(None).cast("long").alias(c) for c in ("bad_postcodes", "null_postcodes", "null_suburbs")],
-                   "duplicate_pairs"))
-    return u.agg(*[F.max(c).alias(c) for c in ("bad_postcodes", "null_postcodes", "null_suburbs", "duplicate_pairs")])
+    (suburb, postcode) pairs occurring more than once - one aggregate over the
+    per-pair counts."""
+    bad = F.col(postcode).isNotNull() & ~F.col(postcode).rlike(r"^[0-9]{4}$")
+    per = df.groupBy(suburb, postcode).agg(F.count(F.lit(1)).alias("_n"), F.count_if(bad).alias("_bad"))
+    return per.agg(F.sum("_bad").cast("long").alias("bad_postcodes"),
+                   F.coalesce(F.sum(F.when(F.col(postcode).isNull(), F.col("_n"))), F.lit(0)).cast("long").alias("null_postcodes"),
+                   F.coalesce(F.sum(F.when(F.col(suburb).isNull(), F.col("_n"))), F.lit(0)).cast("long").alias("null_suburbs"),
+                   F.count_if(F.col("_n") > 1).alias("duplicate_pairs"))
 
 
 def column_population(df: DataFrame) -> DataFrame:

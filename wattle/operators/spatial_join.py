@@ -243,12 +243,16 @@ def nearest_neighbour(left: DataFrame, right: DataFrame, left_id: str, right_id:
         best = (j.groupBy(left_id, left_lon, left_lat)
                  .agg(F.min(F.struct((dx * dx + dy * dy).alias("d2"), F.col(right_id).alias("rid"),
                                      F.col(right_lon).alias("rx"), F.col(right_lat).alias("ry"))).alias("b")))
-        settled = best if final else best.filter(F.col("b.d2") <= F.lit(s * s))
-        done.append(settled.select(left_id, left_lon, left_lat, F.col("b.rid").alias(right_id),
-                                   F.sqrt(F.col("b.d2")).alias("distance_deg"),
-                                   F.col("b.rx").alias("_rx"), F.col("b.ry").alias("_ry")))
+        settled = (best if final else best.filter(F.col("b.d2") <= F.lit(s * s))).select(
+            left_id, left_lon, left_lat, F.col("b.rid").alias(right_id), F.sqrt(F.col("b.d2")).alias("distance_deg"),
+            F.col("b.rx").alias("_rx"), F.col("b.ry").alias("_ry"))
         if final:
+            done.append(settled)
             break
+        # One row per settled point: materialised once in the shared checkpoint
+        # folder, then used both as this round's result and to shrink the open set.
+        settled = settled.checkpoint()
+        done.append(settled)
         todo = todo.join(settled.select(left_id), left_id, "left_anti").checkpoint()
         if todo.isEmpty():
             break
@@ -372,6 +376,9 @@ def radius_page(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
         if final:
             done.append(ranked)
             break
+        # At most ``hi`` rows per centre: materialised once, then used both for the
+        # settled centres' pages and to find the open ones.
+        ranked = ranked.checkpoint()
         full = ranked.filter(F.col("rank") == hi).select(left_id)
         done.append(ranked.join(full, left_id, "left_semi"))
         todo = todo.join(full, left_id, "left_anti").checkpoint()
