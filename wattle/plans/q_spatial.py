@@ -100,12 +100,21 @@ FROM address a LEFT JOIN (SELECT * FROM mapping WHERE school_type = 'PRIMARY') p
 LEFT JOIN (SELECT * FROM mapping WHERE school_type = 'SECONDARY') s ON a.address_detail_pid = s.address_detail_pid
 WHERE a.date_retired IS NULL"""))
 def j18_primary_secondary(spark, d):
+    """Every active address with its primary and its secondary catchment (left
+    joins, so several of either fan out as in the reference).  The mapping is
+    computed once: its rows are gathered per address (a handful of catchments
+    at most) and unfolded into the same rows the two left joins would give."""
     t = Tables(spark, d)
-    m = mapping(t)
-    p = m.filter(F.col("school_type") == "PRIMARY").select("address_detail_pid", F.col("school_id").alias("primary_school_id"))
-    s = m.filter(F.col("school_type") == "SECONDARY").select("address_detail_pid", F.col("school_id").alias("secondary_school_id"))
-    a = A.active(D.address(t), "date_retired").select("address_detail_pid")
-    return a.join(p, "address_detail_pid", "left").join(s, "address_detail_pid", "left")
+    per = mapping(t).groupBy("address_detail_pid").agg(
+        F.collect_list(F.when(F.col("school_type") == "PRIMARY", F.col("school_id"))).alias("_p"),
+        F.collect_list(F.when(F.col("school_type") == "SECONDARY", F.col("school_id"))).alias("_s"))
+    a = A.active(D.address(t), "date_retired").select("address_detail_pid").join(per, "address_detail_pid", "left")
+
+    def or_null(c):
+        return F.when(F.coalesce(F.size(c), F.lit(0)) > 0, c).otherwise(F.array(F.lit(None).cast("long")))
+    return (a.withColumn("primary_school_id", F.explode(or_null(F.col("_p"))))
+             .withColumn("secondary_school_id", F.explode(or_null(F.col("_s"))))
+             .select("address_detail_pid", "primary_school_id", "secondary_school_id"))
 
 
 @register("j16_addresses_of_named_catchment", sql(f"""SELECT p.address_detail_pid, p.school_id FROM (
