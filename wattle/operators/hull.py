@@ -19,9 +19,33 @@ from pyspark.sql import functions as F
 from wattle.functions.geo import EARTH_RADIUS_M
 
 
+def _drop_interior(pts: np.ndarray) -> np.ndarray:
+    """Akl-Toussaint filter: drop the points strictly inside the polygon of the
+    extreme points in eight directions (vectorised), leaving the hull candidates."""
+    if len(pts) < 32:
+        return pts
+    ang = np.arange(8) * (np.pi / 4)
+    proj = pts @ np.vstack([np.cos(ang), np.sin(ang)])          # (n, 8) projections
+    ext = pts[np.argmax(proj, axis=0)]                          # extremes, counter-clockwise
+    keep_rows = np.r_[True, np.any(ext[1:] != ext[:-1], axis=1)]
+    ext = ext[keep_rows]
+    if len(ext) >= 2 and np.all(ext[0] == ext[-1]):
+        ext = ext[:-1]
+    if len(ext) < 3:
+        return pts
+    a, b = ext, np.roll(ext, -1, axis=0)
+    cross = ((b[:, 0] - a[:, 0])[None, :] * (pts[:, 1:2] - a[:, 1][None, :])
+             - (b[:, 1] - a[:, 1])[None, :] * (pts[:, 0:1] - a[:, 0][None, :]))
+    inside = np.all(cross > 0, axis=1)
+    return pts[~inside]
+
+
 def _hull_xy(x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Andrew's monotone chain; counter-clockwise vertices, no repeated endpoint."""
+    """Andrew's monotone chain; counter-clockwise vertices, no repeated endpoint.
+    Points strictly inside the extreme-point octagon are dropped first, so the
+    chain (a Python loop) only walks the few candidates near the hull."""
     pts = np.unique(np.column_stack([x, y]), axis=0)
+    pts = _drop_interior(pts)
     if len(pts) <= 2:
         return pts[:, 0], pts[:, 1]
 
