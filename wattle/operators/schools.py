@@ -74,7 +74,7 @@ def expand_school_type(abbrev) -> Column:
 
 def with_name_parts(catchment_names: DataFrame, name: str = "school_name") -> DataFrame:
     first, abbrev, n = name_parts(name)
-    return catchment_names.select("*", n.alias("word_count"), first.alias("school_first"), abbrev.alias("school_abbrev"),
+    return catchment_names.select("*", n.cast("long").alias("word_count"), first.alias("school_first"), abbrev.alias("school_abbrev"),
                                   expand_school_type(abbrev).alias("school_type_name"))
 
 

@@ -372,7 +372,7 @@ def radius_page(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
         cand = cand.withColumn("distance_km", F.round(F.col("_m") / 1000.0, 2)).drop("_m")
         if not faithful:
             cand = cand.filter(F.col("distance_km") <= F.lit(float(km)))
-        ranked = cand.withColumn("rank", F.row_number().over(w)).filter(F.col("rank") <= hi)
+        ranked = cand.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= hi)
         if final:
             done.append(ranked)
             break

@@ -295,7 +295,7 @@ def sp16_ring_validity(spark, d):
                  F.count_if(F.forall("rings", lambda r: G.ring_is_valid(r))).alias("valid_rings"))
 
 
-@register("ag15_catchment_stats_per_type", _psql("""SELECT school_type, count(*) AS catchments, sum(n) AS total_addresses,
+@register("ag15_catchment_stats_per_type", _psql("""SELECT school_type, count(*) AS catchments, cast(sum(n) AS bigint) AS total_addresses,
  cast(floor(avg(n)) AS bigint) AS avg_addresses, max(n) AS max_addresses
 FROM (SELECT school_id, school_type, count(*) AS n FROM mapping GROUP BY school_id, school_type) x GROUP BY school_type"""))
 def ag15_catchment_stats_per_type(spark, d):
