@@ -308,7 +308,10 @@ def reconciliation(ledger: DataFrame, book: DataFrame) -> DataFrame:
     (``min`` - the ledger has no row order after a distributed read).  Counter
     rows (block 0) come first, then the three blocks each sorted by id.
     """
+    # Distinct (id, name) pairs first: a hash aggregate combined map-side, so the
+    # string ``min`` (a sort-based aggregate) only sees the small distinct set.
     w = (ledger.filter(F.col("engagement_id").isNotNull())
+               .select("engagement_id", "engagement_name").distinct()
                .groupBy("engagement_id").agg(F.min("engagement_name").alias("engagement_name"))
                .withColumn("_w", F.lit(True)))
     b = (book.filter(F.col("engagement_id").isNotNull()).select("engagement_id").distinct()
