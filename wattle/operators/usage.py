@@ -2,10 +2,10 @@
 
 The reference checks a monthly quota per request; here it is re-aimed at the
 usage log as a batch job.  "First N calls of a user in a month" is a
-``row_number() <= N`` filter with a literal N, which Spark executes with a
-map-side group limit, so no user-month is ever sorted whole in one task; the
-N-th call's key is then compared with every call (a keyed join AQE can split
-when one user-month is huge).
+``row_number() <= N`` filter with a literal N on the raw log, which Spark
+executes with a map-side group limit, so no user-month is ever sorted whole in
+one task; the N-th call's key is then compared with every call (a keyed join
+AQE can split when one user-month is huge).
 """
 
 from __future__ import annotations
@@ -62,33 +62,27 @@ def quota_decisions(log: DataFrame, user_limits: DataFrame) -> DataFrame:
 
     ``user_limits``: (user_id, searches_per_month); users missing from it get the
     first tier's limit.
+
+    Plan: the raw log is ranked per user-month with ``row_number() <= K`` (K =
+    the largest finite limit, a literal), which Spark cuts map-side before the
+    shuffle, so a user-month holding a third of the log reaches no task whole.
+    Limits are attached to that small top-K set, giving one threshold per
+    user-month, and the log meets the thresholds in a single join on
+    (user, month), which AQE may split for a hot key.
     """
     default = TIERS[0][2]  # the first (free) tier's limit
-    # Users without a row get the default limit; a row with a null limit is unlimited.
     limits = user_limits.select("user_id", F.col("searches_per_month").cast("int").alias("_l"), F.lit(True).alias("_known"))
-    lg = (log.select("usage_id", "user_id", "request_timestamp",
-                     calendar_month("request_timestamp").alias("month"))
-             .join(limits, "user_id", "left")
-             .withColumn("lim", F.when(F.col("_known").isNull(), F.lit(default)).otherwise(F.col("_l")))
-             .drop("_l", "_known"))
+    finite = {r[0] for r in limits.select("_l").where(F.col("_l").isNotNull()).distinct().collect()} | {default}
+    k_max = max(1, max(finite))
+    base = log.select("usage_id", "user_id", "request_timestamp", calendar_month("request_timestamp").alias("month"))
     key = F.struct("request_timestamp", "usage_id")
-    # One pass per distinct limit (a handful of tiers).  ``row_number() <= k`` with a
-    # literal k lets Spark insert a map-side group limit before the shuffle, so
-    # each task forwards at most k rows of any user-month - even a user-month
-    # holding a third of the log never reaches one task whole.
-    ks = sorted({r[0] for r in limits.select("_l").where(F.col("_l").isNotNull()).distinct().collect()} | {default})
     w = Window.partitionBy("user_id", "month").orderBy("request_timestamp", "usage_id")
-    parts = []
-    for k in ks:
-        if k <= 0:
-            continue
-        top = (lg.filter(F.col("lim") == k).withColumn("_r", F.row_number().over(w))
-                 .filter(F.col("_r") <= k).filter(F.col("_r") == k))
-        parts.append(top.select("user_id", "month", key.alias("_thr")))
-    thr = parts[0]
-    for p_ in parts[1:]:
-        thr = thr.unionByName(p_)
-    out = lg.join(thr, ["user_id", "month"], "left")
+    top = base.withColumn("_r", F.row_number().over(w)).filter(F.col("_r") <= k_max)
+    top = (top.join(limits, "user_id", "left")
+              .withColumn("lim", F.when(F.col("_known").isNull(), F.lit(default)).otherwise(F.col("_l"))))
+    thr = top.groupBy("user_id", "month").agg(
+        F.max("lim").alias("lim"), F.max(F.when(F.col("_r") == F.col("lim"), key)).alias("_thr"))
+    out = base.join(thr, ["user_id", "month"], "left")
     allowed = F.when(F.col("lim").isNull(), F.lit(True)) \
                .when(F.col("lim") <= 0, F.lit(False)) \
                .when(F.col("_thr").isNull(), F.lit(True)) \
