@@ -80,8 +80,11 @@ def latest_files(spark: SparkSession, folder: str, patterns: list[str]) -> DataF
     """
     files = (spark.read.format("binaryFile").option("recursiveFileLookup", True).load(folder)
                   .select("path", "modificationTime"))
-    pats = spark.createDataFrame([(p,) for p in patterns], "pattern string")
-    j = files.join(F.broadcast(pats), F.lower(F.element_at(F.split("path", "/"), -1)).contains(F.lower("pattern")))
+    name = F.lower(F.element_at(F.split("path", "/"), -1))
+    # Each file is tagged with the patterns its name contains (the pattern list is
+    # the caller's handful of literals), so no join is needed.
+    tags = F.array_compact(F.array(*[F.when(name.contains(p.lower()), F.lit(p)) for p in patterns]))
+    j = files.select("path", "modificationTime", F.explode(tags).alias("pattern"))
     return j.groupBy("pattern").agg(F.max_by("path", "modificationTime").alias("path"),
                                     F.max("modificationTime").alias("modified"))
 
