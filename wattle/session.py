@@ -24,6 +24,11 @@ DEFAULT_CONF = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.execution.arrow.pyspark.enabled": "true",
     "spark.sql.files.maxPartitionBytes": str(128 * 1024 * 1024),
+    # collect_list/min(struct) aggregates keep a small buffer per key; Spark's
+    # default switches them to sort-based aggregation after only 128 keys per
+    # task.  16k small buffers stay a few MB per task, and larger key sets still
+    # fall back to the spilling sort path.
+    "spark.sql.objectHashAggregate.sortBased.fallbackThreshold": "16384",
     "spark.ui.enabled": "false",
     "spark.ui.showConsoleProgress": "false",
 }
