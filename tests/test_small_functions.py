@@ -2,8 +2,6 @@
 
 import json
 
-from pyspark.sql import functions as F
-
 from wattle.functions import geo as G
 from wattle.functions import ledger_cols as P
 from wattle.functions import text as T

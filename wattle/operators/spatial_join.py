@@ -22,8 +22,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattle.functions.geo import (EARTH_RADIUS_M, haversine_m, point_in_polygon, rings_bbox, segment_distance_m,
-                                 square_cell, vincenty_m, with_vincenty)
+from wattle.functions.geo import (EARTH_RADIUS_M, haversine_m, point_in_polygon, rings_bbox, square_cell, vincenty_m,
+                                 with_vincenty)
 
 # The sphere (R = 6371 km) and the WGS84 geodesic differ by well under 1 %, so a
 # haversine distance outside [0.99, 1.01] x limit decides a geodesic radius test
