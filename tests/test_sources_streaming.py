@@ -143,3 +143,32 @@ def test_subscription_state_stream_equals_batch(spark, tmp_path):
     for r in got_rows:
         final[r.customer_id] = (r.tier_id, r.subscription_status)
     assert final == batch
+
+
+def test_live_quota_equals_batch(spark, tmp_path):
+    import pyarrow.parquet as pq
+
+    from wattle.streaming.usage_stream import quota_stream
+    from wattle.session import scratch_path
+
+    src = tmp_path / "events"
+    src.mkdir()
+    table = pq.read_table("/root/testdata/sf0.001/events.parquet").sort_by([("ts", "ascending"), ("event_id", "ascending")])
+    n = table.num_rows
+    for i, start in enumerate(range(0, n, 250)):  # arrival order = time order, several micro-batches
+        pq.write_table(table.slice(start, 250), str(src / f"part-{i:03d}.parquet"))
+        os.utime(src / f"part-{i:03d}.parquet", (1_000_000 + i, 1_000_000 + i))
+    limits = spark.createDataFrame([(u, 3 if u % 2 else None) for u in range(0, 300, 5)], "user_id long, searches_per_month int")
+    name = f"quota{os.getpid()}"
+    log = (spark.readStream.schema("event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string")
+                .option("maxFilesPerTrigger", 1).parquet(str(src))
+                .select("user_id", F.col("event_type").alias("search_type"), F.col("ts").alias("request_timestamp"),
+                        F.col("event_id").alias("usage_id")))
+    q = (quota_stream(log, limits).writeStream.outputMode("append").format("memory").queryName(name)
+         .option("checkpointLocation", scratch_path(spark, f"stream-{name}")).trigger(availableNow=True).start())
+    q.awaitTermination(300)
+    live = {r.usage_id: r.allowed for r in spark.sql(f"SELECT * FROM {name}").collect()}
+    batch_log = spark.read.parquet("/root/testdata/sf0.001/events.parquet").select(
+        "user_id", F.col("event_type").alias("search_type"), F.col("ts").alias("request_timestamp"), F.col("event_id").alias("usage_id"))
+    batch = {r.usage_id: r.allowed for r in U.quota_decisions(batch_log, limits).collect()}
+    assert live == batch and not all(batch.values())

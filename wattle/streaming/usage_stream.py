@@ -111,3 +111,56 @@ def subscription_events_stream(spark: SparkSession, folder: str) -> DataFrame:
          .when(et == "error", "customer.subscription.deleted")
          .otherwise("customer.subscription.updated").alias("type"),
         F.when(F.col("event_id") % 2 == 0, "active").otherwise("past_due").alias("status"))
+
+
+# ----------------------------------------------------------------------------- N1 as a live quota
+_QUOTA_STATE = "month date, used int"
+_QUOTA_OUT = "usage_id long, user_id long, month date, allowed boolean"
+
+
+def _quota_fold(key, batches, state):
+    """Per user: calls arrive in order; a call is allowed while the calls already
+    tracked this calendar month are below the limit, and only allowed calls are
+    tracked.  Within a micro-batch the decision is vectorised per month."""
+    import pandas as pd
+
+    month, used = state.get if state.exists else (None, 0)
+    out = []
+    for pdf in batches:
+        pdf = pdf.sort_values(["request_timestamp", "usage_id"])
+        for m, g in pdf.groupby("month", sort=True):
+            if month != m:
+                month, used = m, 0
+            lim = g["lim"].iloc[0]
+            if pd.isna(lim):
+                allowed = pd.Series(True, index=g.index)
+            else:
+                rank = pd.Series(range(1, len(g) + 1), index=g.index)
+                allowed = (used + rank) <= int(lim)
+            used += int(allowed.sum())
+            out.append(pd.DataFrame({"usage_id": g["usage_id"].astype("int64"), "user_id": int(key[0]),
+                                     "month": g["month"], "allowed": allowed.astype(bool)}))
+    state.update((month, int(used)))
+    if out:
+        yield pd.concat(out, ignore_index=True)
+
+
+def quota_stream(log: DataFrame, user_limits: DataFrame) -> DataFrame:
+    """N1 live: decide each call of a streamed usage log as it arrives (append mode).
+
+    ``user_limits`` (user_id, searches_per_month) is a static table joined to the
+    stream; users missing from it get the first tier's limit, a null limit is
+    unlimited.  State per user is just (month, calls tracked), so it stays
+    bounded however long the stream runs.
+    """
+    from pyspark.sql.streaming.state import GroupStateTimeout
+
+    from wattle.operators.usage import TIERS, calendar_month
+
+    limits = user_limits.select("user_id", F.col("searches_per_month").cast("int").alias("_l"), F.lit(True).alias("_known"))
+    ev = (log.select("usage_id", "user_id", "request_timestamp", calendar_month("request_timestamp").alias("month"))
+             .join(limits, "user_id", "left")
+             .withColumn("lim", F.when(F.col("_known").isNull(), F.lit(TIERS[0][2])).otherwise(F.col("_l")))
+             .drop("_l", "_known"))
+    return ev.groupBy("user_id").applyInPandasWithState(
+        _quota_fold, _QUOTA_OUT, _QUOTA_STATE, "append", GroupStateTimeout.NoTimeout)
