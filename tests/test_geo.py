@@ -137,3 +137,20 @@ def test_interior_cells_with_hole_and_parts(spark):
     single = {r.id for r in S.points_in_polygons(p, poly, "pid", size=0.005, point_id="id", single_pass=True).collect()}
     assert fast == slow == single and len(fast) > 300
     assert not ({9000, 9001, 9002, 9003} & fast)
+
+
+def test_polygon_edges_on_cell_boundaries(spark):
+    # Edges lie exactly on cell lines of the 0.01 grid; points on, just inside and
+    # just outside them; fast (classified cells) and ring methods must agree.
+    shell = [(0.02, 0.02), (0.05, 0.02), (0.05, 0.04), (0.03, 0.04), (0.03, 0.06), (0.02, 0.06), (0.02, 0.02)]
+    poly = _poly(spark, [shell]).withColumnRenamed("id", "pid")
+    pts, i = [], 0
+    for x in [0.0199999, 0.02, 0.0200001, 0.025, 0.03, 0.0300001, 0.045, 0.05, 0.0500001]:
+        for y in [0.0199999, 0.02, 0.0200001, 0.03, 0.04, 0.0400001, 0.05, 0.06, 0.0600001]:
+            pts.append((i, x, y))
+            i += 1
+    p = spark.createDataFrame(pts, "id int, lon double, lat double")
+    for size in (0.01, 0.005):
+        fast = {r.id for r in S.points_in_polygons(p, poly, "pid", size=size, point_id="id").collect()}
+        slow = {r.id for r in S.points_in_polygons(p, poly, "pid", size=size, method="rings").collect()}
+        assert fast == slow and fast

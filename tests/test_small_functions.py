@@ -2,6 +2,7 @@
 
 import json
 
+from pyspark.sql import functions as F
 from wattle.functions import geo as G
 from wattle.functions import ledger_cols as P
 from wattle.functions import text as T
@@ -66,3 +67,24 @@ def test_bridge_spec_form_and_totals_row(spark):
     s = spark.createDataFrame([("E-1", 1.25, 2.0), ("E-2", 2.0, None)], "engagement_id string, ansr double, hours double")
     rows = {r.engagement_id: r for r in L.with_totals_row(s, "engagement_id", ["ansr", "hours"]).collect()}
     assert rows["TOTAL"].ansr == 3.25 and rows["TOTAL"].hours == 2.0
+
+
+def test_address_text_with_missing_parts(spark):
+    df = spark.createDataFrame([
+        (None, None, 12, None, "SMITH", "STREET", "TOWN", None, None),      # null state and postcode
+        (None, None, None, None, "SMITH", "STREET", "TOWN", "NSW", "2000"),  # null number
+        ("UNIT", 3, 7, 9, "SMITH", None, "TOWN", "NSW", "2000"),             # flat, range, no type
+    ], "ft string, fn int, nf int, nl int, sn string, st string, loc string, sa string, pc string")
+    none = F.lit(None).cast("string")
+    got = [r.a for r in df.select(T.full_address("ft", "fn", none, none, "nf", "nl", "sn", "st", none, "loc", "sa", "pc")
+                                  .alias("a")).collect()]
+    assert got == ["12 SMITH STREET, TOWN,  ", "SMITH STREET, TOWN, NSW 2000", "UNIT 3, 7 -9 SMITH, TOWN, NSW 2000"]
+    simple = [r.s for r in df.select(T.simple_address("fn", "nf", "sn", "loc", "sa", "pc").alias("s")).collect()]
+    assert simple == ["12 SMITH TOWN", "SMITH TOWN NSW 2000", "Unit 3, 7 SMITH TOWN NSW 2000"]
+
+
+def test_search_text_wildcards_are_literal(spark):
+    df = spark.createDataFrame([("100% PURE",), ("1000 PURE",), ("A_B",), ("AXB",)], "name string")
+    assert [r.name for r in df.filter(T.icontains("name", "100%")).collect()] == ["100% PURE"]
+    assert [r.name for r in df.filter(T.icontains("name", "a_b")).collect()] == ["A_B"]
+    assert sorted(r.name for r in df.filter(T.icontains("name", "a_b", escape=False)).collect()) == ["AXB", "A_B"]
