@@ -154,3 +154,11 @@ def test_polygon_edges_on_cell_boundaries(spark):
         fast = {r.id for r in S.points_in_polygons(p, poly, "pid", size=size, point_id="id").collect()}
         slow = {r.id for r in S.points_in_polygons(p, poly, "pid", size=size, method="rings").collect()}
         assert fast == slow and fast
+
+
+def test_sydney_melbourne_pair(spark):
+    # The CBD points of the two cities (the reference's fixed values): spheroid and
+    # sphere distances as quoted for this pair.
+    r = spark.range(1).select(G.vincenty_m(-33.8688, 151.2093, -37.8136, 144.9631).alias("v"),
+                              G.haversine_m(-33.8688, 151.2093, -37.8136, 144.9631).alias("h")).first()
+    assert round(r.v, 3) == 713857.665 and round(r.h, 3) == 713427.481
