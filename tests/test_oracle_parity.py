@@ -50,7 +50,10 @@ def test_query_matches_oracle(spark, con, name):
 def test_entry_runs(spark):
     df = E.entry(spark)
     assert df.count() > 0
-    assert "ter" in df.columns
+    # The driver checks that the flagship schema is stable.
+    assert [(f.name, f.dataType.simpleString()) for f in df.schema.fields] == [
+        ("engagement_id", "string"), ("engagement_name", "string"), ("ansr", "double"), ("margin_cost", "double"),
+        ("margin_amount", "double"), ("ter", "double"), ("margin_pct", "double"), ("hours", "double")]
 
 
 def test_queries_without_oracle_run(spark):
