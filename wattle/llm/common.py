@@ -59,3 +59,46 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
 
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
+
+
+#: A bitmap for ``may_contain`` has at most so many bits: 16 MB, whatever the number of keys.
+MAX_BITS = 1 << 27
+
+
+def key_bitmap(keys: DataFrame, column: str) -> np.ndarray:
+    """Bytes of a bitmap with bit (key mod size) set for each 64-bit key of ``column``.
+
+    Its size follows the number of keys, 32 bits for each, up to MAX_BITS; past that it only lets
+    more other keys through.  Spark builds it in 4 KB pieces, so at most MAX_BITS / 8 bytes come
+    to the driver.
+    """
+    n = keys.count()
+    bits = 1 << 18
+    while bits < min(32 * n, MAX_BITS):
+        bits *= 2
+    at = keys.select((F.pmod(F.col(column), F.lit(bits)) + 1).alias("at"))
+    pieces = at.groupBy(F.bitmap_bucket_number("at").alias("piece")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("at")).alias("bits"))
+    out = np.zeros(bits // 8, np.uint8)
+    for row in pieces.collect():
+        piece = np.frombuffer(bytes(row["bits"]), np.uint8)
+        out[(row["piece"] - 1) * 4096:][:len(piece)] = piece
+    return out
+
+
+def may_contain(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """False where a 64-bit key is certainly not among those of the bitmap."""
+    at = keys.astype(np.uint64) & np.uint64(len(bitmap) * 8 - 1)
+    return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def may_contain_udf(spark, bitmap: np.ndarray):
+    """Boolean function of a bigint column: ``may_contain`` with the bitmap broadcast (bounded by MAX_BITS)."""
+    import pandas as pd
+
+    shared = spark.sparkContext.broadcast(bitmap)
+
+    @F.pandas_udf("boolean")
+    def test(keys: pd.Series) -> pd.Series:
+        return pd.Series(may_contain(shared.value, keys.to_numpy(np.int64)))
+
+    return test
