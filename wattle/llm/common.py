@@ -5,6 +5,7 @@ from __future__ import annotations
 import uuid
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -93,8 +94,6 @@ def may_contain(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
 
 def may_contain_udf(spark, bitmap: np.ndarray):
     """Boolean function of a bigint column: ``may_contain`` with the bitmap broadcast (bounded by MAX_BITS)."""
-    import pandas as pd
-
     shared = spark.sparkContext.broadcast(bitmap)
 
     @F.pandas_udf("boolean")

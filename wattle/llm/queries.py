@@ -1,4 +1,4 @@
 """Importing this module registers the subpackage's queries."""
 
-from wattle.llm import entropy_mix, quotient_dedup, secret_linking, sentencepiece_codec, url_vocabulary  # noqa: F401
+from wattle.llm import chosen_path, entropy_mix, quotient_dedup, secret_linking, sentencepiece_codec, url_vocabulary  # noqa: F401
 from wattle.llm.registry import ORACLES, QUERIES  # noqa: F401

@@ -21,6 +21,7 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -159,12 +160,9 @@ def encode(df: DataFrame, model: bytes, text_col: str = "text", ids_col: str | N
 
 def decode(df: DataFrame, model: bytes, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
     """``df`` with the text the library decodes from each id array (null ids: null)."""
-    from pyspark.sql.pandas.functions import pandas_udf
-    import pandas as pd
-
     _add(df, [out_col])
 
-    @pandas_udf("string")
+    @F.pandas_udf("string")
     def text_of(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         import sentencepiece
 
