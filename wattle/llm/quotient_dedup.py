@@ -170,6 +170,8 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     true_class = (F.col("texts") == 1) & (F.col("rows") == F.col("found"))
     groups = groups.join(verified, "sha", "left").select(
         "sha", "best", F.when(F.coalesce(true_class, F.lit(False)), F.col("rows")).otherwise(F.raise_error(F.lit("different texts share a digest"))).alias("rows"))
+    # written, so that the join below reads both sides from plain exchanges and Spark can split a hot class
+    groups = materialize(groups, "dedup-groups")
     both = hashed.join(groups, "sha", "left")
     keeper = F.col("best").isNotNull()
     return both.select("id", F.when(keeper, -F.col("best._id")).otherwise(F.col("id")).alias("keep_id"), F.coalesce("rows", F.lit(1)).cast("bigint").alias("group_size"),
