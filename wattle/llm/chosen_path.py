@@ -3,9 +3,12 @@
 A document's set holds its distinct five-word shingles.  Equal sets form a class, and one
 document of each class takes part in the join.  Every one of ``TREES`` independent
 trees starts with one minwise token of each set (a coordinate of a MinHash): the sets that share
-it form a node.  Nodes of up to ``LEAF`` sets are compared exhaustively; in a larger one
-every set branches again on coordinates chosen by the node's path, four at its first branching and
-4/3 on average (one over the threshold) after that, so that similar sets keep meeting while others part.
+it form a node.  Nodes of up to ``LEAF`` sets are compared exhaustively.  In a larger one every set first
+meets the node's hub; the links so found and those of the small nodes are confirmed and give a first set of
+components.  Large nodes whose sets lie in one component end there.  The others part by size (sets that
+differ by more than the threshold in size cannot be similar; each set goes to its own and the next class) and then
+branch on coordinates chosen by the node's path: two at the first branching and 4/3 on average, one over the
+threshold, after that, so that similar sets keep meeting while others part.
 A pair at the threshold shares a given root with probability 0.75, so ten trees miss a pair whose
 tokens are not common ones with probability 0.25 ** 10; nodes that are still large after
 ``DEPTH`` branchings are compared in blocks, so none is cut off.
@@ -13,9 +16,8 @@ tokens are not common ones with probability 0.25 ** 10; nodes that are still lar
 Comparisons inside nodes use 256 MinHash bytes: pairs estimated at LOW (four standard deviations
 under the threshold) or more are candidates, and every reported link is confirmed on the full sets.
 A node does not emit all its pairs: it emits a spanning forest of its candidates, best first; after
-these are confirmed, only candidates that still lie in different components are emitted.  In
-large nodes every set meets the node's hub, and nodes whose sets are all tied (HIGH or more) to one hub
-end there.  What is returned are components, for which a forest of confirmed links suffices.
+these are confirmed, only candidates that still lie in different components are emitted.  What is
+returned are components, for which a forest of confirmed links suffices.
 
 Defined results: null, empty or white-space text has an empty set, linked with nothing; a text of
 fewer than five words has one shingle; a null id never names a component that has another id; repeated
@@ -25,6 +27,7 @@ rows fall into one class; an empty table gives an empty one; other columns are n
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +43,7 @@ from wattle.llm.registry import register, table
 WORDS = 5
 #: Similarity in hundredths.
 THRESHOLD = 75
-TREES, LEAF, DEPTH = 10, 100, 12
+TREES, LEAF, DEPTH = 10, 400, 12
 COORDINATES = 256
 LOW, HIGH = 0.64, 0.86
 
@@ -121,23 +124,22 @@ def _sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 
 def _classes(sets: DataFrame) -> DataFrame:
-    """One row of each class of equal, non-empty sets: (cid, class, id, key, roots, sketch), written."""
-    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "rid", "key", "roots", "sketch")).alias("f")
+    """One row of each class of equal, non-empty sets: (cid, class, id, key, n, roots, sketch), written."""
+    first = F.min(F.struct(F.col("id").isNull().alias("no_id"), "id", "rid", "key", "n", "roots", "sketch")).alias("f")
     found = sets.filter("n > 0").groupBy("class").agg(first)
-    return materialize(found.select(F.monotonically_increasing_id().alias("cid"), "class", "f.id", "f.key", "f.roots", "f.sketch"), "near-classes")
+    return materialize(found.select(F.monotonically_increasing_id().alias("cid"), "class", "f.id", "f.key", "f.n", "f.roots", "f.sketch"), "near-classes")
 
 
-def _nodes(rows: DataFrame) -> DataFrame:
-    """(node, size, hub) of the nodes that still tell something: two sets at least, not all tied to one."""
-    hub = F.min(F.struct(F.xxhash64("node", "cid").alias("h"), F.col("cid"), F.col("label"))).alias("hub")
-    found = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"), hub)
-    return found.filter("size > 1 and low <> high").select("node", "size", F.col("hub.cid").alias("hub"), F.col("hub.label").alias("hub_label"))
+def _open(rows: DataFrame) -> DataFrame:
+    """(node, size) of the nodes whose rows (node, cid, label) have more than one label."""
+    found = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
+    return found.filter("low <> high").select("node", "size")
 
 
 def _children(node: pa.Array, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(row, coordinate, hash) of each branch: the node's path chooses the coordinates."""
     seed = _mix(node.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) + np.uint64(level))
-    count = np.full(len(seed), 4) if level == 0 else np.where(seed % np.uint64(3) == 0, 2, 1)
+    count = np.full(len(seed), 2) if level == 0 else np.where(seed % np.uint64(3) == 0, 2, 1)
     row = np.repeat(np.arange(len(seed)), count)
     turn = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
     path = _mix(seed[row] + turn.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
@@ -148,23 +150,39 @@ def _matrix(sketches: pa.Array) -> np.ndarray:
     return binary_values(sketches)[1].reshape(len(sketches), COORDINATES)
 
 
+def _stars(large: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Candidates (a, b) among the pairs of a set and its node's hub; rows are (cid, hub)."""
+    large = large.filter("cid <> hub").distinct()
+    hubs = materialize(large.select(F.col("hub").alias("cid")).distinct().join(sketches, "cid").select(F.col("cid").alias("hub"), F.col("sketch").alias("hub_sketch")), "near-hubs")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            near = (_matrix(b.column(2)) == _matrix(b.column(3))).mean(axis=1) >= LOW
+            x, y = b.column(0).to_numpy()[near], b.column(1).to_numpy()[near]
+            yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+
+    both = large.join(sketches, "cid").join(hubs, "hub").select("cid", "hub", "sketch", "hub_sketch")
+    return both.mapInArrow(run, "a bigint, b bigint")
+
+
 def _branch(large: DataFrame, level: int) -> DataFrame:
-    """Rows (node, cid, label, sketch, hub, hub_label, hub_sketch) to (cid, label, hub, estimate, children), written."""
+    """Rows (node, cid, label, sketch) to the rows (node, cid, label) of the nodes they branch to."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            b = {n: b.column(i) for i, n in enumerate(b.schema.names)}
-            own, hubs = _matrix(b["sketch"]), _matrix(b["hub_sketch"])
-            estimate = (own == hubs).mean(axis=1)
-            tied = estimate >= HIGH
-            label = np.where(tied, b["hub_label"].to_numpy(), b["label"].to_numpy())
-            row, coordinate, path = _children(b["node"], level)
+            own = _matrix(b.column(3))
+            row, coordinate, path = _children(b.column(0), level)
             child = _mix(path ^ _mix(own[row, coordinate].astype(np.uint64) + np.uint64(1))).view(np.int64)
-            ends = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(own)))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([b["cid"], pa.array(label, pa.int64()), b["hub"], pa.array(estimate), pa.ListArray.from_arrays(ends, child)],
-                                             names=["cid", "label", "hub", "estimate", "children"])
+            yield pa.RecordBatch.from_arrays([pa.array(child), b.column(1).take(pa.array(row)), b.column(2).take(pa.array(row))], names=["node", "cid", "label"])
+
+    return large.select("node", "cid", "label", "sketch").mapInArrow(run, "node bigint, cid bigint, label bigint")
 
-    return materialize(large.mapInArrow(run, "cid bigint, label bigint, hub bigint, estimate double, children array<bigint>"), "near-branch")
+
+def _by_size(large: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Rows (node, cid, label) dealt to size classes: one factor of the threshold wide, each set in its own and the one below."""
+    own = F.floor(F.log(F.col("n").cast("double")) / math.log(100 / THRESHOLD) + 1e-9)
+    rows = large.select("node", "cid", "label").join(sketches.select("cid", "n"), "cid")
+    return rows.select("*", F.explode(F.array(own, own - 1)).alias("k")).select(F.xxhash64("node", "k").alias("node"), "cid", "label")
 
 
 def _blocks(large: DataFrame) -> DataFrame:
@@ -175,24 +193,32 @@ def _blocks(large: DataFrame) -> DataFrame:
     return rows.select(F.xxhash64("node", F.least("i", "j"), F.greatest("i", "j")).alias("node"), "cid", "label")
 
 
-def _forest(m: int, a: np.ndarray, b: np.ndarray, labels: np.ndarray) -> np.ndarray:
-    """Which of the edges (a, b), best first, join parts that were apart; equal labels are joined already."""
-    first = {}
+def _forest(a: np.ndarray, b: np.ndarray, labels: np.ndarray, sure: np.ndarray) -> tuple[np.ndarray, bool]:
+    """Which of the edges (a, b), best first, join parts that were apart (equal labels are joined already), and
+    whether an edge was passed over between parts that not only sure edges join."""
+    first: dict = {}
     up = [first.setdefault(x, i) for i, x in enumerate(labels.tolist())]
-    keep = np.zeros(len(a), bool)
-    for e, (x, y) in enumerate(zip(a.tolist(), b.tolist())):
+
+    def find(x: int) -> int:
         while up[x] != x:
             up[x] = x = up[up[x]]
-        while up[y] != y:
-            up[y] = y = up[up[y]]
-        if x != y:
-            up[y] = x
+        return x
+
+    keep, certain, more = np.zeros(len(a), bool), None, False
+    for e, (x, y, s) in enumerate(zip(a.tolist(), b.tolist(), sure.tolist())):
+        if not s and certain is None:
+            certain = [find(i) for i in range(len(up))]
+        r, t = find(x), find(y)
+        if r != t:
+            up[t] = r
             keep[e] = True
-    return keep
+        elif not s and certain[x] != certain[y]:
+            more = True
+    return keep, more
 
 
-def _compare(rows: DataFrame, whole: bool) -> DataFrame:
-    """Candidates (node, a, b) of nodes given as rows (node, cid, label, sketch): a forest of each
+def _compare(rows: DataFrame, sketches: DataFrame, whole: bool) -> DataFrame:
+    """Candidates (node, a, b) of nodes given as rows (node, cid, label): a forest of each
     node's, or with ``whole`` all, between different labels.  In the forest case a row with a null a marks a node that has more."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -232,15 +258,15 @@ def _compare(rows: DataFrame, whole: bool) -> DataFrame:
             if not whole:
                 order = np.lexsort((b, a, -likeness))
                 x, y, a, b = x[order], y[order], a[order], b[order]
-                keep = _forest(m, x, y, names)
-                if not keep.all():
+                keep, more = _forest(x, y, names, likeness[order] >= HIGH)
+                if more:
                     out.append((node[s:s + 1], None, None))
                 a, b = a[keep], b[keep]
             out.append((np.full(len(a), node[s]), a, b))
         column = lambda k: pa.concat_arrays([pa.nulls(1, pa.int64()) if o[k] is None else pa.array(o[k], pa.int64()) for o in out]) if out else pa.array([], pa.int64())
         return pa.RecordBatch.from_arrays([column(0), column(1), column(2)], names=["node", "a", "b"])
 
-    dealt = rows.select("node", "cid", "label", "sketch").repartition("node").sortWithinPartitions("node")
+    dealt = rows.join(sketches.select("cid", "sketch"), "cid").select("node", "cid", "label", "sketch").repartition("node").sortWithinPartitions("node")
     return dealt.mapInArrow(run, "node bigint, a bigint, b bigint")
 
 
@@ -283,56 +309,110 @@ def _confirm(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def _candidates(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The trees: leaf rows (node, cid, label) and the links to hubs (a, b) met on the way, both written."""
-    sketches = classes.select("cid", "sketch")
-    rows = classes.select(F.posexplode("roots").alias("tree", "token"), "cid").select(F.xxhash64("tree", "token").alias("node"), "cid", F.col("cid").alias("label"))
-    leaves, hubs = None, None
-    for level in range(DEPTH + 1):
-        nodes = materialize(_nodes(rows), "near-nodes")
-        small = rows.join(nodes.filter(F.col("size") <= LEAF).select("node"), "node").select("node", "cid", "label")
+def _leaves(large: DataFrame, sketches: DataFrame) -> DataFrame | None:
+    """The trees below large nodes: rows (node, cid, label) of nodes small enough to compare; None if there are none."""
+    leaves, rows = None, materialize(large, "near-rows")
+    for level in range(-1, DEPTH + 1):
+        nodes = materialize(_open(rows), "near-nodes")
+        small = rows.join(nodes.filter(F.col("size") <= LEAF).select("node"), "node", "left_semi")
         leaves = small if leaves is None else leaves.unionByName(small)
         big = nodes.filter(F.col("size") > LEAF)
         if big.isEmpty():
             break
-        large = rows.join(big, "node")
         if level == DEPTH:
-            leaves = leaves.unionByName(_blocks(large))
+            leaves = leaves.unionByName(_blocks(rows.join(big, "node")))
             break
-        heads = big.select(F.col("hub").alias("cid")).distinct().join(sketches, "cid").select(F.col("cid").alias("hub"), F.col("sketch").alias("hub_sketch"))
-        step = _branch(large.drop("size").join(sketches, "cid").join(heads, "hub"), level)
-        met = step.filter((F.col("estimate") >= LOW) & (F.col("cid") != F.col("hub"))).select(F.least("cid", "hub").alias("a"), F.greatest("cid", "hub").alias("b"))
-        hubs = met if hubs is None else hubs.unionByName(met)
-        rows = step.select(F.explode("children").alias("node"), "cid", "label")
-    hubs = hubs if hubs is not None else leaves.select(F.col("cid").alias("a"), F.col("cid").alias("b")).limit(0)
-    return materialize(leaves.join(sketches, "cid"), "near-leaves"), materialize(hubs.distinct(), "near-hubs")
+        rows = rows.join(big.select("node"), "node", "left_semi")
+        rows = materialize(_by_size(rows, sketches) if level < 0 else _branch(rows.join(sketches, "cid"), level), "near-rows")
+    return leaves
+
+
+class _Links:
+    """Confirmed links so far, as components of classes."""
+
+    def __init__(self, df: DataFrame, id_col: str, text_col: str, classes: DataFrame):
+        self.source = df, id_col, text_col
+        self.classes, self.labels, self.tested = classes, None, None
+
+    def add(self, pairs: DataFrame) -> None:
+        """Confirm candidates (a, b) that were not tested before, and join the components they link."""
+        pairs = pairs.distinct()
+        if self.tested is not None:
+            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
+        pairs = materialize(pairs, "near-pairs")
+        if pairs.isEmpty():
+            return
+        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
+        ends = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
+        members = _full_sets(*self.source, self.classes.select("cid", "class", "key").join(ends, "cid"))
+        links = _confirm(pairs, members)
+        if self.labels is None:
+            self.labels = materialize(connected_components(links), "near-labels")
+            return
+        # components of components
+        name = self.labels.withColumnRenamed("component", "c")
+        links = links.join(name.withColumnRenamed("node", "a"), "a", "left").select(F.coalesce("c", "a").alias("a"), "b")
+        links = links.join(name.withColumnRenamed("node", "b"), "b", "left").select("a", F.coalesce("c", "b").alias("b"))
+        joined = materialize(connected_components(links), "near-joined")
+        moved = joined.select(F.col("node").alias("component"), F.col("component").alias("m"))
+        kept = self.labels.join(moved, "component", "left").select("node", F.coalesce("m", "component").alias("component"))
+        new = joined.join(self.labels, "node", "left_anti")
+        self.labels = materialize(kept.unionByName(new), "near-labels")
+
+    def label(self, rows: DataFrame) -> DataFrame:
+        """Rows (node, cid) with the label of each class: its component, or itself."""
+        rows = rows.select("node", "cid")
+        if self.labels is None:
+            return rows.withColumn("label", F.col("cid"))
+        return rows.join(self.labels.select(F.col("node").alias("cid"), F.col("component")), "cid", "left").select("node", "cid", F.coalesce("component", "cid").alias("label"))
+
+
+def _link(df: DataFrame, id_col: str, text_col: str, classes: DataFrame) -> DataFrame | None:
+    """(node, component) of every class that is linked with another; None without any."""
+    roots = classes.select(F.posexplode("roots").alias("tree", "token"), "cid").select(F.xxhash64("tree", "token").alias("node"), "cid")
+    hub = F.min(F.struct(F.xxhash64("node", "cid").alias("h"), "cid")).alias("hub")
+    nodes = roots.groupBy("node").agg(F.count("*").alias("size"), hub).filter("size > 1").select("node", "size", F.col("hub.cid").alias("hub"))
+    rows = materialize(roots.join(materialize(nodes, "near-nodes"), "node"), "near-rows")
+    sketches = materialize(classes.select("cid", "n", "sketch").join(rows.select("cid").distinct(), "cid", "left_semi"), "near-sketches")
+    small, large = rows.filter(F.col("size") <= LEAF), rows.filter(F.col("size") > LEAF)
+    links = _Links(df, id_col, text_col, classes)
+    # small nodes and hubs first
+    met = materialize(_compare(small.select("node", "cid", F.col("cid").alias("label")), sketches, whole=False), "near-forest")
+    found = met.filter("a is not null").select("a", "b")
+    some_large = not large.isEmpty()
+    if some_large:
+        found = found.unionByName(_stars(large.select("cid", "hub"), sketches))
+    links.add(found)
+    # what the components leave open: the trees below large nodes, and nodes with candidates beyond their forest
+    more = links.label(small.join(met.filter("a is null").select("node").distinct(), "node", "left_semi"))
+    leaves = more.join(_open(more).select("node"), "node", "left_semi")
+    if some_large:
+        leaves = leaves.unionByName(_leaves(links.label(large), sketches))
+    leaves = materialize(leaves.dropDuplicates(["node", "cid"]), "near-leaves")
+    if leaves.isEmpty():
+        return links.labels
+    met = materialize(_compare(leaves, sketches, whole=False), "near-forest")
+    links.add(met.filter("a is not null").select("a", "b"))
+    # and at last every candidate between components
+    more = links.label(leaves.join(met.filter("a is null").select("node").distinct(), "node", "left_semi"))
+    more = materialize(more.join(_open(more).select("node"), "node", "left_semi"), "near-open")
+    if not more.isEmpty():
+        links.add(_compare(more, sketches, whole=True).select("a", "b"))
+    return links.labels
 
 
 def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_shingles, component_id) of each row; component_id is the smallest id reachable."""
     sets = _sets(df, id_col, text_col)
     classes = _classes(sets)
-    leaves, hubs = _candidates(classes)
-    met = materialize(_compare(leaves, whole=False), "near-forest")
-    pairs = materialize(met.filter("a is not null").select("a", "b").unionByName(hubs).distinct(), "near-pairs")
-    # a set with any candidate has one in a forest, so these are all that are ever compared in full
-    ends = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-    members = _full_sets(df, id_col, text_col, classes.select("cid", "class", "key").join(ends, "cid"))
-    links = materialize(_confirm(pairs, members), "near-links")
-    linked = materialize(connected_components(links), "near-components")
-    # nodes with candidates beyond their forest: those between components are still open
-    more = leaves.select("node", "cid").join(met.filter("a is null").select("node").distinct(), "node", "left_semi")
-    named = more.join(linked.withColumnRenamed("node", "cid"), "cid", "left").select("node", "cid", F.coalesce("component", "cid").alias("label"))
-    named = materialize(named, "near-open")
-    open_nodes = named.groupBy("node").agg(F.min("label").alias("low"), F.max("label").alias("high")).filter("low <> high").select("node")
-    rest = named.join(open_nodes, "node", "left_semi").dropDuplicates(["node", "cid"]).join(classes.select("cid", "sketch"), "cid")
-    open_pairs = _compare(rest, whole=True).select("a", "b").distinct().join(pairs, ["a", "b"], "left_anti")
-    late = materialize(_confirm(open_pairs, members), "near-late-links")
-    if not late.isEmpty():
-        linked = materialize(connected_components(links.unionByName(late)), "near-components")
-    found = classes.select("class", "id", "cid").join(linked.withColumnRenamed("node", "cid"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-    lowest = found.groupBy("component").agg(F.min("id").alias("component_id"))
-    named = found.join(lowest, "component").select("class", "component_id")
+    linked = _link(df, id_col, text_col, classes)
+    found = classes.select("class", "id", "cid")
+    if linked is None:
+        named = found.select("class", F.col("id").alias("component_id"))
+    else:
+        found = found.join(linked.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+        lowest = found.groupBy("component").agg(F.min("id").alias("component_id"))
+        named = materialize(found.join(lowest, "component").select("class", "component_id"), "near-named")
     return sets.select("id", "n", "class").join(named, "class", "left").select(
         "id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
