@@ -1,12 +1,9 @@
-import os
 import random
-import sys
 
-sys.path.insert(0, os.path.dirname(__file__))
-import brute  # noqa: E402
-from pyspark.sql import functions as F  # noqa: E402
+import brute
+from pyspark.sql import functions as F
 
-from wattle.llm import secret_linking as S  # noqa: E402
+from wattle.llm import secret_linking as S
 
 
 def found(spark, texts, scope=400):

@@ -56,7 +56,7 @@ class _Words(dict):
     """word -> 64-bit hash."""
 
     def __missing__(self, word: bytes) -> int:
-        if len(self) > 500_000:
+        if len(self) > 150_000:
             self.clear()
         self[word] = value = xxhash.xxh64_intdigest(word)
         return value
@@ -64,9 +64,9 @@ class _Words(dict):
 
 def shingle_sets(offsets: np.ndarray, data: np.ndarray, words: _Words) -> Iterator[np.ndarray]:
     """Sorted distinct shingle hashes of each text; bytes.lower() and bytes.split() are ASCII's rules."""
-    whole, look = data.tobytes(), words.__getitem__
-    for i, j in slices(offsets, 4 << 20):
-        lists = [whole[s:e].lower().split() for s, e in zip(offsets[i:j].tolist(), offsets[i + 1:j + 1].tolist())]
+    whole, look = memoryview(data), words.__getitem__
+    for i, j in slices(offsets, 1 << 20):
+        lists = [bytes(whole[s:e]).lower().split() for s, e in zip(offsets[i:j].tolist(), offsets[i + 1:j + 1].tolist())]
         counts = np.fromiter(map(len, lists), np.int64, len(lists))
         hashes = np.fromiter((look(w) for ws in lists for w in ws), np.uint64, int(counts.sum()))
         ends = np.cumsum(counts)

@@ -100,9 +100,9 @@ class QuotientFilter:
 def _hashes(column: pa.Array) -> Iterator[tuple[bytes, int, bytes]]:
     """(text without white space, 64-bit fingerprint as signed integer, SHA-256) of each value."""
     offsets, data = binary_values(column)
-    whole = data.tobytes()
+    whole = memoryview(data)
     for i, j in zip(offsets[:-1].tolist(), offsets[1:].tolist()):
-        text = whole[i:j].translate(None, SPACE)
+        text = bytes(whole[i:j]).translate(None, SPACE)
         fp = xxhash.xxh64_intdigest(text)
         yield text, fp - (1 << 64) if fp >> 63 else fp, hashlib.sha256(text).digest()
 
