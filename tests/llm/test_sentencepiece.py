@@ -42,4 +42,4 @@ def test_empty_repeated_and_clashing(spark):
     with pytest.raises(ValueError):
         S.encode(df.withColumnRenamed("doc_id", "N_tokens"), S.load_model())
     with pytest.raises(ValueError):
-        S.check_model(open(__import__("public_tokenizers").path("piece_bpe_32k.model"), "rb").read().replace("▁the".encode(), "t▁e".encode(), 1))
+        S.check_model(open(__import__("public_tokenizers").path("piece_bpe_32k.model"), "rb").read().replace("▁the".encode(), "t▁he".encode(), 1))
