@@ -38,17 +38,18 @@ def test_rename_null_upsert_insert(spark):
     ren = S.rename_and_null(raw, {"a": "id", "b": "name", "c": "sector"}).collect()
     assert ren[0].name is None and ren[0].sector is None and ren[1].name == "x"
     old = spark.createDataFrame([(1, "a"), (2, "b")], "k int, v string")
-    new = spark.createDataFrame([(2, "B"), (3, "c")], "k int, v string")
-    assert sorted((r.k, r.v) for r in Q.upsert_keep_last(old, new, "k").collect()) == [(1, "a"), (2, "B"), (3, "c")]
-    assert [r.k for r in Q.insert_if_absent(old, new, ["k"]).collect()] == [3]
+    new = spark.createDataFrame([(2, "first", 1), (2, "B", 2), (3, "c", 3)], "k int, v string, line int").repartition(3, "v")
+    assert sorted((r.k, r.v) for r in Q.upsert_keep_last(old, new, "k", ["line"]).collect()) == [(1, "a"), (2, "B"), (3, "c")]
+    again = new.union(spark.createDataFrame([(3, "d", 2)], new.schema))
+    assert [(r.k, r.v) for r in Q.insert_if_absent(old, again, ["k"], ["line"]).collect()] == [(3, "d")]
 
 
 def test_new_localities_and_match_table(spark):
     subs = spark.createDataFrame([("sydney", "2000", "NSW"), ("Parramatta", "2150", "NSW")], "suburb string, postcode string, state string")
     locs = spark.createDataFrame([("SYDNEY", "2000")], "locality_name string, postcode string")
     assert [r.locality_name for r in S.new_localities(subs, locs).collect()] == ["PARRAMATTA"]
-    spark.createDataFrame([(1,)], "a int").createOrReplaceTempView("gnaf_address_detail_tmp")
-    assert S.match_table(spark, "address_detail") == "gnaf_address_detail_tmp"
+    spark.createDataFrame([(1,)], "a int").createOrReplaceTempView("loaded_address_detail_tmp")
+    assert S.match_table(spark, "address_detail") == "loaded_address_detail_tmp"
 
 
 def test_geojson_features_and_reports(spark, tmp_path):

@@ -1,10 +1,9 @@
 """Address star joins, search, autocomplete, paging and statistics
 (J6-J8, A1-A8, F3-F9, D2, D5, O1-O7, AG1-AG12, AG26-AG27, T5).
 
-Join strategy: the code tables (street/flat types, states) are fixed code lists
-and are broadcast explicitly.  Streets and localities are dimensions whose size
-grows with the country, so the planner chooses: AQE turns the sort-merge join
-into a broadcast hash join only when the measured side is under
+Join strategy: nothing is broadcast by hint.  Code tables (street/flat types, states),
+streets and localities all arrive as parameters, so the planner chooses: AQE turns the
+sort-merge join into a broadcast hash join only when the measured side is under
 ``spark.sql.adaptive.autoBroadcastJoinThreshold`` and keeps the shuffle join
 beyond it.  The address table is never broadcast.
 """
@@ -39,16 +38,16 @@ def star(address: DataFrame, streets: DataFrame, street_types: DataFrame, locali
                         F.col("locality_pid").alias("_street_locality_pid"),
                         F.col("date_retired").alias("street_date_retired"))
     a = a.join(st, "street_locality_pid", how)
-    a = a.join(F.broadcast(street_types.select(F.col("code").alias("street_type_code"),
-                                               F.col("name").alias("street_type"))), "street_type_code", "left")
+    a = a.join(street_types.select(F.col("code").alias("street_type_code"),
+                                   F.col("name").alias("street_type")), "street_type_code", "left")
     if flat_types is not None:
-        a = a.join(F.broadcast(flat_types.select(F.col("code").alias("flat_type_code"),
-                                                 F.col("name").alias("flat_type"))), "flat_type_code", "left")
+        a = a.join(flat_types.select(F.col("code").alias("flat_type_code"),
+                                     F.col("name").alias("flat_type")), "flat_type_code", "left")
     loc_key = "_street_locality_pid" if locality_via_street else "locality_pid"
     loc = localities.select(F.col("locality_pid").alias(loc_key), "locality_name", "state_pid",
                             F.col("date_retired").alias("locality_date_retired"))
     a = a.join(loc, loc_key, how)
-    a = a.join(F.broadcast(states.select("state_pid", "state_name", "state_abbreviation")), "state_pid", how)
+    a = a.join(states.select("state_pid", "state_name", "state_abbreviation"), "state_pid", how)
     return a.drop("_street_locality_pid") if not locality_via_street else a
 
 
@@ -116,17 +115,19 @@ def search_filter(df: DataFrame, number: str | None = None, street: str | None =
     return df.filter(reduce(lambda a, b: a & b, preds)) if preds else df
 
 
-def distinct_on(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+def distinct_on(df: DataFrame, key: str | list[str], order: list[str]) -> DataFrame:
     """``DISTINCT ON (key) ORDER BY key, order...`` as an aggregate.
 
     ``min(struct(order..., row))`` keeps the first row per key; unlike a
     ``row_number`` window it is combined map-side, so a key with a huge number of
-    duplicates never lands whole in one task.
+    duplicates never lands whole in one task.  Nulls come last, as in the database;
+    ties go by the rest of the row.  ``key`` is one column or several (D3).
     """
-    rest = [c for c in df.columns if c != key]
-    packed = F.struct(*[F.col(c).alias(f"_o{i}") for i, c in enumerate(order)],
-                      F.struct(*rest).alias("_row"))
-    return df.groupBy(key).agg(F.min(packed).alias("_m")).select(key, "_m._row.*")
+    keys = [key] if isinstance(key, str) else list(key)
+    rest = [c for c in df.columns if c not in keys]
+    ordered = [x.alias(f"_o{i}_{k}") for i, c in enumerate(order) for k, x in enumerate((F.col(c).isNull(), F.col(c)))]
+    packed = F.struct(*ordered, F.struct(*rest).alias("_row"))
+    return df.groupBy(*keys).agg(F.min(packed).alias("_m")).select(*keys, "_m._row.*")
 
 
 def page(df: DataFrame, order: list, page_no: int, page_size: int) -> DataFrame:
@@ -139,14 +140,14 @@ def suburb_autocomplete(df: DataFrame, prefix: str, limit: int = 20) -> DataFram
     """Distinct suburbs starting with the prefix (case-insensitive), ordered, top ``limit``."""
     return (df.filter(T.istarts("locality_name", prefix))
               .select("locality_name", "state_abbreviation", "postcode").distinct()
-              .orderBy("locality_name", "state_abbreviation", "postcode").limit(limit))
+              .orderBy(*[F.asc_nulls_last(c) for c in ("locality_name", "state_abbreviation", "postcode")]).limit(limit))
 
 
 def street_autocomplete(df: DataFrame, prefix: str, limit: int = 20, drop_coordinate_like: bool = True) -> DataFrame:
     """Distinct street names with the prefix, top ``limit``; coordinate-like names
     (A20) are removed *after* the limit as in the reference page."""
     top = (df.filter(T.istarts("street_name", prefix)).select("street_name", "street_type").distinct()
-             .orderBy("street_name", "street_type").limit(limit))
+             .orderBy(F.asc_nulls_last("street_name"), F.asc_nulls_last("street_type")).limit(limit))
     return top.filter(~T.is_coordinate_like("street_name")) if drop_coordinate_like else top
 
 
@@ -236,8 +237,9 @@ def density_grid(df: DataFrame, size: float = 0.01, top: int = 20,
     maxx, maxy) restricts to the grid's envelope.
     """
     cx, cy = square_cell("lon", size), square_cell("lat", size)
-    on_edge = (F.col("lon") / F.lit(size) == F.floor(F.col("lon") / F.lit(size))) | \
-              (F.col("lat") / F.lit(size) == F.floor(F.col("lat") / F.lit(size)))
+    # an edge is a multiple of the size as a number, whatever the quotient rounds to
+    edge = lambda c, cell: (F.col(c) == cell * F.lit(size)) | (F.col(c) == (cell + 1) * F.lit(size))
+    on_edge = edge("lon", cx) | edge("lat", cy)
     d = df.filter(F.col("lon").isNotNull() & F.col("lat").isNotNull() & ~on_edge)
     if extent:
         d = d.filter(F.col("lon").between(extent[0], extent[2]) & F.col("lat").between(extent[1], extent[3]))
@@ -247,11 +249,12 @@ def density_grid(df: DataFrame, size: float = 0.01, top: int = 20,
              .orderBy(F.desc("address_count"), "lon", "lat").limit(top))
 
 
-def postcode_centroids(df: DataFrame, min_count: int = 10) -> DataFrame:
-    """AG11 (without hull): per postcode: centroid of the points and count, HAVING > min_count."""
+def postcode_centroids(df: DataFrame, min_count: int = 10, keys: list[str] | None = None) -> DataFrame:
+    """AG11 (without hull): per postcode (or the given keys, say postcode and locality): centroid of
+    the points and count, HAVING > min_count."""
     return (df.filter(F.col("lon").isNotNull() & F.col("lat").isNotNull())
-              .groupBy("postcode").agg(F.avg("lon").alias("centroid_lon"), F.avg("lat").alias("centroid_lat"),
-                                       F.count(F.lit(1)).alias("address_count"))
+              .groupBy(*(keys or ["postcode"])).agg(F.avg("lon").alias("centroid_lon"), F.avg("lat").alias("centroid_lat"),
+                                                    F.count(F.lit(1)).alias("address_count"))
               .filter(F.col("address_count") > min_count))
 
 
@@ -279,9 +282,9 @@ def global_statistics(localities: DataFrame, addresses: DataFrame, streets: Data
 
 
 def street_type_autocomplete(streets: DataFrame, street_types: DataFrame, prefix: str, limit: int = 20) -> DataFrame:
-    """J8 + O6: active streets LEFT JOIN their type (a fixed code list, broadcast), by
-    case-insensitive prefix, distinct, ordered (name, then type for determinism)."""
-    st = F.broadcast(street_types.select(F.col("code").alias("street_type_code"), F.col("name").alias("street_type")))
+    """J8 + O6: active streets LEFT JOIN their type, by case-insensitive prefix, distinct,
+    ordered by name; equal names go by type, a missing type last."""
+    st = street_types.select(F.col("code").alias("street_type_code"), F.col("name").alias("street_type"))
     j = streets.filter(F.col("date_retired").isNull()).join(st, "street_type_code", "left")
     return (j.filter(T.istarts("street_name", prefix)).select("street_name", "street_type").distinct()
-             .orderBy("street_name", "street_type").limit(limit))
+             .orderBy(F.asc_nulls_last("street_name"), F.asc_nulls_last("street_type")).limit(limit))

@@ -1,11 +1,12 @@
 """Convex hulls per group (SP10, AG11 hull area, AG12 hull boundary).
 
-Two levels, so no group is ever collected whole into one task: first every
+Three levels, so no group is ever collected whole into one task: first every
 input partition is reduced, Arrow batch by Arrow batch, to the hull vertices
 of each key it holds (``mapInPandas`` - a map-side combine, raw points are
-never shuffled and memory is bounded by one batch plus the running hulls);
-then the few vertices per key are shuffled and the hull of hulls is taken
-(``applyInPandas``).  A hull of hulls is the hull of the whole set, so the
+never shuffled; what it holds is flushed at ``MOST_KEYS`` keys); then the vertices of a key
+are reduced again in salted groups of partitions, so that a key held by very many
+partitions spreads over tasks, and the few vertices left are joined to the hull of
+hulls (``applyInPandas``).  A hull of hulls is the hull of the whole set, so the
 result is exact.
 """
 
@@ -16,7 +17,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wattle.functions.geo import EARTH_RADIUS_M
+#: Keys whose running hulls a task holds at once, and salts of the middle level.
+MOST_KEYS, SALTS = 50_000, 64
+
+# WGS84: semi-major axis and flattening.
+_A, _F = 6378137.0, 1 / 298.257223563
 
 
 def _drop_interior(pts: np.ndarray) -> np.ndarray:
@@ -77,6 +82,12 @@ def _partial(key_cols: list[str]):
                 if prev is not None:
                     x, y = np.concatenate([prev[0], x]), np.concatenate([prev[1], y])
                 running[key] = _hull_xy(x, y)
+            if len(running) > MOST_KEYS:
+                yield from rows(running)
+                running = {}
+        yield from rows(running)
+
+    def rows(running: dict):
         for key, (hx, hy) in running.items():
             out = pd.DataFrame({"x": hx, "y": hy})
             for k, v in zip(key_cols, key):
@@ -85,6 +96,13 @@ def _partial(key_cols: list[str]):
     return fn
 
 
+def _middle(key_cols: list[str]):
+    def fn(pdf: pd.DataFrame) -> pd.DataFrame:
+        hx, hy = _hull_xy(pdf["x"].to_numpy(), pdf["y"].to_numpy())
+        return pd.DataFrame({**{k: [pdf[k].iloc[0]] * len(hx) for k in key_cols}, "x": hx, "y": hy})
+    return fn
+
+
 def _final(key_cols: list[str]):
     def fn(pdf: pd.DataFrame) -> pd.DataFrame:
         hx, hy = _hull_xy(pdf["x"].to_numpy(), pdf["y"].to_numpy())
@@ -92,18 +110,24 @@ def _final(key_cols: list[str]):
         row["hull_x"] = [hx.tolist()]
         row["hull_y"] = [hy.tolist()]
         row["hull_vertices"] = len(hx)
-        row["hull_area_m2"] = _sphere_area(hx, hy) if len(hx) >= 3 else 0.0
+        row["hull_area_m2"] = _spheroid_area(hx, hy) if len(hx) >= 3 else 0.0
         return pd.DataFrame({k: [v] if not isinstance(v, list) else v for k, v in row.items()})
     return fn
 
 
-def _sphere_area(lon: np.ndarray, lat: np.ndarray) -> float:
-    """Area (m^2) of a lon/lat ring on the mean sphere (spherical-excess sum).  The
-    reference measures on the WGS84 spheroid; the two differ by well under 1 %."""
+def _q(sin_lat: np.ndarray) -> np.ndarray:
+    """Area function of the spheroid: the zone from the equator to a latitude, over pi a^2."""
+    e2 = _F * (2 - _F)
+    e = np.sqrt(e2)
+    return (1 - e2) * (sin_lat / (1 - e2 * sin_lat ** 2) - np.log((1 - e * sin_lat) / (1 + e * sin_lat)) / (2 * e))
+
+
+def _spheroid_area(lon: np.ndarray, lat: np.ndarray) -> float:
+    """Area (m^2) of a lon/lat ring on the WGS84 spheroid: each edge's strip to the equator, with the
+    spheroid's area function at its ends (authalic latitudes)."""
     lo = np.radians(np.append(lon, lon[0]))
-    la = np.radians(np.append(lat, lat[0]))
-    s = np.sum((lo[1:] - lo[:-1]) * (2 + np.sin(la[:-1]) + np.sin(la[1:])))
-    return float(abs(s) * EARTH_RADIUS_M ** 2 / 2)
+    q = _q(np.sin(np.radians(np.append(lat, lat[0]))))
+    return float(abs(np.sum((lo[1:] - lo[:-1]) * (q[:-1] + q[1:]))) * _A ** 2 / 4)
 
 
 def convex_hulls(df: DataFrame, keys: list[str], x: str = "lon", y: str = "lat") -> DataFrame:
@@ -114,6 +138,8 @@ def convex_hulls(df: DataFrame, keys: list[str], x: str = "lon", y: str = "lat")
     key_types = {f.name: f.dataType.simpleString() for f in pts.schema.fields}
     ks = ", ".join(f"{k} {key_types[k]}" for k in keys)
     part = pts.mapInPandas(_partial(keys), f"{ks}, x double, y double")
+    salted = part.withColumn("_salt", F.pmod(F.spark_partition_id(), F.lit(SALTS)))
+    part = salted.groupBy(*keys, "_salt").applyInPandas(_middle(keys), f"{ks}, x double, y double")
     return part.groupBy(*keys).applyInPandas(
         _final(keys), f"{ks}, hull_x array<double>, hull_y array<double>, hull_vertices int, hull_area_m2 double")
 

@@ -108,26 +108,28 @@ def backfill_swapped_partner(g: DataFrame, partner: str = "engagement_partner")
 
     The reference walks the rows in key order and a fill made earlier is seen
     later.  Closed form (F = first row with the swapped name, S = first row with
-    this row's own name, partners as loaded): F.partner if set; otherwise, when F
-    comes before this row, S.partner; otherwise blank.  Two joins against a
-    per-name "first row" aggregate replace the sequential loop.  The form holds
-    when swapping twice gives the name back (names with one of the two words).
+    the name swapped twice, partners as loaded): F.partner if set; otherwise, when F
+    comes before this row, S.partner, with which F was filled; otherwise blank.  F could
+    not be filled from anything else, since S, if it came earlier, met F still blank.  Two
+    joins against a per-name "first row" aggregate replace the sequential loop.  For a name
+    with one of the two words, swapping twice gives the name back; for a name with
+    both it gives the all-Offshore form.
     """
     name = F.col("engagement_name")
     first = (g.groupBy("engagement_name")
                .agg(F.min(F.struct(F.col("engagement_id").alias("id"), F.col(partner).alias("p"))).alias("f")))
     f_side = first.select(F.col("engagement_name").alias("_swap"), F.col("f.id").alias("_f_id"),
                           F.col("f.p").alias("_f_p"))
-    s_side = first.select("engagement_name", F.col("f.p").alias("_s_p"))
-    j = (g.withColumn("_swap", swapped_name(name))
+    s_side = first.select(F.col("engagement_name").alias("_twice"), F.col("f.p").alias("_s_p"))
+    j = (g.withColumn("_swap", swapped_name(name)).withColumn("_twice", swapped_name(F.col("_swap")))
           .join(f_side, "_swap", "left")
-          .join(s_side, "engagement_name", "left"))
+          .join(s_side, "_twice", "left"))
     f_before = (F.col("_f_id") < F.col("engagement_id")) | \
                ((F.col("_f_id") == F.col("engagement_id")) & (F.col("_swap") < name))
     filled = F.when(F.col(partner).isNotNull(), F.col(partner)) \
               .when(F.col("_f_p").isNotNull(), F.col("_f_p")) \
               .when(F.col("_f_id").isNotNull() & f_before & (name != ""), F.col("_s_p"))
-    return j.withColumn(partner, filled).drop("_swap", "_f_id", "_f_p", "_s_p")
+    return j.withColumn(partner, filled).drop("_swap", "_twice", "_f_id", "_f_p", "_s_p")
 
 
 # ----------------------------------------------------------------------------- LG2
@@ -229,11 +231,14 @@ def kpi_bridge(totals: DataFrame, billings_text: str, target_margin_pct: float,
 
 # ----------------------------------------------------------------------------- LG6 / D1
 def prepare_bills(df: DataFrame, text_col: str = "lead_engagement") -> DataFrame:
-    """Engagement id from the name text, billing amount, invoice month."""
+    """Engagement id from the name text, billing amount, invoice month.
+
+    An amount that is missing or no number counts as 0, and none is rounded before the sums.
+    """
+    amount = lambda c: F.coalesce(F.col(c).try_cast("decimal(26,10)"), F.lit(0).cast("decimal(26,10)"))
     return df.select(
         "*",
-        (F.coalesce(F.col("total_incl_tax").cast("decimal(20,2)"), F.lit(0).cast("decimal(20,2)"))
-         - F.coalesce(F.col("tax").cast("decimal(20,4)"), F.lit(0).cast("decimal(20,4)"))).alias("billing_amount"),
+        (amount("total_incl_tax") - amount("tax")).alias("billing_amount"),
         invoice_month("invoice_date").alias("invoice_month"),
         extract_engagement_id(text_col).alias("engagement_id"),
     )
@@ -284,13 +289,13 @@ def with_totals_row(df: DataFrame, label_col: str, numeric_cols: list[str],
                     label: str = "TOTAL") -> DataFrame:
     """LG7: append a TOTAL row summing the (already rounded) numeric columns.
 
-    One pass over ``df``: grouping sets (every row's own columns) and () give the
-    rows themselves plus the grand total in a single aggregate, instead of a
-    union that would evaluate ``df`` - and the ledger behind it - twice.
-    Rows are assumed distinct on their columns (a summary has one row per key).
+    One pass over ``df``: grouping sets (every row by itself, told by a row id, so that
+    equal rows stay apart) and () give the rows themselves plus the grand total in a single
+    aggregate, instead of a union that would evaluate ``df`` - and the ledger behind it - twice.
     """
     keys = [c for c in df.columns if c not in numeric_cols]
-    g = (df.groupingSets([[F.col(c) for c in keys], []], *keys)
+    g = (df.withColumn("_row", F.monotonically_increasing_id())
+           .groupingSets([[F.col("_row"), *(F.col(c) for c in keys)], []], "_row", *keys)
            .agg(*[F.sum(c).alias(c) for c in numeric_cols], F.grouping_id().alias("_gid")))
     total = F.col("_gid") != 0
     return g.select(*[F.when(total, F.lit(label)).otherwise(F.col(c)).alias(c) if c == label_col else F.col(c)
@@ -300,20 +305,23 @@ def with_totals_row(df: DataFrame, label_col: str, numeric_cols: list[str],
 
 
 # ----------------------------------------------------------------------------- J5 / LG8
-def reconciliation(ledger: DataFrame, book: DataFrame) -> DataFrame:
+def reconciliation(ledger: DataFrame, book: DataFrame, order: list[str] | None = None) -> DataFrame:
     """J5 + LG8: WIP vs BoB engagement ids.
 
     Distinct ids of both sides meet in one full outer join; each id is Matched,
-    Missing in BoB or Missing in WIP; the WIP name is the first name seen
-    (``min`` - the ledger has no row order after a distributed read).  Counter
+    Missing in BoB or Missing in WIP; the WIP name is that of the first row by the ``order``
+    columns (say path and row number), or, where the caller has none, the alphabetically
+    first one, since a distributed read has no row order of its own.  Counter
     rows (block 0) come first, then the three blocks each sorted by id.
     """
-    # Distinct (id, name) pairs first: a hash aggregate combined map-side, so the
-    # string ``min`` (a sort-based aggregate) only sees the small distinct set.
-    w = (ledger.filter(F.col("engagement_id").isNotNull())
-               .select("engagement_id", "engagement_name").distinct()
-               .groupBy("engagement_id").agg(F.min("engagement_name").alias("engagement_name"))
-               .withColumn("_w", F.lit(True)))
+    named = ledger.filter(F.col("engagement_id").isNotNull())
+    if order:
+        pick = F.min_by("engagement_name", F.struct(*order))
+    else:
+        # Distinct (id, name) pairs first: a hash aggregate combined map-side, so the
+        # string ``min`` (a sort-based aggregate) only sees the small distinct set.
+        named, pick = named.select("engagement_id", "engagement_name").distinct(), F.min("engagement_name")
+    w = named.groupBy("engagement_id").agg(pick.alias("engagement_name")).withColumn("_w", F.lit(True))
     b = (book.filter(F.col("engagement_id").isNotNull()).select("engagement_id").distinct()
              .withColumn("_b", F.lit(True)))
     j = w.join(b, "engagement_id", "full_outer")

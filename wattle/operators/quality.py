@@ -83,11 +83,21 @@ def check_column_count(df: DataFrame, target: DataFrame) -> None:
         raise ValueError(f"column count mismatch: file has {len(df.columns)}, table has {len(target.columns)}")
 
 
-def insert_if_absent(existing: DataFrame, new: DataFrame, keys: list[str]) -> DataFrame:
-    """M3: rows of ``new`` whose key is not in ``existing`` (append these)."""
-    return new.dropDuplicates(keys).join(existing.select(*keys), keys, "left_anti")
+def insert_if_absent(existing: DataFrame, new: DataFrame, keys: list[str], order: list[str] | None = None) -> DataFrame:
+    """M3: rows of ``new`` whose key is not in ``existing`` (append these); of rows that
+    share a key the first by ``order`` (without it, by all their columns)."""
+    return _one_per_key(new, keys, order or [c for c in new.columns if c not in keys], F.min_by).join(existing.select(*keys), keys, "left_anti")
 
 
-def upsert_keep_last(existing: DataFrame, new: DataFrame, key: str) -> DataFrame:
-    """The table after an upsert on ``key``: new rows replace existing ones."""
-    return existing.join(new.select(key), key, "left_anti").unionByName(new.dropDuplicates([key]))
+def upsert_keep_last(existing: DataFrame, new: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """The table after an upsert on ``key``: new rows replace existing ones, and the last
+    one by ``order`` wins (columns that the load carries, such as file and line; ones that
+    ``existing`` does not have are left out of the result)."""
+    last = _one_per_key(new, [key], order, F.max_by).select(*existing.columns)
+    return existing.join(last.select(key), key, "left_anti").unionByName(last)
+
+
+def _one_per_key(df: DataFrame, keys: list[str], order: list[str], pick) -> DataFrame:
+    """One row of each key, picked by an ordinary aggregate (combined map-side)."""
+    row = F.struct(*df.columns)
+    return df.groupBy(*keys).agg(pick(row, F.struct(*order) if order else F.lit(0)).alias("_row")).select("_row.*")

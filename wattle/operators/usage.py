@@ -72,8 +72,7 @@ def quota_decisions(log: DataFrame, user_limits: DataFrame) -> DataFrame:
     """
     default = TIERS[0][2]  # the first (free) tier's limit
     limits = user_limits.select("user_id", F.col("searches_per_month").cast("int").alias("_l"), F.lit(True).alias("_known"))
-    finite = {r[0] for r in limits.select("_l").where(F.col("_l").isNotNull()).distinct().collect()} | {default}
-    k_max = max(1, max(finite))
+    k_max = max(1, default, limits.agg(F.max("_l")).first()[0] or 0)
     base = log.select("usage_id", "user_id", "request_timestamp", calendar_month("request_timestamp").alias("month"))
     key = F.struct("request_timestamp", "usage_id")
     w = Window.partitionBy("user_id", "month").orderBy("request_timestamp", "usage_id")

@@ -19,6 +19,13 @@ def _s(c) -> Column:
     return (c if isinstance(c, Column) else F.col(c)).cast("string")
 
 
+def _lattice(i: Column) -> tuple[Column, Column]:
+    """South-west corner of the i-th place: 400 columns of 0.05 degrees, then the next row north.
+    Places grow in number with the data and do not stack up."""
+    row = ((i - i % 400) / 400).cast("bigint")
+    return F.lit(151.0) + (i % 400) * 5 / F.lit(100.0), F.lit(-34.0) + row * 5 / F.lit(100.0)
+
+
 def _dec(c, p, s) -> Column:
     return F.col(c).cast(f"decimal({p},{s})") if isinstance(c, str) else c.cast(f"decimal({p},{s})")
 
@@ -89,18 +96,20 @@ def address(t: Tables) -> DataFrame:
     """Address detail joined with its default geocode (lon/lat doubles)."""
     o = t.orders.select("o_orderkey", "o_custkey", "o_orderdate")
     k, c = F.col("o_orderkey"), F.col("o_custkey")
+    # 15 customers to a place, as many places as there are suppliers (schools)
+    x0, y0 = _lattice(((c - c % 15) / 15).cast("bigint"))
     return o.select(
         F.concat(F.lit("GA"), F.lpad(_s(k), 9, "0")).alias("address_detail_pid"),
         (k % 200 + 1).alias("number_first"),
         F.when(k % 7 == 0, k % 200 + 3).alias("number_last"),
         F.when(k % 5 == 0, k % 30 + 1).alias("flat_number"),
         F.when(k % 5 == 0, F.lit("UNIT")).alias("flat_type_code"),
-        F.concat(F.lit("ST"), _s(c % 400)).alias("street_locality_pid"),
+        F.concat(F.lit("ST"), _s(c)).alias("street_locality_pid"),
         F.concat(F.lit("LOC"), _s(c % 25)).alias("locality_pid"),
         _s(F.lit(2000) + c % 25).alias("postcode"),
         F.when(k % 17 == 0, F.col("o_orderdate").cast("date")).alias("date_retired"),
-        (F.lit(151.0) + ((k * 7919) % 3001) / F.lit(10000.0)).alias("lon"),
-        (F.lit(-34.0) + ((k * 104729) % 2999) / F.lit(10000.0)).alias("lat"),
+        (x0 + ((k * 7919) % 3001) / F.lit(60020.0)).alias("lon"),
+        (y0 + ((k * 104729) % 2999) / F.lit(59980.0)).alias("lat"),
     )
 
 
@@ -122,14 +131,14 @@ def locality(t: Tables) -> DataFrame:
 
 
 def street_type_aut(t: Tables) -> DataFrame:
-    """Street-type code table (a fixed code list, so a proven-small broadcast side)."""
+    """Street-type code table (a fixed code list)."""
     # Fixed values of the fixture's code table.
     rows = [("ST", "STREET"), ("RD", "ROAD"), ("AVE", "AVENUE")]
     return t.spark.createDataFrame(rows, "code string, name string")
 
 
 def street_locality(t: Tables) -> DataFrame:
-    c = t.customer.select("c_custkey").filter(F.col("c_custkey") < 400)
+    c = t.customer.select("c_custkey")
     k = F.col("c_custkey")
     return c.select(
         F.concat(F.lit("ST"), _s(k)).alias("street_locality_pid"),
@@ -155,14 +164,16 @@ def suburb_postcode(t: Tables) -> DataFrame:
 
 # ----------------------------------------------------------------------------- schools
 def catchment(t: Tables) -> DataFrame:
-    """Catchment polygons: a concave 6-edge ring inside [x0,x0+d] x [y0,y0+d]."""
+    """Catchment polygons: a concave 6-edge ring inside [x0,x0+d] x [y0,y0+d]; every fifth one
+    reaches into its neighbours' places, every seventh one is too small to hold addresses."""
     k = F.col("s_suppkey")
+    x0, y0 = _lattice(k)
     return t.supplier.select("s_suppkey").select(
         k.alias("school_id"),
         F.when(k % 3 == 0, "SECONDARY").otherwise("PRIMARY").alias("school_type"),
-        (F.lit(151.0) + ((k * 37) % 25) / F.lit(100.0) + F.lit(0.00005)).alias("x0"),
-        (F.lit(-34.0) + ((k * 53) % 25) / F.lit(100.0) + F.lit(0.00005)).alias("y0"),
-        F.lit(0.04).alias("d"),
+        (x0 + F.lit(0.00005)).alias("x0"),
+        (y0 + F.lit(0.00005)).alias("y0"),
+        F.when(k % 5 == 0, F.lit(0.07)).when(k % 7 == 0, F.lit(0.0001)).otherwise(F.lit(0.04)).alias("d"),
     )
 
 
@@ -190,6 +201,7 @@ def school_profile(t: Tables) -> DataFrame:
     k = F.col("s_suppkey")
     suffix = (F.when(k % 4 == 0, " Public School").when(k % 4 == 1, " High School")
               .when(k % 4 == 2, " Girls High School").otherwise(" Technology High School"))
+    x0, y0 = _lattice(k)
     return t.supplier.select("s_suppkey").select(
         (F.lit(40000) + k).alias("acara_sml_id"),
         F.concat(F.lit("Place"), _s(k), suffix).alias("school_name"),
@@ -198,8 +210,8 @@ def school_profile(t: Tables) -> DataFrame:
         F.when(k % 4 == 0, "Primary").otherwise("Secondary").alias("school_type"),
         F.when(k % 9 != 0, F.lit(900) + (k * 31) % 250).alias("icsea"),
         ((k * 97) % 1500).alias("total_enrolments"),
-        F.when(k % 13 != 0, F.lit(-34.0) + ((k * 53) % 25) / F.lit(100.0) + F.lit(0.01)).alias("latitude"),
-        F.when(k % 13 != 0, F.lit(151.0) + ((k * 37) % 25) / F.lit(100.0) + F.lit(0.01)).alias("longitude"),
+        F.when(k % 13 != 0, y0 + F.lit(0.01)).alias("latitude"),
+        F.when(k % 13 != 0, x0 + F.lit(0.01)).alias("longitude"),
     )
 
 
@@ -217,10 +229,13 @@ def school_location(t: Tables) -> DataFrame:
 
 def hazard_zone(t: Tables) -> DataFrame:
     k = F.col("p_partkey")
-    return t.part.select("p_partkey", "p_size").filter(F.col("p_size") <= 5).select(
+    # 20 zones to a place, side by side
+    x0, y0 = _lattice(((k - k % 20) / 20).cast("bigint"))
+    within = k % 20
+    return t.part.select("p_partkey").select(
         k.alias("hazard_id"),
-        (F.lit(151.0) + ((k * 17) % 29) / F.lit(100.0)).alias("x0"),
-        (F.lit(-34.0) + ((k * 23) % 29) / F.lit(100.0)).alias("y0"),
+        (x0 + (within % 5) / F.lit(100.0)).alias("x0"),
+        (y0 + ((within - within % 5) / 5).cast("bigint") / F.lit(100.0)).alias("y0"),
         F.lit(0.005).alias("d"),
     )
 

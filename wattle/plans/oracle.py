@@ -29,11 +29,11 @@ FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey""",
  cast(c_acctbal AS decimal(12,2)) AS nui_etd, 'Manager ' || cast(c_custkey % 13 AS varchar) AS engagement_manager, CASE WHEN c_custkey % 3 = 0 THEN 'Closed' ELSE 'Open' END AS engagement_status FROM customer WHERE c_custkey % 10 <> 7""",
     "address": """SELECT 'GA' || lpad(cast(o_orderkey AS varchar), 9, '0') AS address_detail_pid, o_orderkey % 200 + 1 AS number_first,
  CASE WHEN o_orderkey % 7 = 0 THEN o_orderkey % 200 + 3 END AS number_last, CASE WHEN o_orderkey % 5 = 0 THEN o_orderkey % 30 + 1 END AS flat_number,
- CASE WHEN o_orderkey % 5 = 0 THEN 'UNIT' END AS flat_type_code, 'ST' || cast(o_custkey % 400 AS varchar) AS street_locality_pid, 'LOC' || cast(o_custkey % 25 AS varchar) AS locality_pid,
+ CASE WHEN o_orderkey % 5 = 0 THEN 'UNIT' END AS flat_type_code, 'ST' || cast(o_custkey AS varchar) AS street_locality_pid, 'LOC' || cast(o_custkey % 25 AS varchar) AS locality_pid,
  cast(2000 + o_custkey % 25 AS varchar) AS postcode, CASE WHEN o_orderkey % 17 = 0 THEN cast(o_orderdate AS date) END AS date_retired,
- 151e0 + ((o_orderkey * 7919) % 3001) / 10000e0 AS lon, -34e0 + ((o_orderkey * 104729) % 2999) / 10000e0 AS lat FROM orders""",
+ 151e0 + ((o_custkey // 15) % 400) * 5 / 100e0 + ((o_orderkey * 7919) % 3001) / 60020e0 AS lon, -34e0 + ((o_custkey // 15) // 400) * 5 / 100e0 + ((o_orderkey * 104729) % 2999) / 59980e0 AS lat FROM orders""",
     "catchment": """SELECT s_suppkey AS school_id, CASE WHEN s_suppkey % 3 = 0 THEN 'SECONDARY' ELSE 'PRIMARY' END AS school_type,
- 151e0 + ((s_suppkey * 37) % 25) / 100e0 + 0.00005e0 AS x0, -34e0 + ((s_suppkey * 53) % 25) / 100e0 + 0.00005e0 AS y0, 0.04e0 AS d FROM supplier""",
+ 151e0 + ((s_suppkey) % 400) * 5 / 100e0 + 0.00005e0 AS x0, -34e0 + ((s_suppkey) // 400) * 5 / 100e0 + 0.00005e0 AS y0, CASE WHEN s_suppkey % 5 = 0 THEN 0.07e0 WHEN s_suppkey % 7 = 0 THEN 0.0001e0 ELSE 0.04e0 END AS d FROM supplier""",
     "catchment_vertex": """SELECT school_id, 0 AS i, x0 AS x, y0 AS y FROM catchment UNION ALL SELECT school_id,1,x0+d,y0 FROM catchment UNION ALL SELECT school_id,2,x0+d,y0+d/2 FROM catchment
  UNION ALL SELECT school_id,3,x0+d/2,y0+d/2 FROM catchment UNION ALL SELECT school_id,4,x0+d/2,y0+d FROM catchment UNION ALL SELECT school_id,5,x0,y0+d FROM catchment UNION ALL SELECT school_id,6,x0,y0 FROM catchment""",
     "catchment_edge": """SELECT a.school_id, a.x AS ax, a.y AS ay, b.x AS bx, b.y AS by FROM catchment_vertex a JOIN catchment_vertex b ON a.school_id = b.school_id AND b.i = a.i + 1""",
@@ -43,16 +43,16 @@ FROM lineitem l JOIN orders o ON l.l_orderkey = o.o_orderkey""",
  CASE WHEN n_nationkey = 24 THEN date '2020-01-01' END AS date_retired FROM nation""",
     "street_type_aut": """SELECT * FROM (VALUES ('ST','STREET'),('RD','ROAD'),('AVE','AVENUE')) AS t(code, name)""",
     "street_locality": """SELECT 'ST' || cast(c_custkey AS varchar) AS street_locality_pid, CASE WHEN c_custkey % 50 = 0 THEN '151.1' || cast(c_custkey AS varchar) ELSE 'NAME ' || cast(c_custkey % 120 AS varchar) END AS street_name,
- CASE c_custkey % 4 WHEN 0 THEN 'ST' WHEN 1 THEN 'RD' WHEN 2 THEN 'AVE' END AS street_type_code, 'LOC' || cast(c_custkey % 25 AS varchar) AS locality_pid, CASE WHEN c_custkey % 61 = 0 THEN date '2020-01-01' END AS date_retired FROM customer WHERE c_custkey < 400""",
+ CASE c_custkey % 4 WHEN 0 THEN 'ST' WHEN 1 THEN 'RD' WHEN 2 THEN 'AVE' END AS street_type_code, 'LOC' || cast(c_custkey % 25 AS varchar) AS locality_pid, CASE WHEN c_custkey % 61 = 0 THEN date '2020-01-01' END AS date_retired FROM customer""",
     "suburb_postcode": """SELECT DISTINCT n.n_name AS locality_name, cast(2000 + c.c_custkey % 40 AS varchar) AS postcode, r.r_name AS state_name FROM customer c JOIN nation n ON c.c_nationkey = n.n_nationkey JOIN region r ON n.n_regionkey = r.r_regionkey""",
     "school_catchment_name": """SELECT s_suppkey AS school_id, 'Place' || cast(s_suppkey AS varchar) || CASE s_suppkey % 4 WHEN 0 THEN ' PS' WHEN 1 THEN ' HS' WHEN 2 THEN ' GHS' ELSE ' THS' END AS school_name FROM supplier""",
     "school_profile": """SELECT 40000 + s_suppkey AS acara_sml_id, 'Place' || cast(s_suppkey AS varchar) || CASE s_suppkey % 4 WHEN 0 THEN ' Public School' WHEN 1 THEN ' High School' WHEN 2 THEN ' Girls High School' ELSE ' Technology High School' END AS school_name,
  CASE WHEN s_suppkey % 5 = 0 THEN 'VIC' ELSE 'NSW' END AS state, CASE WHEN s_suppkey % 6 = 5 THEN 'Independent' ELSE 'Government' END AS school_sector, CASE WHEN s_suppkey % 4 = 0 THEN 'Primary' ELSE 'Secondary' END AS school_type,
  CASE WHEN s_suppkey % 9 <> 0 THEN 900 + (s_suppkey * 31) % 250 END AS icsea, (s_suppkey * 97) % 1500 AS total_enrolments,
- CASE WHEN s_suppkey % 13 <> 0 THEN -34e0 + ((s_suppkey * 53) % 25) / 100e0 + 0.01e0 END AS latitude, CASE WHEN s_suppkey % 13 <> 0 THEN 151e0 + ((s_suppkey * 37) % 25) / 100e0 + 0.01e0 END AS longitude FROM supplier""",
+ CASE WHEN s_suppkey % 13 <> 0 THEN -34e0 + ((s_suppkey) // 400) * 5 / 100e0 + 0.01e0 END AS latitude, CASE WHEN s_suppkey % 13 <> 0 THEN 151e0 + ((s_suppkey) % 400) * 5 / 100e0 + 0.01e0 END AS longitude FROM supplier""",
     "school_location": """SELECT acara_sml_id, school_name, state, CASE acara_sml_id % 4 WHEN 0 THEN 'Major Cities of Australia' WHEN 1 THEN 'Inner Regional Australia' WHEN 2 THEN 'Remote Australia' END AS abs_remoteness_area_name,
  latitude, longitude, CASE WHEN acara_sml_id % 10 = 0 THEN 1 ELSE 0 END AS special_school FROM school_profile WHERE acara_sml_id % 11 <> 3""",
-    "hazard_zone": """SELECT p_partkey AS hazard_id, 151e0 + ((p_partkey * 17) % 29) / 100e0 AS x0, -34e0 + ((p_partkey * 23) % 29) / 100e0 AS y0, 0.005e0 AS d FROM part WHERE p_size <= 5""",
+    "hazard_zone": """SELECT p_partkey AS hazard_id, 151e0 + ((p_partkey // 20) % 400) * 5 / 100e0 + (p_partkey % 20 % 5) / 100e0 AS x0, -34e0 + ((p_partkey // 20) // 400) * 5 / 100e0 + (p_partkey % 20 // 5) / 100e0 AS y0, 0.005e0 AS d FROM part""",
     "subscription_event": """SELECT event_id, user_id AS customer_id, ts, CASE WHEN event_type IN ('signup','purchase') THEN 'checkout.session.completed' WHEN event_type = 'error' THEN 'customer.subscription.deleted' ELSE 'customer.subscription.updated' END AS type,
  CASE WHEN event_id % 2 = 0 THEN 'active' ELSE 'past_due' END AS status FROM events""",
 }

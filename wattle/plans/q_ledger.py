@@ -111,7 +111,7 @@ def lg5_kpi_bridge(spark, d):
     return L.kpi_bridge(L.kpi_totals(_fy(Tables(spark, d))), BILLINGS_TEXT, TARGET_MARGIN_PCT)
 
 
-_PREP_BILLS = r"""SELECT *, coalesce(total_incl_tax, 0) - coalesce(tax, 0) AS billing_amount, strftime(invoice_date, '%Y-%m') AS invoice_month,
+_PREP_BILLS = r"""SELECT *, coalesce(try_cast(total_incl_tax AS decimal(26,10)), 0) - coalesce(try_cast(tax AS decimal(26,10)), 0) AS billing_amount, strftime(invoice_date, '%Y-%m') AS invoice_month,
  nullif(regexp_extract(lead_engagement, '\(([A-Z]-\d+)\)', 1), '') AS engagement_id FROM bills"""
 _PIVOT_BODY = f"""SELECT engagement_id, billing_partner, {_r('sum(total_incl_tax)')} AS total_incl_tax, {_r('sum(tax)')} AS tax,
  {_r('sum(billing_amount)')} AS billing_amount FROM pbills WHERE engagement_id IS NOT NULL AND billing_partner IS NOT NULL
@@ -158,7 +158,8 @@ def _enriched_sql() -> str:
 FROM eng e LEFT JOIN d1 p ON e.engagement_id = p.engagement_id
 LEFT JOIN firsts f ON f.engagement_name = CASE WHEN e.engagement_name LIKE '%Offshore%' THEN replace(e.engagement_name, 'Offshore', 'Onshore')
                                                WHEN e.engagement_name LIKE '%Onshore%' THEN replace(e.engagement_name, 'Onshore', 'Offshore') END
-LEFT JOIN firsts s ON s.engagement_name = e.engagement_name
+LEFT JOIN firsts s ON s.engagement_name = CASE WHEN e.engagement_name LIKE '%Offshore%' THEN replace(replace(e.engagement_name, 'Offshore', 'Onshore'), 'Onshore', 'Offshore')
+                                               WHEN e.engagement_name LIKE '%Onshore%' THEN replace(replace(e.engagement_name, 'Onshore', 'Offshore'), 'Offshore', 'Onshore') END
 LEFT JOIN pbob b ON e.engagement_id = b.engagement_id"""
     firsts = """SELECT engagement_name, min(engagement_id) AS id, arg_min(engagement_partner, engagement_id) AS p FROM
  (SELECT e.engagement_id, e.engagement_name, p.engagement_partner FROM eng e LEFT JOIN d1 p ON e.engagement_id = p.engagement_id) x

@@ -45,10 +45,20 @@ def j15_address_catchment(spark, d):
     return mapping(Tables(spark, d)).select("address_detail_pid", "school_id", "school_type")
 
 
-@register("ag13_addresses_per_catchment", _psql("""SELECT school_id, school_type, count(*) AS address_count FROM mapping
-GROUP BY school_id, school_type"""))
+_PER_CATCHMENT_SQL = """SELECT c.school_id, c.school_type, count(m.address_detail_pid) AS address_count FROM catchment c
+LEFT JOIN mapping m ON m.school_id = c.school_id GROUP BY c.school_id, c.school_type"""
+
+
+def addresses_per_catchment(t: Tables):
+    """Every catchment with the number of addresses in it, 0 where there are none."""
+    counts = mapping(t).groupBy("school_id").agg(F.count(F.lit(1)).alias("n"))
+    c = D.catchment(t).select("school_id", "school_type").join(counts, "school_id", "left")
+    return c.select("school_id", "school_type", F.coalesce("n", F.lit(0)).cast("bigint").alias("address_count"))
+
+
+@register("ag13_addresses_per_catchment", _psql(_PER_CATCHMENT_SQL))
 def ag13_addresses_per_catchment(spark, d):
-    return mapping(Tables(spark, d)).groupBy("school_id", "school_type").agg(F.count(F.lit(1)).alias("address_count"))
+    return addresses_per_catchment(Tables(spark, d))
 
 
 @register("ag16_mapping_counts", _psql("""SELECT school_type AS metric, count(*) AS mapping_rows, count(DISTINCT address_detail_pid) AS addresses,
@@ -71,11 +81,13 @@ def ag16_mapping_counts(spark, d):
 FROM mapping m JOIN school_catchment_name n ON m.school_id = n.school_id GROUP BY m.address_detail_pid HAVING count(*) > 1""",
                                                "school_catchment_name"))
 def ag18_overlapping_catchments(spark, d):
+    """Ids are gathered first; only addresses in several catchments meet the names and are sorted."""
     t = Tables(spark, d)
-    m = mapping(t).join(D.school_catchment_name(t), "school_id")
-    g = m.groupBy("address_detail_pid").agg(F.count(F.lit(1)).alias("catchment_count"),
-                                            F.array_join(F.array_sort(F.collect_list("school_name")), ", ").alias("school_names"))
-    return g.filter(F.col("catchment_count") > 1)
+    several = (mapping(t).groupBy("address_detail_pid").agg(F.collect_list("school_id").alias("ids"))
+               .filter(F.size("ids") > 1).select("address_detail_pid", F.explode("ids").alias("school_id")))
+    named = several.join(D.school_catchment_name(t), "school_id")
+    return named.groupBy("address_detail_pid").agg(F.count(F.lit(1)).alias("catchment_count"),
+                                                   F.array_join(F.array_sort(F.collect_list("school_name")), ", ").alias("school_names"))
 
 
 @register("ag17_catchment_coverage_by_suburb", _psql("""SELECT l.locality_name, count(DISTINCT a.address_detail_pid) AS total_addresses,
@@ -297,10 +309,10 @@ def sp16_ring_validity(spark, d):
 
 @register("ag15_catchment_stats_per_type", _psql("""SELECT school_type, count(*) AS catchments, cast(sum(n) AS bigint) AS total_addresses,
  cast(floor(avg(n)) AS bigint) AS avg_addresses, max(n) AS max_addresses
-FROM (SELECT school_id, school_type, count(*) AS n FROM mapping GROUP BY school_id, school_type) x GROUP BY school_type"""))
+FROM (SELECT school_id, school_type, address_count AS n FROM (""" + _PER_CATCHMENT_SQL + """) y) x GROUP BY school_type"""))
 def ag15_catchment_stats_per_type(spark, d):
     """AG14 (its evident intent: mapped addresses per catchment) rolled up per type (AG15)."""
-    per = mapping(Tables(spark, d)).groupBy("school_id", "school_type").agg(F.count(F.lit(1)).alias("n"))
+    per = addresses_per_catchment(Tables(spark, d)).withColumnRenamed("address_count", "n")
     return per.groupBy("school_type").agg(F.count(F.lit(1)).alias("catchments"), F.sum("n").alias("total_addresses"),
                                           F.floor(F.avg("n")).cast("long").alias("avg_addresses"), F.max("n").alias("max_addresses"))
 
@@ -319,7 +331,7 @@ def catchment_streets(t: Tables):
     st = D.street_type_aut(t).select(F.col("code").alias("street_type_code"), F.col("name").alias("street_type"))
     loc = D.locality(t).select("locality_pid", "locality_name")
     j = (m.join(a, "address_detail_pid").join(sl, "street_locality_pid")
-          .join(F.broadcast(st), "street_type_code", "left").join(loc, "locality_pid"))
+          .join(st, "street_type_code", "left").join(loc, "locality_pid"))
     return j.select("school_id", "school_type", "street_name", "street_type", "locality_name", "postcode").distinct()
 
 
@@ -491,7 +503,7 @@ def sp6_within_500m_geodesic(spark, d):
 
 # ----------------------------------------------------------------------------- corridor
 # The reference's example route (lon, lat).
-ROUTE = [(151.2100, -33.8700), (151.2150, -33.8650), (151.2200, -33.8600)]
+ROUTE = [(151.2100, -33.9900), (151.2150, -33.9850), (151.2200, -33.9800)]
 CORRIDOR_M = 100.0
 
 

@@ -41,7 +41,7 @@ def n1_quota_decisions(spark, d):
     st = U.subscription_state(D.subscription_event(t))
     tiers = U.tiers_table(spark)
     limits = (st.select(F.col("customer_id").alias("user_id"), F.coalesce("tier_id", F.lit(1)).alias("tier_id"))
-                .join(F.broadcast(tiers), "tier_id").select("user_id", "searches_per_month"))
+                .join(tiers, "tier_id").select("user_id", "searches_per_month"))
     return U.quota_decisions(D.usage_log(t), limits)
 
 

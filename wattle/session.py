@@ -52,14 +52,13 @@ def get_session(master: str | None = None, app_name: str = "wattle",
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """Return the cluster's checkpoint folder, creating a private one only if unset."""
+    """Return the cluster's checkpoint folder; a private one is made only in local mode, where
+    driver and executors are one process.  A cluster without the setting is refused."""
     path = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not path:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         path = tempfile.mkdtemp(prefix="wattle-ckpt-")
-        try:
-            spark.conf.set("spark.checkpoint.dir", path)
-        except Exception:  # noqa: BLE001 - some deployments refuse runtime changes of core settings
-            pass
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(path)
     return path

@@ -7,6 +7,9 @@ driver.
 
 from __future__ import annotations
 
+import csv
+
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType, StructField, StructType
@@ -29,23 +32,28 @@ def read_ledger_csv(spark: SparkSession, path: str, header_row_index: int | None
     """Headerless sheet export; the header is the first row holding both labels
     (or the given 0-based row); later rows become the data, named by the header.
 
-    The file is read once as strings with a row-order id; the header row (one
-    row) is fetched to name the columns.  Use one file per ledger.
+    Lines are read as text with a row-order id and only the header line (one row) is
+    fetched; the later lines are parsed with as many columns as it has, so a title line of
+    one cell does not narrow the table.  Use one file per ledger.
     """
-    raw = (spark.read.option("header", False).option("multiLine", False).csv(path)
-                .withColumn("_row", F.monotonically_increasing_id()))
-    cols = [c for c in raw.columns if c != "_row"]
+    raw = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("_row"))
     if header_row_index is None:
-        vals = F.array(*[F.col(c) for c in cols])
-        cond = F.array_contains(vals, LEDGER_HEADER_LABELS[0]) & F.array_contains(vals, LEDGER_HEADER_LABELS[1])
-        hdr = raw.filter(cond).orderBy("_row").limit(1).collect()
+        labels = [F.col("value").contains(x) for x in LEDGER_HEADER_LABELS]
+        # lines that may be the header; which cells they have is decided on the few of them
+        found = raw.filter(labels[0] & labels[1]).orderBy("_row").limit(100).collect()
+    else:
+        found = raw.orderBy("_row").offset(header_row_index).limit(1).collect()
+    for line in found:
+        cells = next(csv.reader([line["value"]]))
+        trimmed = [c.strip() for c in cells]
+        if header_row_index is not None or all(x in trimmed for x in LEDGER_HEADER_LABELS):
+            break
     else:
-        hdr = raw.orderBy("_row").offset(header_row_index).limit(1).collect()
-    if not hdr:
-        raise ValueError("Header row not found: pass header_row_index or include the expected headers.")
-    h = hdr[0]
-    names = [str(h[c]).strip() if h[c] is not None else c for c in cols]
-    return raw.filter(F.col("_row") > F.lit(h["_row"])).select(*[F.col(c).alias(n) for c, n in zip(cols, names)])
+        raise ValueError(f"no row of {path} has the cells {' and '.join(LEDGER_HEADER_LABELS)}; give its index instead")
+    names = [c or f"_c{i}" for i, c in enumerate(trimmed)]
+    wide = StructType([StructField(f"_c{i}", StringType()) for i in range(len(names))])
+    rows = raw.filter((F.col("_row") > F.lit(line["_row"])) & (F.trim("value") != "")).select(F.from_csv("value", wide.simpleString().removeprefix("struct<").removesuffix(">").replace(":", " ")).alias("r"))
+    return rows.select(*[F.col(f"r._c{i}").alias(n) for i, n in enumerate(names)])
 
 
 def read_sheet_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -60,7 +68,10 @@ def read_partner_mapping(spark: SparkSession, primary: str, fallback: str) -> Da
     for path in (primary, fallback):
         try:
             df = read_sheet_csv(spark, path)
-        except Exception:  # noqa: BLE001 - a missing sheet just means "try the next"
+        except AnalysisException as exc:
+            # a missing sheet means "try the next"; anything else is an error
+            if exc.getCondition() != "PATH_NOT_FOUND":
+                raise
             continue
         if "Engagement ID" not in df.columns:
             continue
@@ -169,8 +180,11 @@ def read_geojson_polygons(spark: SparkSession, path: str, id_field: str, source_
     """GeoJSON features (one per line) -> (id, properties..., rings) in EPSG:4326.
 
     Polygon and MultiPolygon both become one ring array (all parts' rings);
-    EPSG:3857 input is converted with the closed-form inverse.
+    EPSG:3857 input is converted with the closed-form inverse; any other reference system is
+    refused.  A feature without a readable polygon stops the job with its id.
     """
+    if source_srid not in (4326, 3857):
+        raise ValueError(f"unsupported reference system EPSG:{source_srid}; convert to 4326 or 3857 first")
     raw = spark.read.text(path).select(F.col("value").alias("j"))
     gtype = F.get_json_object("j", "$.geometry.type")
     coords = F.get_json_object("j", "$.geometry.coordinates")
@@ -185,9 +199,12 @@ def read_geojson_polygons(spark: SparkSession, path: str, id_field: str, source_
         return F.struct(p[0].alias("x"), p[1].alias("y"))
 
     props = [F.get_json_object("j", f"$.properties.{p}").alias(p.lower()) for p in (properties or [])]
-    return raw.select(F.get_json_object("j", f"$.properties.{id_field}").alias(id_field.lower()), *props,
-                      F.transform(rings, lambda r: F.transform(r, to_struct)).alias("rings")) \
-              .filter(F.col("rings").isNotNull())
+    fid = F.get_json_object("j", f"$.properties.{id_field}")
+    bad = F.raise_error(F.concat(F.lit("no readable polygon in feature "), F.coalesce(fid, F.lit("without id"))))
+    usable = rings.isNotNull() & F.forall(rings, lambda r: r.isNotNull() & F.forall(r, lambda p: F.size(p) >= 2))
+    return raw.filter(F.trim("j") != "").select(
+        fid.alias(id_field.lower()), *props,
+        F.when(F.coalesce(usable, F.lit(False)), F.transform(rings, lambda r: F.transform(r, to_struct))).otherwise(bad).alias("rings"))
 
 
 # ----------------------------------------------------------------------------- S14-S17

@@ -114,33 +114,32 @@ def subscription_events_stream(spark: SparkSession, folder: str) -> DataFrame:
 
 
 # ----------------------------------------------------------------------------- N1 as a live quota
-_QUOTA_STATE = "month date, used int"
+_QUOTA_STATE = "months array<string>, used array<int>"
 _QUOTA_OUT = "usage_id long, user_id long, month date, allowed boolean"
 
 
 def _quota_fold(key, batches, state):
     """Per user: calls arrive in order; a call is allowed while the calls already
-    tracked this calendar month are below the limit, and only allowed calls are
-    tracked.  Within a micro-batch the decision is vectorised per month."""
+    tracked in its calendar month are below the limit, and only allowed calls are
+    tracked.  Every month has a count of its own, so a late call of an earlier month
+    leaves the current month's count alone.  The calls of one micro-batch are decided
+    in time order, whatever Arrow batches they came in."""
     import pandas as pd
 
-    month, used = state.get if state.exists else (None, 0)
+    used = dict(zip(*state.get)) if state.exists else {}
     out = []
-    for pdf in batches:
-        pdf = pdf.sort_values(["request_timestamp", "usage_id"])
-        for m, g in pdf.groupby("month", sort=True):
-            if month != m:
-                month, used = m, 0
-            lim = g["lim"].iloc[0]
-            if pd.isna(lim):
-                allowed = pd.Series(True, index=g.index)
-            else:
-                rank = pd.Series(range(1, len(g) + 1), index=g.index)
-                allowed = (used + rank) <= int(lim)
-            used += int(allowed.sum())
-            out.append(pd.DataFrame({"usage_id": g["usage_id"].astype("int64"), "user_id": int(key[0]),
-                                     "month": g["month"], "allowed": allowed.astype(bool)}))
-    state.update((month, int(used)))
+    calls = pd.concat(list(batches), ignore_index=True).sort_values(["request_timestamp", "usage_id"])
+    for m, g in calls.groupby("month", sort=True):
+        lim, name = g["lim"].iloc[0], str(m)
+        if pd.isna(lim):
+            allowed = pd.Series(True, index=g.index)
+        else:
+            rank = pd.Series(range(1, len(g) + 1), index=g.index)
+            allowed = (used.get(name, 0) + rank) <= int(lim)
+        used[name] = used.get(name, 0) + int(allowed.sum())
+        out.append(pd.DataFrame({"usage_id": g["usage_id"].astype("int64"), "user_id": int(key[0]),
+                                 "month": g["month"], "allowed": allowed.astype(bool)}))
+    state.update((list(used), list(used.values())))
     if out:
         yield pd.concat(out, ignore_index=True)
 
@@ -150,8 +149,7 @@ def quota_stream(log: DataFrame, user_limits: DataFrame) -> DataFrame:
 
     ``user_limits`` (user_id, searches_per_month) is a static table joined to the
     stream; users missing from it get the first tier's limit, a null limit is
-    unlimited.  State per user is just (month, calls tracked), so it stays
-    bounded however long the stream runs.
+    unlimited.  State per user is one number per calendar month with calls (twelve a year).
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
