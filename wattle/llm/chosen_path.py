@@ -15,8 +15,9 @@ tokens are not common ones with probability 0.25 ** 10; nodes that are still lar
 
 Comparisons inside nodes use 256 MinHash bytes: pairs estimated at LOW (four standard deviations
 under the threshold) or more are candidates, and every reported link is confirmed on the full sets.
-A node does not emit all its pairs: it emits a spanning forest of its candidates, best first; after
-these are confirmed, only candidates that still lie in different components are emitted.  What is
+A node does not emit all its pairs: it emits a spanning forest of its candidates, best first.  Where
+candidates between different components are left after these are confirmed, the full sets of the documents they
+involve go to the node, once each, and every such candidate is tested there.  What is
 returned are components, for which a forest of confirmed links suffices.
 
 Defined results: null, empty or white-space text has an empty set, linked with nothing; a text of
@@ -36,14 +37,14 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattle.llm.common import binary_values, key_bitmap, materialize, may_contain_udf, slices
+from wattle.llm.common import binary_values, key_bitmap, materialize, may_contain_udf, slices, tasks_for
 from wattle.llm.components import connected_components
 from wattle.llm.registry import register, table
 
 WORDS = 5
 #: Similarity in hundredths.
 THRESHOLD = 75
-TREES, LEAF, DEPTH = 10, 400, 12
+TREES, LEAF, DEPTH = 10, 1000, 12
 COORDINATES = 256
 LOW, HIGH = 0.64, 0.86
 
@@ -131,9 +132,15 @@ def _classes(sets: DataFrame) -> DataFrame:
 
 
 def _open(rows: DataFrame) -> DataFrame:
-    """(node, size) of the nodes whose rows (node, cid, label) have more than one label."""
-    found = rows.groupBy("node").agg(F.count("*").alias("size"), F.min("label").alias("low"), F.max("label").alias("high"))
-    return found.filter("low <> high").select("node", "size")
+    """(node, size, small) of the nodes whose rows (node, cid, label) have more than one label.
+
+    A node is small when the pairs between labels are no more than in a leaf of LEAF single sets, as with
+    a few strangers among many near copies of one text; and it must fit a task in any case.
+    """
+    each = rows.groupBy("node", "label").agg(F.count("*").alias("n"))
+    found = each.groupBy("node").agg(F.sum("n").alias("size"), F.max("n").alias("major")).filter("size > major")
+    small = (F.col("size") * (F.col("size") - F.col("major")) <= LEAF * LEAF) & (F.col("size") <= 8 * LEAF)
+    return found.select("node", "size", small.alias("small"))
 
 
 def _children(node: pa.Array, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -198,80 +205,157 @@ def _forest(a: np.ndarray, b: np.ndarray, labels: np.ndarray, sure: np.ndarray)
     whether an edge was passed over between parts that not only sure edges join."""
     first: dict = {}
     up = [first.setdefault(x, i) for i, x in enumerate(labels.tolist())]
+    left = len(first) - 1
 
     def find(x: int) -> int:
         while up[x] != x:
             up[x] = x = up[up[x]]
         return x
 
-    keep, certain, more = np.zeros(len(a), bool), None, False
-    for e, (x, y, s) in enumerate(zip(a.tolist(), b.tolist(), sure.tolist())):
-        if not s and certain is None:
-            certain = [find(i) for i in range(len(up))]
-        r, t = find(x), find(y)
-        if r != t:
-            up[t] = r
-            keep[e] = True
-        elif not s and certain[x] != certain[y]:
+    keep = np.zeros(len(a), bool)
+    certain = np.flatnonzero(sure)
+    for e, x, y in zip(certain.tolist(), a[certain].tolist(), b[certain].tolist()):
+        x, y = find(x), find(y)
+        if x != y:
+            up[y], keep[e], left = x, True, left - 1
+            if not left:
+                return keep, False
+    part = np.array([find(i) for i in range(len(up))])
+    open_edges = np.flatnonzero(~sure & (part[a] != part[b]))
+    more = False
+    for e, x, y in zip(open_edges.tolist(), a[open_edges].tolist(), b[open_edges].tolist()):
+        x, y = find(x), find(y)
+        if x != y:
+            up[y], keep[e], left = x, True, left - 1
+        else:
             more = True
+            if not left:
+                break
     return keep, more
 
 
-def _compare(rows: DataFrame, sketches: DataFrame, whole: bool) -> DataFrame:
-    """Candidates (node, a, b) of nodes given as rows (node, cid, label): a forest of each
-    node's, or with ``whole`` all, between different labels.  In the forest case a row with a null a marks a node that has more."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        for b in batches:
-            t = pa.Table.from_batches([b])
-            rest = t if rest is None else pa.concat_tables([rest, t]).combine_chunks()
-            node = rest.column("node").to_numpy()
-            if not len(node):
-                continue
-            # the last node may go on in the next batch
-            cut = int(np.searchsorted(node, node[-1]))
-            if cut:
-                yield found(rest.slice(0, cut))
-                rest = rest.slice(cut)
-        if rest is not None and len(rest):
-            yield found(rest)
-
-    def found(t: pa.Table) -> pa.RecordBatch:
+def _by_node(batches: Iterator[pa.RecordBatch], work) -> Iterator[pa.RecordBatch]:
+    """``work`` on tables of whole nodes; the batches are sorted by node."""
+    rest = None
+    for b in batches:
+        t = pa.Table.from_batches([b])
+        rest = t if rest is None else pa.concat_tables([rest, t]).combine_chunks()
+        node = rest.column("node").to_numpy()
+        if not len(node):
+            continue
+        # the last node may go on in the next batch
+        cut = int(np.searchsorted(node, node[-1]))
+        if cut:
+            yield work(rest.slice(0, cut))
+            rest = rest.slice(cut)
+    if rest is not None and len(rest):
+        yield work(rest)
+
+
+def _near_pairs(t: pa.Table) -> Iterator[tuple[int, int, np.ndarray, np.ndarray, np.ndarray]]:
+    """(first row, rows, x, y, likeness) of each node: its pairs between labels estimated at LOW or more."""
+    node, label = t.column("node").to_numpy(), t.column("label").to_numpy()
+    sketch = _matrix(t.column("sketch").combine_chunks())
+    cuts = np.flatnonzero(np.diff(node, prepend=node[0] - 1, append=node[-1] - 1))
+    for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        own, names = sketch[s:e], label[s:e]
+        # the largest label's sets need not meet each other
+        label_of, count = np.unique(names, return_counts=True)
+        if len(label_of) < 2:
+            continue
+        major = names == label_of[np.argmax(count)]
+        minor, major = np.flatnonzero(~major), np.flatnonzero(major)
+        i, j = np.triu_indices(len(minor), 1)
+        x, y = np.concatenate([np.repeat(minor, len(major)), minor[i]]), np.concatenate([np.tile(major, len(minor)), minor[j]])
+        apart = names[x] != names[y]
+        x, y = x[apart], y[apart]
+        likeness = np.concatenate([(own[x[i:i + 8192]] == own[y[i:i + 8192]]).mean(axis=1) for i in range(0, len(x), 8192)] or [np.zeros(0)])
+        near = np.flatnonzero(likeness >= LOW)
+        if len(near):
+            yield s, e - s, x[near], y[near], likeness[near]
+
+
+def _dealt(rows: DataFrame) -> DataFrame:
+    return rows.repartition("node").sortWithinPartitions("node")
+
+
+def _long(values: list) -> pa.Array:
+    return pa.concat_arrays([pa.array(v, pa.int64()) for v in values]) if values else pa.array([], pa.int64())
+
+
+def _forests(rows: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Candidates (node, a, b) of nodes given as rows (node, cid, label): a forest of each node's, best first.
+    A row with a null a marks a node that has more."""
+
+    def work(t: pa.Table) -> pa.RecordBatch:
         node, cid, label = (t.column(n).to_numpy() for n in ("node", "cid", "label"))
-        sketch = _matrix(t.column("sketch").combine_chunks())
-        cuts = np.flatnonzero(np.diff(node, prepend=node[0] - 1, append=node[-1] - 1))
         out: list[tuple] = []
-        for s, e in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
-            m, own, names = e - s, sketch[s:e], label[s:e]
-            if m < 2:
-                continue
-            x, y = np.triu_indices(m, 1)
-            apart = names[x] != names[y]
-            x, y = x[apart], y[apart]
-            likeness = np.concatenate([(own[x[i:i + 8192]] == own[y[i:i + 8192]]).mean(axis=1) for i in range(0, len(x), 8192)] or [np.zeros(0)])
-            near = np.flatnonzero(likeness >= LOW)
-            if not len(near):
-                continue
-            x, y, likeness = x[near], y[near], likeness[near]
+        for s, m, x, y, likeness in _near_pairs(t):
             a, b = np.minimum(cid[s + x], cid[s + y]), np.maximum(cid[s + x], cid[s + y])
-            if not whole:
-                order = np.lexsort((b, a, -likeness))
-                x, y, a, b = x[order], y[order], a[order], b[order]
-                keep, more = _forest(x, y, names, likeness[order] >= HIGH)
-                if more:
-                    out.append((node[s:s + 1], None, None))
-                a, b = a[keep], b[keep]
-            out.append((np.full(len(a), node[s]), a, b))
-        column = lambda k: pa.concat_arrays([pa.nulls(1, pa.int64()) if o[k] is None else pa.array(o[k], pa.int64()) for o in out]) if out else pa.array([], pa.int64())
-        return pa.RecordBatch.from_arrays([column(0), column(1), column(2)], names=["node", "a", "b"])
+            order = np.lexsort((b, a, -likeness))
+            keep, more = _forest(x[order], y[order], label[s:s + m], likeness[order] >= HIGH)
+            if more:
+                out.append((node[s:s + 1], [None], [None]))
+            out.append((np.full(int(keep.sum()), node[s]), a[order][keep], b[order][keep]))
+        return pa.RecordBatch.from_arrays([_long([o[k] for o in out]) for k in range(3)], names=["node", "a", "b"])
+
+    both = _dealt(rows.join(sketches.select("cid", "sketch"), "cid").select("node", "cid", "label", "sketch"))
+    return both.mapInArrow(lambda batches: _by_node(batches, work), "node bigint, a bigint, b bigint")
+
+
+def _involved(rows: DataFrame, sketches: DataFrame) -> DataFrame:
+    """Those rows (node, cid, label) that have a candidate of another label in their node."""
+
+    def work(t: pa.Table) -> pa.RecordBatch:
+        found = [s + np.union1d(x, y) for s, _, x, y, _ in _near_pairs(t)]
+        at = np.concatenate(found) if found else np.zeros(0, np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(t.column(n).to_numpy()[at], pa.int64()) for n in ("node", "cid", "label")], names=["node", "cid", "label"])
+
+    both = _dealt(rows.join(sketches.select("cid", "sketch"), "cid").select("node", "cid", "label", "sketch"))
+    return both.mapInArrow(lambda batches: _by_node(batches, work), "node bigint, cid bigint, label bigint")
+
+
+def _similar(x: np.ndarray, y: np.ndarray) -> bool:
+    """Whether two sorted sets reach the threshold."""
+    if 100 * min(len(x), len(y)) < THRESHOLD * max(len(x), len(y)):
+        return False
+    both = np.concatenate([x, y])
+    both.sort()
+    common = int((both[1:] == both[:-1]).sum())
+    return 100 * common >= THRESHOLD * (len(both) - common)
 
-    dealt = rows.join(sketches.select("cid", "sketch"), "cid").select("node", "cid", "label", "sketch").repartition("node").sortWithinPartitions("node")
-    return dealt.mapInArrow(run, "node bigint, a bigint, b bigint")
+
+def _links_within(rows: DataFrame, sketches: DataFrame, members: DataFrame) -> DataFrame:
+    """Confirmed links (a, b) between the labels of each node's rows (node, cid, label): every candidate
+    is tested on the full sets, which travel once for each row and not for each pair, but for those that found links join already."""
+
+    def work(t: pa.Table) -> pa.RecordBatch:
+        cid, label, sets = t.column("cid").to_numpy(), t.column("label").to_numpy(), t.column("members").combine_chunks()
+        out: list[tuple[int, int]] = []
+        for s, m, x, y, likeness in _near_pairs(t):
+            own = [np.frombuffer(v.as_buffer(), np.uint64) for v in sets.slice(s, m)]
+            first: dict = {}
+            up = [first.setdefault(n, i) for i, n in enumerate(label[s:s + m].tolist())]
+
+            def find(i: int) -> int:
+                while up[i] != i:
+                    up[i] = i = up[up[i]]
+                return i
+
+            order = np.argsort(-likeness, kind="stable")
+            for i, j in zip(x[order].tolist(), y[order].tolist()):
+                r, q = find(i), find(j)
+                if r != q and _similar(own[i], own[j]):
+                    up[q] = r
+                    out.append((min(cid[s + i], cid[s + j]), max(cid[s + i], cid[s + j])))
+        return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], names=["a", "b"])
+
+    both = rows.join(sketches.select("cid", "sketch"), "cid").join(members, "cid").select("node", "cid", "label", "sketch", "members")
+    return _dealt(both).mapInArrow(lambda batches: _by_node(batches, work), "a bigint, b bigint")
 
 
 def _full_sets(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
-    """(cid, members) of the wanted classes (cid, class, key): their texts are read and hashed again.
+    """(cid, members) of the wanted classes (cid, class, key), written: their texts are read and hashed again.
 
     Keys outside a bitmap of bounded size stay behind in the scan; the join on key and class is exact.
     """
@@ -295,13 +379,7 @@ def _confirm(pairs: DataFrame, members: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            keep = []
-            for x, y in zip(b.column(2), b.column(3)):
-                x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-                both = np.concatenate([x, y])
-                both.sort()
-                common = int((both[1:] == both[:-1]).sum())
-                keep.append(100 * common >= THRESHOLD * (len(both) - common))
+            keep = [_similar(np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)) for x, y in zip(b.column(2), b.column(3))]
             yield pa.RecordBatch.from_arrays(b.columns[:2], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
 
     left = members.select(F.col("cid").alias("a"), F.col("members").alias("x"))
@@ -309,96 +387,76 @@ def _confirm(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
 
 
-def _leaves(large: DataFrame, sketches: DataFrame) -> DataFrame | None:
-    """The trees below large nodes: rows (node, cid, label) of nodes small enough to compare; None if there are none."""
+def _leaves(large: DataFrame, sketches: DataFrame) -> DataFrame:
+    """The trees below large nodes: rows (node, cid, label) of nodes small enough to compare."""
     leaves, rows = None, materialize(large, "near-rows")
     for level in range(-1, DEPTH + 1):
-        nodes = materialize(_open(rows), "near-nodes")
-        small = rows.join(nodes.filter(F.col("size") <= LEAF).select("node"), "node", "left_semi")
+        tasks = tasks_for(rows.count())
+        nodes = materialize(_open(rows), "near-nodes", tasks)
+        rows = materialize(rows.join(nodes, "node"), "near-rows", tasks)
+        small, big = rows.filter("small").select("node", "cid", "label"), rows.filter("not small")
         leaves = small if leaves is None else leaves.unionByName(small)
-        big = nodes.filter(F.col("size") > LEAF)
         if big.isEmpty():
             break
         if level == DEPTH:
-            leaves = leaves.unionByName(_blocks(rows.join(big, "node")))
+            leaves = leaves.unionByName(_blocks(big))
             break
-        rows = rows.join(big.select("node"), "node", "left_semi")
-        rows = materialize(_by_size(rows, sketches) if level < 0 else _branch(rows.join(sketches, "cid"), level), "near-rows")
+        rows = materialize(_by_size(big, sketches) if level < 0 else _branch(big.join(sketches, "cid"), level), "near-rows", 2 * tasks)
     return leaves
 
 
-class _Links:
-    """Confirmed links so far, as components of classes."""
-
-    def __init__(self, df: DataFrame, id_col: str, text_col: str, classes: DataFrame):
-        self.source = df, id_col, text_col
-        self.classes, self.labels, self.tested = classes, None, None
-
-    def add(self, pairs: DataFrame) -> None:
-        """Confirm candidates (a, b) that were not tested before, and join the components they link."""
-        pairs = pairs.distinct()
-        if self.tested is not None:
-            pairs = pairs.join(self.tested, ["a", "b"], "left_anti")
-        pairs = materialize(pairs, "near-pairs")
-        if pairs.isEmpty():
-            return
-        self.tested = pairs if self.tested is None else self.tested.unionByName(pairs)
-        ends = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid"))).distinct()
-        members = _full_sets(*self.source, self.classes.select("cid", "class", "key").join(ends, "cid"))
-        links = _confirm(pairs, members)
-        if self.labels is None:
-            self.labels = materialize(connected_components(links), "near-labels")
-            return
-        # components of components
-        name = self.labels.withColumnRenamed("component", "c")
-        links = links.join(name.withColumnRenamed("node", "a"), "a", "left").select(F.coalesce("c", "a").alias("a"), "b")
-        links = links.join(name.withColumnRenamed("node", "b"), "b", "left").select("a", F.coalesce("c", "b").alias("b"))
-        joined = materialize(connected_components(links), "near-joined")
-        moved = joined.select(F.col("node").alias("component"), F.col("component").alias("m"))
-        kept = self.labels.join(moved, "component", "left").select("node", F.coalesce("m", "component").alias("component"))
-        new = joined.join(self.labels, "node", "left_anti")
-        self.labels = materialize(kept.unionByName(new), "near-labels")
-
-    def label(self, rows: DataFrame) -> DataFrame:
-        """Rows (node, cid) with the label of each class: its component, or itself."""
-        rows = rows.select("node", "cid")
-        if self.labels is None:
-            return rows.withColumn("label", F.col("cid"))
-        return rows.join(self.labels.select(F.col("node").alias("cid"), F.col("component")), "cid", "left").select("node", "cid", F.coalesce("component", "cid").alias("label"))
-
-
-def _link(df: DataFrame, id_col: str, text_col: str, classes: DataFrame) -> DataFrame | None:
-    """(node, component) of every class that is linked with another; None without any."""
+def _label(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Rows (node, cid) with the label of each class: its component, or itself."""
+    named = labels.select(F.col("node").alias("cid"), "component")
+    return rows.select("node", "cid").join(named, "cid", "left").select("node", "cid", F.coalesce("component", "cid").alias("label"))
+
+
+def _members_of(df: DataFrame, id_col: str, text_col: str, classes: DataFrame, cids: DataFrame) -> DataFrame:
+    return _full_sets(df, id_col, text_col, classes.select("cid", "class", "key").join(cids.distinct(), "cid"))
+
+
+def _link(df: DataFrame, id_col: str, text_col: str, classes: DataFrame) -> DataFrame:
+    """(node, component) of every class that is linked with another."""
     roots = classes.select(F.posexplode("roots").alias("tree", "token"), "cid").select(F.xxhash64("tree", "token").alias("node"), "cid")
     hub = F.min(F.struct(F.xxhash64("node", "cid").alias("h"), "cid")).alias("hub")
     nodes = roots.groupBy("node").agg(F.count("*").alias("size"), hub).filter("size > 1").select("node", "size", F.col("hub.cid").alias("hub"))
-    rows = materialize(roots.join(materialize(nodes, "near-nodes"), "node"), "near-rows")
-    sketches = materialize(classes.select("cid", "n", "sketch").join(rows.select("cid").distinct(), "cid", "left_semi"), "near-sketches")
+    tasks = tasks_for(classes.count() * TREES)
+    rows = materialize(roots.join(materialize(nodes, "near-nodes", tasks), "node"), "near-rows", tasks)
+    sketches = materialize(classes.select("cid", "n", "sketch").join(rows.select("cid").distinct(), "cid", "left_semi"), "near-sketches", tasks)
     small, large = rows.filter(F.col("size") <= LEAF), rows.filter(F.col("size") > LEAF)
-    links = _Links(df, id_col, text_col, classes)
-    # small nodes and hubs first
-    met = materialize(_compare(small.select("node", "cid", F.col("cid").alias("label")), sketches, whole=False), "near-forest")
-    found = met.filter("a is not null").select("a", "b")
     some_large = not large.isEmpty()
+
+    # forests of small nodes, and hubs
+    met = materialize(_forests(small.select("node", "cid", F.col("cid").alias("label")), sketches), "near-forest", 2 * tasks)
+    pairs = met.filter("a is not null").select("a", "b")
     if some_large:
-        found = found.unionByName(_stars(large.select("cid", "hub"), sketches))
-    links.add(found)
-    # what the components leave open: the trees below large nodes, and nodes with candidates beyond their forest
-    more = links.label(small.join(met.filter("a is null").select("node").distinct(), "node", "left_semi"))
+        pairs = pairs.unionByName(_stars(large.select("cid", "hub"), sketches))
+    pairs = materialize(pairs.distinct(), "near-pairs", tasks)
+    ends = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid")))
+    links = _confirm(pairs, _members_of(df, id_col, text_col, classes, ends))
+    labels = materialize(connected_components(links, tasks=tasks), "near-labels", tasks)
+
+    # what these components leave open: nodes with candidates beyond their forest, and the trees below large nodes
+    more = materialize(_label(small.join(met.filter("a is null").select("node").distinct(), "node", "left_semi"), labels), "near-more", tasks)
     leaves = more.join(_open(more).select("node"), "node", "left_semi")
     if some_large:
-        leaves = leaves.unionByName(_leaves(links.label(large), sketches))
-    leaves = materialize(leaves.dropDuplicates(["node", "cid"]), "near-leaves")
+        leaves = leaves.unionByName(_leaves(_label(large, labels), sketches))
+    leaves = materialize(_involved(leaves.dropDuplicates(["node", "cid"]), sketches), "near-open", 2 * tasks)
     if leaves.isEmpty():
-        return links.labels
-    met = materialize(_compare(leaves, sketches, whole=False), "near-forest")
-    links.add(met.filter("a is not null").select("a", "b"))
-    # and at last every candidate between components
-    more = links.label(leaves.join(met.filter("a is null").select("node").distinct(), "node", "left_semi"))
-    more = materialize(more.join(_open(more).select("node"), "node", "left_semi"), "near-open")
-    if not more.isEmpty():
-        links.add(_compare(more, sketches, whole=True).select("a", "b"))
-    return links.labels
+        return labels
+    members = _members_of(df, id_col, text_col, classes, leaves.select("cid"))
+    late = materialize(_links_within(leaves, sketches, members).distinct(), "near-late-links", 2 * tasks)
+    if late.isEmpty():
+        return labels
+
+    # components of components
+    name = labels.withColumnRenamed("component", "c")
+    late = late.join(name.withColumnRenamed("node", "a"), "a", "left").select(F.coalesce("c", "a").alias("a"), "b")
+    late = late.join(name.withColumnRenamed("node", "b"), "b", "left").select("a", F.coalesce("c", "b").alias("b"))
+    joined = materialize(connected_components(late, tasks=tasks), "near-joined", tasks)
+    moved = joined.select(F.col("node").alias("component"), F.col("component").alias("m"))
+    kept = labels.join(moved, "component", "left").select("node", F.coalesce("m", "component").alias("component"))
+    return materialize(kept.unionByName(joined.join(labels, "node", "left_anti")), "near-labels", tasks)
 
 
 def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -406,13 +464,9 @@ def components(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     sets = _sets(df, id_col, text_col)
     classes = _classes(sets)
     linked = _link(df, id_col, text_col, classes)
-    found = classes.select("class", "id", "cid")
-    if linked is None:
-        named = found.select("class", F.col("id").alias("component_id"))
-    else:
-        found = found.join(linked.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
-        lowest = found.groupBy("component").agg(F.min("id").alias("component_id"))
-        named = materialize(found.join(lowest, "component").select("class", "component_id"), "near-named")
+    found = classes.select("class", "id", "cid").join(linked.select(F.col("node").alias("cid"), "component"), "cid", "left").withColumn("component", F.coalesce("component", "cid"))
+    lowest = found.groupBy("component").agg(F.min("id").alias("component_id"))
+    named = materialize(found.join(lowest, "component").select("class", "component_id"), "near-named", tasks_for(classes.count()))
     return sets.select("id", "n", "class").join(named, "class", "left").select(
         "id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("id")).otherwise(F.col("component_id")).alias("component_id"))
 
@@ -433,7 +487,22 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     return marked.filter("not _maybe").select(*df.columns).unionByName(settled.select(*df.columns))
 
 
-@register("op6_chosen_path_dedup")
+#: All pairs that share a shingle, counted; components as the smallest id reachable.  Fit for small tables.
+_SQL = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+h AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+      ELSE list_distinct(list_transform(generate_series(1, len(w) - 4), lambda i: array_to_string(w[i:i + 4], ' '))) END AS s FROM w),
+n AS (SELECT doc_id, len(s) AS n FROM h),
+e AS (SELECT doc_id, unnest(s) AS x FROM h),
+c AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS shared FROM e a JOIN e b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT a, b FROM c JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b WHERE 100 * shared >= 75 * (p.n + q.n - shared)),
+g AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+r AS (SELECT doc_id, doc_id AS reached FROM n UNION SELECT r.doc_id, g.b FROM r JOIN g ON g.a = r.reached),
+m AS (SELECT doc_id, min(reached) AS component_id FROM r GROUP BY doc_id)
+SELECT doc_id, n AS n_shingles, component_id, doc_id = component_id AS kept FROM n JOIN m USING (doc_id)"""
+
+
+@register("op6_chosen_path_dedup", _SQL)
 def op6_chosen_path_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = components(table(spark, sf_dir, "documents"))
     return found.select(F.col("id").alias("doc_id"), "n_shingles", "component_id", (F.col("id") == F.col("component_id")).alias("kept"))

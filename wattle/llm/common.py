@@ -16,15 +16,26 @@ from wattle.session import scratch_path
 SPACE = b" \t\n\x0b\x0c\r"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
+#: Rows of a narrow intermediate table that are worth a task of their own, and tasks at least.
+TASK_ROWS, LEAST_TASKS = 100_000, 12
+
+
+def tasks_for(rows: int) -> int:
+    """Tasks for a narrow table of at most so many rows."""
+    return max(LEAST_TASKS, -(-rows // TASK_ROWS))
+
+
+def materialize(df: DataFrame, name: str, tasks: int | None = None) -> DataFrame:
     """Write ``df`` to a fresh Parquet table in the shared checkpoint folder and read it back.
 
+    ``tasks`` folds the shuffle partitions of a small table into so many tasks and files (more than
+    there are partitions changes nothing); iterations over small tables then cost no more than their rows.
     Cuts lineage with files every executor can reach, so losing one loses nothing;
     column pruning and size statistics (for broadcast decisions) come with the format.
     """
     spark = df.sparkSession
     path = scratch_path(spark, f"llm/{name}-{uuid.uuid4().hex}")
-    df.write.parquet(path)
+    (df.coalesce(tasks) if tasks else df).write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -137,7 +137,34 @@ def digest(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-@register("op2_secret_linking")
+def _sql(scope: int = 400) -> str:
+    """The same in SQL: matches and gaps unfolded, weak candidates linked by comparing the spans of each document."""
+    quoted = lambda regex: "'" + regex.replace("'", "''") + "'"
+    # a run of exactly 40 is a whole run of its characters
+    regexes = {"assign": ASSIGN, "access": ACCESS, "hex": HEX, "ident": IDENT, "key40": "[A-Za-z0-9+/]+", "endpoint": ENDPOINT}
+    found = " UNION ALL ".join(f"SELECT doc_id, '{k}' AS kind, regexp_extract_all(t, {quoted(r)}) AS hits, string_split_regex(t, {quoted(r)}) AS gaps FROM d WHERE regexp_matches(t, {quoted(r if k != 'key40' else '[A-Za-z0-9+/]{40}')})" for k, r in regexes.items())
+    kinds = "[" + ", ".join(f"'{k}'" for k in KINDS) + "]"
+    text = "string_agg(kind || ':' || s || ':' || e, ',' ORDER BY s, no, e)"
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({found}),
+x AS (SELECT doc_id, kind, hits[i] AS hit, gaps[i + 1] AS following,
+       list_sum(list_transform(gaps[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(hits[1:i - 1], lambda h: length(h))), 0) AS s
+      FROM (SELECT *, unnest(generate_series(1, len(hits))) AS i FROM f)),
+v AS (SELECT doc_id, CASE WHEN kind = 'assign' AND length(regexp_extract(hit, {quoted(ASSIGN)}, 2)) < 8 THEN 'short' ELSE kind END AS kind, s::BIGINT AS s, (s + length(hit))::BIGINT AS e
+      FROM x WHERE kind <> 'key40' OR (length(hit) = 40 AND NOT starts_with(following, '=') AND regexp_matches(hit, '[0-9]') AND regexp_matches(hit, '[A-Z]') AND regexp_matches(hit, '[a-z]'))),
+k AS (SELECT *, list_position({kinds}, kind) AS no, CASE WHEN kind IN ('access', 'ident') THEN 'id' WHEN kind = 'endpoint' THEN 'endpoint' ELSE 'secret' END AS role FROM v),
+base AS (SELECT * FROM k WHERE no <= 3),
+weak AS (SELECT * FROM k w WHERE no > 3 AND NOT EXISTS (SELECT 1 FROM base b WHERE b.doc_id = w.doc_id AND b.s < w.e AND w.s < b.e)),
+parts AS (SELECT * FROM base UNION ALL SELECT * FROM weak),
+linked AS (SELECT * FROM weak w WHERE EXISTS (SELECT 1 FROM parts p WHERE p.doc_id = w.doc_id AND (w.role = 'secret') <> (p.role = 'secret') AND p.s <= w.e + {scope} AND p.e >= w.s - {scope})),
+b AS (SELECT doc_id, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex, {text} AS spans FROM base GROUP BY doc_id),
+a AS (SELECT doc_id, {text} AS spans FROM (SELECT * FROM base UNION ALL SELECT * FROM linked) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(b.spans, '')) AS base_sha256, coalesce(a.spans, '') AS spans
+FROM d LEFT JOIN b USING (doc_id) LEFT JOIN a USING (doc_id)"""
+
+
+@register("op2_secret_linking", _sql())
 def op2_secret_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = find_secrets(table(spark, sf_dir, "documents"))
     count = lambda kind: F.size(F.filter("base", lambda s: s["kind"] == KINDS.index(kind))).cast("bigint")
