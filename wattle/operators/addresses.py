@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from wattle.functions import text as T
@@ -135,6 +135,19 @@ def page(df: DataFrame, order: list, page_no: int, page_size: int) -> DataFrame:
     return df.orderBy(*order).offset((page_no - 1) * page_size).limit(page_size)
 
 
+def page_with_totals(df: DataFrame, order: list, page_no: int, page_size: int) -> DataFrame:
+    """O2: a page whose rows carry total_count, total_pages and has_more.
+
+    The count is one aggregate over ``df``; its one row is stacked on the page's rows, and a window over
+    these (a page and one row) hands it to each.
+    """
+    total = df.agg(F.count(F.lit(1)).alias("total_count"))
+    stacked = page(df, order, page_no, page_size).withColumn("_row", F.lit(True)).unionByName(total, allowMissingColumns=True)
+    rows = stacked.withColumn("total_count", F.max("total_count").over(Window.partitionBy())).filter("_row").drop("_row")
+    return rows.select("*", F.ceil(F.col("total_count") / F.lit(page_size)).cast("bigint").alias("total_pages"),
+                       (F.lit(page_no * page_size) < F.col("total_count")).alias("has_more"))
+
+
 # ----------------------------------------------------------------------------- autocomplete
 def suburb_autocomplete(df: DataFrame, prefix: str, limit: int = 20) -> DataFrame:
     """Distinct suburbs starting with the prefix (case-insensitive), ordered, top ``limit``."""

@@ -138,13 +138,17 @@ def employee_summary(df: DataFrame,
                      rank: str = "rank_name", grade: str = "grade", order: bool = True) -> DataFrame:
     """LG2: per employee: hours, NSR, ANSR, margin cost, expense, distinct engagements
     and opportunities, TER, margin, margin %, EAF and level; sorted level desc
-    (nulls last), TER desc.  Groups with a null key are dropped (pandas)."""
+    (nulls last), TER desc.  Groups with a null key are dropped (pandas).
+
+    The lines are first summed per (keys, engagement, opportunity), so the two distinct counts
+    triple that small table and not the ledger."""
     cond = F.lit(True)
     for k in keys:
         cond = cond & F.col(k).isNotNull()
-    g = (df.filter(cond).groupBy(*keys)
-           .agg(F.sum("hours").alias("hours"), F.sum("nsr").alias("nsr"), F.sum("ansr").alias("ansr"),
-                F.sum("margin_cost").alias("margin_cost"), F.sum("expense").alias("expense"),
+    sums = [F.sum(c).alias(c) for c in ("hours", "nsr", "ansr", "margin_cost", "expense")]
+    per = df.filter(cond).groupBy(*keys, "engagement_id", "opportunity_id").agg(*sums)
+    g = (per.groupBy(*keys)
+           .agg(*sums,
                 F.count_distinct("engagement_id").alias("n_engagements"),
                 F.count_distinct("opportunity_id").alias("n_opportunities")))
     ter = F.col("ansr") + F.col("expense")

@@ -62,6 +62,23 @@ def wip(t: Tables) -> DataFrame:
     )
 
 
+def raw_ledger(t: Tables) -> DataFrame:
+    """The WIP ledger as the raw sheet has it: text under its own labels, with some unreadable cells."""
+    w = wip(t)
+    k = F.substring("opportunity_id", 3, 20).cast("bigint")
+    emp = F.col("employee_id")
+    text = lambda c: _s(c)
+    return w.select(
+        F.col("opportunity_id").alias("Opportunity ID"), F.col("engagement_id").alias("Engagement ID"), F.col("engagement_name").alias("Engagement Long Name"),
+        F.when(k % 89 == 0, "TBC").otherwise(text("accounting_date")).alias("Accounting Date"), text("transaction_date").alias("Transaction Date"),
+        F.when(k % 97 == 0, "n/a").otherwise(text("hours")).alias("Charged Hours / Quantity"), text("nsr").alias("NSR / Tech Revenue"),
+        F.when(k % 101 == 0, " ").otherwise(text("ansr")).alias("ANSR / Tech Revenue"), text("margin_cost").alias("Margin Cost"), text("expense").alias("Expense Amount"),
+        F.concat(F.lit("Emp "), _s(emp)).alias("Employee / Product Name"), _s(emp).alias("Employee GUI / Product ID"), F.col("rank_name").alias("Rank / Method"),
+        F.col("grade").alias("Grade"), F.concat(F.lit("Region "), _s(emp % 3)).alias("Employee Region"),
+        F.when(emp % 11 != 0, F.concat(F.lit("Country "), _s(emp % 5))).alias("Country / Region"), F.concat(F.lit("Line "), _s(emp % 4)).alias("Service Line"),
+    )
+
+
 def bills(t: Tables) -> DataFrame:
     """Billing export rows: one invoice per order."""
     o = t.orders.select("o_orderkey", "o_custkey", "o_totalprice", "o_orderdate")
@@ -142,7 +159,7 @@ def street_locality(t: Tables) -> DataFrame:
     k = F.col("c_custkey")
     return c.select(
         F.concat(F.lit("ST"), _s(k)).alias("street_locality_pid"),
-        F.when(k % 50 == 0, F.concat(F.lit("151.1"), _s(k)))
+        F.when(k % 50 == 0, F.concat(F.lit("151.1"), _s(k % 7)))
          .otherwise(F.concat(F.lit("NAME "), _s(k % 120))).alias("street_name"),
         F.when(k % 4 == 0, "ST").when(k % 4 == 1, "RD").when(k % 4 == 2, "AVE").alias("street_type_code"),
         F.concat(F.lit("LOC"), _s(k % 25)).alias("locality_pid"),
@@ -216,15 +233,24 @@ def school_profile(t: Tables) -> DataFrame:
 
 
 def school_location(t: Tables) -> DataFrame:
-    p = school_profile(t)
+    """Locations of most profiles, some a little off the profile's point or without one, some with a point
+    that the profile lacks; and a few of schools that have no profile."""
     k = F.col("acara_sml_id")
-    return p.filter(k % 11 != 3).select(
+    i = k - 40000
+    x0, y0 = _lattice(i)
+    off = F.when(k % 4 == 1, F.lit(0.001)).otherwise(F.lit(0.0))
+    known = school_profile(t).filter(k % 11 != 3).select(
         "acara_sml_id", "school_name", "state",
         F.when(k % 4 == 0, "Major Cities of Australia").when(k % 4 == 1, "Inner Regional Australia")
          .when(k % 4 == 2, "Remote Australia").alias("abs_remoteness_area_name"),
-        "latitude", "longitude",
+        F.when(i % 17 != 0, y0 + F.lit(0.01) + off).alias("latitude"), F.when(i % 17 != 0, x0 + F.lit(0.01)).alias("longitude"),
         F.when(k % 10 == 0, 1).otherwise(0).alias("special_school"),
     )
+    s = F.col("s_suppkey")
+    gone = t.supplier.filter(s % 20 == 0).select(
+        (F.lit(60000) + s).alias("acara_sml_id"), F.concat(F.lit("Gone"), _s(s), F.lit(" School")).alias("school_name"), F.lit("NSW").alias("state"),
+        F.lit(None).cast("string").alias("abs_remoteness_area_name"), F.lit(-34.0).alias("latitude"), F.lit(151.0).alias("longitude"), F.lit(0).alias("special_school"))
+    return known.unionByName(gone)
 
 
 def hazard_zone(t: Tables) -> DataFrame:

@@ -378,3 +378,33 @@ def o7_suburbs_by_state(spark, d):
     """The suburbs of one state (the state-view form), ordered."""
     sp = D.suburb_postcode(Tables(spark, d))
     return sp.filter(F.col("state_name") == "ASIA").select("locality_name", "postcode").distinct().orderBy("locality_name", "postcode")
+
+
+@register("o2_search_page_with_totals", _sq(f"""SELECT address_detail_pid, number_first, street_name, locality_name, postcode, total_count, cast(ceil(total_count / {PAGE_SIZE}e0) AS bigint) AS total_pages,
+ {PAGE_NO * PAGE_SIZE} < total_count AS has_more FROM (SELECT *, count(*) OVER () AS total_count FROM (SELECT DISTINCT ON (address_detail_pid) address_detail_pid, number_first, street_name, locality_name, postcode
+ FROM addr_star WHERE {_SEARCH_SQL_WHERE} ORDER BY address_detail_pid, locality_name, street_name, number_first) x) y ORDER BY address_detail_pid LIMIT {PAGE_SIZE} OFFSET {(PAGE_NO - 1) * PAGE_SIZE}"""))
+def o2_search_page_with_totals(spark, d):
+    """O2: a page with the total number of rows and pages, and whether more pages follow."""
+    found = A.distinct_on(_search(Tables(spark, d)), "address_detail_pid", ["locality_name", "street_name", "number_first"])
+    return A.page_with_totals(found.select("address_detail_pid", "number_first", "street_name", "locality_name", "postcode"), ["address_detail_pid"], PAGE_NO, PAGE_SIZE)
+
+
+AFTER_PID = "GA000001000"
+
+
+@register("o2_search_page_keyset", _sq(f"""SELECT DISTINCT ON (address_detail_pid) address_detail_pid, number_first, street_name, locality_name, postcode FROM addr_star
+WHERE {_SEARCH_SQL_WHERE} AND address_detail_pid > '{AFTER_PID}' ORDER BY address_detail_pid, locality_name, street_name, number_first LIMIT {PAGE_SIZE}"""))
+def o2_search_page_keyset(spark, d):
+    """O2, keyset form: the page after a given address, found by a filter on the key and not by an offset."""
+    after = _search(Tables(spark, d)).filter(F.col("address_detail_pid") > AFTER_PID)
+    found = A.distinct_on(after, "address_detail_pid", ["locality_name", "street_name", "number_first"])
+    return A.page(found.select("address_detail_pid", "number_first", "street_name", "locality_name", "postcode"), ["address_detail_pid"], 1, PAGE_SIZE)
+
+
+@register("o6_box_street_autocomplete", _sq(f"""SELECT DISTINCT street_name, street_type FROM addr_star WHERE date_retired IS NULL AND upper(street_name) LIKE 'NAME 3%'
+AND lon BETWEEN {BOX[0]} AND {BOX[2]} AND lat BETWEEN {BOX[1]} AND {BOX[3]} ORDER BY street_name, street_type NULLS LAST LIMIT 20"""))
+def o6_box_street_autocomplete(spark, d):
+    """O6 within a box (F7): street names by prefix among the active addresses of the box."""
+    a = A.active(star(Tables(spark, d)), "date_retired")
+    inside = a.filter(F.col("lon").between(BOX[0], BOX[2]) & F.col("lat").between(BOX[1], BOX[3]))
+    return A.street_autocomplete(inside, "name 3", drop_coordinate_like=False)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from wattle.operators import ledger as L
+from wattle.operators import report as R
 from wattle.plans import domain as D
 from wattle.plans.oracle import sql
 from wattle.plans.registry import register
@@ -213,3 +214,47 @@ def o5_top25_engagements(spark, d):
     """The 25 engagements with the highest TER (the printed summary)."""
     s = L.engagement_summary(_fy(Tables(spark, d)), order=False)
     return s.orderBy(F.desc("ter"), "engagement_id").limit(25)
+
+
+# ----------------------------------------------------------------------------- E1: raw text to sheets
+@register("e1_clean_ledger", sql(f"""SELECT strftime(accounting_date, '%Y-%m') AS acc_month, country_region, count(*) AS n, {_r('sum(hours)')} AS hours, {_r('sum(nsr)')} AS nsr,
+ {_r('sum(ansr)')} AS ansr, {_r('sum(margin_cost)')} AS margin_cost, {_r('sum(expense)')} AS expense, count(transaction_date) AS n_transaction_dates
+FROM clean_ledger GROUP BY 1, 2""", "clean_ledger"))
+def e1_clean_ledger(spark, d):
+    """What the cleaned raw sheet holds, per accounting month and country."""
+    c = R.clean_ledger(D.raw_ledger(Tables(spark, d)))
+    sums = [L.round2(F.sum(x)).alias(x) for x in ("hours", "nsr", "ansr", "margin_cost", "expense")]
+    return c.groupBy(F.date_format("accounting_date", "yyyy-MM").alias("acc_month"), "country_region").agg(
+        F.count(F.lit(1)).alias("n"), *sums, F.count("transaction_date").alias("n_transaction_dates"))
+
+
+_E1_FY = f"SELECT * FROM clean_ledger WHERE {_FY}"
+_SEVEN = ", ".join(R.EMPLOYEE_KEYS)
+
+
+def _employee_sheet_sql() -> str:
+    level = _EMP_SQL[_EMP_SQL.index(" CASE WHEN lower(trim(rank_name))"):_EMP_SQL.index(" AS level")]
+    body = f"""SELECT {_SEVEN}, {_r('hours')} AS hours, {_r('nsr')} AS nsr, {_r('ansr')} AS ansr, {_r('margin_cost')} AS margin_cost, {_r('expense')} AS expense,
+ n_engagements, n_opportunities, {_r('ansr + expense')} AS ter, {_r('ansr - margin_cost')} AS margin_amount,
+ round_even(CASE WHEN cast(ansr AS double) <> 0 THEN cast(ansr - margin_cost AS double) / cast(ansr AS double) * 100e0 END, 2) AS margin_pct,
+ round_even(CASE WHEN cast(nsr AS double) <> 0 THEN cast(ansr AS double) / cast(nsr AS double) END, 2) AS eaf, {level} AS level
+FROM (SELECT {_SEVEN}, sum(hours) AS hours, sum(nsr) AS nsr, sum(ansr) AS ansr, sum(margin_cost) AS margin_cost, sum(expense) AS expense,
+ count(DISTINCT engagement_id) AS n_engagements, count(DISTINCT opportunity_id) AS n_opportunities FROM fy WHERE {' AND '.join(f'{k} IS NOT NULL' for k in R.EMPLOYEE_KEYS)} GROUP BY {_SEVEN}) g"""
+    sums = ", ".join(f"round(sum({c}), 2)" for c in ("hours", "nsr", "ansr", "margin_cost", "expense")) + ", cast(sum(n_engagements) AS bigint), cast(sum(n_opportunities) AS bigint), round(sum(ter), 2), round(sum(margin_amount), 2)"
+    return sql(f"SELECT * FROM emp UNION ALL SELECT 'TOTAL', NULL, NULL, NULL, NULL, NULL, NULL, {sums}, NULL, NULL, NULL FROM emp", "clean_ledger", extra={"fy": _E1_FY, "emp": body})
+
+
+@register("e1_employee_sheet", _employee_sheet_sql())
+def e1_employee_sheet(spark, d):
+    """LG2 and LG7 on the cleaned sheet, all seven keys."""
+    return R.employee_sheet(L.fiscal_window(R.clean_ledger(D.raw_ledger(Tables(spark, d))), FY_START, FY_END))
+
+
+_MONTH_BODY = _MONTH_SQL[_MONTH_SQL.rindex("SELECT month, "):]
+
+
+@register("e1_month_sheet", sql("SELECT * FROM months UNION ALL SELECT 'TOTAL', round(sum(hours), 2), round(sum(ansr), 2), round(sum(margin_cost), 2), round(sum(expense), 2), round(sum(margin_amount), 2), round(sum(ter), 2), NULL FROM months",
+                                "clean_ledger", extra={"fy": _E1_FY, "months": _MONTH_BODY}))
+def e1_month_sheet(spark, d):
+    """LG3 and LG7 on the cleaned sheet."""
+    return R.month_sheet(L.fiscal_window(R.clean_ledger(D.raw_ledger(Tables(spark, d))), FY_START, FY_END))

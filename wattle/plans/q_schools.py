@@ -9,7 +9,7 @@ from wattle.operators import schools as SC
 from wattle.plans import domain as D
 from wattle.plans.oracle import sql
 from wattle.plans.registry import register
-from wattle.plans.q_spatial import PIP_SQL as _PIP_SQL
+from wattle.plans.q_spatial import PIP_SQL as _PIP_SQL, vincenty_sql
 from wattle.sources.tables import Tables
 
 T1_QUERY = "place1"
@@ -304,13 +304,15 @@ def _school_point_sql() -> str:
             FROM lookup WHERE school_id IS NOT NULL GROUP BY school_id) lk ON lk.school_id = c.school_id"""
 
 
+_SP17_CTES, _SP17_LAST = vincenty_sql("pairs", "slat", "slon", "alat", "alon")
+
+
 @register("sp17_catchment_address_distance", _lsql(
-    "SELECT m.address_detail_pid, m.school_id, round(" +
-    "2 * 6371000e0 * atan2(sqrt(pow(sin((radians(a.lat) - radians(p.slat)) / 2), 2) + cos(radians(p.slat)) * cos(radians(a.lat)) * pow(sin((radians(a.lon) - radians(p.slon)) / 2), 2)), sqrt(1 - (pow(sin((radians(a.lat) - radians(p.slat)) / 2), 2) + cos(radians(p.slat)) * cos(radians(a.lat)) * pow(sin((radians(a.lon) - radians(p.slon)) / 2), 2))))"
-    + " / 1000e0, 2) AS distance_km FROM mapping m JOIN address a ON a.address_detail_pid = m.address_detail_pid JOIN spoint p ON p.school_id = m.school_id",
-    "address", "catchment_edge", extra={"mapping": _PIP_SQL, "spoint": _school_point_sql()}))
+    f"SELECT address_detail_pid, school_id, round(vd / 1000e0, 2) AS distance_km FROM {_SP17_LAST}", "address", "catchment_edge",
+    extra={"mapping": _PIP_SQL, "spoint": _school_point_sql(), "pairs": """SELECT m.address_detail_pid, m.school_id, p.slat, p.slon, a.lat AS alat, a.lon AS alon
+ FROM mapping m JOIN address a ON a.address_detail_pid = m.address_detail_pid JOIN spoint p ON p.school_id = m.school_id""", **_SP17_CTES}))
 def sp17_catchment_address_distance(spark, d):
-    """SP17 + J29: distance (km, 2 dp) from every mapped address to its school's point,
+    """SP17 + J29: geodesic distance (WGS84, km, 2 dp) from every mapped address to its school's point,
     the point being the lookup's coordinates, else the catchment centroid."""
     from wattle.plans.q_spatial import mapping
     t = Tables(spark, d)
@@ -320,5 +322,14 @@ def sp17_catchment_address_distance(spark, d):
     pt = cent.join(lk.select("school_id", "latitude", "longitude"), "school_id", "left").select(
         "school_id", F.coalesce("latitude", "c.y").alias("slat"), F.coalesce("longitude", "c.x").alias("slon"))
     m = mapping(t).select("address_detail_pid", "school_id", "lon", "lat").join(pt, "school_id")
-    return m.select("address_detail_pid", "school_id",
-                    F.round(G.haversine_m("slat", "slon", "lat", "lon") / 1000.0, 2).alias("distance_km"))
+    return G.with_vincenty(m, "slat", "slon", "lat", "lon", "_m").select(
+        "address_detail_pid", "school_id", F.round(F.col("_m") / 1000.0, 2).alias("distance_km"))
+
+
+@register("f9_schools_by_remoteness", sql("""SELECT p.acara_sml_id, p.school_name, l.abs_remoteness_area_name FROM school_profile p JOIN school_location l ON l.acara_sml_id = p.acara_sml_id
+WHERE l.abs_remoteness_area_name = 'Inner Regional Australia' ORDER BY p.school_name""", "school_profile", "school_location"))
+def f9_schools_by_remoteness(spark, d):
+    """the schools of one remoteness area."""
+    t = Tables(spark, d)
+    area = D.school_location(t).filter(F.col("abs_remoteness_area_name") == "Inner Regional Australia").select("acara_sml_id", "abs_remoteness_area_name")
+    return D.school_profile(t).select("acara_sml_id", "school_name").join(area, "acara_sml_id").orderBy("school_name")

@@ -18,6 +18,59 @@ RADIUS_M = 1000.0
 CELL = 0.0025  # about 1/16 of a catchment's width: most points fall in wholly-inside cells
 NAMED_CATCHMENT = "PLACE1"
 
+def _num(x: float) -> str:
+    r = repr(float(x))
+    return r if "e" in r else r + "e0"
+
+
+def vincenty_sql(src: str, lat1: str, lon1: str, lat2: str, lon2: str, steps: int = 6) -> tuple[dict, str]:
+    """The Vincenty expression of ``wattle.functions.geo.vincenty_m`` as a chain of SQL
+    stages with the same operations in the same order (for the DuckDB oracle).
+    Returns (CTEs, name of the last stage, which has column ``vd``)."""
+    a, b, f = G.WGS84_A, G.WGS84_B, G.WGS84_F
+    ctes = {"v0": f"""SELECT *, atan({_num(1 - f)} * tan(radians({lat1}))) AS u1, atan({_num(1 - f)} * tan(radians({lat2}))) AS u2,
+ radians({lon2}) - radians({lon1}) AS vl FROM {src}""",
+            "v1": "SELECT *, sin(u1) AS su1, cos(u1) AS cu1, sin(u2) AS su2, cos(u2) AS cu2, vl AS lam0 FROM v0"}
+    prev = "v1"
+
+    def terms(lam: str) -> str:
+        return (f"SELECT *, sin({lam}) AS sl, cos({lam}) AS cl FROM {{p}}",
+                "SELECT *, sqrt(pow(cu2 * sl, 2) + pow(cu1 * su2 - su1 * cu2 * cl, 2)) AS ss, su1 * su2 + cu1 * cu2 * cl AS cs FROM {p}",
+                "SELECT *, CASE WHEN ss = 0 THEN 0e0 ELSE cu1 * cu2 * sl / ss END AS sa, atan2(ss, cs) AS sig FROM {p}",
+                "SELECT *, 1e0 - sa * sa AS c2a FROM {p}",
+                "SELECT *, CASE WHEN c2a = 0 THEN 0e0 ELSE cs - 2e0 * su1 * su2 / c2a END AS c2sm, "
+                f"{_num(f / 16)} * c2a * (4e0 + {_num(f)} * (4e0 - 3e0 * c2a)) AS cc FROM {{p}}")
+
+    n = 0
+    for i in range(steps + 1):
+        lam = f"lam{i}"
+        for tmpl in terms(lam):
+            n += 1
+            name = f"vs{n}"
+            ctes[name] = tmpl.format(p=prev)
+            prev = name
+        if i < steps:
+            n += 1
+            name = f"vs{n}"
+            ctes[name] = (f"SELECT * EXCLUDE (sl, cl, ss, cs, sa, sig, c2a, c2sm, cc), vl + (1e0 - cc) * {_num(f)} * sa * "
+                          f"(sig + cc * ss * (c2sm + cc * cs * (-1e0 + 2e0 * c2sm * c2sm))) AS lam{i + 1} FROM {prev}")
+            prev = name
+    n += 1
+    ctes[f"vs{n}"] = f"SELECT *, c2a * {_num((a * a - b * b) / (b * b))} AS usq FROM {prev}"
+    prev = f"vs{n}"
+    n += 1
+    ctes[f"vs{n}"] = (f"SELECT *, 1e0 + usq / 16384 * (4096e0 + usq * (-768e0 + usq * (320e0 - 175e0 * usq))) AS aa, "
+                      f"usq / 1024 * (256e0 + usq * (-128e0 + usq * (74e0 - 47e0 * usq))) AS bb FROM {prev}")
+    prev = f"vs{n}"
+    n += 1
+    ctes[f"vs{n}"] = (f"SELECT *, bb * ss * (c2sm + bb / 4 * (cs * (-1e0 + 2e0 * c2sm * c2sm) - bb / 6 * c2sm * (-3e0 + 4e0 * ss * ss) "
+                      f"* (-3e0 + 4e0 * c2sm * c2sm))) AS ds FROM {prev}")
+    prev = f"vs{n}"
+    n += 1
+    ctes[f"vs{n}"] = f"SELECT *, CASE WHEN ss = 0 THEN 0e0 ELSE {_num(b)} * aa * (sig - ds) END AS vd FROM {prev}"
+    return ctes, f"vs{n}"
+
+
 PIP_SQL = """SELECT p.address_detail_pid, p.school_id, p.school_type FROM (
   SELECT a.address_detail_pid, a.lon, a.lat, c.school_id, c.school_type FROM address a JOIN catchment c
   ON a.lon BETWEEN c.x0 AND c.x0 + c.d AND a.lat BETWEEN c.y0 AND c.y0 + c.d WHERE a.date_retired IS NULL) p
@@ -196,17 +249,21 @@ def ag26_radius_counts(spark, d):
     return _radius(Tables(spark, d)).groupBy("acara_sml_id").agg(F.count(F.lit(1)).alias("address_count"))
 
 
-@register("j21_nearest_address", sql("""SELECT acara_sml_id, address_detail_pid, round(sqrt(d2), 9) AS distance_deg FROM (
- SELECT s.acara_sml_id, a.address_detail_pid, (a.lon - s.longitude) * (a.lon - s.longitude) + (a.lat - s.latitude) * (a.lat - s.latitude) AS d2,
+_J21_CTES, _J21_LAST = vincenty_sql("pairs", "slat", "slon", "alat", "alon")
+
+
+@register("j21_nearest_address", sql(f"""SELECT acara_sml_id, address_detail_pid, round(sqrt(d2), 9) AS distance_deg, round(vd, 2) AS distance_m FROM {_J21_LAST}""",
+                                     "school_profile", "address", extra={"pairs": """SELECT acara_sml_id, address_detail_pid, d2, slat, slon, alat, alon FROM (
+ SELECT s.acara_sml_id, a.address_detail_pid, s.latitude AS slat, s.longitude AS slon, a.lat AS alat, a.lon AS alon, (a.lon - s.longitude) * (a.lon - s.longitude) + (a.lat - s.latitude) * (a.lat - s.latitude) AS d2,
   row_number() OVER (PARTITION BY s.acara_sml_id ORDER BY (a.lon - s.longitude) * (a.lon - s.longitude) + (a.lat - s.latitude) * (a.lat - s.latitude), a.address_detail_pid) AS rn
- FROM school_profile s JOIN address a ON a.date_retired IS NULL AND s.latitude IS NOT NULL) x WHERE rn = 1""", "school_profile", "address"))
+ FROM school_profile s JOIN address a ON a.date_retired IS NULL AND s.latitude IS NOT NULL) x WHERE rn = 1""", **_J21_CTES}))
 def j21_nearest_address(spark, d):
     t = Tables(spark, d)
     schools = D.school_profile(t).select("acara_sml_id", F.col("longitude").alias("lon"), F.col("latitude").alias("lat"))
     addrs = A.active(D.address(t), "date_retired").select("address_detail_pid", F.col("lon").alias("r_lon"),
                                                           F.col("lat").alias("r_lat"))
-    nn = S.nearest_neighbour(schools, addrs, "acara_sml_id", "address_detail_pid", size=0.002, report_metres=False)
-    return nn.select("acara_sml_id", "address_detail_pid", F.round("distance_deg", 9).alias("distance_deg"))
+    nn = S.nearest_neighbour(schools, addrs, "acara_sml_id", "address_detail_pid", size=0.002)
+    return nn.select("acara_sml_id", "address_detail_pid", F.round("distance_deg", 9).alias("distance_deg"), F.round("distance_m", 2).alias("distance_m"))
 
 
 @register("j21_nearest_other_school", sql("""SELECT acara_sml_id, other_id, round(sqrt(d2), 9) AS distance_deg FROM (
@@ -223,20 +280,24 @@ def j21_nearest_other_school(spark, d):
     return nn.select("acara_sml_id", F.col("acara_sml_id_o").alias("other_id"), F.round("distance_deg", 9).alias("distance_deg"))
 
 
-@register("j22_street_span_distance", sql(f"""SELECT s.street_locality_pid, first_pid, last_pid, round({hav_sql('f.lat', 'f.lon', 'l.lat', 'l.lon')}, 3) AS distance_m
+_J22_CTES, _J22_LAST = vincenty_sql("pairs", "flat", "flon", "llat", "llon")
+
+
+@register("j22_street_span_distance", sql(f"""SELECT street_locality_pid, first_pid, last_pid, round(vd, 3) AS distance_m FROM {_J22_LAST}""", "address",
+                                          extra={"pairs": """SELECT s.street_locality_pid, first_pid, last_pid, f.lat AS flat, f.lon AS flon, l.lat AS llat, l.lon AS llon
 FROM (SELECT street_locality_pid, min(address_detail_pid) AS first_pid, max(address_detail_pid) AS last_pid FROM address GROUP BY 1) s
-JOIN address f ON f.address_detail_pid = s.first_pid JOIN address l ON l.address_detail_pid = s.last_pid""", "address"))
+JOIN address f ON f.address_detail_pid = s.first_pid JOIN address l ON l.address_detail_pid = s.last_pid""", **_J22_CTES}))
 def j22_street_span_distance(spark, d):
-    """J22 in batch form: distance between two chosen addresses (here the first and last
-    address of every street) - two key joins, no cross join."""
+    """J22 in batch form: geodesic distance (WGS84) between two chosen addresses (here the first and
+    last address of every street) - two key joins, no cross join."""
     a = D.address(Tables(spark, d))
     ends = a.groupBy("street_locality_pid").agg(F.min("address_detail_pid").alias("first_pid"),
                                                 F.max("address_detail_pid").alias("last_pid"))
     f = a.select(F.col("address_detail_pid").alias("first_pid"), F.col("lon").alias("f_lon"), F.col("lat").alias("f_lat"))
     l = a.select(F.col("address_detail_pid").alias("last_pid"), F.col("lon").alias("l_lon"), F.col("lat").alias("l_lat"))
     j = ends.join(f, "first_pid").join(l, "last_pid")
-    return j.select("street_locality_pid", "first_pid", "last_pid",
-                    F.round(G.haversine_m("f_lat", "f_lon", "l_lat", "l_lon"), 3).alias("distance_m"))
+    return G.with_vincenty(j, "f_lat", "f_lon", "l_lat", "l_lon", "distance_m").select(
+        "street_locality_pid", "first_pid", "last_pid", F.round("distance_m", 3).alias("distance_m"))
 
 
 @register("sp18_hazard_exposure", sql("""SELECT c.postcode, h.hazard_id FROM (
@@ -340,7 +401,7 @@ def j24_catchment_streets(spark, d):
     return catchment_streets(Tables(spark, d))
 
 
-CATCHMENT_FOR_STREETS, STREET_PREFIX = 7, "NAME 1"
+CATCHMENT_FOR_STREETS, STREET_PREFIX = 5, "NAME 7"
 
 
 @register("o6_catchment_street_autocomplete", _psql(f"""SELECT DISTINCT street_name, street_type FROM streets
@@ -432,59 +493,6 @@ def ag26_disc_totals(spark, d):
                                          F.count_if(km <= PAGE_KM).alias("within_km_count"))
 
 
-def _num(x: float) -> str:
-    r = repr(float(x))
-    return r if "e" in r else r + "e0"
-
-
-def vincenty_sql(src: str, lat1: str, lon1: str, lat2: str, lon2: str, steps: int = 6) -> tuple[dict, str]:
-    """The Vincenty expression of ``wattle.functions.geo.vincenty_m`` as a chain of SQL
-    stages with the same operations in the same order (for the DuckDB oracle).
-    Returns (CTEs, name of the last stage, which has column ``vd``)."""
-    a, b, f = G.WGS84_A, G.WGS84_B, G.WGS84_F
-    ctes = {"v0": f"""SELECT *, atan({_num(1 - f)} * tan(radians({lat1}))) AS u1, atan({_num(1 - f)} * tan(radians({lat2}))) AS u2,
- radians({lon2}) - radians({lon1}) AS vl FROM {src}""",
-            "v1": "SELECT *, sin(u1) AS su1, cos(u1) AS cu1, sin(u2) AS su2, cos(u2) AS cu2, vl AS lam0 FROM v0"}
-    prev = "v1"
-
-    def terms(lam: str) -> str:
-        return (f"SELECT *, sin({lam}) AS sl, cos({lam}) AS cl FROM {{p}}",
-                "SELECT *, sqrt(pow(cu2 * sl, 2) + pow(cu1 * su2 - su1 * cu2 * cl, 2)) AS ss, su1 * su2 + cu1 * cu2 * cl AS cs FROM {p}",
-                "SELECT *, CASE WHEN ss = 0 THEN 0e0 ELSE cu1 * cu2 * sl / ss END AS sa, atan2(ss, cs) AS sig FROM {p}",
-                "SELECT *, 1e0 - sa * sa AS c2a FROM {p}",
-                "SELECT *, CASE WHEN c2a = 0 THEN 0e0 ELSE cs - 2e0 * su1 * su2 / c2a END AS c2sm, "
-                f"{_num(f / 16)} * c2a * (4e0 + {_num(f)} * (4e0 - 3e0 * c2a)) AS cc FROM {{p}}")
-
-    n = 0
-    for i in range(steps + 1):
-        lam = f"lam{i}"
-        for tmpl in terms(lam):
-            n += 1
-            name = f"vs{n}"
-            ctes[name] = tmpl.format(p=prev)
-            prev = name
-        if i < steps:
-            n += 1
-            name = f"vs{n}"
-            ctes[name] = (f"SELECT * EXCLUDE (sl, cl, ss, cs, sa, sig, c2a, c2sm, cc), vl + (1e0 - cc) * {_num(f)} * sa * "
-                          f"(sig + cc * ss * (c2sm + cc * cs * (-1e0 + 2e0 * c2sm * c2sm))) AS lam{i + 1} FROM {prev}")
-            prev = name
-    n += 1
-    ctes[f"vs{n}"] = f"SELECT *, c2a * {_num((a * a - b * b) / (b * b))} AS usq FROM {prev}"
-    prev = f"vs{n}"
-    n += 1
-    ctes[f"vs{n}"] = (f"SELECT *, 1e0 + usq / 16384 * (4096e0 + usq * (-768e0 + usq * (320e0 - 175e0 * usq))) AS aa, "
-                      f"usq / 1024 * (256e0 + usq * (-128e0 + usq * (74e0 - 47e0 * usq))) AS bb FROM {prev}")
-    prev = f"vs{n}"
-    n += 1
-    ctes[f"vs{n}"] = (f"SELECT *, bb * ss * (c2sm + bb / 4 * (cs * (-1e0 + 2e0 * c2sm * c2sm) - bb / 6 * c2sm * (-3e0 + 4e0 * ss * ss) "
-                      f"* (-3e0 + 4e0 * c2sm * c2sm))) AS ds FROM {prev}")
-    prev = f"vs{n}"
-    n += 1
-    ctes[f"vs{n}"] = f"SELECT *, CASE WHEN ss = 0 THEN 0e0 ELSE {_num(b)} * aa * (sig - ds) END AS vd FROM {prev}"
-    return ctes, f"vs{n}"
-
-
 _SP6_CTES, _SP6_LAST = vincenty_sql("pairs", "slat", "slon", "alat", "alon")
 
 
@@ -578,3 +586,18 @@ def ag30_catchment_rows(spark, d):
 
 
 register("j20_near_catchment_boundary", _j20_sql())(j20_near_catchment_boundary)
+
+
+_CATCHMENT_ID = 3
+
+
+@register("o6_catchment_suburbs", _psql(f"""SELECT DISTINCT l.locality_name, a.postcode FROM mapping m JOIN address a ON a.address_detail_pid = m.address_detail_pid
+JOIN locality l ON l.locality_pid = a.locality_pid WHERE m.school_id = {_CATCHMENT_ID} ORDER BY l.locality_name, a.postcode LIMIT 20""", "locality"))
+def o6_catchment_suburbs(spark, d):
+    """O6 within one catchment: its suburbs and postcodes; only that polygon is mapped."""
+    t = Tables(spark, d)
+    polygon = D.catchment_polygons(t).filter(F.col("school_id") == _CATCHMENT_ID)
+    pts = A.active(D.address(t), "date_retired").select("address_detail_pid", "lon", "lat", "locality_pid", "postcode")
+    inside = S.points_in_polygons(pts, polygon, "school_id", CELL, point_id="address_detail_pid")
+    named = inside.join(D.locality(t).select("locality_pid", "locality_name"), "locality_pid")
+    return named.select("locality_name", "postcode").distinct().orderBy("locality_name", "postcode").limit(20)
