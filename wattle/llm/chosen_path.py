@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattle.llm.common import binary_values, key_bitmap, materialize, may_contain_udf, slices, tasks_for
+from wattle.llm.common import binary_values, key_bitmap, materialize, may_contain, may_contain_udf, slices, tasks_for
 from wattle.llm.components import connected_components
 from wattle.llm.registry import register, table
 
@@ -359,12 +359,14 @@ def _full_sets(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame) ->
 
     Keys outside a bitmap of bounded size stay behind in the scan; the join on key and class is exact.
     """
-    test = may_contain_udf(df.sparkSession, key_bitmap(wanted, "key"))
-    rows = df.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).cast("binary").alias("text")).filter(test("key"))
+    bitmap = df.sparkSession.sparkContext.broadcast(key_bitmap(wanted, "key"))
+    rows = df.select(F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), F.col(text_col).cast("binary").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = _Words()
         for b in batches:
+            # the test is made here and not by a function of its own, which would be a second Python process for each task
+            b = b.filter(pa.array(may_contain(bitmap.value, b.column(0).to_numpy())))
             found = [v.tobytes() for v in shingle_sets(*binary_values(b.column(1)), words)]
             names = [hashlib.blake2b(v, digest_size=16).digest() for v in found]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.binary()), pa.array(found, pa.binary())], names=["key", "class", "members"])

@@ -180,7 +180,7 @@ def score(df: DataFrame, model: OrdinalModel, text_col: str = "text", keep_text:
         """word -> positions of its features in the model."""
 
         def __missing__(self, word: str) -> tuple[int, ...]:
-            if len(self) > 500_000:
+            if len(self) > 100_000:
                 self.clear()
             self[word] = out = tuple(at[f] for f in word_features(word) if f in at)
             return out

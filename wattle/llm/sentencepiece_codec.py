@@ -33,7 +33,7 @@ from wattle.llm.registry import register, table
 MARK = "▁"
 _CHUNK = re.compile(f"{MARK}+[^{MARK}]*")
 #: Bytes of text that are split and gathered at once.
-BLOCK = 4 << 20
+BLOCK = 2 << 20
 
 
 def check_model(model: bytes) -> None:
@@ -53,7 +53,7 @@ def check_model(model: bytes) -> None:
 class ChunkTable(dict):
     """chunk -> row number; ``ids`` of row i are ``flat[start[i]:start[i] + length[i]]``."""
 
-    def __init__(self, model: bytes, max_chunks: int = 400_000):
+    def __init__(self, model: bytes, max_chunks: int = 200_000):
         import sentencepiece
 
         super().__init__()
@@ -117,7 +117,7 @@ def _add(df: DataFrame, names: list[str]) -> None:
 
 
 def encode(df: DataFrame, model: bytes, text_col: str = "text", ids_col: str | None = "ids", begin: bool = True, end: bool = True,
-           max_chunks: int = 400_000, keep_text: bool = True) -> DataFrame:
+           max_chunks: int = 200_000, keep_text: bool = True) -> DataFrame:
     """``df`` with n_tokens, ids_sha256, decoded_sha256 and, unless ``ids_col`` is None, the ids.
 
     ``keep_text=False`` leaves the text column out of the result.
