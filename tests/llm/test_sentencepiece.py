@@ -20,7 +20,7 @@ def expected(text):
 
 def test_odd_texts_and_round_trip(spark):
     df = spark.createDataFrame([(i, t, i) for i, t in enumerate(ODD)], "doc_id long, text string, extra int").repartition(3)
-    for limit in (400_000, 2):  # a table that starts anew all the time changes nothing
+    for limit in (200_000, 2):  # a table that starts anew all the time changes nothing
         out = S.decode(S.encode(df, S.load_model(), max_chunks=limit), S.load_model()).collect()
         assert len(out) == len(ODD)
         for r in out:
