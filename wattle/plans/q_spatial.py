@@ -4,14 +4,18 @@ polygons by an edge table and crossing parity, distances by haversine."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
+from wattle import jobs
 from wattle.functions import geo as G
 from wattle.operators import addresses as A
 from wattle.operators import spatial_join as S
 from wattle.plans import domain as D
 from wattle.plans.oracle import sql
 from wattle.plans.registry import register
+from wattle.session import scratch_path
 from wattle.sources.tables import Tables
 
 RADIUS_M = 1000.0
@@ -120,13 +124,7 @@ UNION ALL SELECT 'TOTAL', count(*), count(DISTINCT address_detail_pid), count(DI
 def ag16_mapping_counts(spark, d):
     """AG16/U4: per type and in total, from one pass over the mapping (``rollup``)
     rather than a union that would compute the point-in-polygon join twice."""
-    m = mapping(Tables(spark, d))
-    r = m.rollup("school_type").agg(F.count(F.lit(1)).alias("mapping_rows"),
-                                    F.count_distinct("address_detail_pid").alias("addresses"),
-                                    F.count_distinct("school_id").alias("schools"),
-                                    F.grouping("school_type").alias("_g"))
-    return r.select(F.when(F.col("_g") == 1, F.lit("TOTAL")).otherwise(F.col("school_type")).alias("metric"),
-                    "mapping_rows", "addresses", "schools")
+    return jobs.mapping_counts(mapping(Tables(spark, d)))
 
 
 @register("ag18_overlapping_catchments", _psql("""SELECT m.address_detail_pid, count(*) AS catchment_count,
@@ -387,13 +385,7 @@ JOIN locality l ON l.locality_pid = a.locality_pid"""
 def catchment_streets(t: Tables):
     """The distinct streets (with suburb and postcode) of every catchment."""
     m = mapping(t).select("address_detail_pid", "school_id", "school_type")
-    a = D.address(t).select("address_detail_pid", "street_locality_pid", "locality_pid", "postcode")
-    sl = D.street_locality(t).select("street_locality_pid", "street_name", "street_type_code")
-    st = D.street_type_aut(t).select(F.col("code").alias("street_type_code"), F.col("name").alias("street_type"))
-    loc = D.locality(t).select("locality_pid", "locality_name")
-    j = (m.join(a, "address_detail_pid").join(sl, "street_locality_pid")
-          .join(st, "street_type_code", "left").join(loc, "locality_pid"))
-    return j.select("school_id", "school_type", "street_name", "street_type", "locality_name", "postcode").distinct()
+    return jobs.catchment_streets(m, D.address(t), D.street_locality(t), D.street_type_aut(t), D.locality(t))
 
 
 @register("j24_catchment_streets", _psql(_STREETS_SQL, "street_locality", "street_type_aut", "locality"))
@@ -601,3 +593,20 @@ def o6_catchment_suburbs(spark, d):
     inside = S.points_in_polygons(pts, polygon, "school_id", CELL, point_id="address_detail_pid")
     named = inside.join(D.locality(t).select("locality_pid", "locality_name"), "locality_pid")
     return named.select("locality_name", "postcode").distinct().orderBy("locality_name", "postcode").limit(20)
+
+
+def _saved(spark, d) -> str:
+    """The folder of freshly built saved tables."""
+    t, folder = Tables(spark, d), scratch_path(spark, f"saved-{uuid.uuid4().hex}")
+    jobs.build(mapping(t), D.address(t), D.street_locality(t), D.street_type_aut(t), D.locality(t), D.catchment_polygons(t), D.school_catchment_name(t), folder)
+    return folder
+
+
+@register("s17_saved_catchment_tables", _psql(f"""SELECT 'streets' AS table_name, school_type, count(*) AS n FROM ({_STREETS_SQL}) s GROUP BY school_type
+UNION ALL SELECT 'mapping', school_type, count(*) FROM mapping GROUP BY school_type
+UNION ALL SELECT 'statistics', school_type, count(*) FROM catchment GROUP BY school_type""", "street_locality", "street_type_aut", "locality"))
+def s17_saved_catchment_tables(spark, d):
+    """The mapping and the tables derived from it, built once and read back: rows per type."""
+    folder = _saved(spark, d)
+    per = lambda label, name: jobs.read(spark, folder, name).groupBy("school_type").agg(F.count(F.lit(1)).alias("n")).select(F.lit(label).alias("table_name"), "school_type", "n")
+    return per("streets", jobs.STREETS).unionByName(per("mapping", jobs.MAPPING)).unionByName(per("statistics", jobs.STATISTICS))
