@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattle.functions.geo import (EARTH_RADIUS_M, haversine_m, point_in_polygon, rings_bbox, square_cell, vincenty_m,
+from wattle.functions.geo import (EARTH_RADIUS_M, haversine_m, point_in_polygon, rings_bbox, square_cell, to_3857, vincenty_m,
                                  with_vincenty)
 
 # The sphere (R = 6371 km) and the WGS84 geodesic differ by well under 1 %, so a
@@ -401,3 +401,36 @@ def near_polyline(points: DataFrame, lines: DataFrame, line_id: str, meters: flo
     as_rings = lines.select(line_id, F.array(F.col(path)).alias("rings"))
     return (near_polygon_boundary(points, as_rings, line_id, meters, size, lon, lat, "rings", point_id)
             .withColumnRenamed("boundary_m", "distance_m"))
+
+
+def within_polygon_distance(points: DataFrame, polys: DataFrame, poly_id: str, units: float, point_id: str, lon: str = "lon", lat: str = "lat",
+                            rings: str = "rings", inside_size: float = 0.01) -> DataFrame:
+    """(point, polygon) pairs whose distance in Mercator units (EPSG:3857) is at most ``units``, with
+    ``distance``; 0 for points inside.
+
+    The edges are exploded to the cells of their boxes grown by the distance, a point meets the edges of its
+    cell, and the least distance per pair is an aggregate; points inside come from the point-in-polygon join.
+    """
+    size = 2.0 * units
+    x, y = to_3857(lon, lat)
+    pts = points.filter(F.col(lon).isNotNull() & F.col(lat).isNotNull()).select(point_id, x.alias("_x"), y.alias("_y"))
+    pts = pts.withColumn("_cx", square_cell("_x", size)).withColumn("_cy", square_cell("_y", size))
+
+    def planar(p: Column) -> Column:
+        px, py = to_3857(p["x"], p["y"])
+        return F.struct(px.alias("x"), py.alias("y"))
+
+    r = polys.select(poly_id, F.explode(F.transform(rings, lambda ring: F.transform(ring, planar))).alias("_r"))
+    n = F.size("_r") - 1
+    e = r.select(poly_id, F.inline(F.zip_with(F.slice("_r", 1, n), F.slice("_r", 2, n),
+                                              lambda a, b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by")))))
+    e = (e.withColumn("_cx", F.explode(_cells(F.least("ax", "bx") - units, F.greatest("ax", "bx") + units, size)))
+          .withColumn("_cy", F.explode(_cells(F.least("ay", "by") - units, F.greatest("ay", "by") + units, size))))
+    dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
+    len2 = dx * dx + dy * dy
+    t = F.when(len2 == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((F.col("_x") - F.col("ax")) * dx + (F.col("_y") - F.col("ay")) * dy) / len2)))
+    qx, qy = F.col("ax") + t * dx - F.col("_x"), F.col("ay") + t * dy - F.col("_y")
+    near = pts.join(e, ["_cx", "_cy"]).select(point_id, poly_id, F.sqrt(qx * qx + qy * qy).alias("d")).groupBy(point_id, poly_id).agg(F.min("d").alias("distance"))
+    inside = points_in_polygons(points.select(point_id, lon, lat), polys.select(poly_id, rings), poly_id, inside_size, lon, lat, rings, point_id=point_id)
+    both = near.filter(F.col("distance") <= F.lit(float(units))).unionByName(inside.select(point_id, poly_id, F.lit(0.0).alias("distance")))
+    return both.groupBy(point_id, poly_id).agg(F.min("distance").alias("distance"))

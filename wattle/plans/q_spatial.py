@@ -359,9 +359,13 @@ def sp11_catchment_centroid(spark, d):
     return c.select("school_id", F.round("c.x", 9).alias("cx"), F.round("c.y", 9).alias("cy"))
 
 
-@register("sp16_ring_validity", sql("""SELECT count(*) AS polygons, count(*) AS valid_rings FROM catchment""", "catchment"))
+@register("sp16_ring_validity", sql("""SELECT count(*) AS polygons, count(CASE WHEN school_id % 9 <> 0 AND school_id % 10 <> 0 THEN 1 END) AS valid_rings FROM catchment""", "catchment"))
 def sp16_ring_validity(spark, d):
+    """SP16: valid rings among the catchments, of which every ninth is left open and every tenth cut to three points."""
     c = D.catchment_polygons(Tables(spark, d))
+    k = F.col("school_id")
+    broken = F.when(k % 9 == 0, F.transform("rings", lambda r: F.slice(r, 1, 6))).when(k % 10 == 0, F.transform("rings", lambda r: F.concat(F.slice(r, 1, 2), F.slice(r, 1, 1))))
+    c = c.withColumn("rings", broken.otherwise(F.col("rings")))
     return c.agg(F.count(F.lit(1)).alias("polygons"),
                  F.count_if(F.forall("rings", lambda r: G.ring_is_valid(r))).alias("valid_rings"))
 
@@ -610,3 +614,27 @@ def s17_saved_catchment_tables(spark, d):
     folder = _saved(spark, d)
     per = lambda label, name: jobs.read(spark, folder, name).groupBy("school_type").agg(F.count(F.lit(1)).alias("n")).select(F.lit(label).alias("table_name"), "school_type", "n")
     return per("streets", jobs.STREETS).unionByName(per("mapping", jobs.MAPPING)).unionByName(per("statistics", jobs.STATISTICS))
+
+
+def _polygon_distance_sql() -> str:
+    x = lambda c: f"6378137e0 * radians({c})"
+    y = lambda c: f"6378137e0 * ln(tan(pi() / 4 + radians({c}) / 2))"
+    dx, dy = "(e.bx - e.ax)", "(e.by - e.ay)"
+    len2 = f"({dx} * {dx} + {dy} * {dy})"
+    t = f"(CASE WHEN {len2} = 0 THEN 0e0 ELSE least(1e0, greatest(0e0, ((p.x - e.ax) * {dx} + (p.y - e.ay) * {dy}) / {len2})) END)"
+    d = f"sqrt(pow(e.ax + {t} * {dx} - p.x, 2) + pow(e.ay + {t} * {dy} - p.y, 2))"
+    m = BOUNDARY_M
+    return _psql(f"""SELECT address_detail_pid, school_id, round(min(d), 3) AS distance FROM (
+ SELECT p.address_detail_pid, e.school_id, {d} AS d FROM mp p JOIN me e ON p.x BETWEEN least(e.ax, e.bx) - {m} AND greatest(e.ax, e.bx) + {m} AND p.y BETWEEN least(e.ay, e.by) - {m} AND greatest(e.ay, e.by) + {m}
+ UNION ALL SELECT address_detail_pid, school_id, 0e0 FROM mapping) z WHERE d <= {m} GROUP BY 1, 2""", extra={
+        "me": f"SELECT school_id, {x('c.ax')} AS ax, {y('c.ay')} AS ay, {x('c.bx')} AS bx, {y('c.by')} AS by FROM catchment_edge c",
+        "mp": f"SELECT address_detail_pid, {x('lon')} AS x, {y('lat')} AS y FROM address WHERE date_retired IS NULL"})
+
+
+@register("j20_polygon_distance", _polygon_distance_sql())
+def j20_polygon_distance(spark, d):
+    """Active addresses within 150 Mercator units of a catchment, 0 inside."""
+    t = Tables(spark, d)
+    pts = A.active(D.address(t), "date_retired").select("address_detail_pid", "lon", "lat")
+    near = S.within_polygon_distance(pts, D.catchment_polygons(t), "school_id", BOUNDARY_M, "address_detail_pid", inside_size=CELL)
+    return near.select("address_detail_pid", "school_id", F.round("distance", 3).alias("distance"))
