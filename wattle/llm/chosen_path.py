@@ -37,7 +37,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattle.llm.common import binary_values, key_bitmap, materialize, may_contain, may_contain_udf, slices, tasks_for
+from wattle.llm.common import binary_values, bound_batches, key_bitmap, materialize, may_contain, may_contain_udf, slices, tasks_for
 from wattle.llm.components import connected_components
 from wattle.llm.registry import register, table
 
@@ -121,7 +121,7 @@ def _sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.ListArray.from_arrays(ends, flat), pa.array(sketches, pa.binary())],
                                              names=["rid", "id", "key", "n", "class", "roots", "sketch"])
 
-    return materialize(rows.mapInArrow(run, f"rid bigint, id {kind}, key bigint, n bigint, class binary, roots array<bigint>, sketch binary"), "near-sets")
+    return materialize(bound_batches(rows).mapInArrow(run, f"rid bigint, id {kind}, key bigint, n bigint, class binary, roots array<bigint>, sketch binary"), "near-sets")
 
 
 def _classes(sets: DataFrame) -> DataFrame:

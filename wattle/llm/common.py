@@ -69,6 +69,21 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
 
 
+#: Documents in an Arrow batch at most: batches hold whole texts, in the JVM, on the way and in Python.
+BATCH_ROWS = 1000
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def bound_batches(df: DataFrame) -> DataFrame:
+    """``df``, its session's Arrow batches lowered to BATCH_ROWS rows (never raised): Spark counts a
+    batch's rows and not its bytes, and its default of 10,000 whole texts is too much for a small executor."""
+    spark = df.sparkSession
+    now = int(spark.conf.get(_BATCH))
+    if now <= 0 or now > BATCH_ROWS:
+        spark.conf.set(_BATCH, str(BATCH_ROWS))
+    return df
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattle.llm.common import SPACE, binary_values, key_bitmap, materialize, may_contain
+from wattle.llm.common import SPACE, binary_values, bound_batches, key_bitmap, materialize, may_contain
 from wattle.llm.registry import register, table
 
 
@@ -118,7 +118,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             both = [(fp, sha) for _, fp, sha in _hashes(b.column(3))]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([x for x, _ in both], pa.int64()), pa.array([x for _, x in both], pa.binary())], names=schema.names)
 
-    return materialize(rows.mapInArrow(run, schema), "dedup-fingerprints")
+    return materialize(bound_batches(rows).mapInArrow(run, schema), "dedup-fingerprints")
 
 
 #: Fingerprints per block of the hash space, on average; and blocks at least.

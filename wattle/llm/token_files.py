@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wattle.llm.common import binary_values, ragged, slices
+from wattle.llm.common import binary_values, bound_batches, ragged, slices
 from wattle.llm.registry import register, table
 from wattle.session import scratch_path
 
@@ -280,7 +280,7 @@ def write_tokens(df: DataFrame, path: str, spec: str, end_id: int | None = 1, id
         if docs:
             yield close()
 
-    rows.mapInArrow(run, "part bigint, segment bigint, n_docs bigint, n_ids bigint, data binary").write.parquet(path)
+    bound_batches(rows).mapInArrow(run, "part bigint, segment bigint, n_docs bigint, n_ids bigint, data binary").write.parquet(path)
 
 
 def _starts(segments: DataFrame) -> DataFrame:
