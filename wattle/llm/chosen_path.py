@@ -36,8 +36,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from wattle.llm.common import binary_values, bound_batches, key_bitmap, materialize, may_contain, may_contain_udf, slices, tasks_for
+from wattle.llm.common import binary_values, bound_batches, key_bitmap, materialize, may_contain, slices, tasks_for, tidy
 from wattle.llm.components import connected_components
 from wattle.llm.registry import register, table
 
@@ -121,7 +122,7 @@ def _sets(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array(sizes, pa.int64()), pa.array(names, pa.binary()), pa.ListArray.from_arrays(ends, flat), pa.array(sketches, pa.binary())],
                                              names=["rid", "id", "key", "n", "class", "roots", "sketch"])
 
-    return materialize(bound_batches(rows).mapInArrow(run, f"rid bigint, id {kind}, key bigint, n bigint, class binary, roots array<bigint>, sketch binary"), "near-sets")
+    return materialize(bound_batches(rows).mapInArrow(tidy(run), f"rid bigint, id {kind}, key bigint, n bigint, class binary, roots array<bigint>, sketch binary"), "near-sets")
 
 
 def _classes(sets: DataFrame) -> DataFrame:
@@ -169,7 +170,7 @@ def _stars(large: DataFrame, sketches: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
 
     both = large.join(sketches, "cid").join(hubs, "hub").select("cid", "hub", "sketch", "hub_sketch")
-    return both.mapInArrow(run, "a bigint, b bigint")
+    return both.mapInArrow(tidy(run), "a bigint, b bigint")
 
 
 def _branch(large: DataFrame, level: int) -> DataFrame:
@@ -182,7 +183,7 @@ def _branch(large: DataFrame, level: int) -> DataFrame:
             child = _mix(path ^ _mix(own[row, coordinate].astype(np.uint64) + np.uint64(1))).view(np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(child), b.column(1).take(pa.array(row)), b.column(2).take(pa.array(row))], names=["node", "cid", "label"])
 
-    return large.select("node", "cid", "label", "sketch").mapInArrow(run, "node bigint, cid bigint, label bigint")
+    return large.select("node", "cid", "label", "sketch").mapInArrow(tidy(run), "node bigint, cid bigint, label bigint")
 
 
 def _by_size(large: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -300,7 +301,7 @@ def _forests(rows: DataFrame, sketches: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([_long([o[k] for o in out]) for k in range(3)], names=["node", "a", "b"])
 
     both = _dealt(rows.join(sketches.select("cid", "sketch"), "cid").select("node", "cid", "label", "sketch"))
-    return both.mapInArrow(lambda batches: _by_node(batches, work), "node bigint, a bigint, b bigint")
+    return both.mapInArrow(tidy(lambda batches: _by_node(batches, work)), "node bigint, a bigint, b bigint")
 
 
 def _involved(rows: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -312,7 +313,7 @@ def _involved(rows: DataFrame, sketches: DataFrame) -> DataFrame:
         return pa.RecordBatch.from_arrays([pa.array(t.column(n).to_numpy()[at], pa.int64()) for n in ("node", "cid", "label")], names=["node", "cid", "label"])
 
     both = _dealt(rows.join(sketches.select("cid", "sketch"), "cid").select("node", "cid", "label", "sketch"))
-    return both.mapInArrow(lambda batches: _by_node(batches, work), "node bigint, cid bigint, label bigint")
+    return both.mapInArrow(tidy(lambda batches: _by_node(batches, work)), "node bigint, cid bigint, label bigint")
 
 
 def _similar(x: np.ndarray, y: np.ndarray) -> bool:
@@ -351,7 +352,7 @@ def _links_within(rows: DataFrame, sketches: DataFrame, members: DataFrame) -> D
         return pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64())], names=["a", "b"])
 
     both = rows.join(sketches.select("cid", "sketch"), "cid").join(members, "cid").select("node", "cid", "label", "sketch", "members")
-    return _dealt(both).mapInArrow(lambda batches: _by_node(batches, work), "a bigint, b bigint")
+    return _dealt(both).mapInArrow(tidy(lambda batches: _by_node(batches, work)), "a bigint, b bigint")
 
 
 def _full_sets(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame) -> DataFrame:
@@ -371,7 +372,7 @@ def _full_sets(df: DataFrame, id_col: str, text_col: str, wanted: DataFrame) ->
             names = [hashlib.blake2b(v, digest_size=16).digest() for v in found]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.binary()), pa.array(found, pa.binary())], names=["key", "class", "members"])
 
-    sets = rows.mapInArrow(run, "key bigint, class binary, members binary")
+    sets = rows.mapInArrow(tidy(run), "key bigint, class binary, members binary")
     # repeated rows share their key: one of them is enough
     return materialize(sets.join(wanted, ["key", "class"]).dropDuplicates(["cid"]).select("cid", "members"), "near-members")
 
@@ -386,7 +387,7 @@ def _confirm(pairs: DataFrame, members: DataFrame) -> DataFrame:
 
     left = members.select(F.col("cid").alias("a"), F.col("members").alias("x"))
     right = members.select(F.col("cid").alias("b"), F.col("members").alias("y"))
-    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(run, "a bigint, b bigint")
+    return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(tidy(run), "a bigint, b bigint")
 
 
 def _leaves(large: DataFrame, sketches: DataFrame) -> DataFrame:
@@ -483,8 +484,15 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     # a row is told by its id; rows without one by their component having another
     gone = components(df, id_col, text_col).filter(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_id"), F.xxhash64(F.col("id")).alias("_k")).distinct()
     gone = materialize(gone, "near-dropped")
-    test = may_contain_udf(df.sparkSession, key_bitmap(gone, "_k"))
-    marked = df.withColumn("_key", F.xxhash64(F.col(id_col))).withColumn("_maybe", test("_key"))
+    bitmap = df.sparkSession.sparkContext.broadcast(key_bitmap(gone, "_k"))
+    keyed = df.withColumn("_key", F.xxhash64(F.col(id_col)))
+    schema = T.StructType([*keyed.schema.fields, T.StructField("_maybe", T.BooleanType())])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(may_contain(bitmap.value, b.column("_key").to_numpy()))], names=schema.names)
+
+    marked = bound_batches(keyed).mapInArrow(tidy(run), schema)
     settled = marked.filter("_maybe").join(gone, F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
     return marked.filter("not _maybe").select(*df.columns).unionByName(settled.select(*df.columns))
 

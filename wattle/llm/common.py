@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import uuid
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -84,6 +86,26 @@ def bound_batches(df: DataFrame) -> DataFrame:
     return df
 
 
+def release_memory() -> None:
+    """Give freed memory back to the system: Spark reuses Python workers, and allocators keep what a finished task held."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not glibc
+        ctypes.CDLL(None).malloc_trim(0)
+
+
+def tidy(run):
+    """``run`` (batches to batches), after which the worker's free memory is released."""
+
+    def wrapped(batches):
+        try:
+            yield from run(batches)
+        finally:
+            release_memory()
+
+    return wrapped
+
+
 def text_or_empty(column: str = "text") -> Column:
     return F.coalesce(F.col(column), F.lit(""))
 
@@ -116,14 +138,3 @@ def may_contain(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """False where a 64-bit key is certainly not among those of the bitmap."""
     at = keys.astype(np.uint64) & np.uint64(len(bitmap) * 8 - 1)
     return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
-
-
-def may_contain_udf(spark, bitmap: np.ndarray):
-    """Boolean function of a bigint column: ``may_contain`` with the bitmap broadcast (bounded by MAX_BITS)."""
-    shared = spark.sparkContext.broadcast(bitmap)
-
-    @F.pandas_udf("boolean")
-    def test(keys: pd.Series) -> pd.Series:
-        return pd.Series(may_contain(shared.value, keys.to_numpy(np.int64)))
-
-    return test

@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wattle.llm.common import bound_batches
+from wattle.llm.common import bound_batches, tidy
 from wattle.llm.registry import register, table
 
 LANES = 256
@@ -172,7 +172,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
             pa.array(map(as_text, own), pa.string()), pa.array(map(as_text, changed), pa.string()), pa.array(likeness(own, changed)), pa.array(likeness(own, after)),
         ], names=["id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next"])
 
-    return bound_batches(dealt).mapInArrow(run, "id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
+    return bound_batches(dealt).mapInArrow(tidy(run), "id bigint, n_chars bigint, edited_sha256 string, fingerprint string, edited_fingerprint string, near_edited double, near_next double")
 
 
 @register("op10_multiset_hash")

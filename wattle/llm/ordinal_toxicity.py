@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattle.llm.common import bound_batches, materialize
+from wattle.llm.common import bound_batches, materialize, tidy
 from wattle.llm.registry import register, table
 
 #: Bound of the labelled sample that the model is fitted on.
@@ -88,7 +88,7 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([list(c) for c in found], pa.list_(pa.int64())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))],
                                              names=["toxic", "features", "counts"])
 
-    return materialize(bound_batches(rows).mapInArrow(run, "toxic int, features array<bigint>, counts array<int>"), "toxic-sample"), kinds
+    return materialize(bound_batches(rows).mapInArrow(tidy(run), "toxic int, features array<bigint>, counts array<int>"), "toxic-sample"), kinds
 
 
 def associated(sample: DataFrame) -> list[int]:
@@ -155,7 +155,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float64()))], names=["toxic", "at", "value"])
 
     # equal rows (most clean ones show no feature at all) are one row with their number as weight
-    rows = Counter((r["toxic"], tuple(sorted(zip(r["at"], r["value"])))) for r in sample.mapInArrow(run, "toxic int, at array<int>, value array<double>").collect())
+    rows = Counter((r["toxic"], tuple(sorted(zip(r["at"], r["value"])))) for r in sample.mapInArrow(tidy(run), "toxic int, at array<int>, value array<double>").collect())
     ordered = sorted(rows)
     x, toxic, times = np.zeros((len(ordered), len(chosen))), np.array([r[0] for r in ordered]), np.array([rows[r] for r in ordered], float)
     for i, (_, values) in enumerate(ordered):
@@ -204,7 +204,7 @@ def score(df: DataFrame, model: OrdinalModel, text_col: str = "text", keep_text:
             columns = [pa.array(reach.sum(axis=1).round(9)), pa.array((reach >= 0.5).sum(axis=1), pa.int32()), pa.array(reach[:, 0] >= 0.5)]
             yield pa.RecordBatch.from_arrays([*(b.column(f.name) for f in kept), *columns], names=schema.names)
 
-    return bound_batches(df).mapInArrow(run, schema)
+    return bound_batches(df).mapInArrow(tidy(run), schema)
 
 
 @register("op8_ordinal_toxicity")

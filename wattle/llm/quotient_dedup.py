@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattle.llm.common import SPACE, binary_values, bound_batches, key_bitmap, materialize, may_contain
+from wattle.llm.common import SPACE, binary_values, bound_batches, key_bitmap, materialize, may_contain, tidy
 from wattle.llm.registry import register, table
 
 
@@ -118,7 +118,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             both = [(fp, sha) for _, fp, sha in _hashes(b.column(3))]
             yield pa.RecordBatch.from_arrays([*b.columns[:3], pa.array([x for x, _ in both], pa.int64()), pa.array([x for _, x in both], pa.binary())], names=schema.names)
 
-    return materialize(bound_batches(rows).mapInArrow(run, schema), "dedup-fingerprints")
+    return materialize(bound_batches(rows).mapInArrow(tidy(run), schema), "dedup-fingerprints")
 
 
 #: Fingerprints per block of the hash space, on average; and blocks at least.
@@ -190,7 +190,7 @@ def _verified(df: DataFrame, text_col: str, repeated: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.binary()),
                                               pa.array([r[0] for r in rows], pa.binary())], names=["fp", "sha", "bytes"])
 
-    routed = df.select(F.col(text_col).cast("binary")).mapInArrow(run, "fp bigint, sha binary, bytes binary")
+    routed = df.select(F.col(text_col).cast("binary")).mapInArrow(tidy(run), "fp bigint, sha binary, bytes binary")
     # equal bytes are combined within each task, so no text is moved once per copy
     texts = routed.groupBy("sha", "bytes").agg(F.count("*").alias("found"))
     return texts.groupBy("sha").agg(F.count("*").alias("texts"), F.sum("found").alias("found"))
@@ -202,18 +202,20 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
     Rows whose fingerprint occurs once pass straight through; only the others are grouped, by bytes.
     """
     names = df.columns
-    if clash := {"_fp", "_sha", "_n"} & {c.lower() for c in names}:
+    if clash := {"_maybe", "_bytes", "_row"} & {c.lower() for c in names}:
         raise ValueError(f"columns would clash: {sorted(clash)}")
     repeated = materialize(repeated_fingerprints(fingerprints(df, id_col, text_col)), "dedup-repeated")
     bitmap = df.sparkSession.sparkContext.broadcast(key_bitmap(repeated, "fp"))
 
-    @F.pandas_udf("maybe boolean, bytes binary")
-    def routed(texts: pd.Series) -> pd.DataFrame:
-        rows = list(_hashes(pa.Array.from_pandas(texts, type=pa.binary())))
-        maybe = may_contain(bitmap.value, np.array([r[1] for r in rows], np.int64))
-        return pd.DataFrame({"maybe": maybe, "bytes": [r[0] if k else None for r, k in zip(rows, maybe)]})
+    schema = T.StructType([*df.schema.fields, T.StructField("_maybe", T.BooleanType()), T.StructField("_bytes", T.BinaryType())])
 
-    marked = df.withColumn("_m", routed(F.col(text_col).cast("binary"))).select(*names, F.col("_m.maybe").alias("_maybe"), F.col("_m.bytes").alias("_bytes"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            rows = list(_hashes(b.column(text_col)))
+            maybe = may_contain(bitmap.value, np.array([r[1] for r in rows], np.int64))
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(maybe), pa.array([r[0] if k else None for r, k in zip(rows, maybe)], pa.binary())], names=schema.names)
+
+    marked = bound_batches(df).mapInArrow(tidy(run), schema)
     order = F.struct(F.coalesce(F.length(text_col), F.lit(0)), (-F.col(id_col)), F.col(text_col))
     best = marked.filter("_maybe").groupBy("_bytes").agg(F.max_by(F.struct(*names), order).alias("_row")).select("_row.*")
     return marked.filter("not _maybe").select(*names).unionByName(best)

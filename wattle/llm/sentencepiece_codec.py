@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattle.llm.common import binary_values, bound_batches, ragged, slices
+from wattle.llm.common import binary_values, bound_batches, ragged, slices, tidy
 from wattle.llm.registry import register, table
 
 MARK = "▁"
@@ -153,7 +153,7 @@ def encode(df: DataFrame, model: bytes, text_col: str = "text", ids_col: str | N
                     columns.append(pa.ListArray.from_arrays(ends, np.concatenate(all_ids)))
                 yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return bound_batches(df).mapInArrow(run, schema)
+    return bound_batches(df).mapInArrow(tidy(run), schema)
 
 
 def decode(df: DataFrame, model: bytes, ids_col: str = "ids", out_col: str = "decoded") -> DataFrame:
