@@ -1,6 +1,7 @@
 import random
 
 import brute
+import numpy as np
 import pytest
 
 from wattle.llm import chosen_path as C
@@ -45,6 +46,26 @@ def test_against_all_pairs(spark, monkeypatch, seed, leaf, depth):
     assert got == want
 
 
+def test_star_below_large_roots(spark, monkeypatch):
+    # a centre and 3000 variants 0.75 similar to it, in the next size class; every root they share is large
+    monkeypatch.setattr(C, "LEAF", 50)
+    rng = np.random.default_rng(5)
+    n = 3000
+    sketch = np.tile(rng.integers(0, 256, C.COORDINATES, dtype=np.uint8), (n + 1, 1))
+    other = rng.random(sketch.shape) >= 0.75
+    other[0] = False
+    sketch[other] += rng.integers(1, 256, int(other.sum()), dtype=np.uint8)
+    sketches = spark.createDataFrame([(i, 301 if i else 400, bytes(sketch[i])) for i in range(n + 1)], "cid long, n long, sketch binary")
+    shared = rng.random((n + 1, C.TREES)) < 0.75
+    shared[0] = True
+    assert (shared.sum(axis=0) > 40 * C.LEAF).all()
+    large = spark.createDataFrame([(int(t), int(i), int(i)) for i, t in zip(*np.nonzero(shared))], "node long, cid long, label long")
+    leaves = C._leaves(large, sketches).select("node", "cid")
+    met = {r.cid for r in leaves.join(leaves.filter("cid = 0").select("node").distinct(), "node").select("cid").distinct().collect()}
+    missed = [i for i in range(n + 1) if shared[i].any() and i not in met]
+    assert len(missed) == 0
+
+
 def test_exactly_at_the_threshold(spark):
     # 30 and 30 words share 26 + 26 - ... : similarity 0.75 counts, just under does not
     base = [f"w{i}" for i in range(18)]

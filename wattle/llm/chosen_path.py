@@ -7,11 +7,11 @@ it form a node.  Nodes of up to ``LEAF`` sets are compared exhaustively.  In a l
 meets the node's hub; the links so found and those of the small nodes are confirmed and give a first set of
 components.  Large nodes whose sets lie in one component end there.  The others part by size (sets that
 differ by more than the threshold in size cannot be similar; each set goes to its own and the next class) and then
-branch on coordinates chosen by the node's path: two at the first branching and 4/3 on average, one over the
-threshold, after that, so that similar sets keep meeting while others part.
-A pair at the threshold shares a given root with probability 0.75, so ten trees miss a pair whose
-tokens are not common ones with probability 0.25 ** 10; nodes that are still large after
-``DEPTH`` branchings are compared in blocks, so none is cut off.
+branch on two coordinates chosen by the node's path.  A pair at the threshold shares 1.5 of its two children
+on average, more than one, so it goes on meeting at any depth with probability 8/9 while others part.
+It shares a given root with probability 0.75, so ten trees miss it with probability 0.25 ** 10 (1e-6) where the
+roots are small, and with (1 - 0.75 * 8/9) ** 10 = 1.7e-5 at most where all ten are large; nodes that are still large
+after ``DEPTH`` branchings are compared in blocks, so none is cut off.
 
 Comparisons inside nodes use 256 MinHash bytes: pairs estimated at LOW (four standard deviations
 under the threshold) or more are candidates, and every reported link is confirmed on the full sets.
@@ -145,11 +145,10 @@ def _open(rows: DataFrame) -> DataFrame:
 
 
 def _children(node: pa.Array, level: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(row, coordinate, hash) of each branch: the node's path chooses the coordinates."""
+    """(row, coordinate, hash) of each branch, two of each row: the node's path chooses the coordinates."""
     seed = _mix(node.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64) + np.uint64(level))
-    count = np.full(len(seed), 2) if level == 0 else np.where(seed % np.uint64(3) == 0, 2, 1)
-    row = np.repeat(np.arange(len(seed)), count)
-    turn = np.arange(len(row)) - np.repeat(np.cumsum(count) - count, count)
+    row = np.repeat(np.arange(len(seed)), 2)
+    turn = np.tile(np.arange(2), len(seed))
     path = _mix(seed[row] + turn.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
     return row, (path >> np.uint64(40)).astype(np.int64) % COORDINATES, path
 
