@@ -30,6 +30,8 @@ def test_cases(spark):
         f"username: bob and {KEY}", KEY, f"{KEY} https://host.example/x", "https://host.example/x", f"login=amy {'x ' * 300} password: abc",
         f"login=amy {'x ' * 150} password: abc", "https://u.example/?token=abcdefgh12", "paſſword: abcdefgh1", "toKen: abcdefgh1",
         "API-KEY: abcdefghi", "apikey : ' abcdefgh", "secret=" + "a" * 5000, "token=abc " * 3000, "secret=\nabcdefghi",
+        # a short secret far from both ends of the endpoint around it
+        "https://h/?q=" + "x-" * 500 + "&token=abc&r=" + "x-" * 500, "https://h/?q=" + "x-" * 5000 + "&token=abc&r=" + "x-" * 5000,
     ])
 
 

@@ -111,8 +111,8 @@ def link(scanned: DataFrame, scope: int = 400) -> DataFrame:
     covered = (F.col("weak") == 1) & (F.coalesce(F.col("_before") > F.col("start"), F.lit(False)) | F.coalesce(F.col("_after") < F.col("end"), F.lit(False)))
     parts = materialize(parts.filter(~covered).drop("_before", "_after"), "credential-parts")
     cell = lambda c: F.floor(c / scope)
-    # one summary per (row, role, cell); a part counts in the cells of both its ends
-    cells = (parts.select("rid", "role", "start", "end", F.explode(F.array_distinct(F.array(cell(F.col("start")), cell(F.col("end"))))).alias("cell"))
+    # one summary per (row, role, cell); a part counts in every cell from its start to its end
+    cells = (parts.select("rid", "role", "start", "end", F.explode(F.sequence(cell(F.col("start")), cell(F.col("end")))).alias("cell"))
              .groupBy("rid", "role", "cell").agg(F.min("start").alias("first"), F.max("end").alias("last")))
     wanted = F.when(F.col("role") == "secret", F.array(F.lit("id"), F.lit("endpoint"))).otherwise(F.array(F.lit("secret")))
     probes = (parts.filter("weak = 1")
