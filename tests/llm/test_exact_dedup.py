@@ -21,6 +21,25 @@ def test_filters_merge_without_loss(parts, quotient_bits):
     assert all(whole.count(x) == flat.count(x) for x in [*flat, 7, 2**55 + 3])
 
 
+def test_merge_walks_runs_of_the_right_size(monkeypatch):
+    rng = np.random.default_rng(3)
+    parts = [np.concatenate([rng.integers(0, 2**56, 3000 * k, dtype=np.uint64), np.arange(50, dtype=np.uint64)]) for k in range(8)]
+    filters = [Q.QuotientFilter.build(p, 6, 56) for p in parts]
+    found, n = np.unique(np.concatenate(parts), return_counts=True)
+
+    def no_sort(*args, **kwargs):
+        raise AssertionError("the merge sorts again")
+
+    with monkeypatch.context() as m:
+        for name in ("unique", "sort", "argsort", "lexsort"):
+            m.setattr(np, name, no_sort)
+        whole = Q.QuotientFilter.merge(filters)
+    assert (whole.fingerprints() == found).all() and (whole.counts == n).all()
+    # as many quotients as fingerprints, to a power of two, and 40 bits of remainder in 5 bytes
+    assert len(found) <= 2**whole.quotient_bits < 2 * len(found)
+    assert len(whole.to_bytes()) < 7 * len(found)
+
+
 def test_large_counters():
     f = Q.QuotientFilter.build(np.array([5] * 1000 + [6] * 255 + [7] * 254, np.uint64), 3, 40)
     g = Q.QuotientFilter.from_bytes(f.to_bytes())

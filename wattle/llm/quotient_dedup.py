@@ -34,6 +34,31 @@ from wattle.llm.common import SPACE, binary_values, bound_batches, key_bitmap, m
 from wattle.llm.registry import register, table
 
 
+def quotient_bits_for(n: int, bits: int) -> int:
+    """Quotient bits of a filter of n fingerprints: runs of one remainder or less on average."""
+    return min(max(n - 1, 1).bit_length(), bits)
+
+
+def _width(bits: int) -> int:
+    return max((bits + 7) // 8, 1)
+
+
+def _walked(x: np.ndarray, m: np.ndarray, y: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Two sorted lists of distinct values with their counts as one: every value of y takes its place among those of x."""
+    at = np.searchsorted(x, y)
+    both = np.zeros(len(y), bool)
+    inside = at < len(x)
+    both[inside] = x[at[inside]] == y[inside]
+    m = m.copy()
+    m[at[both]] += n[both]
+    place = at[~both] + np.arange(len(y) - int(both.sum()))
+    old = np.ones(len(x) + len(place), bool)
+    old[place] = False
+    values, counts = np.empty(len(old), x.dtype), np.empty(len(old), m.dtype)
+    values[old], values[place], counts[old], counts[place] = x, y[~both], m, n[~both]
+    return values, counts
+
+
 class QuotientFilter:
     """A counting quotient filter over ``bits``-bit fingerprints with ``quotient_bits`` of them as quotient.
 
@@ -49,9 +74,13 @@ class QuotientFilter:
     def build(cls, fingerprints: np.ndarray, quotient_bits: int, bits: int, counts: np.ndarray | None = None) -> QuotientFilter:
         found, at = np.unique(fingerprints, return_inverse=True)
         n = np.bincount(at, counts, len(found)).astype(np.uint64) if len(found) else np.zeros(0, np.uint64)
+        return cls._of_sorted(found, n, quotient_bits, bits)
+
+    @classmethod
+    def _of_sorted(cls, found: np.ndarray, counts: np.ndarray, quotient_bits: int, bits: int) -> QuotientFilter:
         low = np.uint64(bits - quotient_bits)
         runs = np.bincount((found >> low).astype(np.int64), minlength=1 << quotient_bits)
-        return cls(quotient_bits, bits, runs, found & ((np.uint64(1) << low) - np.uint64(1)), n)
+        return cls(quotient_bits, bits, runs, found & ((np.uint64(1) << low) - np.uint64(1)), counts)
 
     def fingerprints(self) -> np.ndarray:
         quotients = np.repeat(np.arange(len(self.runs), dtype=np.uint64), self.runs)
@@ -67,19 +96,23 @@ class QuotientFilter:
 
     @classmethod
     def merge(cls, filters: list[QuotientFilter]) -> QuotientFilter:
-        """Sum of filters of the same shape; nothing is lost, as the remainders are whole."""
-        first = filters[0]
-        values = np.concatenate([f.fingerprints() for f in filters])
-        return cls.build(values, first.quotient_bits, first.bits, np.concatenate([f.counts for f in filters]))
+        """Sum of filters over the same bits, two and two by walking their sorted (quotient, remainder) runs; nothing is
+        lost, as the remainders are whole.  The sum has as many quotients as fingerprints, to a power of two."""
+        bits = filters[0].bits
+        parts = [(f.fingerprints(), f.counts) for f in filters]
+        while len(parts) > 1:
+            parts = [_walked(*parts[i], *parts[i + 1]) if i + 1 < len(parts) else parts[i] for i in range(0, len(parts), 2)]
+        values, counts = parts[0]
+        return cls._of_sorted(values, counts, quotient_bits_for(len(values), bits), bits)
 
     def to_bytes(self) -> bytes:
-        """Unary runs (a 1 for each remainder, a 0 after each run), remainders, counters as bytes or, past 254, 64 bits."""
+        """Unary runs (a 1 for each remainder, a 0 after each run), remainders in whole bytes, counters as bytes or, past 254, 64 bits."""
         ones = np.zeros(len(self.remainders) + len(self.runs), np.uint8)
         ones[np.arange(len(self.remainders)) + np.repeat(np.arange(len(self.runs)), self.runs)] = 1
-        width = 4 if self.bits - self.quotient_bits <= 32 else 8
+        width = _width(self.bits - self.quotient_bits)
         large = self.counts > 254
         head = np.array([self.quotient_bits, self.bits, len(self.remainders)], "<i4")
-        return b"".join([head.tobytes(), np.packbits(ones).tobytes(), self.remainders.astype(f"<u{width}").tobytes(),
+        return b"".join([head.tobytes(), np.packbits(ones).tobytes(), self.remainders.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :width].tobytes(),
                          np.where(large, 255, self.counts).astype(np.uint8).tobytes(), self.counts[large].astype("<u8").tobytes()])
 
     @classmethod
@@ -89,8 +122,10 @@ class QuotientFilter:
         ones = np.unpackbits(np.frombuffer(data, np.uint8, (total + 7) // 8, at))[:total]
         at += (total + 7) // 8
         runs = np.diff(np.flatnonzero(ones == 0), prepend=-1) - 1
-        width = 4 if bits - quotient_bits <= 32 else 8
-        remainders = np.frombuffer(data, f"<u{width}", n, at).astype(np.uint64)
+        width = _width(bits - quotient_bits)
+        whole = np.zeros((n, 8), np.uint8)
+        whole[:, :width] = np.frombuffer(data, np.uint8, n * width, at).reshape(n, width)
+        remainders = whole.view("<u8").ravel().astype(np.uint64)
         at += n * width
         counts = np.frombuffer(data, np.uint8, n, at).astype(np.uint64)
         counts[counts == 255] = np.frombuffer(data, "<u8", int((counts == 255).sum()), at + n)
@@ -130,7 +165,7 @@ def repeated_fingerprints(hashed: DataFrame, block_bits: int | None = None) -> D
     if block_bits is None:
         blocks = max(LEAST_BLOCKS, hashed.count() // BLOCK_SIZE)
         block_bits = (blocks - 1).bit_length()
-    bits, quotient_bits = 64 - block_bits, 6
+    bits = 64 - block_bits
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         filters: dict[int, list[QuotientFilter]] = {}
@@ -140,7 +175,7 @@ def repeated_fingerprints(hashed: DataFrame, block_bits: int | None = None) -> D
             values &= (np.uint64(1) << np.uint64(bits)) - np.uint64(1)
             cuts = np.flatnonzero(np.diff(block, prepend=-1, append=1 << 62))
             for s, e in zip(cuts[:-1], cuts[1:]):
-                filters.setdefault(int(block[s]), []).append(QuotientFilter.build(values[s:e], quotient_bits, bits))
+                filters.setdefault(int(block[s]), []).append(QuotientFilter.build(values[s:e], quotient_bits_for(int(e - s), bits), bits))
             for k, found in filters.items():
                 if len(found) > 8:
                     filters[k] = [QuotientFilter.merge(found)]
