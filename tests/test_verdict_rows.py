@@ -65,6 +65,13 @@ def test_narrow_title_line_and_header_row(spark, tmp_path):
     assert S.read_ledger_csv(spark, str(p), header_row_index=2).columns == ["printed", "today"]
 
 
+def test_header_after_many_lines_that_name_its_labels(spark, tmp_path):
+    p = tmp_path / "ledger.csv"
+    p.write_text("\"see Opportunity ID, Engagement ID\",note\n" * 150 + "Opportunity ID,Engagement ID,Hours\nO-1,E-1,3\n")
+    out = S.read_ledger_csv(spark, str(p))
+    assert out.columns == ["Opportunity ID", "Engagement ID", "Hours"] and [tuple(r) for r in out.collect()] == [("O-1", "E-1", "3")]
+
+
 def test_corrupt_primary_sheet_is_an_error(spark, tmp_path):
     good = tmp_path / "good.csv"
     good.write_text("Engagement ID,Billing Partner\nE-1,P\n")

@@ -1,7 +1,7 @@
 """File sources and sinks.
 
 Every reader returns a lazy DataFrame; partitioned reads and writes are done by
-Spark.  Only single rows (a detected header, a chosen file name) ever reach the
+Spark.  Only single rows (lines that may be a header, a chosen file name) ever reach the
 driver.
 """
 
@@ -32,15 +32,15 @@ def read_ledger_csv(spark: SparkSession, path: str, header_row_index: int | None
     """Headerless sheet export; the header is the first row holding both labels
     (or the given 0-based row); later rows become the data, named by the header.
 
-    Lines are read as text with a row-order id and only the header line (one row) is
-    fetched; the later lines are parsed with as many columns as it has, so a title line of
+    Lines are read as text with a row-order id; the driver looks through those that hold both
+    labels, partition by partition and up to the header, however many come before it.  The later lines are parsed with as many columns as it has, so a title line of
     one cell does not narrow the table.  Use one file per ledger.
     """
     raw = spark.read.text(path).select("value", F.monotonically_increasing_id().alias("_row"))
     if header_row_index is None:
         labels = [F.col("value").contains(x) for x in LEDGER_HEADER_LABELS]
-        # lines that may be the header; which cells they have is decided on the few of them
-        found = raw.filter(labels[0] & labels[1]).orderBy("_row").limit(100).collect()
+        # lines that may be the header, in row order; which cells they have is decided one by one
+        found = raw.filter(labels[0] & labels[1]).toLocalIterator()
     else:
         found = raw.orderBy("_row").offset(header_row_index).limit(1).collect()
     for line in found:
