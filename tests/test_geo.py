@@ -162,3 +162,70 @@ def test_sydney_melbourne_pair(spark):
     r = spark.range(1).select(G.vincenty_m(-33.8688, 151.2093, -37.8136, 144.9631).alias("v"),
                               G.haversine_m(-33.8688, 151.2093, -37.8136, 144.9631).alias("h")).first()
     assert round(r.v, 3) == 713857.665 and round(r.h, 3) == 713427.481
+
+
+def test_cover_of_a_large_polygon_is_small(spark):
+    from wattle.operators.grid import Cover
+    ring = [(150.0, -35.0), (155.0, -35.0), (155.0, -30.0), (150.0, -30.0), (150.0, -35.0)]
+    hole = [(151.0, -34.0), (152.0, -33.0), (153.0, -34.0), (151.0, -34.0)]
+    rings = [[{"x": x, "y": y} for x, y in r] for r in (ring, hole)]
+    tiny = [[{"x": 150.5 + x * 1e-4, "y": -31.0 + y * 1e-4} for x, y in ((0, 0), (1, 0), (1, 1), (0, 0))]]
+    polys = spark.createDataFrame([(1, rings), (2, tiny)], "pid int, rings array<array<struct<x:double,y:double>>>")
+    cover = Cover(polys, "pid", 0.0025)
+    counts = {r["pid"]: r["count"] for r in cover.cells.groupBy("pid").count().collect()}
+    assert counts[1] < 10_000 and 1 <= counts[2] <= 4  # 4 million cells of one size
+    rng = random.Random(3)
+    pts = [(i, rng.uniform(149.9, 155.1), rng.uniform(-35.1, -29.9)) for i in range(3000)] + [(5000 + i, 150.5 + i * 1e-5, -31.0 + i * 5e-6) for i in range(12)]
+    p = spark.createDataFrame(pts, "id long, lon double, lat double")
+    fast = sorted((r.id, r.pid) for r in S.points_in_polygons(p, polys, "pid", size=0.0025, point_id="id").collect())
+    slow = sorted((r.id, r.pid) for r in S.points_in_polygons(p, polys, "pid", size=0.5, method="rings").collect())
+    assert fast == slow and len(fast) > 2000
+
+
+def test_walk_meets_the_cells_of_a_diagonal(spark):
+    from pyspark.sql import functions as F
+
+    from wattle.operators.grid import walk_segments
+    edges = [(1, 150.0, -34.0, 151.0, -33.0), (2, 150.0, -34.0, 150.0, -33.5), (3, 150.001, -34.0, 150.9, -34.0), (4, 150.2, -33.2, 150.2, -33.2), (5, 151.0, -33.0, 150.3, -34.0)]
+    df = spark.createDataFrame(edges, "id int, ax double, ay double, bx double, by double")
+    met = {}
+    for r in walk_segments(df, F.lit(0.0025), F.lit(0.002), F.lit(0.002)).collect():
+        met.setdefault(r.id, set()).add((r._cx, r._cy))
+    assert len(met[1]) < 8 * 400  # the box holds 160,000
+    for i, ax, ay, bx, by in edges:
+        for k in range(2001):
+            t = k / 2000
+            for dx, dy in ((0, 0), (0.0019, 0), (0, -0.0019), (-0.0013, 0.0013)):
+                assert (math.floor((ax + (bx - ax) * t + dx) / 0.0025), math.floor((ay + (by - ay) * t + dy) / 0.0025)) in met[i]
+
+
+def test_disc_counts_equal_pairs(spark):
+    from pyspark.sql import functions as F
+
+    from wattle.functions import geo as G
+    from wattle.operators.grid import disc_counts, surely_within_m
+    rng = random.Random(8)
+    centres = spark.createDataFrame([(i, rng.uniform(151, 151.2), rng.uniform(-34, -33.8)) for i in range(20)] + [(99, None, None), (100, 10.0, 10.0)], "id int, lon double, lat double")
+    dots = spark.createDataFrame([(rng.gauss(151.1, 0.05), rng.gauss(-33.9, 0.05)) for _ in range(4000)], "r_lon double, r_lat double")
+    _, lon = S.degree_margins(2000.0, F.col("_y"))
+    got = disc_counts(centres, dots, "id", math.degrees(2000.0 / G.EARTH_RADIUS_M) * 1.000001, {"n": (surely_within_m(2000.0), G.haversine_m("_y", "_x", "r_lat", "r_lon") <= 2000.0)}, reach_lon=lon)
+    want = S.within_distance(centres, dots, 2000.0).groupBy("id").count()
+    assert sorted((r.id, r.n) for r in got.filter("n > 0").collect()) == sorted(map(tuple, want.collect()))
+
+
+def test_nearest_pages_in_sparse_and_dense_places(spark):
+    rng = random.Random(9)
+    left = [(i, rng.uniform(-170, 170), rng.uniform(-80, 80)) for i in range(15)] + [(50, 151.0, -33.0)]
+    right = [(i, rng.gauss(151.0, 0.01), rng.gauss(-33.0, 0.01)) for i in range(600)] + [(900, -100.0, 40.0), (901, 151.0, -33.0), (902, 151.0, -33.0)]
+    l = spark.createDataFrame(left, "id int, lon double, lat double")
+    r = spark.createDataFrame(right, "rid int, r_lon double, r_lat double")
+    near = {x.id: x.rid for x in S.nearest_neighbour(l, r, "id", "rid", size=0.001).collect()}
+    key = lambda a, b: ((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2, b[0])
+    assert near == {a[0]: min(right, key=lambda b: key(a, b))[0] for a in left}
+    page = S.radius_page(l, r, "id", "rid", km=2.0, r_deg=0.02, page_no=2, page_size=7).collect()
+    a = left[-1]
+    from wattle.functions.geo import vincenty_m
+    d = {x.rid: x.d for x in r.select("rid", (vincenty_m(-33.0, 151.0, "r_lat", "r_lon") / 1000).alias("d")).collect()}
+    fits = [b for b in sorted(right, key=lambda b: key(a, b)) if round(d[b[0]], 2) <= 2.0 and key(a, b)[0] <= 0.02 ** 2]
+    assert [x.rid for x in sorted(page, key=lambda x: x["rank"])] == [b[0] for b in fits[7:14]]
+    assert [x.rid for x in sorted(page, key=lambda x: x["position"])] == [b[0] for b in sorted(fits[7:14], key=lambda b: (round(d[b[0]], 2), b[0]))]

@@ -159,6 +159,14 @@ def buffer_ring_3857(lon, lat, distance: float = 5000.0, quad_segs: int = 8) ->
                   F.transform(F.sequence(F.lit(0), F.lit(n)), lambda i: vertex(F.when(i == n, F.lit(0)).otherwise(i))))
 
 
+def metres_per_degree(lat) -> tuple[Column, Column]:
+    """Metres of one degree east and one degree north at a latitude of the WGS84 spheroid."""
+    e2 = WGS84_F * (2 - WGS84_F)
+    la = F.radians(_num(lat))
+    w = F.lit(1.0) - F.lit(e2) * F.sin(la) * F.sin(la)
+    return F.lit(math.pi / 180 * WGS84_A) * F.cos(la) / F.sqrt(w), F.lit(math.pi / 180 * WGS84_A * (1 - e2)) / (w * F.sqrt(w))
+
+
 def square_cell(v, size: float) -> Column:
     """SP15: grid cell index ``floor(v / size)``."""
     return F.floor(_num(v) / F.lit(float(size))).cast("long")
@@ -275,57 +283,52 @@ def geojson_point(lon, lat, digits: int = 9) -> Column:
 
 
 def with_vincenty(df, lat1, lon1, lat2, lon2, out: str = "distance_m", steps: int = 6):
-    """SP2 as staged columns: the same operations as ``vincenty_m`` in the same order,
-    one ``withColumn`` per shared term.  Spark keeps stages whose terms are reused
-    as separate projections inside one whole-stage-codegen span, so every term
-    is computed once per row in generated code (``vincenty_m`` is a single
-    expression evaluated through interpreted higher-order functions)."""
+    """SP2 as staged columns: the same operations as ``vincenty_m`` in the same order, one column per shared term.
+
+    All of them stand in one ``select``, each referring to those before it; Spark splits it into projections
+    inside one whole-stage-codegen span, so every term is computed once per row in generated code
+    (``vincenty_m`` is a single expression evaluated through interpreted higher-order functions), and the
+    plan below is analysed once, not once for each term.
+    """
     a, b, f = WGS84_A, WGS84_B, WGS84_F
     one, two = F.lit(1.0), F.lit(2.0)
-    c = F.col
-    p = "_v_"
+    staged: list[Column] = []
+
+    def term(value: Column) -> Column:
+        name = f"_v_{len(staged)}"
+        staged.append(value.alias(name))
+        return F.col(name)
+
     # Non-nullable inputs keep the generated code small (no null branches per
     # term), so the whole chain fits in one generated method; nulls come back at
     # the end.
-    nulls = _num(lat1).isNull() | _num(lon1).isNull() | _num(lat2).isNull() | _num(lon2).isNull()
-    df = (df.withColumn(p + "null", nulls)
-            .withColumn(p + "u1", F.atan(F.lit(1 - f) * F.tan(F.radians(F.coalesce(_num(lat1), F.lit(0.0))))))
-            .withColumn(p + "u2", F.atan(F.lit(1 - f) * F.tan(F.radians(F.coalesce(_num(lat2), F.lit(0.0))))))
-            .withColumn(p + "L", F.radians(F.coalesce(_num(lon2), F.lit(0.0))) - F.radians(F.coalesce(_num(lon1), F.lit(0.0)))))
-    df = (df.withColumn(p + "su1", F.sin(c(p + "u1"))).withColumn(p + "cu1", F.cos(c(p + "u1")))
-            .withColumn(p + "su2", F.sin(c(p + "u2"))).withColumn(p + "cu2", F.cos(c(p + "u2")))
-            .withColumn(p + "lam", c(p + "L")))
-    su1, cu1, su2, cu2 = c(p + "su1"), c(p + "cu1"), c(p + "su2"), c(p + "cu2")
-
-    def terms(d):
-        d = d.withColumn(p + "sl", F.sin(c(p + "lam"))).withColumn(p + "cl", F.cos(c(p + "lam")))
-        sl, cl = c(p + "sl"), c(p + "cl")
-        d = (d.withColumn(p + "ss", F.sqrt(F.pow(cu2 * sl, 2) + F.pow(cu1 * su2 - su1 * cu2 * cl, 2)))
-              .withColumn(p + "cs", su1 * su2 + cu1 * cu2 * cl))
-        ss, cs = c(p + "ss"), c(p + "cs")
-        d = (d.withColumn(p + "sa", F.when(ss == 0, F.lit(0.0)).otherwise(cu1 * cu2 * sl / ss))
-              .withColumn(p + "sig", F.atan2(ss, cs)))
-        sa = c(p + "sa")
-        d = d.withColumn(p + "c2a", one - sa * sa)
-        c2a = c(p + "c2a")
-        d = (d.withColumn(p + "c2sm", F.when(c2a == 0, F.lit(0.0)).otherwise(cs - two * su1 * su2 / c2a))
-              .withColumn(p + "C", F.lit(f / 16) * c2a * (F.lit(4.0) + F.lit(f) * (F.lit(4.0) - F.lit(3.0) * c2a))))
-        return d
-
+    null = term(_num(lat1).isNull() | _num(lon1).isNull() | _num(lat2).isNull() | _num(lon2).isNull())
+    u1 = term(F.atan(F.lit(1 - f) * F.tan(F.radians(F.coalesce(_num(lat1), F.lit(0.0))))))
+    u2 = term(F.atan(F.lit(1 - f) * F.tan(F.radians(F.coalesce(_num(lat2), F.lit(0.0))))))
+    apart = term(F.radians(F.coalesce(_num(lon2), F.lit(0.0))) - F.radians(F.coalesce(_num(lon1), F.lit(0.0))))
+    su1, cu1, su2, cu2 = term(F.sin(u1)), term(F.cos(u1)), term(F.sin(u2)), term(F.cos(u2))
+
+    def terms(lam):
+        sl, cl = term(F.sin(lam)), term(F.cos(lam))
+        ss = term(F.sqrt(F.pow(cu2 * sl, 2) + F.pow(cu1 * su2 - su1 * cu2 * cl, 2)))
+        cs = term(su1 * su2 + cu1 * cu2 * cl)
+        sa = term(F.when(ss == 0, F.lit(0.0)).otherwise(cu1 * cu2 * sl / ss))
+        sig = term(F.atan2(ss, cs))
+        c2a = term(one - sa * sa)
+        c2sm = term(F.when(c2a == 0, F.lit(0.0)).otherwise(cs - two * su1 * su2 / c2a))
+        cc = term(F.lit(f / 16) * c2a * (F.lit(4.0) + F.lit(f) * (F.lit(4.0) - F.lit(3.0) * c2a)))
+        return ss, cs, sa, sig, c2a, c2sm, cc
+
+    lam = apart
     for _ in range(steps):
-        df = terms(df)
-        C, ss, cs, sa, sig, c2sm = (c(p + n) for n in ("C", "ss", "cs", "sa", "sig", "c2sm"))
-        df = df.withColumn(p + "lam", c(p + "L") + (one - C) * F.lit(f) * sa * (
-            sig + C * ss * (c2sm + C * cs * (F.lit(-1.0) + two * c2sm * c2sm))))
-    df = terms(df)
-    ss, cs, sig, c2a, c2sm = (c(p + n) for n in ("ss", "cs", "sig", "c2a", "c2sm"))
-    df = df.withColumn(p + "usq", c2a * F.lit((a * a - b * b) / (b * b)))
-    u = c(p + "usq")
-    df = (df.withColumn(p + "A", one + u / 16384 * (F.lit(4096.0) + u * (F.lit(-768.0) + u * (F.lit(320.0) - F.lit(175.0) * u))))
-            .withColumn(p + "B", u / 1024 * (F.lit(256.0) + u * (F.lit(-128.0) + u * (F.lit(74.0) - F.lit(47.0) * u)))))
-    A_, B = c(p + "A"), c(p + "B")
-    ds = B * ss * (c2sm + B / 4 * (cs * (F.lit(-1.0) + two * c2sm * c2sm)
-                                   - B / 6 * c2sm * (F.lit(-3.0) + F.lit(4.0) * ss * ss) * (F.lit(-3.0) + F.lit(4.0) * c2sm * c2sm)))
-    df = df.withColumn(out, F.when(c(p + "null"), F.lit(None).cast("double"))
-                       .when(ss == 0, F.lit(0.0)).otherwise(F.lit(b) * A_ * (sig - ds)))
-    return df.drop(*[x for x in df.columns if x.startswith(p)])
+        ss, cs, sa, sig, c2a, c2sm, cc = terms(lam)
+        lam = term(apart + (one - cc) * F.lit(f) * sa * (sig + cc * ss * (c2sm + cc * cs * (F.lit(-1.0) + two * c2sm * c2sm))))
+    ss, cs, sa, sig, c2a, c2sm, cc = terms(lam)
+    u = term(c2a * F.lit((a * a - b * b) / (b * b)))
+    aa = term(one + u / 16384 * (F.lit(4096.0) + u * (F.lit(-768.0) + u * (F.lit(320.0) - F.lit(175.0) * u))))
+    bb = term(u / 1024 * (F.lit(256.0) + u * (F.lit(-128.0) + u * (F.lit(74.0) - F.lit(47.0) * u))))
+    ds = bb * ss * (c2sm + bb / 4 * (cs * (F.lit(-1.0) + two * c2sm * c2sm)
+                                     - bb / 6 * c2sm * (F.lit(-3.0) + F.lit(4.0) * ss * ss) * (F.lit(-3.0) + F.lit(4.0) * c2sm * c2sm)))
+    kept = [c for c in df.columns if c != out]
+    distance = F.when(null, F.lit(None).cast("double")).when(ss == 0, F.lit(0.0)).otherwise(F.lit(b) * aa * (sig - ds))
+    return df.select(*kept, *staged, distance.alias(out)).select(*kept, out)

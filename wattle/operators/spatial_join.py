@@ -22,7 +22,8 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattle.functions.geo import (EARTH_RADIUS_M, haversine_m, point_in_polygon, rings_bbox, square_cell, to_3857, vincenty_m,
+from wattle.operators.grid import Cover, crossing_parity, nearest_cells, ring_edges, walk_segments
+from wattle.functions.geo import (EARTH_RADIUS_M, haversine_m, metres_per_degree, point_in_polygon, rings_bbox, square_cell, to_3857, vincenty_m,
                                  with_vincenty)
 
 # The sphere (R = 6371 km) and the WGS84 geodesic differ by well under 1 %, so a
@@ -105,18 +106,18 @@ def points_in_polygons(points: DataFrame, polys: DataFrame, poly_id: str, size:
     Output: the point columns plus ``poly_id`` and the polygon's other columns
     (rings dropped unless ``keep_rings``).  Points without coordinates never match.
 
-    ``method='edges'`` (default): points join the polygons' classified cells
-    (``classified_cells``).  A point in a wholly-inside cell is a hit at once; a
-    point in a cell an edge may cross meets only the polygon edges of its
-    latitude band that reach east of it, and crossing parity plus the on-edge
-    test are a ``groupBy`` of plain arithmetic (whole-stage codegen, partial
-    aggregation).  Work per point is a cell lookup, or a few edges near its
-    latitude - never the whole ring.  ``method='rings'`` evaluates the ray cast
-    on the ring arrays (higher-order functions; simple, slower).
-
-    ``single_pass=True`` handles both kinds of cell in one scan and one
-    aggregate (inside hits are shuffled too); the default keeps inside hits out
-    of the shuffle at the price of evaluating the cell join for each branch.
+    ``method='edges'`` (default): points join the polygons' quadtree cover (``grid.Cover``):
+    large cells inside, small ones along the border.  A point in an inside cell is a hit
+    at once; a point in a border cell meets only the edges of its band of latitude that
+    reach east of it, and crossing parity plus the on-edge test are a ``groupBy`` of
+    plain arithmetic (whole-stage codegen, partial aggregation).  Work per point is one
+    lookup for each level in use, never the whole ring; the cover grows with the length
+    of the borders, not with the polygons' area.  ``size`` is the smallest cell.
+    ``method='rings'`` evaluates the ray cast on the ring arrays (higher-order functions;
+    simple, slower).
+
+    ``single_pass=True`` classifies cells of one size and handles both kinds in one scan
+    and one aggregate (inside hits are shuffled too).
     """
     pts = (points.filter(F.col(lon).isNotNull() & F.col(lat).isNotNull())
                  .withColumn("_cx", square_cell(lon, size)).withColumn("_cy", square_cell(lat, size)))
@@ -130,8 +131,12 @@ def points_in_polygons(points: DataFrame, polys: DataFrame, poly_id: str, size:
         return hit if keep_rings else hit.drop(rings)
     if point_id is None:
         raise ValueError("method='edges' needs point_id (a unique point key)")
-    cand = pts.join(classified_cells(polys, poly_id, size, rings), ["_cx", "_cy"]).drop("_cx", "_cy")
-    carried = [c for c in cand.columns if c not in (point_id, poly_id, "_inside")]
+    if single_pass:
+        cand = pts.join(classified_cells(polys, poly_id, size, rings), ["_cx", "_cy"]).drop("_cx", "_cy")
+    else:
+        cover = Cover(polys, poly_id, size, rings)
+        cand = cover.candidates(pts.drop("_cx", "_cy"), lon, lat)
+    carried = [c for c in cand.columns if c not in (point_id, poly_id, "_inside", "_band")]
     if single_pass:
         # One scan: boundary-cell rows pick up their band's edges through a
         # conditional left join, inside-cell rows pass through untouched, and one
@@ -152,9 +157,8 @@ def points_in_polygons(points: DataFrame, polys: DataFrame, poly_id: str, size:
                 .filter(F.col("_inside") | ((F.col("_n") % 2 == 1) & ~F.col("_t")))
                 .drop("_n", "_t", "_inside"))
     else:
-        direct = cand.filter(F.col("_inside")).drop("_inside")
-        tested = _parity_pairs(cand.filter(~F.col("_inside")).drop("_inside"), polygon_edges(polys, poly_id, size, rings),
-                               poly_id, [point_id, *carried], lon, lat, size)
+        direct = cand.filter(F.col("_inside")).drop("_inside", "_band")
+        tested = crossing_parity(cand.filter(~F.col("_inside")).drop("_inside"), cover.edges, poly_id, [point_id, *carried], lon, lat)
         hit = direct.unionByName(tested)
     return hit.join(polys.select(poly_id, *others), poly_id) if others else hit
 
@@ -210,87 +214,48 @@ def nearest_neighbour(left: DataFrame, right: DataFrame, left_id: str, right_id:
     excluding the pair with equal ids (self).  ``distance_m`` is the WGS84
     geodesic distance of the chosen pair.
 
-    Exact by construction: round r searches the 3x3 block around the point on a
-    grid of cell ``size * 2**r``; a best distance <= that cell size cannot be
-    beaten outside the block.  Points not settled go to the next, coarser round;
-    once the cell exceeds the extent of the right side every point settles.
-    This runs one Spark job per round (an action counts the open points); the
-    open set is checkpointed to the shared checkpoint folder between rounds.
+    Exact and without rounds: counts of cells of all sizes tell how far each point's search must
+    reach (``grid.nearest_cells``), and one join meets the points of those cells.  ``size`` is the smallest cell.
     """
-    rr = right.filter(F.col(right_lon).isNotNull() & F.col(right_lat).isNotNull()) \
-              .select(right_id, right_lon, right_lat)
-    todo = left.filter(F.col(left_lon).isNotNull() & F.col(left_lat).isNotNull()).select(left_id, left_lon, left_lat)
-    # Extent of both sides together: one cell of that size around any left
-    # point holds every right point, so the last round is exhaustive.
-    box = (todo.select(F.col(left_lon).alias("x"), F.col(left_lat).alias("y"))
-               .unionByName(rr.select(F.col(right_lon).alias("x"), F.col(right_lat).alias("y")))
-               .agg(F.min("x").alias("x0"), F.max("x").alias("x1"), F.min("y").alias("y0"), F.max("y").alias("y1"),
-                    F.count(F.lit(1)).alias("n")).first())
-    if box is None or not box["n"] or rr.isEmpty():
-        return left.limit(0).select(left_id, F.lit(None).cast(rr.schema[right_id].dataType).alias(right_id))
-    extent = max(box["x1"] - box["x0"], box["y1"] - box["y0"], size)
-    done: list[DataFrame] = []
-    s = size
-    while True:
-        final = s >= extent
-        l = (todo.withColumn("_cx", F.explode(F.sequence(square_cell(left_lon, s) - 1, square_cell(left_lon, s) + 1)))
-                 .withColumn("_cy", F.explode(F.sequence(square_cell(left_lat, s) - 1, square_cell(left_lat, s) + 1))))
-        r = rr.withColumn("_cx", square_cell(right_lon, s)).withColumn("_cy", square_cell(right_lat, s))
-        j = l.join(r, ["_cx", "_cy"])
-        if exclude_self:
-            j = j.filter(F.col(left_id) != F.col(right_id))
-        dx, dy = F.col(right_lon) - F.col(left_lon), F.col(right_lat) - F.col(left_lat)
-        best = (j.groupBy(left_id, left_lon, left_lat)
-                 .agg(F.min(F.struct((dx * dx + dy * dy).alias("d2"), F.col(right_id).alias("rid"),
-                                     F.col(right_lon).alias("rx"), F.col(right_lat).alias("ry"))).alias("b")))
-        settled = (best if final else best.filter(F.col("b.d2") <= F.lit(s * s))).select(
-            left_id, left_lon, left_lat, F.col("b.rid").alias(right_id), F.sqrt(F.col("b.d2")).alias("distance_deg"),
-            F.col("b.rx").alias("_rx"), F.col("b.ry").alias("_ry"))
-        if final:
-            done.append(settled)
-            break
-        # One row per settled point: materialised once in the shared checkpoint
-        # folder, then used both as this round's result and to shrink the open set.
-        settled = settled.checkpoint()
-        done.append(settled)
-        todo = todo.join(settled.select(left_id), left_id, "left_anti").checkpoint()
-        if todo.isEmpty():
-            break
-        s *= 2
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
+    rr = right.filter(F.col(right_lon).isNotNull() & F.col(right_lat).isNotNull()).select(right_id, right_lon, right_lat)
+    ll = left.filter(F.col(left_lon).isNotNull() & F.col(left_lat).isNotNull()).select(left_id, left_lon, left_lat)
+    cells = nearest_cells(ll, rr, left_id, 2 if exclude_self else 1, size, left_lon, left_lat, right_lon, right_lat)
+    j = cells.join(rr.withColumn("_fx", square_cell(right_lon, size)).withColumn("_fy", square_cell(right_lat, size)), ["_fx", "_fy"])
+    if exclude_self:
+        j = j.filter(F.col(left_id) != F.col(right_id))
+    dx, dy = F.col(right_lon) - F.col(left_lon), F.col(right_lat) - F.col(left_lat)
+    best = j.groupBy(left_id, left_lon, left_lat).agg(F.min(F.struct(
+        (dx * dx + dy * dy).alias("d2"), F.col(right_id).alias("rid"), F.col(right_lon).alias("rx"), F.col(right_lat).alias("ry"))).alias("b"))
+    out = best.select(left_id, left_lon, left_lat, F.col("b.rid").alias(right_id), F.sqrt(F.col("b.d2")).alias("distance_deg"),
+                      F.col("b.rx").alias("_rx"), F.col("b.ry").alias("_ry"))
     if report_metres:
-        out = with_vincenty(out, left_lat, left_lon, "_ry", "_rx", "distance_m")
+        out = out.withColumn("distance_m", vincenty_m(left_lat, left_lon, "_ry", "_rx"))  # one row a point: a small plan counts for more
     return out.drop("_rx", "_ry")
 
 
 def near_polygon_boundary(points: DataFrame, polys: DataFrame, poly_id: str, meters: float, size: float | None = None,
-                          lon: str = "lon", lat: str = "lat", rings: str = "rings", point_id: str | None = None) -> DataFrame:
+                          lon: str = "lon", lat: str = "lat", rings: str = "rings", point_id: str | None = None, spheroid: bool = False) -> DataFrame:
     """J20/SP9: (point, polygon) pairs whose distance to the polygon boundary is at most
     ``meters`` (inside or outside), with ``boundary_m``.
 
-    Every ring edge is exploded to the cells of its box grown by the distance; a
+    Every ring edge is exploded to the cells that it comes within the distance of (``grid.walk_segments``:
+    as many as its length asks for, also where it slants); a
     point meets only the edges of its own cell (an edge within ``meters`` always
     covers the point's cell), the point-segment distance is plain column
     arithmetic in a local plane around the point, and the minimum per (point,
     polygon) is an aggregate.  Work per point is the few edges near it, however
     detailed the polygon.
+
+    ``spheroid=True`` measures with the spheroid's radii of curvature at the point
+    (metres of a degree north and east) in place of the sphere's.
     """
-    dlat = math.degrees(meters / EARTH_RADIUS_M) * 1.000001
+    slack = 0.99 if spheroid else 1.0  # a degree of the spheroid's meridian is up to 0.7 % shorter
+    dlat = math.degrees(meters / (EARTH_RADIUS_M * slack)) * 1.000001
     if size is None:
         size = 2 * dlat  # cells about twice the margin: few edges per point, few cells per edge
-    r = polys.select(poly_id, F.explode(rings).alias("_r"))
-    n = F.size("_r") - 1
-    e = r.select(poly_id, F.inline(F.zip_with(F.slice("_r", 1, n), F.slice("_r", 2, n),
-                                              lambda a, b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"),
-                                                                    b["x"].alias("bx"), b["y"].alias("by")))))
+    e = ring_edges(polys, poly_id, rings)
     far = F.least(F.lit(89.9), F.greatest(F.abs("ay"), F.abs("by")) + F.lit(dlat))
-    dlon = F.lit(dlat) / F.cos(F.radians(far))
-    e = (e.withColumn("_dlon", dlon)
-          .withColumn("_cx", F.explode(_cells(F.least("ax", "bx") - F.col("_dlon"), F.greatest("ax", "bx") + F.col("_dlon"), size)))
-          .withColumn("_cy", F.explode(_cells(F.least("ay", "by") - F.lit(dlat), F.greatest("ay", "by") + F.lit(dlat), size)))
-          .drop("_dlon"))
+    e = walk_segments(e, F.lit(float(size)), F.lit(dlat) / F.cos(F.radians(far)), F.lit(dlat))
     pid = point_id or "_pid"
     pts = points.filter(F.col(lon).isNotNull() & F.col(lat).isNotNull())
     if point_id is None:
@@ -298,8 +263,7 @@ def near_polygon_boundary(points: DataFrame, polys: DataFrame, poly_id: str, met
     carried = [c for c in pts.columns if c != pid]
     pts = pts.withColumn("_cx", square_cell(lon, size)).withColumn("_cy", square_cell(lat, size))
     x, y = F.col(lon), F.col(lat)
-    kx = F.lit(math.pi / 180 * EARTH_RADIUS_M) * F.cos(F.radians(y))
-    ky = F.lit(math.pi / 180 * EARTH_RADIUS_M)
+    kx, ky = metres_per_degree(y) if spheroid else (F.lit(math.pi / 180 * EARTH_RADIUS_M) * F.cos(F.radians(y)), F.lit(math.pi / 180 * EARTH_RADIUS_M))
     j = (pts.join(e, ["_cx", "_cy"])
             .withColumn("_ax", (F.col("ax") - x) * kx).withColumn("_ay", (F.col("ay") - y) * ky)
             .withColumn("_bx", (F.col("bx") - x) * kx).withColumn("_by", (F.col("by") - y) * ky)
@@ -346,60 +310,53 @@ def radius_page(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
     ``km`` (pages may come out short).  The default filters by ``km`` first and
     pages the remaining rows.
 
-    Only the first ``page_no * page_size`` ranks matter, so the disc is searched
-    outward: round r uses a disc of ``start_deg * 2**r``; a centre whose disc
-    already holds a full set of ranked rows is settled exactly (anything farther
-    away ranks after them) and leaves the search; the last round uses the full
-    ``r_deg``.  Work follows the page size, not the disc population.  Ranks use
-    ``row_number() <= literal``, which Spark limits map-side.  One small job per
-    round counts the open centres; the open set is checkpointed between rounds.
+    Only the first ``page_no * page_size`` ranks matter: counts of cells tell how far each
+    centre's search must reach for them (``grid.nearest_cells``), at most ``r_deg``.  Points within ``km`` whatever
+    their direction can't be dropped, so they alone shorten the search.  Work follows the page size,
+    not the disc's population; there is no round and no action.  Ranks use ``row_number() <= literal``, which
+    Spark limits map-side.  ``position`` is the row's place on the page by distance, then right id: the reference's final order.
     """
     from pyspark.sql import Window
     llon, llat = cols.get("left_lon", "lon"), cols.get("left_lat", "lat")
     rlon, rlat = cols.get("right_lon", "r_lon"), cols.get("right_lat", "r_lat")
     hi, lo = page_no * page_size, (page_no - 1) * page_size
+    centres = left.filter(F.col(llon).isNotNull() & F.col(llat).isNotNull())
+    dots = right.filter(F.col(rlon).isNotNull() & F.col(rlat).isNotNull())
+    size = start_deg or r_deg / 6
+    # a degree measures 111.7 km at most
+    cells = nearest_cells(centres, dots, left_id, hi, size, llon, llat, rlon, rlat, r_deg, None if faithful else min(r_deg, km / 111.7))
+    cand = cells.join(dots.withColumn("_fx", square_cell(rlon, size)).withColumn("_fy", square_cell(rlat, size)), ["_fx", "_fy"]).drop("_fx", "_fy")
+    dx, dy = F.col(rlon) - F.col(llon), F.col(rlat) - F.col(llat)
+    cand = cand.withColumn("d2", dx * dx + dy * dy).filter(F.col("d2") <= F.lit(float(r_deg) ** 2))
+    hav = haversine_m(F.col(llat), F.col(llon), F.col(rlat), F.col(rlon))
+    rounded = lambda m: F.round(m / 1000.0, 2)
+    if metric == "vincenty":
+        # the sphere decides but for a narrow band; page rows alone get the spheroid's distance as a column
+        fits = (F.when(hav <= F.lit(km * 1000.0 * (1 - _SPHEROID_SLACK)), F.lit(True)).when(hav > F.lit((km * 1000.0 + 5.0) * (1 + _SPHEROID_SLACK)), F.lit(False))
+                .otherwise(rounded(vincenty_m(F.col(llat), F.col(llon), F.col(rlat), F.col(rlon))) <= F.lit(float(km))))
+    else:
+        fits = rounded(hav) <= F.lit(float(km))
+    if not faithful:
+        cand = cand.filter(fits)
     w = Window.partitionBy(left_id).orderBy("d2", right_id)
-    todo = left.filter(F.col(llon).isNotNull() & F.col(llat).isNotNull())
-    r = min(start_deg or r_deg / 8, r_deg)
-    done: list[DataFrame] = []
-    while True:
-        final = r >= r_deg
-        cand = within_planar_disc(todo, right, r, llon, llat, rlon, rlat)
-        if metric == "vincenty":
-            cand = with_vincenty(cand, llat, llon, rlat, rlon, "_m")
-        else:
-            cand = cand.withColumn("_m", haversine_m(F.col(llat), F.col(llon), F.col(rlat), F.col(rlon)))
-        cand = cand.withColumn("distance_km", F.round(F.col("_m") / 1000.0, 2)).drop("_m")
-        if not faithful:
-            cand = cand.filter(F.col("distance_km") <= F.lit(float(km)))
-        ranked = cand.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= hi)
-        if final:
-            done.append(ranked)
-            break
-        # At most ``hi`` rows per centre: materialised once, then used both for the
-        # settled centres' pages and to find the open ones.
-        ranked = ranked.checkpoint()
-        full = ranked.filter(F.col("rank") == hi).select(left_id)
-        done.append(ranked.join(full, left_id, "left_semi"))
-        todo = todo.join(full, left_id, "left_anti").checkpoint()
-        if todo.isEmpty():
-            break
-        r = min(2 * r, r_deg)
-    out = done[0]
-    for d in done[1:]:
-        out = out.unionByName(d)
+    out = cand.withColumn("rank", F.row_number().over(w).cast("long")).filter(F.col("rank") <= hi)
     out = out.filter(F.col("rank") > lo)
     if faithful:
-        out = out.filter(F.col("distance_km") <= F.lit(float(km)))
+        out = out.filter(fits)
+    out = with_vincenty(out, llat, llon, rlat, rlon, "_m") if metric == "vincenty" else out.withColumn("_m", hav)
+    out = out.withColumn("distance_km", rounded(F.col("_m"))).drop("_m")
+    out = out.withColumn("position", F.row_number().over(Window.partitionBy(left_id).orderBy("distance_km", right_id)).cast("long"))
+    others = [c for c in left.columns if c not in (left_id, llon, llat)]
+    out = out.join(left.select(left_id, *others), left_id) if others else out
     return out.drop("d2")
 
 
 def near_polyline(points: DataFrame, lines: DataFrame, line_id: str, meters: float, size: float | None = None,
-                  lon: str = "lon", lat: str = "lat", path: str = "path", point_id: str | None = None) -> DataFrame:
+                  lon: str = "lon", lat: str = "lat", path: str = "path", point_id: str | None = None, spheroid: bool = False) -> DataFrame:
     """Points within ``meters`` of a polyline (``path array<struct<x,y>>``), with
     ``distance_m``; the grid join of ``near_polygon_boundary`` with the line as one ring."""
     as_rings = lines.select(line_id, F.array(F.col(path)).alias("rings"))
-    return (near_polygon_boundary(points, as_rings, line_id, meters, size, lon, lat, "rings", point_id)
+    return (near_polygon_boundary(points, as_rings, line_id, meters, size, lon, lat, "rings", point_id, spheroid)
             .withColumnRenamed("boundary_m", "distance_m"))
 
 
@@ -408,7 +365,7 @@ def within_polygon_distance(points: DataFrame, polys: DataFrame, poly_id: str, u
     """(point, polygon) pairs whose distance in Mercator units (EPSG:3857) is at most ``units``, with
     ``distance``; 0 for points inside.
 
-    The edges are exploded to the cells of their boxes grown by the distance, a point meets the edges of its
+    The edges are exploded to the cells that they come within the distance of, a point meets the edges of its
     cell, and the least distance per pair is an aggregate; points inside come from the point-in-polygon join.
     """
     size = 2.0 * units
@@ -420,12 +377,8 @@ def within_polygon_distance(points: DataFrame, polys: DataFrame, poly_id: str, u
         px, py = to_3857(p["x"], p["y"])
         return F.struct(px.alias("x"), py.alias("y"))
 
-    r = polys.select(poly_id, F.explode(F.transform(rings, lambda ring: F.transform(ring, planar))).alias("_r"))
-    n = F.size("_r") - 1
-    e = r.select(poly_id, F.inline(F.zip_with(F.slice("_r", 1, n), F.slice("_r", 2, n),
-                                              lambda a, b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by")))))
-    e = (e.withColumn("_cx", F.explode(_cells(F.least("ax", "bx") - units, F.greatest("ax", "bx") + units, size)))
-          .withColumn("_cy", F.explode(_cells(F.least("ay", "by") - units, F.greatest("ay", "by") + units, size))))
+    e = ring_edges(polys.withColumn(rings, F.transform(rings, lambda ring: F.transform(ring, planar))), poly_id, rings)
+    e = walk_segments(e, F.lit(size), F.lit(float(units)), F.lit(float(units)))
     dx, dy = F.col("bx") - F.col("ax"), F.col("by") - F.col("ay")
     len2 = dx * dx + dy * dy
     t = F.when(len2 == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((F.col("_x") - F.col("ax")) * dx + (F.col("_y") - F.col("ay")) * dy) / len2)))

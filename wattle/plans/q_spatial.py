@@ -4,6 +4,7 @@ polygons by an edge table and crossing parity, distances by haversine."""
 
 from __future__ import annotations
 
+import math
 import uuid
 
 from pyspark.sql import functions as F
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from wattle import jobs
 from wattle.functions import geo as G
 from wattle.operators import addresses as A
+from wattle.operators import grid as GR
 from wattle.operators import spatial_join as S
 from wattle.plans import domain as D
 from wattle.plans.oracle import sql
@@ -244,7 +246,12 @@ def j19_addresses_within_1km(spark, d):
 @register("ag26_radius_counts", sql(f"""SELECT acara_sml_id, count(*) AS address_count FROM r WHERE distance_m <= {RADIUS_M} GROUP BY acara_sml_id""",
                                     "school_profile", "address", extra={"r": _RADIUS_SQL}))
 def ag26_radius_counts(spark, d):
-    return _radius(Tables(spark, d)).groupBy("acara_sml_id").agg(F.count(F.lit(1)).alias("address_count"))
+    """AG26: counts of whole cells within 1 km are summed; only addresses of cells on the rim are measured."""
+    schools, addrs = _schools_and_addresses(Tables(spark, d))
+    _, reach_lon = S.degree_margins(RADIUS_M, F.col("_y"))
+    counts = GR.disc_counts(schools, addrs, "acara_sml_id", math.degrees(RADIUS_M / G.EARTH_RADIUS_M) * 1.000001, {"address_count": (
+        GR.surely_within_m(RADIUS_M), G.haversine_m("_y", "_x", "r_lat", "r_lon") <= RADIUS_M)}, reach_lon=reach_lon)
+    return counts.filter("address_count > 0")
 
 
 _J21_CTES, _J21_LAST = vincenty_sql("pairs", "slat", "slon", "alat", "alon")
@@ -260,7 +267,7 @@ def j21_nearest_address(spark, d):
     schools = D.school_profile(t).select("acara_sml_id", F.col("longitude").alias("lon"), F.col("latitude").alias("lat"))
     addrs = A.active(D.address(t), "date_retired").select("address_detail_pid", F.col("lon").alias("r_lon"),
                                                           F.col("lat").alias("r_lat"))
-    nn = S.nearest_neighbour(schools, addrs, "acara_sml_id", "address_detail_pid", size=0.002)
+    nn = S.nearest_neighbour(schools, addrs, "acara_sml_id", "address_detail_pid")
     return nn.select("acara_sml_id", "address_detail_pid", F.round("distance_deg", 9).alias("distance_deg"), F.round("distance_m", 2).alias("distance_m"))
 
 
@@ -274,7 +281,7 @@ def j21_nearest_other_school(spark, d):
     s = D.school_profile(t).select("acara_sml_id", F.col("longitude").alias("lon"), F.col("latitude").alias("lat"))
     o = s.select(F.col("acara_sml_id").alias("other_id"), F.col("lon").alias("r_lon"), F.col("lat").alias("r_lat"))
     nn = S.nearest_neighbour(s, o.withColumnRenamed("other_id", "acara_sml_id_o"), "acara_sml_id", "acara_sml_id_o",
-                             size=0.001, report_metres=False, exclude_self=True)
+                             report_metres=False, exclude_self=True)
     return nn.select("acara_sml_id", F.col("acara_sml_id_o").alias("other_id"), F.round("distance_deg", 9).alias("distance_deg"))
 
 
@@ -483,10 +490,13 @@ def ag26_disc_totals(spark, d):
     """AG26 trap made visible: the page total counts the 0.045-degree disc
     (``disc_count``), not the addresses within 5 km (``within_km_count``)."""
     schools, addrs = _schools_and_addresses(Tables(spark, d))
-    c = S.within_planar_disc(schools, addrs, DISC_DEG)
-    km = F.round(G.haversine_m("lat", "lon", "r_lat", "r_lon") / 1000.0, 2)
-    return c.groupBy("acara_sml_id").agg(F.count(F.lit(1)).alias("disc_count"),
-                                         F.count_if(km <= PAGE_KM).alias("within_km_count"))
+    dx, dy = F.col("r_lon") - F.col("_x"), F.col("r_lat") - F.col("_y")
+    in_disc = dx * dx + dy * dy <= F.lit(DISC_DEG ** 2)
+    near = F.round(G.haversine_m("_y", "_x", "r_lat", "r_lon") / 1000.0, 2) <= PAGE_KM
+    counts = GR.disc_counts(schools, addrs, "acara_sml_id", DISC_DEG, {
+        "disc_count": (F.col("_far") < F.lit(DISC_DEG * 0.999999), in_disc),
+        "within_km_count": ((F.col("_far") < F.lit(DISC_DEG * 0.999999)) & GR.surely_within_m(PAGE_KM * 1000.0), in_disc & near)})
+    return counts.filter("disc_count > 0")
 
 
 _SP6_CTES, _SP6_LAST = vincenty_sql("pairs", "slat", "slon", "alat", "alon")
