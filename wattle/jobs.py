@@ -1,34 +1,183 @@
-"""Saved tables (S17, E3): the catchment mapping and what is derived from it, computed once and read many times.
+"""Saved tables (S17, E3): the catchment mapping and what is derived from it, kept up to date by what changed.
 
-``build`` writes each table under a folder, one from the other's saved form, so the polygon join runs
-once; building again refreshes them.  Readers take the folder.
+``build`` writes everything as version 1 of a folder (or the next version of an existing one); ``refresh`` compares the
+addresses and polygons with those the saved version was made from and rebuilds only what they touch:
+
+* the mapping lies in tiles of TILE degrees.  Addresses that are new, gone or moved touch their tiles, polygons that are
+  new, gone or changed the tiles of their cover, before and after.  In a touched tile, saved rows of unchanged addresses and unchanged
+  polygons stay; changed addresses meet all polygons, unchanged ones the changed polygons alone;
+* streets and statistics lie in buckets of schools; the buckets of schools whose rows differ are derived again.
+
+Readers take the newest version (``sources.snapshots``) and never see a half-written one.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from wattle.functions.geo import rings_bbox, square_cell
 from wattle.operators import schools
-from wattle.sources.files import write_materialized
+from wattle.operators import spatial_join as S
+from wattle.sources import snapshots
+from wattle.sources.scratch import written
 
 MAPPING, STREETS, STATISTICS, SUMMARY = "address_catchment_mapping", "catchment_streets", "catchment_statistics", "catchment_summary"
+#: What the saved version was made from.
+ADDRESSES, POLYGONS = "source_addresses", "source_polygons"
+#: Width of a tile in degrees, buckets of schools, and the smallest cell of the polygon covers.
+TILE, BUCKETS, CELL = 0.25, 32, 0.0025
+
+_ADDRESS = "address_detail_pid string, lon double, lat double, street_locality_pid string, locality_pid string, postcode string"
+_POLYGON = "school_id bigint, school_type string, rings array<array<struct<x:double,y:double>>>"
+SCHEMAS = {
+    MAPPING: "address_detail_pid string, school_id bigint, school_type string",
+    STREETS: "school_id bigint, school_type string, street_name string, street_type string, locality_name string, postcode string",
+    STATISTICS: "school_id bigint, school_name string, school_type string, centroid_lon double, centroid_lat double, address_count bigint",
+    SUMMARY: "metric string, mapping_rows bigint, addresses bigint, schools bigint",
+    ADDRESSES: _ADDRESS,
+    POLYGONS: _POLYGON,
+}
+
+
+def read(spark: SparkSession, folder: str, name: str, version: int | None = None) -> DataFrame:
+    return snapshots.read(spark, folder, name, SCHEMAS[name], version).drop("part")
+
+
+def _tile(lon, lat) -> Column:
+    """Name of a point's tile; points without coordinates share one."""
+    name = F.concat_ws("_", square_cell(lat, TILE).cast("string"), square_cell(lon, TILE).cast("string"))
+    return F.when(F.col(lon).isNotNull() & F.col(lat).isNotNull(), name).otherwise("none")
+
+
+def _tiles_of(polygons: DataFrame) -> DataFrame:
+    """(school_id, part): the tiles that each polygon's box meets."""
+    minx, miny, maxx, maxy = rings_bbox("rings")
+    b = polygons.select("school_id", minx.alias("x0"), miny.alias("y0"), maxx.alias("x1"), maxy.alias("y1"))
+    b = b.select("school_id", "y0", "y1", F.explode(F.sequence(square_cell("x0", TILE), square_cell("x1", TILE))).alias("cx"))
+    b = b.select("school_id", "cx", F.explode(F.sequence(square_cell("y0", TILE), square_cell("y1", TILE))).alias("cy"))
+    return b.select("school_id", F.concat_ws("_", F.col("cy").cast("string"), F.col("cx").cast("string")).alias("part"))
+
+
+def _bucket(school_id: str = "school_id") -> Column:
+    return F.pmod(F.hash(school_id), F.lit(BUCKETS)).cast("string")
+
+
+def _placed(addresses: DataFrame) -> DataFrame:
+    names = [f.split()[0] for f in _ADDRESS.split(", ")]
+    # a point without one coordinate has none
+    both = F.col("lon").isNotNull() & F.col("lat").isNotNull()
+    a = addresses.select(*names).withColumn("lon", F.when(both, F.col("lon"))).withColumn("lat", F.when(both, F.col("lat")))
+    return a.withColumn("part", _tile("lon", "lat"))
+
+
+def _mapped(addresses: DataFrame, polygons: DataFrame) -> DataFrame:
+    """(mapping columns, part) of addresses that lie in polygons."""
+    points = addresses.select("address_detail_pid", "lon", "lat", "part")
+    found = S.points_in_polygons(points, polygons, "school_id", CELL, point_id="address_detail_pid")
+    return found.select("address_detail_pid", "school_id", "school_type", "part")
+
+
+def _derive(spark: SparkSession, mapping: DataFrame, addresses: DataFrame, streets: DataFrame, street_types: DataFrame, localities: DataFrame,
+            polygons: DataFrame, names: DataFrame) -> tuple[DataFrame, DataFrame]:
+    derived = catchment_streets(mapping, addresses, streets, street_types, localities).withColumn("part", _bucket())
+    return derived, schools.catchment_stats(polygons, names, mapping).withColumn("part", _bucket())
+
+
+def build(addresses: DataFrame, streets: DataFrame, street_types: DataFrame, localities: DataFrame, polygons: DataFrame, names: DataFrame, folder: str) -> int:
+    """Write all tables as the folder's next version and show it; returns the version."""
+    spark = addresses.sparkSession
+    version = snapshots.current(spark, folder) + 1
+    held = {}
+
+    def put(df: DataFrame, table: str) -> DataFrame:
+        held[table] = dict.fromkeys(snapshots.write(df, folder, table, version), version)
+        return spark.read.schema(f"{SCHEMAS[table]}, part string").parquet(f"{folder}/{table}/v={version}")
+
+    a = put(_placed(addresses), ADDRESSES)
+    p = put(polygons.select("school_id", "school_type", "rings").withColumn("part", _bucket()), POLYGONS)
+    m = put(_mapped(a, p.drop("part")), MAPPING).drop("part")
+    derived, statistics = _derive(spark, m, a, streets, street_types, localities, p, names)
+    put(derived, STREETS)
+    put(statistics, STATISTICS)
+    put(mapping_counts(m).withColumn("part", F.lit("all")), SUMMARY)
+    snapshots.commit(spark, folder, version, held)
+    return version
+
+
+def refresh(addresses: DataFrame, streets: DataFrame, street_types: DataFrame, localities: DataFrame, polygons: DataFrame, names: DataFrame, folder: str) -> int:
+    """Bring the saved tables up to the given addresses and polygons; returns the version shown, the old one if nothing differs.
+
+    Changes of ``streets``, ``street_types``, ``localities`` and ``names`` alone are not looked for: ``build`` follows them.
+    """
+    spark = addresses.sparkSession
+    old = snapshots.current(spark, folder)
+    if not old:
+        return build(addresses, streets, street_types, localities, polygons, names, folder)
+    version = old + 1
+    held = {table: snapshots.parts(spark, folder, table, old) for table in SCHEMAS}
+    was_a, was_p = snapshots.read(spark, folder, ADDRESSES, _ADDRESS, old), snapshots.read(spark, folder, POLYGONS, _POLYGON, old)
+    now_a = _placed(addresses)
+    now_p = polygons.select("school_id", "school_type", "rings").withColumn("part", _bucket())
+
+    # rows that differ: address by address and polygon by polygon, each with the tiles it touches, before or after
+    cells = lambda df, key: [x for c in df.columns if c not in (key, "part") for x in (F.col(c), F.col(c).isNull())]
+    row = lambda df, key: df.select(key, F.xxhash64(*cells(df, key)).alias("h"), "part")
+    now_r, was_r = row(now_a, "address_detail_pid"), row(was_a, "address_detail_pid")
+    differ = lambda a, b, key: a.join(b.select(key, "h"), [key, "h"], "left_anti")
+    changed_a = written(differ(now_r, was_r, "address_detail_pid").withColumn("now", F.lit(True))
+                        .unionByName(differ(was_r, now_r, "address_detail_pid").withColumn("now", F.lit(False))), "changed-addresses")
+    now_s, was_s = row(now_p, "school_id"), row(was_p, "school_id")
+    changed_p = written(differ(now_s, was_s, "school_id").unionByName(differ(was_s, now_s, "school_id")).select("school_id", "part").distinct(), "changed-polygons")
+    ids = changed_p.select("school_id").distinct()
+    tiles_p = _tiles_of(was_p.join(ids, "school_id", "left_semi")).unionByName(_tiles_of(now_p.join(ids, "school_id", "left_semi"))).select("part").distinct()
+    moved = changed_a.select("part").distinct()
+    touched = [r["part"] for r in moved.unionByName(tiles_p).distinct().collect()]
+    if not touched:
+        return old
+
+    def put(df: DataFrame, table: str, replaced: list[str]) -> None:
+        new = snapshots.write(df, folder, table, version)
+        held[table] = {k: v for k, v in held[table].items() if k not in replaced} | dict.fromkeys(new, version)
 
+    in_touched = now_a.filter(F.col("part").isin(touched))
+    fresh = in_touched.join(changed_a.filter("now").select("address_detail_pid"), "address_detail_pid", "left_semi")
+    settled = in_touched.join(changed_a.filter("now").select("address_detail_pid"), "address_detail_pid", "left_anti")
+    was_m = snapshots.read(spark, folder, MAPPING, SCHEMAS[MAPPING], old, touched)
+    kept = was_m.join(changed_a.select("address_detail_pid"), "address_detail_pid", "left_anti").join(ids, "school_id", "left_anti")
+    moved_in = _mapped(fresh, now_p.drop("part"))
+    redrawn = _mapped(settled.join(tiles_p, "part", "left_semi"), now_p.join(ids, "school_id", "left_semi").drop("part"))
+    now_m = written(kept.select(*was_m.columns).unionByName(moved_in).unionByName(redrawn), "touched-mapping")
+    put(now_m, MAPPING, touched)
+    put(now_a.filter(F.col("part").isin(touched)), ADDRESSES, touched)
+    buckets_p = [r["part"] for r in changed_p.select("part").distinct().collect()]
+    if buckets_p:
+        put(now_p.filter(F.col("part").isin(buckets_p)), POLYGONS, buckets_p)
 
-def read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}")
+    # schools whose mapping rows, or the addresses behind them, differ
+    other = lambda a, b: a.select("address_detail_pid", "school_id").join(b.select("address_detail_pid", "school_id"), ["address_detail_pid", "school_id"], "left_anti").select("school_id")
+    behind = now_m.join(changed_a.select("address_detail_pid"), "address_detail_pid", "left_semi").select("school_id")
+    stale = other(now_m, was_m).unionByName(other(was_m, now_m)).unionByName(behind).unionByName(ids).select(_bucket().alias("part")).distinct()
+    stale = [r["part"] for r in stale.collect()]
+    now = {t: held[t] for t in (MAPPING, ADDRESSES, POLYGONS)}
+    m = _listed(spark, folder, MAPPING, now)
+    if stale:
+        of_stale = m.filter(_bucket().isin(stale))
+        derived, statistics = _derive(spark, of_stale, _listed(spark, folder, ADDRESSES, now), streets, street_types, localities,
+                                      _listed(spark, folder, POLYGONS, now).filter(_bucket().isin(stale)), names)
+        put(derived, STREETS, stale)
+        put(statistics, STATISTICS, stale)
+    put(mapping_counts(m).withColumn("part", F.lit("all")), SUMMARY, ["all"])
+    snapshots.commit(spark, folder, version, held)
+    return version
 
 
-def build(mapping: DataFrame, addresses: DataFrame, streets: DataFrame, street_types: DataFrame, localities: DataFrame,
-          polygons: DataFrame, names: DataFrame, folder: str) -> None:
-    """Write the mapping (address_detail_pid, school_id, school_type), partitioned by school type, the
-    streets and statistics of every catchment, and the counts per type and in all."""
-    spark = mapping.sparkSession
-    write_materialized(mapping.select("address_detail_pid", "school_id", "school_type"), f"{folder}/{MAPPING}", ["school_type"])
-    saved = read(spark, folder, MAPPING)
-    write_materialized(catchment_streets(saved, addresses, streets, street_types, localities), f"{folder}/{STREETS}")
-    write_materialized(schools.catchment_stats(polygons, names, saved), f"{folder}/{STATISTICS}")
-    write_materialized(mapping_counts(saved), f"{folder}/{SUMMARY}")
+def _listed(spark: SparkSession, folder: str, table: str, held: dict[str, dict[str, int]]) -> DataFrame:
+    """A table of the version that is being made."""
+    paths = [f"{folder}/{table}/v={made}/part={part}" for part, made in held[table].items()]
+    if not paths:
+        return spark.createDataFrame([], SCHEMAS[table])
+    return spark.read.option("basePath", f"{folder}/{table}").schema(f"{SCHEMAS[table]}, v bigint, part string").parquet(*paths).drop("v", "part")
 
 
 def catchment_streets(mapping: DataFrame, addresses: DataFrame, streets: DataFrame, street_types: DataFrame, localities: DataFrame) -> DataFrame:

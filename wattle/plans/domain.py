@@ -130,6 +130,11 @@ def address(t: Tables) -> DataFrame:
     )
 
 
+def address_active(t: Tables) -> DataFrame:
+    """Addresses that are not retired."""
+    return address(t).filter(F.col("date_retired").isNull())
+
+
 def state(t: Tables) -> DataFrame:
     return t.region.select(
         F.concat(F.lit("S"), _s("r_regionkey")).alias("state_pid"),

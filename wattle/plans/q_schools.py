@@ -321,7 +321,7 @@ def sp17_catchment_address_distance(spark, d):
                                                     "acara_sml_id")
     pt = cent.join(lk.select("school_id", "latitude", "longitude"), "school_id", "left").select(
         "school_id", F.coalesce("latitude", "c.y").alias("slat"), F.coalesce("longitude", "c.x").alias("slon"))
-    m = mapping(t).select("address_detail_pid", "school_id", "lon", "lat").join(pt, "school_id")
+    m = mapping(t).select("address_detail_pid", "school_id").join(D.address(t).select("address_detail_pid", "lon", "lat"), "address_detail_pid").join(pt, "school_id")
     return G.with_vincenty(m, "slat", "slon", "lat", "lon", "_m").select(
         "address_detail_pid", "school_id", F.round(F.col("_m") / 1000.0, 2).alias("distance_km"))
 

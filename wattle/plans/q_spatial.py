@@ -93,15 +93,38 @@ def _psql(body: str, *more: str, extra: dict | None = None) -> str:
     return sql(body, "address", "catchment_edge", *more, extra=ex)
 
 
+#: Folders of saved tables by session and data folder.
+_SAVED: dict[tuple[str, str], str] = {}
+
+
+def _sources(t: Tables) -> tuple:
+    return D.address_active(t), D.street_locality(t), D.street_type_aut(t), D.locality(t), D.catchment_polygons(t), D.school_catchment_name(t)
+
+
+def saved(t: Tables) -> str:
+    """The folder of the saved tables (``jobs``) of this data; built by the session's first query that reads them."""
+    key = (t.spark.sparkContext.applicationId, t.sf_dir)
+    if key not in _SAVED:
+        folder = scratch_path(t.spark, f"saved-{uuid.uuid4().hex}")
+        jobs.build(*_sources(t), folder)
+        _SAVED[key] = folder
+    return _SAVED[key]
+
+
 def mapping(t: Tables):
-    """Address-catchment mapping (the materialised view of the reference)."""
+    """The saved address-catchment mapping (the materialised view of the reference)."""
+    return jobs.read(t.spark, saved(t), jobs.MAPPING)
+
+
+def computed_mapping(t: Tables):
+    """The mapping from the point-in-polygon join itself."""
     pts = A.active(D.address(t), "date_retired").select("address_detail_pid", "lon", "lat")
     return S.points_in_polygons(pts, D.catchment_polygons(t), "school_id", CELL, point_id="address_detail_pid")
 
 
 @register("j15_address_catchment", _psql("SELECT address_detail_pid, school_id, school_type FROM mapping"))
 def j15_address_catchment(spark, d):
-    return mapping(Tables(spark, d)).select("address_detail_pid", "school_id", "school_type")
+    return computed_mapping(Tables(spark, d)).select("address_detail_pid", "school_id", "school_type")
 
 
 _PER_CATCHMENT_SQL = """SELECT c.school_id, c.school_type, count(m.address_detail_pid) AS address_count FROM catchment c
@@ -110,9 +133,7 @@ LEFT JOIN mapping m ON m.school_id = c.school_id GROUP BY c.school_id, c.school_
 
 def addresses_per_catchment(t: Tables):
     """Every catchment with the number of addresses in it, 0 where there are none."""
-    counts = mapping(t).groupBy("school_id").agg(F.count(F.lit(1)).alias("n"))
-    c = D.catchment(t).select("school_id", "school_type").join(counts, "school_id", "left")
-    return c.select("school_id", "school_type", F.coalesce("n", F.lit(0)).cast("bigint").alias("address_count"))
+    return jobs.read(t.spark, saved(t), jobs.STATISTICS).select("school_id", "school_type", "address_count")
 
 
 @register("ag13_addresses_per_catchment", _psql(_PER_CATCHMENT_SQL))
@@ -124,8 +145,7 @@ def ag13_addresses_per_catchment(spark, d):
  count(DISTINCT school_id) AS schools FROM mapping GROUP BY school_type
 UNION ALL SELECT 'TOTAL', count(*), count(DISTINCT address_detail_pid), count(DISTINCT school_id) FROM mapping"""))
 def ag16_mapping_counts(spark, d):
-    """AG16/U4: per type and in total, from one pass over the mapping (``rollup``)
-    rather than a union that would compute the point-in-polygon join twice."""
+    """AG16/U4: per type and in total, from one pass over the saved mapping (``rollup``)."""
     return jobs.mapping_counts(mapping(Tables(spark, d)))
 
 
@@ -194,9 +214,7 @@ HAVING sum(CASE WHEN ((e.ay > p.lat) <> (e.by > p.lat)) AND (p.lon < (e.bx - e.a
 def j16_addresses_of_named_catchment(spark, d):
     t = Tables(spark, d)
     names = D.school_catchment_name(t).filter(F.upper("school_name").like(f"%{NAMED_CATCHMENT}%")).select("school_id")
-    polys = D.catchment_polygons(t).join(names, "school_id", "left_semi")
-    pts = A.active(D.address(t), "date_retired").select("address_detail_pid", "lon", "lat")
-    return S.points_in_polygons(pts, polys, "school_id", CELL, point_id="address_detail_pid").select("address_detail_pid", "school_id")
+    return mapping(t).select("address_detail_pid", "school_id").join(names, "school_id", "left_semi")
 
 
 _SCHOOL_PIP = """SELECT p.acara_sml_id, p.school_id, p.school_type FROM (
@@ -394,9 +412,8 @@ JOIN locality l ON l.locality_pid = a.locality_pid"""
 
 
 def catchment_streets(t: Tables):
-    """The distinct streets (with suburb and postcode) of every catchment."""
-    m = mapping(t).select("address_detail_pid", "school_id", "school_type")
-    return jobs.catchment_streets(m, D.address(t), D.street_locality(t), D.street_type_aut(t), D.locality(t))
+    """The distinct streets (with suburb and postcode) of every catchment, from their saved table."""
+    return jobs.read(t.spark, saved(t), jobs.STREETS)
 
 
 @register("j24_catchment_streets", _psql(_STREETS_SQL, "street_locality", "street_type_aut", "locality"))
@@ -578,9 +595,7 @@ FROM (SELECT e.school_id, sum((e.ax + e.bx) * (e.ax * e.by - e.bx * e.ay)) / (3
 JOIN catchment k ON k.school_id = c.school_id LEFT JOIN school_catchment_name n ON n.school_id = c.school_id
 LEFT JOIN (SELECT school_id, count(*) AS n FROM mapping GROUP BY school_id) m ON m.school_id = c.school_id""", "school_catchment_name"))
 def ag14_catchment_stats(spark, d):
-    from wattle.operators.schools import catchment_stats
-    t = Tables(spark, d)
-    s = catchment_stats(D.catchment_polygons(t), D.school_catchment_name(t), mapping(t))
+    s = jobs.read(spark, saved(Tables(spark, d)), jobs.STATISTICS)
     return s.select("school_id", "school_name", "school_type", F.round("centroid_lon", 9).alias("centroid_lon"),
                     F.round("centroid_lat", 9).alias("centroid_lat"), "address_count")
 
@@ -600,32 +615,71 @@ _CATCHMENT_ID = 3
 @register("o6_catchment_suburbs", _psql(f"""SELECT DISTINCT l.locality_name, a.postcode FROM mapping m JOIN address a ON a.address_detail_pid = m.address_detail_pid
 JOIN locality l ON l.locality_pid = a.locality_pid WHERE m.school_id = {_CATCHMENT_ID} ORDER BY l.locality_name, a.postcode LIMIT 20""", "locality"))
 def o6_catchment_suburbs(spark, d):
-    """O6 within one catchment: its suburbs and postcodes; only that polygon is mapped."""
+    """O6 within one catchment: its suburbs and postcodes, from the saved mapping."""
     t = Tables(spark, d)
-    polygon = D.catchment_polygons(t).filter(F.col("school_id") == _CATCHMENT_ID)
-    pts = A.active(D.address(t), "date_retired").select("address_detail_pid", "lon", "lat", "locality_pid", "postcode")
-    inside = S.points_in_polygons(pts, polygon, "school_id", CELL, point_id="address_detail_pid")
+    inside = mapping(t).filter(F.col("school_id") == _CATCHMENT_ID).select("address_detail_pid").join(D.address(t).select("address_detail_pid", "locality_pid", "postcode"), "address_detail_pid")
     named = inside.join(D.locality(t).select("locality_pid", "locality_name"), "locality_pid")
     return named.select("locality_name", "postcode").distinct().orderBy("locality_name", "postcode").limit(20)
 
 
-def _saved(spark, d) -> str:
-    """The folder of freshly built saved tables."""
-    t, folder = Tables(spark, d), scratch_path(spark, f"saved-{uuid.uuid4().hex}")
-    jobs.build(mapping(t), D.address(t), D.street_locality(t), D.street_type_aut(t), D.locality(t), D.catchment_polygons(t), D.school_catchment_name(t), folder)
-    return folder
-
-
 @register("s17_saved_catchment_tables", _psql(f"""SELECT 'streets' AS table_name, school_type, count(*) AS n FROM ({_STREETS_SQL}) s GROUP BY school_type
 UNION ALL SELECT 'mapping', school_type, count(*) FROM mapping GROUP BY school_type
 UNION ALL SELECT 'statistics', school_type, count(*) FROM catchment GROUP BY school_type""", "street_locality", "street_type_aut", "locality"))
 def s17_saved_catchment_tables(spark, d):
     """The mapping and the tables derived from it, built once and read back: rows per type."""
-    folder = _saved(spark, d)
+    folder = saved(Tables(spark, d))
     per = lambda label, name: jobs.read(spark, folder, name).groupBy("school_type").agg(F.count(F.lit(1)).alias("n")).select(F.lit(label).alias("table_name"), "school_type", "n")
     return per("streets", jobs.STREETS).unionByName(per("mapping", jobs.MAPPING)).unionByName(per("statistics", jobs.STATISTICS))
 
 
+@register("s17_saved_mapping", _psql("SELECT address_detail_pid, school_id, school_type FROM mapping"))
+def s17_saved_mapping(spark, d):
+    """The rows of the saved mapping."""
+    return mapping(Tables(spark, d))
+
+
+@register("s17_saved_summary", _psql("""SELECT school_type AS metric, count(*) AS mapping_rows, count(DISTINCT address_detail_pid) AS addresses,
+ count(DISTINCT school_id) AS schools FROM mapping GROUP BY school_type
+UNION ALL SELECT 'TOTAL', count(*), count(DISTINCT address_detail_pid), count(DISTINCT school_id) FROM mapping"""))
+def s17_saved_summary(spark, d):
+    return jobs.read(spark, saved(Tables(spark, d)), jobs.SUMMARY)
+
+
+def _earlier(t: Tables) -> tuple:
+    """The sources as they may have been before: some addresses elsewhere, missing or since retired, some catchments larger, missing or of the other type."""
+    addresses, streets, kinds, localities, polygons, names = _sources(t)
+    k = F.substring("address_detail_pid", 3, 20).cast("bigint")
+    was = addresses.filter(k % 101 != 0).withColumn("lon", F.when(k % 97 == 0, F.col("lon") + 0.05).when(k % 89 == 0, F.lit(None)).otherwise(F.col("lon")))
+    was = was.withColumn("postcode", F.when(k % 83 == 0, F.lit("0000")).otherwise(F.col("postcode")))
+    was = was.unionByName(addresses.filter(k % 103 == 0).withColumn("address_detail_pid", F.concat(F.lit("OLD"), "address_detail_pid")))
+    s = F.col("school_id")
+    grown = F.transform("rings", lambda r: F.transform(r, lambda v: F.struct((v["x"] + F.lit(0.01)).alias("x"), v["y"].alias("y"))))
+    then = polygons.filter(s % 31 != 3).select(s, F.when(s % 37 == 5, "OTHER").otherwise(F.col("school_type")).alias("school_type"),
+                                               F.when(s % 29 == 4, grown).otherwise(F.col("rings")).alias("rings"))
+    then = then.unionByName(polygons.filter(s % 41 == 6).withColumn("school_id", s + 10_000_000))
+    return was, streets, kinds, localities, then, names
+
+
+def refreshed(t: Tables) -> str:
+    """A folder of tables built from an earlier state of the sources and then refreshed to the present one."""
+    folder = scratch_path(t.spark, f"refreshed-{uuid.uuid4().hex}")
+    jobs.build(*_earlier(t), folder)
+    jobs.refresh(*_sources(t), folder)
+    return folder
+
+
+@register("s17_refreshed_mapping", _psql("SELECT address_detail_pid, school_id, school_type FROM mapping"))
+def s17_refreshed_mapping(spark, d):
+    """The mapping after a refresh that rebuilt only what changed."""
+    return jobs.read(spark, refreshed(Tables(spark, d)), jobs.MAPPING)
+
+
+@register("s17_refreshed_streets", _psql(_STREETS_SQL, "street_locality", "street_type_aut", "locality"))
+def s17_refreshed_streets(spark, d):
+    """The streets derived from the mapping, after the refresh."""
+    return jobs.read(spark, refreshed(Tables(spark, d)), jobs.STREETS)
+
+
 def _polygon_distance_sql() -> str:
     x = lambda c: f"6378137e0 * radians({c})"
     y = lambda c: f"6378137e0 * ln(tan(pi() / 4 + radians({c}) / 2))"
