@@ -8,10 +8,14 @@ forces a broadcast of a table that grows with the data.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType
 
 from wattle.functions import geo as G
+from wattle.functions.stemming import STOP_WORDS, stem
+from wattle.operators.text_index import NameIndex, query_stems
 from wattle.functions.text import escape_like
 
 # School-name abbreviations and their expansions.
@@ -210,38 +214,29 @@ def school_geometry(profile: DataFrame, lookup: DataFrame, catchments: DataFrame
                     search_tokens("school_name").alias("search_vector"))
 
 
-# English stop words dropped from search tokens (T3, the common core list).
-STOP_WORDS = ["a", "an", "and", "are", "as", "at", "be", "by", "for", "from", "in", "is", "it", "of", "on", "or",
-              "the", "to", "with"]
-
+def search_tokens(c) -> Column:
+    """The distinct stems of a text's words, stop words aside (the vector of the 'english' configuration without positions)."""
+    words = F.filter(F.split(F.lower(_c(c)), r"[^\p{L}\p{N}]+"), lambda t: (t != "") & ~t.isin(*sorted(STOP_WORDS)))
+    return F.array_distinct(_stems(words))
 
-def _stem(tok: Column) -> Column:
-    """Light suffix stripping (plural 's'/'es', 'ies' -> 'y'); a small stand-in for the
-    'english' stemmer that keeps the match symmetric for query and document."""
-    return (F.when(tok.endswith("ies") & (F.length(tok) > 4), F.concat(tok.substr(F.lit(1), F.length(tok) - 3), F.lit("y")))
-             .when(tok.endswith("sses"), tok.substr(F.lit(1), F.length(tok) - 2))
-             .when(tok.endswith("s") & ~tok.endswith("ss") & (F.length(tok) > 3), tok.substr(F.lit(1), F.length(tok) - 1))
-             .otherwise(tok))
 
-
-def search_tokens(c) -> Column:
-    """Lower-case word tokens, stop words removed, lightly stemmed, distinct."""
-    toks = F.filter(F.split(F.lower(_c(c)), r"[^a-z0-9]+"), lambda t: (t != "") & ~t.isin(*STOP_WORDS))
-    return F.array_distinct(F.transform(toks, _stem))
+@F.pandas_udf(ArrayType(StringType()))
+def _stems(words: pd.Series) -> pd.Series:
+    known: dict[str, str] = {}
+    return words.map(lambda ws: None if ws is None else [known[w] if w in known else known.setdefault(w, stem(w)) for w in ws])
 
 
 def tokens_match(doc_tokens: Column, query: str) -> Column:
-    """``search_vector @@ plainto_tsquery(query)`` - every query token is present."""
-    q = F.lit(query)
-    qt = search_tokens(q)
-    return (F.size(qt) > 0) & (F.size(F.array_except(qt, doc_tokens)) == 0)
+    """``search_vector @@ plainto_tsquery(query)`` - every query token is present; false if the query has none."""
+    wanted = query_stems(query)
+    return F.size(F.array_intersect(doc_tokens, F.array(*(F.lit(w) for w in wanted)))) == len(wanted) if wanted else F.lit(False)
 
 
 # ----------------------------------------------------------------------------- T1 / T2 / T4
 def three_tier_match(catchments: DataFrame, query: str, school_type: str | None = None, limit: int = 20) -> DataFrame:
     """Exact (all rows, unordered), else prefix, else substring (ordered by name,
-    first ``limit``); the first tier with rows wins.  One scan assigns the tier;
-    a scalar aggregate finds the winning tier (one small job)."""
+    first ``limit``); the first tier with rows wins.  No action: the winning tier is
+    an aggregate of the matches, joined back as one row."""
     up, q = F.upper("school_name"), query.upper()
     esc = escape_like(q)
     cand = catchments.filter(up.like(f"%{esc}%"))
@@ -249,21 +244,28 @@ def three_tier_match(catchments: DataFrame, query: str, school_type: str | None
         cand = cand.filter(F.col("school_type") == school_type.upper())
     cand = cand.select("school_id", "school_name", "school_type",
                        F.when(up == q, 0).when(up.like(f"{esc}%"), 1).otherwise(2).alias("rank_order"))
-    best = cand.agg(F.min("rank_order")).first()[0]
-    if best is None:
-        return cand.limit(0)
-    tier = cand.filter(F.col("rank_order") == best)
-    return tier if best == 0 else tier.orderBy("school_name", "school_id").limit(limit)
+    best = cand.agg(F.min("rank_order").alias("rank_order"))  # one row
+    tier = cand.join(F.broadcast(best), "rank_order", "left_semi")
+    exact = tier.filter(F.col("rank_order") == 0)
+    return exact.unionByName(tier.filter(F.col("rank_order") > 0).orderBy("school_name", "school_id").limit(limit))
 
 
-def ranked_search(schools: DataFrame, query: str, state: str | None = None, limit: int = 20) -> DataFrame:
-    """Prefix 1, token match 2, substring 3; ordered by rank then name, first ``limit``."""
+def ranked_search(schools: DataFrame, query: str, state: str | None = None, limit: int = 20, index: NameIndex | None = None) -> DataFrame:
+    """Prefix 1, token match 2, substring 3; ordered by rank then name, first ``limit``.  With an index over the
+    names (ids are ``acara_sml_id``), the schools are those of its postings; without one every name is read."""
     up, esc = F.upper("school_name"), escape_like(query.upper())
-    toks = search_tokens("school_name")
-    cand = schools.filter(up.like(f"%{esc}%") | tokens_match(toks, query))
+    if index is not None:
+        by_token = index.matching(query).select(F.col("id").alias("acara_sml_id"), F.lit(True).alias("_token"))
+        by_part = index.containing(query).select(F.col("id").alias("acara_sml_id"), F.lit(False).alias("_token"))
+        found = by_token.unionByName(by_part).groupBy("acara_sml_id").agg(F.max("_token").alias("_token"))
+        cand, has_token = schools.join(found, "acara_sml_id"), F.col("_token")
+    else:
+        cand = schools.withColumn("_token", tokens_match(search_tokens("school_name"), query))
+        has_token = F.col("_token")
+        cand = cand.filter(up.like(f"%{esc}%") | has_token)
     if state:
         cand = cand.filter(F.col("state") == state)
-    rank = F.when(up.like(f"{esc}%"), 1).when(tokens_match(toks, query), 2).otherwise(3)
+    rank = F.when(up.like(f"{esc}%"), 1).when(has_token, 2).otherwise(3)
     return (cand.select("acara_sml_id", "school_name", "state", "school_sector", rank.alias("rank"))
                 .orderBy("rank", "school_name", "acara_sml_id").limit(limit))
 

