@@ -46,3 +46,15 @@ def test_nulls_repeats_and_extra_columns(spark):
     rows = S.find_secrets(df).collect()
     assert sorted((str(r.id), len(r.spans)) for r in rows) == [("5", 1), ("5", 1), ("6", 0), ("None", 1)]
     assert S.find_secrets(df.limit(0)).count() == 0
+
+
+def test_many_hits_in_one_text(spark):
+    """Linear in hits: 200,000 of them in one text, half a second's work for a quadratic scan of 3,000."""
+    import time
+
+    unit = "token=abcdefgh%d login=amy https://h.example/x "
+    text = "".join(unit % (i % 10) for i in range(70_000))
+    begin = time.time()
+    row = S.find_secrets(spark.createDataFrame([(1, text)], "doc_id long, text string")).select(F.size("base").alias("b"), F.size("spans").alias("s"), F.element_at("spans", -1).alias("last")).first()
+    assert (row.b, row.s) == (70_000, 210_000) and tuple(row["last"])[2] == len(text) - 1
+    assert time.time() - begin < 60

@@ -15,7 +15,8 @@ interval join on (row, role, scope cell) against one summary per cell (smallest
 start, largest end), so it never lists the pairs of a scope.
 
 Positions: a text equals its gaps (``split``) interleaved with its matches
-(``regexp_extract_all``), so starts are sums of their lengths in code points.
+(``regexp_extract_all``), so ends are running sums of their lengths in code points, taken
+by a window over a text's gaps and matches.  All work is linear in a text and its matches, but for sorting.
 
 Defined results: null text counts as empty (no span); a null id passes through;
 repeated rows are scanned each on its own; ties are ordered by start, then kind in the
@@ -24,7 +25,7 @@ order above; an empty table gives an empty one; other columns are not read.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from wattle.llm.common import materialize, text_or_empty
@@ -43,71 +44,62 @@ ENDPOINT = r"""[a-z][a-z0-9+]*://[^\x20\x09-\x0D"'<>]+"""
 LONG_RUN = r"(?<![A-Za-z0-9+/])[A-Za-z0-9+/]{32}"
 
 SPAN = "array<struct<start:bigint,kind:int,end:bigint>>"
+PIECE = "array<struct<pattern:int,gap:int,hit:int,kind:int>>"
 
 
-def located(text: Column, regex: str) -> Column:
-    """Array of (start, end, match) of the regex's matches; code points, end exclusive."""
+def _pieces(text: Column, pattern: int, regex: str, kind) -> Column:
+    """The text as gaps, each with the match after it: lengths in code points, and the match's ``kind`` (-1: none)."""
     zipped = F.arrays_zip(F.split(text, regex, -1).alias("gap"), F.regexp_extract_all(text, F.lit(regex), F.lit(0)).alias("hit"))
-    empty = F.lit(None).cast("array<struct<start:bigint,end:bigint,hit:string>>")
-    zero = F.struct(F.lit(0).cast("bigint").alias("at"), F.coalesce(empty, F.array().cast("array<struct<start:bigint,end:bigint,hit:string>>")).alias("found"))
-
-    def step(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.length(x["gap"]).cast("bigint")
-        end = start + F.coalesce(F.length(x["hit"]), F.lit(0)).cast("bigint")
-        more = F.array(F.struct(start.alias("start"), end.alias("end"), x["hit"].alias("hit")))
-        return F.struct(end.alias("at"), F.when(x["hit"].isNull(), acc["found"]).otherwise(F.concat(acc["found"], more)).alias("found"))
-
-    return F.aggregate(zipped, zero, step)["found"]
-
-
-def _spans(found: Column, kind: str) -> Column:
-    return F.transform(found, lambda x: F.struct(x["start"].alias("start"), F.lit(KINDS.index(kind)).alias("kind"), x["end"].alias("end"))).cast(SPAN)
+    return F.transform(zipped, lambda x: F.struct(
+        F.lit(pattern).alias("pattern"), F.coalesce(F.length(x["gap"]), F.lit(0)).alias("gap"), F.coalesce(F.length(x["hit"]), F.lit(0)).alias("hit"),
+        F.when(x["hit"].isNull(), -1).otherwise(kind(x["hit"])).alias("kind"))).cast(PIECE)
 
 
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(rid, id, base, weak): each row's base spans and weak candidates, unlinked.
+    """(rid, id, pieces): each row's gaps and matches of every pattern.
 
     Cheap tests that every match passes (a ``:`` or ``=``, ``AKIA``, ``://``, a long run)
     keep the regexes off texts that cannot match.
     """
-    none = F.array().cast(SPAN)
     t = F.col("_t")
     named = t.contains(":") | t.contains("=")
     run = t.rlike(LONG_RUN)
     rows = df.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("id"), text_or_empty(text_col).alias("_t"))
     rows = rows.select("rid", "id", "_t", named.alias("_named"), run.alias("_run"))
-    rows = rows.withColumn("_assign", F.when(F.col("_named"), located(t, ASSIGN)))
-    value = lambda x: F.length(F.regexp_extract(x["hit"], ASSIGN, 2))
-    mixed = lambda x: x["hit"].rlike("[0-9]") & x["hit"].rlike("[A-Z]") & x["hit"].rlike("[a-z]")
-    return rows.select(
-        "rid", "id",
-        F.array_sort(F.concat(
-            F.coalesce(_spans(F.filter("_assign", lambda x: value(x) >= 8), "assign"), none),
-            F.coalesce(F.when(t.contains("AKIA"), _spans(located(t, ACCESS), "access")), none),
-            F.coalesce(F.when(F.col("_run"), _spans(located(t, HEX), "hex")), none),
-        )).alias("base"),
-        F.concat(
-            F.coalesce(F.when(F.col("_named"), _spans(located(t, IDENT), "ident")), none),
-            F.coalesce(_spans(F.filter("_assign", lambda x: value(x) < 8), "short"), none),
-            F.coalesce(F.when(F.col("_run"), _spans(F.filter(located(t, KEY40), mixed), "key40")), none),
-            F.coalesce(F.when(t.contains("://"), _spans(located(t, ENDPOINT), "endpoint")), none),
-        ).alias("weak"),
-    )
-
-
-def link(scanned: DataFrame, scope: int = 400) -> DataFrame:
-    """(rid, added): the weak candidates of ``scan`` that have a complementary part within ``scope``."""
-    from pyspark.sql import Window
-
-    role = F.element_at(F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (i, ROLE[k])]), F.col("p.kind"))
-    some = scanned.filter(F.size("weak") > 0)
-    marked = lambda col, weak: F.transform(col, lambda s: F.struct(s["start"].alias("start"), F.lit(weak).alias("weak"), s["kind"].alias("kind"), s["end"].alias("end")))
-    parts = some.select("rid", F.explode(F.concat(marked("base", 0), marked("weak", 1))).alias("p")).select("rid", "p.*", role.alias("role"))
-    # a weak candidate under a base span goes: the base spans around it tell
-    order = Window.partitionBy("rid").orderBy("start", "weak", "kind", "end")
-    base_end = F.max(F.when(F.col("weak") == 0, F.col("end"))).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    base_start = F.min(F.when(F.col("weak") == 0, F.col("start"))).over(order.rowsBetween(1, Window.unboundedFollowing))
-    parts = parts.select("*", base_end.alias("_before"), base_start.alias("_after"))
+    is_kind = lambda name: F.lit(KINDS.index(name))
+    value = lambda hit: F.when(F.length(F.regexp_extract(hit, ASSIGN, 2)) >= 8, is_kind("assign")).otherwise(is_kind("short"))
+    mixed = lambda hit: F.when(hit.rlike("[0-9]") & hit.rlike("[A-Z]") & hit.rlike("[a-z]"), is_kind("key40")).otherwise(-1)
+    patterns = ((F.col("_named"), ASSIGN, value), (t.contains("AKIA"), ACCESS, lambda _: is_kind("access")), (F.col("_run"), HEX, lambda _: is_kind("hex")),
+                (F.col("_named"), IDENT, lambda _: is_kind("ident")), (F.col("_run"), KEY40, mixed), (t.contains("://"), ENDPOINT, lambda _: is_kind("endpoint")))
+    found = [F.coalesce(F.when(may, _pieces(t, i, regex, kind)), F.array().cast(PIECE)) for i, (may, regex, kind) in enumerate(patterns)]
+    return rows.select("rid", "id", F.concat(*found).alias("pieces"))
+
+
+def located(scanned: DataFrame) -> DataFrame:
+    """(rid, start, end, kind) of every match of ``scan``; code points, end exclusive."""
+    spread = scanned.filter(F.exists("pieces", lambda x: x["kind"] >= 0)).select("rid", F.posexplode("pieces").alias("_at", "_p"))
+    along = Window.partitionBy("rid", "_p.pattern").orderBy("_at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    end = F.sum((F.col("_p.gap") + F.col("_p.hit")).cast("bigint")).over(along)
+    spread = spread.select("rid", F.col("_p.hit").alias("_hit"), F.col("_p.kind").alias("kind"), end.alias("end")).filter("kind >= 0")
+    return spread.select("rid", (F.col("end") - F.col("_hit")).alias("start"), "end", "kind")
+
+
+#: Kinds from this one on are weak.
+_WEAK = KINDS.index("ident")
+
+
+def link(found: DataFrame, scope: int = 400) -> DataFrame:
+    """(rid, start, end, kind): the weak candidates of ``located`` that have a complementary part within ``scope``."""
+    role = F.element_at(F.create_map(*[F.lit(x) for i, k in enumerate(KINDS) for x in (i, ROLE[k])]), F.col("kind"))
+    weak = (F.col("kind") >= _WEAK).cast("int")
+    some = found.join(found.filter(F.col("kind") >= _WEAK).select("rid").distinct(), "rid", "left_semi")
+    parts = some.select("rid", "start", weak.alias("weak"), "kind", "end", role.alias("role"))
+    # a weak candidate under a base span goes: the base spans around it tell, from both sides (frames that
+    # look back grow row by row; one that looks ahead would start anew at every row)
+    before = Window.partitionBy("rid").orderBy("start", "weak", "kind", "end").rowsBetween(Window.unboundedPreceding, -1)
+    after = Window.partitionBy("rid").orderBy(*(F.desc(c) for c in ("start", "weak", "kind", "end"))).rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select("*", F.max(F.when(F.col("weak") == 0, F.col("end"))).over(before).alias("_before"),
+                         F.min(F.when(F.col("weak") == 0, F.col("start"))).over(after).alias("_after"))
     covered = (F.col("weak") == 1) & (F.coalesce(F.col("_before") > F.col("start"), F.lit(False)) | F.coalesce(F.col("_after") < F.col("end"), F.lit(False)))
     parts = materialize(parts.filter(~covered).drop("_before", "_after"), "credential-parts")
     cell = lambda c: F.floor(c / scope)
@@ -119,16 +111,18 @@ def link(scanned: DataFrame, scope: int = 400) -> DataFrame:
               .select("rid", "start", "kind", "end", F.explode(wanted).alias("role"))
               .select("*", F.explode(F.sequence(cell(F.greatest(F.col("start") - scope, F.lit(0))), cell(F.col("end") + scope))).alias("cell")))
     near = (F.col("first") <= F.col("end") + scope) & (F.col("last") >= F.col("start") - scope)
-    return (probes.join(cells, ["rid", "role", "cell"]).filter(near)
-            .select("rid", F.struct("start", "kind", "end").alias("s")).distinct()
-            .groupBy("rid").agg(F.collect_list("s").alias("added")))
+    return probes.join(cells, ["rid", "role", "cell"]).filter(near).select("rid", "start", "end", "kind").distinct()
 
 
 def find_secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = 400) -> DataFrame:
     """(id, base, spans) for each row, spans as arrays of (start, kind index, end) in order."""
     scanned = materialize(scan(df, id_col, text_col), "secret-scan")
-    joined = scanned.select("rid", "id", "base").join(link(scanned, scope), "rid", "left")
-    return joined.select("id", "base", F.array_sort(F.concat("base", F.coalesce(F.col("added"), F.array().cast(SPAN)))).alias("spans"))
+    found = materialize(located(scanned), "secret-spans")
+    every = found.filter(F.col("kind") < _WEAK).unionByName(link(found, scope))
+    span = F.struct("start", "kind", "end")
+    per = every.groupBy("rid").agg(F.sort_array(F.collect_list(F.when(F.col("kind") < _WEAK, span))).cast(SPAN).alias("base"), F.sort_array(F.collect_list(span)).cast(SPAN).alias("spans"))
+    none = F.array().cast(SPAN)
+    return scanned.select("rid", "id").join(per, "rid", "left").select("id", F.coalesce("base", none).alias("base"), F.coalesce("spans", none).alias("spans"))
 
 
 def digest(spans: Column) -> Column:
