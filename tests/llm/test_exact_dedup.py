@@ -71,8 +71,7 @@ def test_null_ids_repeats_empty_and_clashes(spark):
     assert {r.keep_id for r in out if r.group_size == 4} == {5}
     assert sorted((str(r.doc_id), r.text) for r in Q.deduplicate(df).collect()) == [("5", "a"), ("None", "b")]
     assert Q.classes(df.limit(0)).count() == 0 and Q.deduplicate(df.limit(0)).count() == 0
-    with pytest.raises(ValueError):
-        Q.deduplicate(df.withColumnRenamed("n_chars", "_BYTES"))
+    assert Q.deduplicate(df.withColumnRenamed("n_chars", "_maybe")).columns == ["doc_id", "text", "_maybe"]
 
 
 def test_query_against_its_sql(spark):

@@ -19,10 +19,14 @@ def test_order_independent_and_incremental():
     assert (H.from_text(H.as_text(whole)) == whole).all()
 
 
-def test_lanes_wrap():
-    many = H.sums([H.hashes(["same."] * 70_000)])[0]
-    one = H.sums([H.hashes(["same."])])[0].astype(np.int64)
-    assert (many == (one * 70_000).astype(np.int16)).all()
+def test_many_equal_paragraphs():
+    one = H.sums([H.hashes(["same."])])[0]
+    for n in (1 << 16, 70_000):
+        many = H.sums([H.hashes(["same."] * n)])[0]
+        assert (many == one * n).all() and (many != 0).any()
+        assert H.likeness(many, H.fingerprint("")) == 0
+    # equal for equal multisets only, also where counters of 16 bits would meet
+    assert (H.sums([H.hashes(["a"] * (1 << 16))])[0] != H.sums([H.hashes(["b"] * (1 << 16))])[0]).any()
 
 
 def test_likeness_estimates_shared_paragraphs():

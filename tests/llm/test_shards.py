@@ -57,3 +57,35 @@ def test_empty_and_query(spark):
     assert L.shard(df, 5).count() == 0
     out = L.op9_lpt_shards(spark, "/root/testdata/sf0.001")
     assert out.columns == ["doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"] and out.count() == 200
+
+
+def one_by_one(sizes, shards):
+    """group -> shard by a plain heap over all groups."""
+    import heapq
+
+    heap = [(0, k) for k in range(shards)]
+    out = {}
+    for group, size in sorted(sizes.items(), key=lambda x: (-x[1], x[0])):
+        load, k = heap[0]
+        heapq.heapreplace(heap, (load + size, k))
+        out[group] = k
+    return out
+
+
+@given(st.lists(st.tuples(st.integers(1, 30), st.integers(1, 40)), max_size=8), st.integers(1, 6), st.integers(0, 400))
+def test_runs_of_equal_sizes(runs, shards, giant):
+    sizes = {f"{s:03d}-{k}-{i:03d}": s for k, (s, n) in enumerate(runs) for i in range(n)}
+    sizes["giant"] = giant + 1
+    assert L.lpt(sizes.items(), shards) == one_by_one(sizes, shards)
+
+
+def test_every_group_is_scheduled(spark):
+    """100,000 distinct texts: the shards are those of a heap over all groups."""
+    df = spark.range(100_000).selectExpr("id AS doc_id", "concat(repeat('x', cast(pmod(id * id, 997) AS int)), id) AS text")
+    df = df.unionAll(spark.range(500).selectExpr("-id AS doc_id", "'hot' AS text"))
+    out = L.assign(L.measure(df), 40)
+    sizes, shard_of = Counter(), {}
+    for r in out.select("group", "size", "shard").collect():
+        sizes[r.group] += r["size"]
+        assert shard_of.setdefault(r.group, r.shard) == r.shard
+    assert len(sizes) == 100_001 and shard_of == one_by_one(sizes, 40)

@@ -38,7 +38,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattle.llm.common import binary_values, bound_batches, key_bitmap, materialize, may_contain, slices, tasks_for, tidy
+from wattle.llm.common import binary_values, bound_batches, key_bitmap, materialize, may_contain, shielded, slices, tasks_for, tidy
 from wattle.llm.components import connected_components
 from wattle.llm.registry import register, table
 
@@ -478,8 +478,8 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     Rows that surely stay pass straight through the scan; the rest are settled by an exact join.
     """
-    if clash := {"_key", "_maybe"} & {c.lower() for c in df.columns}:
-        raise ValueError(f"columns would clash: {sorted(clash)}")
+    own = df.columns
+    df, (id_col, text_col) = shielded(df, id_col, text_col)
     # a row is told by its id; rows without one by their component having another
     gone = components(df, id_col, text_col).filter(~F.col("id").eqNullSafe(F.col("component_id"))).select(F.col("id").alias("_id"), F.xxhash64(F.col("id")).alias("_k")).distinct()
     gone = materialize(gone, "near-dropped")
@@ -493,7 +493,7 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     marked = bound_batches(keyed).mapInArrow(tidy(run), schema)
     settled = marked.filter("_maybe").join(gone, F.col(id_col).eqNullSafe(F.col("_id")), "left_anti")
-    return marked.filter("not _maybe").select(*df.columns).unionByName(settled.select(*df.columns))
+    return marked.filter("not _maybe").select(*df.columns).unionByName(settled.select(*df.columns)).toDF(*own)
 
 
 #: All pairs that share a shingle, counted; components as the smallest id reachable.  Fit for small tables.

@@ -138,3 +138,12 @@ def may_contain(bitmap: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """False where a 64-bit key is certainly not among those of the bitmap."""
     at = keys.astype(np.uint64) & np.uint64(len(bitmap) * 8 - 1)
     return (bitmap[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def shielded(df: DataFrame, *used: str) -> tuple[DataFrame, list[str]]:
+    """``df`` under column names that no helper column can clash with, and the new names of the columns ``used``.
+
+    ``.toDF(*df.columns)`` gives the result its own names back.
+    """
+    names = [f"col{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), [names[df.columns.index(c)] for c in used]

@@ -20,7 +20,7 @@ Sums are exact (decimal), so reruns and other partitionings give the same copies
 Defined results: null text has size 0; a null source is a source of its own, last in
 order; rows of size 0 and rows of sources without words are taken once (0 words either way);
 repeated rows share their hash and are decided alike; an empty table gives an empty one;
-columns of other names pass through, clashing ones raise.
+other columns pass through, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,7 +30,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from wattle.llm.common import materialize, text_or_empty
+from wattle.llm.common import materialize, shielded, text_or_empty
 from wattle.llm.registry import register, table
 
 CAP = 2
@@ -230,8 +230,8 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     Copies depend on a row's id, source and size and on one small row per source only, so
     the second pass over the texts needs no join by id and moves no text.
     """
-    if clash := {"size", "_u", "copies", "target", "source_size"} & {c.lower() for c in df.columns}:
-        raise ValueError(f"columns would clash: {sorted(clash)}")
+    own = df.columns
+    df, (id_col, text_col, source_col) = shielded(df, id_col, text_col, source_col)
     sized = materialize(measure(df, id_col, text_col, source_col), "mix-sizes")
     model = fit(sized, weights, share)
     rows = measure(df, id_col, text_col, source_col, keep=True)
@@ -239,7 +239,7 @@ def mix(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_co
     empty = F.col("size") == 0
     taken = copies(rows.filter(~empty).withColumnRenamed(source_col, "source"), model).withColumnRenamed("source", source_col)
     taken = taken.filter("copies > 0").withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*df.columns)
-    return taken.unionByName(rows.filter(empty).select(*df.columns))
+    return taken.unionByName(rows.filter(empty).select(*df.columns)).toDF(*own)
 
 
 @register("op4_entropy_mix")

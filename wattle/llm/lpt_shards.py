@@ -1,25 +1,25 @@
 """Sharding by longest-processing-time scheduling.
 
 Rows of equal text form a group that must stay together.  Groups go to shards in order of
-size, largest first, each to the least-loaded shard of a heap.  Only the groups that matter are scheduled
-one by one: those larger than 1 / (GRAIN * shards) of all bytes, of which there are at most GRAIN *
-shards.  The others are first gathered into at most BUNDLES bundles by hash, which are
-scheduled like groups.  So the heap sees at most GRAIN * shards + BUNDLES items at any data size, and the
-loads end within one bundle of each other, unless one group alone exceeds a shard's share.
+size, largest first (ties by the group's hash), each to the least-loaded shard of a heap (ties to the lowest): every group at any number of
+groups.  Groups of one size are interchangeable, so the heap runs over the histogram of sizes:
+(size, number of groups), and a run of equal sizes is dealt in rounds in which every shard that takes part gets one group.
+``deal`` writes each run as stretches of ranks (first rank, number, shards in turn); a group finds its shard by its rank
+among the groups of its size.  All but the ranking is as large as the histogram: with d different sizes the data hold at
+least d^2 / 2 bytes, so there are at most 1.5e7 sizes in 100 TB, and some 1e5 in practice.
 
 The law is ``bytes``: a row's size is its text's UTF-8 bytes plus 16.  Slots number a shard's rows
 from 0 without gaps, in the order of reading: each input partition numbers its own rows of a shard, after
 those of the partitions before it.
 
 Defined results: null text counts as empty (size 16) and forms one group with empty texts; a null id
-passes through; repeated rows stay together and get slots of their own; ties in size go by the group's hash, ties in load to
-the lower shard; an empty table gives an empty one; other columns are not read.
+passes through; repeated rows stay together and get slots of their own; a group above a shard's share makes that shard larger; an empty
+table gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -27,18 +27,58 @@ from pyspark.sql import functions as F
 from wattle.llm.common import materialize, text_or_empty
 from wattle.llm.registry import register, table
 
-#: Bounds of what the heap schedules.
-GRAIN, BUNDLES = 64, 8192
+#: Groups of one size are ranked in pieces by so many leading hexadecimal digits of their hash.
+RANK_DIGITS = 3
+#: Histogram rows held on the driver at once while dealing.
+HISTOGRAM_ROWS = 100_000
+
+
+class Loads:
+    """Loads of the shards while groups are dealt by falling size."""
+
+    def __init__(self, shards: int):
+        self.loads = [0] * shards
+
+    def deal(self, size: int, number: int) -> Iterator[tuple[int, int, list[int]]]:
+        """(first rank, number, shards in turn): where ``number`` groups of ``size`` go, as the heap would send them one by one.
+
+        A shard that is served ends above all that are less than ``size`` over the least one, so those are served once each,
+        by load, and then again in the same order, until the next shard comes within reach.
+        """
+        first = 0
+        while first < number:
+            order = sorted(range(len(self.loads)), key=lambda k: (self.loads[k], k))
+            least = self.loads[order[0]]
+            within = [k for k in order if self.loads[k] < least + size]
+            rounds = (number - first) // len(within)
+            if len(within) < len(order):
+                # rounds that start before the next shard is within reach of the least one
+                rounds = min(rounds, (self.loads[order[len(within)]] - least) // size)
+            if rounds:
+                taken = rounds * len(within)
+                for k in within:
+                    self.loads[k] += rounds * size
+            else:
+                # one more, or the rest of a round
+                within = within[:number - first]
+                taken = len(within)
+                for k in within:
+                    self.loads[k] += size
+            yield first, taken, within
+            first += taken
 
 
 def lpt(items: Iterable[tuple[str, int]], shards: int) -> dict[str, int]:
-    """name -> shard: items by falling size (ties by name) to the least-loaded shard (ties to the lowest)."""
-    heap = [(0, s) for s in range(shards)]
-    out = {}
-    for name, size in sorted(items, key=lambda x: (-x[1], x[0])):
-        load, shard = heap[0]
-        heapq.heapreplace(heap, (load + size, shard))
-        out[name] = shard
+    """name -> shard of items by falling size, ties by name; the scheduler for a list that fits in memory."""
+    loads, out = Loads(shards), {}
+    by_size: dict[int, list[str]] = {}
+    for name, size in items:
+        by_size.setdefault(size, []).append(name)
+    for size in sorted(by_size, reverse=True):
+        names = sorted(by_size[size])
+        for first, taken, turn in loads.deal(size, len(names)):
+            for i in range(taken):
+                out[names[first + i]] = turn[i % len(turn)]
     return out
 
 
@@ -49,23 +89,48 @@ def measure(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
                                  F.crc32(text.cast("binary")).alias("crc"), F.sha2(text, 256).alias("group")), "shard-rows")
 
 
+def ranked(rows: DataFrame) -> DataFrame:
+    """(group, bytes, rank): every group with its rank by hash among those of its size, from 0.
+
+    Pieces by the hash's first digits are ranked each on its own and their sizes summed, so no window holds all groups of a frequent size.
+    """
+    groups = rows.groupBy("group").agg(F.sum("size").alias("bytes")).withColumn("piece", F.substring("group", 1, RANK_DIGITS))
+    groups = materialize(groups, "shard-groups")
+    before = Window.partitionBy("bytes").orderBy("piece").rowsBetween(Window.unboundedPreceding, -1)
+    starts = groups.groupBy("bytes", "piece").agg(F.count("*").alias("n")).select("bytes", "piece", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
+    local = F.row_number().over(Window.partitionBy("bytes", "piece").orderBy("group")) - 1
+    return groups.withColumn("local", local).join(starts, ["bytes", "piece"]).select("group", "bytes", (F.col("start") + F.col("local")).alias("rank"))
+
+
+def plan(groups: DataFrame, shards: int) -> DataFrame:
+    """(bytes, first, taken, turn): the stretches of ``Loads.deal`` for each size, a written table.
+
+    The driver walks the histogram by falling size, one partition at a time, and writes the stretches in pieces.
+    """
+    spark = groups.sparkSession
+    histogram = groups.groupBy("bytes").agg(F.count("*").alias("n"))
+    loads, held, out = Loads(shards), [], None
+    schema = "bytes bigint, first bigint, taken bigint, turn array<int>"
+
+    def write(rows):
+        return materialize(spark.createDataFrame(rows, schema), "shard-plan", 1)
+
+    for row in histogram.orderBy(F.desc("bytes")).toLocalIterator():
+        held += [(row["bytes"], first, taken, turn) for first, taken, turn in loads.deal(row["bytes"], row["n"])]
+        if len(held) >= HISTOGRAM_ROWS:
+            out, held = write(held) if out is None else out.unionAll(write(held)), []
+    last = write(held)
+    return last if out is None else out.unionAll(last)
+
+
 def assign(rows: DataFrame, shards: int) -> DataFrame:
     """``rows`` with shard, by scheduling their groups."""
-    spark = rows.sparkSession
-    groups = materialize(rows.groupBy("group").agg(F.sum("size").alias("bytes")), "shard-groups")
-    total = groups.agg(F.sum("bytes")).first()[0] or 0
-    large = F.col("bytes") * (GRAIN * shards) > F.lit(total)
-    bundle = F.concat(F.lit("bundle-"), F.pmod(F.xxhash64("group"), F.lit(BUNDLES)).cast("string"))
-    items = groups.select(F.when(large, F.col("group")).otherwise(bundle).alias("item"), "bytes").groupBy("item").agg(F.sum("bytes").alias("bytes"))
-    # at most GRAIN * shards large groups and BUNDLES bundles
-    plan = lpt(((r["item"], int(r["bytes"])) for r in items.collect()), shards)
-    plan = materialize(spark.createDataFrame(sorted(plan.items()), "item string, shard int"), "shard-plan")
-    heavy = plan.filter(~F.col("item").startswith("bundle-"))
-    light = plan.filter(F.col("item").startswith("bundle-"))
-    # a row's group is either scheduled itself or through its bundle
-    found = rows.join(heavy.select(F.col("item").alias("group"), F.col("shard").alias("own")), "group", "left").withColumn("item", bundle)
-    found = found.join(light.select("item", F.col("shard").alias("shared")), "item", "left")
-    return found.withColumn("shard", F.coalesce("own", "shared")).drop("item", "own", "shared")
+    groups = materialize(ranked(rows), "shard-ranks")
+    stretches = plan(groups, shards)
+    within = (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("first") + F.col("taken"))
+    turn = F.get("turn", ((F.col("rank") - F.col("first")) % F.size("turn")).cast("int"))
+    placed = materialize(groups.join(stretches, "bytes").filter(within).select("group", turn.alias("shard")), "shard-placed")
+    return rows.join(placed, "group")
 
 
 def number(rows: DataFrame) -> DataFrame:

@@ -1,11 +1,15 @@
 """Document fingerprints: a homomorphic multiset hash of paragraphs.
 
 A paragraph is a line, or a sentence of one (what ends in line feeds or in ``. ! ?``), without the white space around
-it.  Its hash gives a vector of LANES entries, +1 or -1; a document's fingerprint is the sum of its
-paragraphs' vectors modulo 2^16 in every lane.  So the order of paragraphs does not matter, a paragraph
-is inserted or deleted by adding or subtracting its vector, and equal texts have equal fingerprints.
-The squared length of the difference of two fingerprints estimates the squared difference of the two multisets,
-which gives their likeness, 1 - |a - b|^2 / (|a|^2 + |b|^2), cut to 0..1 (a standard error of about sqrt(2 / LANES)).
+it.  A document's fingerprint sums over its paragraphs, whose order so does not matter, and has two parts:
+
+* WIDE lanes of 64 bits of the paragraph's hash, modulo 2^64: equal for equal multisets, and else different but for a chance
+  of 2^-256, however often a paragraph stands there;
+* a sketch of LANES counters, each the sum of +1 or -1 by a bit of the hash.  Counters don't wrap (they hold 32 bits, and a text has fewer
+  paragraphs).  The squared length of the difference of two sketches estimates the squared difference of the multisets,
+  which gives their likeness, 1 - |a - b|^2 / (|a|^2 + |b|^2), cut to 0..1 (a standard error of about sqrt(2 / LANES)).
+
+A paragraph is inserted or deleted by adding or subtracting its hash; equal texts have equal fingerprints.
 
 Neighbours (the next document by ascending id) need no global sort in one place: approximate quantiles of
 the ids, which are ids that occur, bound ranges; each range is sorted in a task of its own and also gets the first
@@ -32,13 +36,13 @@ from pyspark.sql import functions as F
 from wattle.llm.common import bound_batches, tidy
 from wattle.llm.registry import register, table
 
-LANES = 256
+LANES, WIDE = 256, 4
 #: Up to and with the delimiters; the matches of a text cover it whole.
 _PARAGRAPH = re.compile(r"[^\n.!?]*(?:[\n.!?]+|$)")
 
 
 def paragraph_hash(paragraph: str) -> bytes:
-    return hashlib.blake2b(paragraph.encode(), digest_size=LANES // 8).digest()
+    return hashlib.blake2b(paragraph.encode(), digest_size=LANES // 8 + 8 * WIDE).digest()
 
 
 def hashes(parts: list[str]) -> list[bytes]:
@@ -46,15 +50,17 @@ def hashes(parts: list[str]) -> list[bytes]:
 
 
 def sums(groups: list[list[bytes]]) -> np.ndarray:
-    """The sum of each group's vectors, lanes as int16 (modulo 2^16)."""
+    """The sum of each group's hashes: WIDE lanes modulo 2^64, then the sketch, as int64."""
     counts = np.fromiter(map(len, groups), np.int64, len(groups))
-    out = np.zeros((len(groups), LANES), np.int64)
+    out = np.zeros((len(groups), WIDE + LANES), np.int64)
     some = np.flatnonzero(counts)
     if len(some):
-        bits = np.unpackbits(np.frombuffer(b"".join(h for g in groups for h in g), np.uint8).reshape(-1, LANES // 8), axis=1)
+        raw = np.frombuffer(b"".join(h for g in groups for h in g), np.uint8).reshape(-1, 8 * WIDE + LANES // 8)
         starts = (np.cumsum(counts) - counts)[some]
-        out[some] = 2 * np.add.reduceat(bits, starts, axis=0, dtype=np.int64) - counts[some, None]
-    return out.astype(np.int16)
+        out[some, :WIDE] = np.add.reduceat(np.ascontiguousarray(raw[:, :8 * WIDE]).view("<i8"), starts, axis=0)
+        bits = np.unpackbits(raw[:, 8 * WIDE:], axis=1)
+        out[some, WIDE:] = 2 * np.add.reduceat(bits, starts, axis=0, dtype=np.int64) - counts[some, None]
+    return out
 
 
 def fingerprint(text: str | None) -> np.ndarray:
@@ -62,7 +68,7 @@ def fingerprint(text: str | None) -> np.ndarray:
 
 
 def insert(vector: np.ndarray, paragraph: str) -> np.ndarray:
-    """Fingerprint after a paragraph is added; integers wrap, as the lanes are modulo 2^16."""
+    """Fingerprint after a paragraph is added; the wide lanes wrap, as they are modulo 2^64."""
     return vector + sums([hashes([paragraph])])[0]
 
 
@@ -71,18 +77,20 @@ def delete(vector: np.ndarray, paragraph: str) -> np.ndarray:
 
 
 def likeness(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """Likeness of fingerprints, row by row."""
-    square = lambda v: (v.astype(np.float64) ** 2).sum(axis=-1)
+    """Likeness of fingerprints, row by row, by their sketches."""
+    a, b = a[..., WIDE:].astype(np.float64), b[..., WIDE:].astype(np.float64)
+    square = lambda v: (v ** 2).sum(axis=-1)
     total, apart = square(a) + square(b), square(a - b)
     return np.clip(1 - np.divide(apart, total, out=np.zeros_like(apart), where=total > 0), 0, 1)
 
 
 def as_text(vector: np.ndarray) -> str:
-    return base64.b64encode(vector.astype("<i2").tobytes()).decode()
+    return base64.b64encode(vector[:WIDE].astype("<i8").tobytes() + vector[WIDE:].astype("<i4").tobytes()).decode()
 
 
 def from_text(text: str) -> np.ndarray:
-    return np.frombuffer(base64.b64decode(text), "<i2")
+    raw = base64.b64decode(text)
+    return np.concatenate([np.frombuffer(raw, "<i8", WIDE), np.frombuffer(raw, "<i4", LANES, 8 * WIDE).astype(np.int64)])
 
 
 def edit(text: str, following: str) -> str:

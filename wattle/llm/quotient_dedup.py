@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from wattle.llm.common import SPACE, binary_values, bound_batches, key_bitmap, materialize, may_contain, tidy
+from wattle.llm.common import binary_values, bound_batches, key_bitmap, materialize, may_contain, shielded, SPACE, tidy
 from wattle.llm.registry import register, table
 
 
@@ -197,9 +197,9 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     hashed = fingerprints(df, id_col, text_col)
     repeated = materialize(repeated_fingerprints(hashed), "dedup-repeated")
     # the rows to choose from, slim; combined within tasks first, so a hot text is a row per task
-    order = F.struct("n_chars", (-F.col("id")).alias("_id"), (-F.col("rid")).alias("_rid"))
+    order = F.struct((-F.col("n_chars")).alias("short"), F.col("id").isNull().alias("no_id"), F.col("id").alias("_id"), F.col("rid").alias("_rid"))
     groups = (hashed.join(repeated.select("fp"), "fp", "left_semi")
-              .groupBy("sha").agg(F.max(order).alias("best"), F.count("*").alias("rows")))
+              .groupBy("sha").agg(F.min(order).alias("best"), F.count("*").alias("rows")))
     verified = _verified(df, text_col, repeated)
     # every class must be one text, byte for byte, in as many rows
     true_class = (F.col("texts") == 1) & (F.col("rows") == F.col("found"))
@@ -209,8 +209,8 @@ def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     groups = materialize(groups, "dedup-groups")
     both = hashed.join(groups, "sha", "left")
     keeper = F.col("best").isNotNull()
-    return both.select("id", F.when(keeper, -F.col("best._id")).otherwise(F.col("id")).alias("keep_id"), F.coalesce("rows", F.lit(1)).cast("bigint").alias("group_size"),
-                       F.when(keeper, F.col("rid") == -F.col("best._rid")).otherwise(True).alias("kept"), "sha")
+    return both.select("id", F.when(keeper, F.col("best._id")).otherwise(F.col("id")).alias("keep_id"), F.coalesce("rows", F.lit(1)).cast("bigint").alias("group_size"),
+                       F.when(keeper, F.col("rid") == F.col("best._rid")).otherwise(True).alias("kept"), "sha")
 
 
 def _verified(df: DataFrame, text_col: str, repeated: DataFrame) -> DataFrame:
@@ -236,9 +236,9 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
     Rows whose fingerprint occurs once pass straight through; only the others are grouped, by bytes.
     """
+    own = df.columns
+    df, (id_col, text_col) = shielded(df, id_col, text_col)
     names = df.columns
-    if clash := {"_maybe", "_bytes", "_row"} & {c.lower() for c in names}:
-        raise ValueError(f"columns would clash: {sorted(clash)}")
     repeated = materialize(repeated_fingerprints(fingerprints(df, id_col, text_col)), "dedup-repeated")
     bitmap = df.sparkSession.sparkContext.broadcast(key_bitmap(repeated, "fp"))
 
@@ -251,9 +251,9 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(maybe), pa.array([r[0] if k else None for r, k in zip(rows, maybe)], pa.binary())], names=schema.names)
 
     marked = bound_batches(df).mapInArrow(tidy(run), schema)
-    order = F.struct(F.coalesce(F.length(text_col), F.lit(0)), (-F.col(id_col)), F.col(text_col))
-    best = marked.filter("_maybe").groupBy("_bytes").agg(F.max_by(F.struct(*names), order).alias("_row")).select("_row.*")
-    return marked.filter("not _maybe").select(*names).unionByName(best)
+    order = F.struct(-F.coalesce(F.length(text_col), F.lit(0)), F.col(id_col).isNull(), F.col(id_col), F.col(text_col))
+    best = marked.filter("_maybe").groupBy("_bytes").agg(F.min_by(F.struct(*names), order).alias("_row")).select("_row.*")
+    return marked.filter("not _maybe").select(*names).unionByName(best).toDF(*own)
 
 
 @register("op5_quotient_dedup", r"""
