@@ -198,18 +198,39 @@ def locality_statistics(localities: DataFrame, addresses: DataFrame) -> DataFram
                       .select("locality_pid", "locality_name", F.coalesce("address_count", F.lit(0)).alias("address_count")))
 
 
+def _first_of(group: str, column: str, *order: str) -> Column:
+    """1 for one row of each (group, column) with a value, else 0; a sum over these counts distinct values."""
+    first = F.row_number().over(Window.partitionBy(group, column).orderBy(*order)) == 1
+    return F.when(first & F.col(column).isNotNull(), 1).otherwise(0)
+
+
 def suburb_summary_by_state(sp: DataFrame) -> DataFrame:
-    """AG3: per state: distinct suburbs, distinct postcodes, rows."""
-    return sp.groupBy("state_name").agg(F.count_distinct("locality_name").alias("suburb_count"),
-                                        F.count_distinct("postcode").alias("postcode_count"),
-                                        F.count(F.lit(1)).alias("row_count"))
+    """AG3: per state: distinct suburbs, distinct postcodes, rows.
+
+    Rows are counted per (state, suburb, postcode) first; of these few, one for each suburb and one for
+    each postcode is marked and the marks are summed.  (Several distinct counts at once would
+    copy every row once for each of them before the shuffle.)
+    """
+    g = sp.groupBy("state_name", "locality_name", "postcode").agg(F.count(F.lit(1)).alias("_n"))
+    g = g.select("state_name", "_n", _first_of("state_name", "locality_name", "postcode").alias("_l"), _first_of("state_name", "postcode", "locality_name").alias("_p"))
+    return g.groupBy("state_name").agg(F.sum("_l").alias("suburb_count"), F.sum("_p").alias("postcode_count"), F.sum("_n").alias("row_count"))
+
+
+def street_counts(df: DataFrame) -> DataFrame:
+    """(state_name, locality_pid, street_locality_pid, address_count): distinct addresses, from one row for each address.
+
+    The table from which counts per suburb, state or country follow without reading the addresses again.
+    """
+    one = df.select("state_name", "locality_pid", "street_locality_pid", "address_detail_pid").distinct()
+    return one.groupBy("state_name", "locality_pid", "street_locality_pid").agg(F.count("address_detail_pid").alias("address_count"))
 
 
 def state_statistics(df: DataFrame) -> DataFrame:
-    """AG6: per state: distinct streets, localities and addresses."""
-    return df.groupBy("state_name").agg(F.count_distinct("street_locality_pid").alias("street_count"),
-                                        F.count_distinct("locality_pid").alias("locality_count"),
-                                        F.count_distinct("address_detail_pid").alias("address_count"))
+    """AG6: per state: distinct streets, localities and addresses (``address_detail_pid`` is the key of the address
+    table, so an address has one street and one locality), rolled up from ``street_counts``."""
+    g = street_counts(df).select("state_name", "address_count", _first_of("state_name", "street_locality_pid", "locality_pid").alias("_s"),
+                                 _first_of("state_name", "locality_pid", "street_locality_pid").alias("_l"))
+    return g.groupBy("state_name").agg(F.sum("_s").alias("street_count"), F.sum("_l").alias("locality_count"), F.sum("address_count").alias("address_count"))
 
 
 def multi_suburb_postcodes(sp: DataFrame) -> DataFrame:
@@ -234,9 +255,9 @@ def geocode_coverage(tables: dict[str, DataFrame], coord: str = "lat") -> DataFr
 
 def coverage_by_suburb(df: DataFrame, min_addresses: int = 100) -> DataFrame:
     """AG9: per suburb: distinct addresses, geocoded ones and %, HAVING > min_addresses."""
-    g = df.groupBy("locality_name").agg(
-        F.count_distinct("address_detail_pid").alias("total"),
-        F.count_distinct(F.when(F.col("lat").isNotNull() & F.col("lon").isNotNull(), F.col("address_detail_pid"))).alias("geocoded"))
+    has_point = (F.col("lat").isNotNull() & F.col("lon").isNotNull()).cast("int")
+    one = df.filter(F.col("address_detail_pid").isNotNull()).groupBy("locality_name", "address_detail_pid").agg(F.max(has_point).alias("_g"))
+    g = one.groupBy("locality_name").agg(F.count(F.lit(1)).alias("total"), F.sum("_g").alias("geocoded"))
     return (g.filter(F.col("total") > min_addresses)
              .withColumn("pct", F.round(F.try_divide(F.col("geocoded") * F.lit(100.0), F.col("total")), 2)))
 

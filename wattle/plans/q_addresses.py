@@ -408,3 +408,26 @@ def o6_box_street_autocomplete(spark, d):
     a = A.active(star(Tables(spark, d)), "date_retired")
     inside = a.filter(F.col("lon").between(BOX[0], BOX[2]) & F.col("lat").between(BOX[1], BOX[3]))
     return A.street_autocomplete(inside, "name 3", drop_coordinate_like=False)
+
+
+STREET_PREFIX, SUBURB_START = "name 11", "nation"
+
+
+@register("o6_streets_by_prefix", sql(f"""SELECT DISTINCT street_name, st.name AS street_type FROM street_locality sl LEFT JOIN street_type_aut st ON st.code = sl.street_type_code
+WHERE upper(street_name) LIKE '{STREET_PREFIX.upper()}%' ORDER BY street_name, street_type NULLS LAST LIMIT 20""", "street_locality", "street_type_aut"))
+def o6_streets_by_prefix(spark, d):
+    """O6 from the street table alone: the prefix is a range of its saved names, so the scan skips what cannot match."""
+    from wattle.plans.q_schools import name_index
+    t = Tables(spark, d)
+    found = name_index(t, "streets", D.street_locality, "street_locality_pid", "street_name").starting(STREET_PREFIX).select(F.col("id").alias("street_locality_pid"))
+    streets = D.street_locality(t).join(found, "street_locality_pid", "left_semi").join(
+        D.street_type_aut(t).select(F.col("code").alias("street_type_code"), F.col("name").alias("street_type")), "street_type_code", "left")
+    return A.street_autocomplete(streets, STREET_PREFIX, drop_coordinate_like=False)
+
+
+@register("o6_suburbs_by_prefix", sql(f"""SELECT DISTINCT locality_name, state_name, postcode FROM suburb_postcode WHERE upper(locality_name) LIKE '{SUBURB_START.upper()}%'
+ORDER BY locality_name, state_name, postcode LIMIT 20""", "suburb_postcode"))
+def o6_suburbs_by_prefix(spark, d):
+    """O6 from the suburb table alone."""
+    sp = D.suburb_postcode(Tables(spark, d)).withColumnRenamed("state_name", "state_abbreviation")
+    return A.suburb_autocomplete(sp, SUBURB_START).withColumnRenamed("state_abbreviation", "state_name")

@@ -261,7 +261,7 @@ def _by_words(t: Tables, query: str):
 _INDEXES: dict[tuple[str, str, str], str] = {}
 
 
-def _index(t: Tables, kind: str, names, id_col: str, text_col: str) -> NameIndex:
+def name_index(t: Tables, kind: str, names, id_col: str, text_col: str) -> NameIndex:
     """An index built by the session's first query that reads it."""
     key = (t.spark.sparkContext.applicationId, t.sf_dir, kind)
     if key not in _INDEXES:
@@ -272,11 +272,11 @@ def _index(t: Tables, kind: str, names, id_col: str, text_col: str) -> NameIndex
 
 
 def profile_names(t: Tables) -> NameIndex:
-    return _index(t, "profiles", D.school_profile, "acara_sml_id", "school_name")
+    return name_index(t, "profiles", D.school_profile, "acara_sml_id", "school_name")
 
 
 def catchment_names(t: Tables) -> NameIndex:
-    return _index(t, "catchments", D.school_catchment_name, "school_id", "school_name")
+    return name_index(t, "catchments", D.school_catchment_name, "school_id", "school_name")
 
 
 PART, PREFIX = "ace12", "place9"

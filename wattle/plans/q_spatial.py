@@ -171,13 +171,11 @@ WHERE a.date_retired IS NULL GROUP BY l.locality_name""", "locality"))
 def ag17_catchment_coverage_by_suburb(spark, d):
     t = Tables(spark, d)
     a = A.active(D.address(t), "date_retired").join(D.locality(t).select("locality_pid", "locality_name"), "locality_pid")
-    j = a.select("address_detail_pid", "locality_name").join(
-        mapping(t).select("address_detail_pid", "school_type"), "address_detail_pid", "left")
-    pid = F.col("address_detail_pid")
-    return j.groupBy("locality_name").agg(
-        F.count_distinct(pid).alias("total_addresses"),
-        F.count_distinct(F.when(F.col("school_type") == "PRIMARY", pid)).alias("in_primary"),
-        F.count_distinct(F.when(F.col("school_type") == "SECONDARY", pid)).alias("in_secondary"))
+    # one row for each address with its flags, then sums
+    kinds = mapping(t).groupBy("address_detail_pid").agg(F.max((F.col("school_type") == "PRIMARY").cast("int")).alias("_p"), F.max((F.col("school_type") == "SECONDARY").cast("int")).alias("_s"))
+    one = a.select("address_detail_pid", "locality_name").distinct().join(kinds, "address_detail_pid", "left")
+    return one.groupBy("locality_name").agg(F.count(F.lit(1)).alias("total_addresses"), F.coalesce(F.sum("_p"), F.lit(0)).alias("in_primary"),
+                                            F.coalesce(F.sum("_s"), F.lit(0)).alias("in_secondary"))
 
 
 @register("j18_primary_secondary", _psql("""SELECT a.address_detail_pid, p.school_id AS primary_school_id, s.school_id AS secondary_school_id
@@ -501,6 +499,23 @@ def o3_radius_page_faithful(spark, d):
     return p.select("acara_sml_id", "address_detail_pid", "distance_km", "rank")
 
 
+_O3G_CTES, _O3G_LAST = vincenty_sql("pairs", "slat", "slon", "alat", "alon")
+
+
+@register("o3_radius_page_geodesic", sql(f"""SELECT acara_sml_id, address_detail_pid, distance_km, rank, row_number() OVER (PARTITION BY acara_sml_id ORDER BY distance_km, address_detail_pid) AS position
+FROM (SELECT *, row_number() OVER (PARTITION BY acara_sml_id ORDER BY d2, address_detail_pid) AS rank FROM (
+ SELECT acara_sml_id, address_detail_pid, d2, round(vd / 1000e0, 2) AS distance_km FROM {_O3G_LAST}) z WHERE distance_km <= {PAGE_KM}) x WHERE rank <= {PAGE_SIZE}""",
+                                          "school_profile", "address", extra={"pairs": f"""SELECT s.acara_sml_id, a.address_detail_pid, s.latitude AS slat, s.longitude AS slon, a.lat AS alat, a.lon AS alon,
+ (a.lon - s.longitude) * (a.lon - s.longitude) + (a.lat - s.latitude) * (a.lat - s.latitude) AS d2 FROM school_profile s JOIN address a ON a.date_retired IS NULL AND s.latitude IS NOT NULL
+ AND a.lat BETWEEN s.latitude - 0.05 AND s.latitude + 0.05 AND a.lon BETWEEN s.longitude - 0.05 AND s.longitude + 0.05
+ WHERE (a.lon - s.longitude) * (a.lon - s.longitude) + (a.lat - s.latitude) * (a.lat - s.latitude) <= {DISC_DEG}e0 * {DISC_DEG}e0""", **_O3G_CTES}))
+def o3_radius_page_geodesic(spark, d):
+    """O3 as the reference measures it: kilometres on the spheroid, the page's rows in order of distance (``position``)."""
+    schools, addrs = _schools_and_addresses(Tables(spark, d))
+    p = S.radius_page(schools, addrs, "acara_sml_id", "address_detail_pid", PAGE_KM, DISC_DEG, 1, PAGE_SIZE)
+    return p.select("acara_sml_id", "address_detail_pid", "distance_km", "rank", "position")
+
+
 @register("ag26_disc_totals", sql(f"""SELECT acara_sml_id, count(*) AS disc_count, count(CASE WHEN distance_km <= {PAGE_KM} THEN 1 END) AS within_km_count
 FROM disc GROUP BY acara_sml_id""", "school_profile", "address", extra={"disc": _DISC_SQL}))
 def ag26_disc_totals(spark, d):
@@ -567,6 +582,27 @@ def j23_route_corridor(spark, d):
     return near.select("address_detail_pid", F.round("distance_m", 3).alias("distance_m"))
 
 
+def _geodesic_seg_sql(px: str, py: str) -> str:
+    """Distance in metres to a segment in the plane of the spheroid's radii of curvature at the point."""
+    e2 = _num(G.WGS84_F * (2 - G.WGS84_F))
+    w = f"(1e0 - {e2} * pow(sin(radians({py})), 2))"
+    planar = _seg_sql(px, py)
+    sphere_x, sphere_y = f"(pi() / 180 * 6371000e0) * cos(radians({py}))", "(pi() / 180 * 6371000e0)"
+    return planar.replace(sphere_x, f"(pi() / 180 * {_num(G.WGS84_A)} * cos(radians({py})) / sqrt{w})").replace(
+        sphere_y, f"(pi() / 180 * {_num(G.WGS84_A)} * (1e0 - {e2}) / ({w} * sqrt{w}))")
+
+
+@register("j23_route_corridor_geodesic", sql(f"""SELECT address_detail_pid, round(min({_geodesic_seg_sql('a.lon', 'a.lat')}), 3) AS distance_m
+FROM address a, route_edges e WHERE a.date_retired IS NULL GROUP BY address_detail_pid HAVING min({_geodesic_seg_sql('a.lon', 'a.lat')}) <= 2000""",
+                                             "address", extra={"route_edges": _ROUTE_EDGES}))
+def j23_route_corridor_geodesic(spark, d):
+    """J23 on the spheroid: active addresses within 2 km of the route."""
+    t = Tables(spark, d)
+    route = spark.createDataFrame([(1, [{"x": x, "y": y} for x, y in ROUTE])], "route_id int, path array<struct<x:double,y:double>>")
+    near = S.near_polyline(D.address_active(t).select("address_detail_pid", "lon", "lat"), route, "route_id", 2000.0, point_id="address_detail_pid", spheroid=True)
+    return near.select("address_detail_pid", F.round("distance_m", 3).alias("distance_m"))
+
+
 # ----------------------------------------------------------------------------- catchment page text, stats
 @register("a5_catchment_page_address", _psql("""SELECT m.address_detail_pid, m.school_id,
  coalesce(cast(a.flat_number AS varchar) || '', '') || coalesce(cast(a.number_first AS varchar) || '', '') || coalesce('-' || NULL || '', '')
