@@ -85,3 +85,19 @@ def test_empty(spark, tmp_path):
     folder = str(tmp_path / "a")
     jobs.refresh(*sources(spark, [], []), folder)
     assert all(not rows for name, rows in tables(spark, folder).items() if name != jobs.SUMMARY)
+
+
+def test_merge_rewrites_touched_buckets_only(spark, tmp_path):
+    from wattle.operators import quality as Q
+    folder, schema = str(tmp_path / "m"), "k bigint, v string"
+    Q.store(spark.createDataFrame([(i, f"v{i}") for i in range(500)], schema), folder, "t", "k")
+    was = files(folder)
+    new = spark.createDataFrame([(3, "x", 1), (3, "y", 2), (900, "z", 1)], "k bigint, v string, line int")
+    assert Q.merge(new, folder, "t", schema, "k", ["line"]) == 2
+    got = {r.k: r.v for r in Q.stored(spark, folder, "t", schema).collect()}
+    assert len(got) == 501 and (got[3], got[900], got[4]) == ("y", "z", "v4")
+    held = snapshots.parts(spark, folder, "t", 2)
+    assert was <= files(folder) and sum(v == 2 for v in held.values()) <= 2 and sum(v == 1 for v in held.values()) > 40
+    assert Q.merge(new, folder, "t", schema, "k", ["line"], keep_existing=True) == 3
+    assert {r.k: r.v for r in Q.stored(spark, folder, "t", schema).collect()} == got
+    assert {r.k: r.v for r in Q.stored(spark, folder, "t", schema, 1).collect()}[3] == "v3"

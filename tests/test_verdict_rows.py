@@ -107,7 +107,17 @@ def test_points_on_grid_lines_are_dropped(spark):
 
 def test_late_call_leaves_the_current_month_alone():
     class State:
-        exists, value = False, None
+        exists, value, hasTimedOut, watermark, timer = False, None, False, 0, None
+
+        def getCurrentWatermarkMs(self):
+            return self.watermark
+
+        def setTimeoutTimestamp(self, at):
+            assert at > self.watermark
+            self.timer = at
+
+        def remove(self):
+            self.exists, self.value = False, None
 
         @property
         def get(self):
@@ -127,3 +137,16 @@ def test_late_call_leaves_the_current_month_alone():
             got += list(zip(out["usage_id"], out["allowed"]))
     assert dict(got)[0] and dict(got)[10]
     assert sum(dict(got)[k] for k in (20, 21, 22)) == 1  # one of March's two was used up before
+    # months that the watermark has passed are forgotten: March stays, and goes by its timer
+    assert set(state.value[0]) == {"2024-02-01", "2024-03-01"}
+    state.watermark = pd.Timestamp("2024-03-20").value // 1_000_000
+    list(U._quota_fold((5,), iter([calls(30, "2024-03", 1)]), state))
+    assert list(state.value[0]) == ["2024-03-01"] and state.timer == pd.Timestamp("2024-04-01").value // 1_000_000
+    state.watermark, state.hasTimedOut = state.timer + 1, True
+    assert list(U._quota_fold((5,), iter([]), state)) == [] and not state.exists
+
+
+def test_a_users_calls_are_not_held_whole():
+    batches = (pd.DataFrame({"usage_id": [k], "request_timestamp": [pd.Timestamp("2024-03-10") + pd.Timedelta(seconds=(k * 37) % 101)], "month": [pd.Timestamp("2024-03-01").date()], "lim": [5]}) for k in range(101))
+    out = pd.concat(U._decide(7, batches, {}))
+    assert len(out) == 101 and sorted(out[out.allowed].usage_id) == sorted(sorted(range(101), key=lambda k: (k * 37) % 101)[:5])

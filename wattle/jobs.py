@@ -92,7 +92,7 @@ def build(addresses: DataFrame, streets: DataFrame, street_types: DataFrame, loc
 
     def put(df: DataFrame, table: str) -> DataFrame:
         held[table] = dict.fromkeys(snapshots.write(df, folder, table, version), version)
-        return spark.read.schema(f"{SCHEMAS[table]}, part string").parquet(f"{folder}/{table}/v={version}")
+        return spark.read.schema(f"{SCHEMAS[table]}, part string").parquet(f"{folder}/{table}/snapshot={version}")
 
     a = put(_placed(addresses), ADDRESSES)
     p = put(polygons.select("school_id", "school_type", "rings").withColumn("part", _bucket()), POLYGONS)
@@ -174,10 +174,10 @@ def refresh(addresses: DataFrame, streets: DataFrame, street_types: DataFrame, l
 
 def _listed(spark: SparkSession, folder: str, table: str, held: dict[str, dict[str, int]]) -> DataFrame:
     """A table of the version that is being made."""
-    paths = [f"{folder}/{table}/v={made}/part={part}" for part, made in held[table].items()]
+    paths = [f"{folder}/{table}/snapshot={made}/part={part}" for part, made in held[table].items()]
     if not paths:
         return spark.createDataFrame([], SCHEMAS[table])
-    return spark.read.option("basePath", f"{folder}/{table}").schema(f"{SCHEMAS[table]}, v bigint, part string").parquet(*paths).drop("v", "part")
+    return spark.read.option("basePath", f"{folder}/{table}").schema(f"{SCHEMAS[table]}, snapshot bigint, part string").parquet(*paths).drop("snapshot", "part")
 
 
 def catchment_streets(mapping: DataFrame, addresses: DataFrame, streets: DataFrame, street_types: DataFrame, localities: DataFrame) -> DataFrame:

@@ -10,6 +10,9 @@ from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+
+from wattle.sources import snapshots
+from wattle.sources.scratch import written
 from pyspark.sql.types import StructType
 
 
@@ -97,6 +100,51 @@ def upsert_keep_last(existing: DataFrame, new: DataFrame, key: str, order: list[
     return existing.join(last.select(key), key, "left_anti").unionByName(last)
 
 
+#: Buckets of a stored table that is merged into by key.
+MERGE_BUCKETS = 64
+
+
+def _bucketed(df: DataFrame, key: str) -> DataFrame:
+    return df.withColumn("part", F.pmod(F.hash(F.col(key)), F.lit(MERGE_BUCKETS)).cast("string"))
+
+
+def store(df: DataFrame, folder: str, table: str, key: str) -> int:
+    """Write ``df`` as the stored table's next version, in buckets of its key."""
+    spark = df.sparkSession
+    version = snapshots.current(spark, folder) + 1
+    snapshots.commit(spark, folder, version, {table: dict.fromkeys(snapshots.write(_bucketed(df, key), folder, table, version), version)})
+    return version
+
+
+def stored(spark, folder: str, table: str, schema: str, version: int | None = None) -> DataFrame:
+    return snapshots.read(spark, folder, table, schema, version).drop("part")
+
+
+def merge(new: DataFrame, folder: str, table: str, schema: str, key: str, order: list[str], keep_existing: bool = False) -> int:
+    """M3/S11 on a stored table: upsert ``new`` by ``key``, the last row by ``order`` winning, or with
+    ``keep_existing`` insert only keys that the table lacks, the first row winning; returns the version shown.
+
+    Only the buckets that hold a key of ``new`` are read and written again; the others are listed again as they are.  Readers see
+    the old version until the new one is whole.
+    """
+    spark = new.sparkSession
+    old = snapshots.current(spark, folder)
+    held = snapshots.parts(spark, folder, table, old)
+    new = written(_bucketed(new, key), "merge-rows")
+    touched = [r["part"] for r in new.select("part").distinct().collect()]  # MERGE_BUCKETS at most
+    if not touched:
+        return old
+    existing = snapshots.read(spark, folder, table, schema, old, touched)
+    columns = existing.columns
+    if keep_existing:
+        rows = existing.unionByName(insert_if_absent(existing, new, [key], order).select(*columns))
+    else:
+        rows = upsert_keep_last(existing, new, key, order)
+    made = snapshots.write(rows.select(*columns), folder, table, old + 1)
+    snapshots.commit(spark, folder, old + 1, {table: {k: v for k, v in held.items() if k not in touched} | dict.fromkeys(made, old + 1)})
+    return old + 1
+
+
 def _one_per_key(df: DataFrame, keys: list[str], order: list[str], pick) -> DataFrame:
     """One row of each key, picked by an ordinary aggregate (combined map-side)."""
     row = F.struct(*df.columns)

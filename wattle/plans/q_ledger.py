@@ -258,3 +258,35 @@ _MONTH_BODY = _MONTH_SQL[_MONTH_SQL.rindex("SELECT month, "):]
 def e1_month_sheet(spark, d):
     """LG3 and LG7 on the cleaned sheet."""
     return R.month_sheet(L.fiscal_window(R.clean_ledger(D.raw_ledger(Tables(spark, d))), FY_START, FY_END))
+
+
+# A book with a partner column and, for every eighth engagement, a second row.
+_BOOK_WITH_PARTNERS = r"""SELECT engagement_id, nui_etd, engagement_manager, CASE WHEN n % 3 <> 0 THEN 'Book partner ' || cast(n % 7 AS varchar) END AS engagement_partner_bob FROM
+ (SELECT *, cast(substr(engagement_id, 3) AS bigint) AS n FROM pbob) b
+UNION ALL SELECT engagement_id, nui_etd + 1, 'Second', 'Book partner X' FROM (SELECT *, cast(substr(engagement_id, 3) AS bigint) AS n FROM pbob) b WHERE n % 8 = 0"""
+
+
+@register("j4_book_partners", sql(f"""SELECT e.engagement_id, e.engagement_name, e.ansr, b.engagement_partner_bob AS engagement_partner, b.engagement_manager, {_r('b.nui_etd')} AS nui_etd
+FROM eng e LEFT JOIN book b ON b.engagement_id = e.engagement_id""", "wip", "bob", extra={
+    "pbob": _PREP_BOB, "book": _BOOK_WITH_PARTNERS, "eng": _ENG_SQL.format(src=f"(SELECT * FROM wip WHERE {_FY})")}))
+def j4_book_partners(spark, d):
+    """J2 + J4: without a partner table the book's partner column makes the summary's; a second book row repeats the engagement."""
+    t = Tables(spark, d)
+    b = L.prepare_book(D.bob(t))
+    n = F.substring("engagement_id", 3, 20).cast("bigint")
+    named = b.withColumn("engagement_partner_bob", F.when(n % 3 != 0, F.concat(F.lit("Book partner "), (n % 7).cast("string"))))
+    second = b.filter(n % 8 == 0).withColumn("nui_etd", (F.col("nui_etd") + 1).cast(b.schema["nui_etd"].dataType)).withColumn("engagement_manager", F.lit("Second")).withColumn("engagement_partner_bob", F.lit("Book partner X"))
+    out = L.engagement_summary(_fy(t), book=named.unionByName(second))
+    return out.select("engagement_id", "engagement_name", "ansr", "engagement_partner", "engagement_manager", "nui_etd")
+
+
+@register("j4_partner_fill", sql("""SELECT e.engagement_id, e.engagement_name, e.engagement_manager, coalesce(e.engagement_partner, b.p) AS engagement_partner
+FROM enriched e LEFT JOIN (SELECT engagement_id, CASE WHEN cast(substr(engagement_id, 3) AS bigint) % 3 <> 0 THEN 'Book partner' END AS p FROM pbob2) b ON b.engagement_id = e.engagement_id""", "bob", extra={
+    "pbob2": _PREP_BOB, "enriched": _enriched_sql()}))
+def j4_partner_fill(spark, d):
+    """Partners that the billings and the swapped names leave blank come from the book."""
+    t = Tables(spark, d)
+    b = L.prepare_book(D.bob(t))
+    n = F.substring("engagement_id", 3, 20).cast("bigint")
+    out = L.engagement_summary(_fy(t), partners=L.partner_per_engagement(_pivot(t)), book=b.withColumn("engagement_partner_bob", F.when(n % 3 != 0, F.lit("Book partner"))))
+    return out.select("engagement_id", "engagement_name", "engagement_manager", "engagement_partner")

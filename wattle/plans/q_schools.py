@@ -396,3 +396,57 @@ def f9_schools_by_remoteness(spark, d):
     t = Tables(spark, d)
     area = D.school_location(t).filter(F.col("abs_remoteness_area_name") == "Inner Regional Australia").select("acara_sml_id", "abs_remoteness_area_name")
     return D.school_profile(t).select("acara_sml_id", "school_name").join(area, "acara_sml_id").orderBy("school_name")
+
+
+# ----------------------------------------------------------------------------- J12, J13: names that need repair or a patch
+_MORE_NAMES = """SELECT * FROM school_catchment_name UNION ALL SELECT s_suppkey + 1000000, 'Ridge' || cast(s_suppkey AS varchar) || ' Hts PS' FROM supplier WHERE s_suppkey % 7 = 5
+UNION ALL SELECT s_suppkey + 2000000, 'Ridge' || cast(s_suppkey AS varchar) || ' Hts PS North' FROM supplier WHERE s_suppkey % 14 = 5
+UNION ALL SELECT s_suppkey + 3000000, 'Ridge' || cast(s_suppkey AS varchar) || ' Hts HS' FROM supplier WHERE s_suppkey % 7 = 5"""
+_MORE_PROFILES = """SELECT acara_sml_id, school_name, state, school_sector, school_type FROM school_profile
+UNION ALL SELECT 80000 + s_suppkey, 'Ridge' || cast(s_suppkey AS varchar) || ' Heights Public School', 'NSW', 'Government', CASE WHEN s_suppkey % 3 = 0 THEN 'Secondary' ELSE 'Primary' END FROM supplier WHERE s_suppkey % 7 = 5
+UNION ALL SELECT 41350, 'Cherrybrook High School', 'NSW', 'Government', 'Secondary'"""
+
+
+def _more_names(t: Tables):
+    s = t.supplier.select(F.col("s_suppkey").alias("k")).filter(F.col("k") % 7 == 5)
+    ridge = lambda df, add, tail: df.select((F.col("k") + add).alias("school_id"), F.concat(F.lit("Ridge"), F.col("k").cast("string"), F.lit(tail)).alias("school_name"))
+    return (D.school_catchment_name(t).unionByName(ridge(s, 1_000_000, " Hts PS")).unionByName(ridge(s.filter(F.col("k") % 14 == 5), 2_000_000, " Hts PS North"))
+            .unionByName(ridge(s, 3_000_000, " Hts HS")))
+
+
+def _more_profiles(t: Tables):
+    s = t.supplier.select(F.col("s_suppkey").alias("k")).filter(F.col("k") % 7 == 5)
+    ridge = s.select((F.lit(80000) + F.col("k")).alias("acara_sml_id"), F.concat(F.lit("Ridge"), F.col("k").cast("string"), F.lit(" Heights Public School")).alias("school_name"),
+                     F.lit("NSW").alias("state"), F.lit("Government").alias("school_sector"), F.when(F.col("k") % 3 == 0, "Secondary").otherwise("Primary").alias("school_type"))
+    patched = t.spark.createDataFrame([(41350, "Cherrybrook High School", "NSW", "Government", "Secondary")], "acara_sml_id long, school_name string, state string, school_sector string, school_type string")
+    return D.school_profile(t).select("acara_sml_id", "school_name", "state", "school_sector", "school_type").unionByName(ridge).unionByName(patched)
+
+
+@register("j12_repaired_lookup", sql("""SELECT p.acara_sml_id, CASE WHEN p.acara_sml_id = 41350 THEN 'Cherrybrook Technology High School' ELSE p.school_name END AS school_name,
+ CASE WHEN p.acara_sml_id = 41350 THEN 8592 ELSE coalesce(h.school_id, k.school_id) END AS school_id,
+ CASE WHEN p.acara_sml_id = 41350 THEN 'Cherrybrook THS' ELSE coalesce(h.school_name, k.school_name) END AS catchment_school_name
+FROM profiles p LEFT JOIN (SELECT school_id, school_name, replace(replace(school_name, ' PS', ' Public School'), ' GHS', ' Girls High School') AS long_name FROM names WHERE school_name LIKE '% PS' OR school_name LIKE '% GHS'
+  UNION ALL SELECT school_id, school_name, replace(school_name, ' HS', ' High School') FROM names WHERE school_name LIKE '% HS') k ON k.long_name = p.school_name
+LEFT JOIN (SELECT split_part(school_name, ' ', 1) AS word, min(school_id) AS school_id, arg_min(school_name, school_id) AS school_name FROM names
+  WHERE split_part(school_name, ' ', 2) = 'Hts' AND split_part(school_name, ' ', 3) = 'PS' GROUP BY 1) h
+ ON h.word = split_part(p.school_name, ' ', 1) AND split_part(p.school_name, ' ', 2) = 'Heights' AND p.school_type = 'Primary'
+WHERE p.state = 'NSW' AND p.school_sector = 'Government'""", "school_catchment_name", "school_profile", extra={"names": _MORE_NAMES, "profiles": _MORE_PROFILES}))
+def j12_repaired_lookup(spark, d):
+    """J12 + J13: the lookup with '<X> Heights' primaries matched to '<X> Hts PS' (the smallest id of several) and the one patched school."""
+    t = Tables(spark, d)
+    out = SC.build_lookup(_more_names(t), _more_profiles(t), patches=SC.lookup_patches(spark))
+    return out.select("acara_sml_id", "school_name", "school_id", "catchment_school_name")
+
+
+@register("m3_merged_profiles", sql("""SELECT acara_sml_id, school_name, CASE WHEN acara_sml_id % 5 = 0 THEN total_enrolments + 2 ELSE total_enrolments END AS total_enrolments
+FROM school_profile WHERE acara_sml_id % 9 <> 0 OR acara_sml_id % 5 = 0""", "school_profile"))
+def m3_merged_profiles(spark, d):
+    """A stored table with an upsert merged into it bucket by bucket; of a key's rows in the load the last line wins."""
+    from wattle.operators import quality as Q
+    p = D.school_profile(Tables(spark, d)).select("acara_sml_id", "school_name", "total_enrolments")
+    key, folder = F.col("acara_sml_id"), scratch_path(spark, f"merged-{uuid.uuid4().hex}")
+    Q.store(p.filter(key % 9 != 0), folder, "profiles", "acara_sml_id")
+    line = lambda k: p.filter(key % 5 == 0).withColumn("total_enrolments", F.col("total_enrolments") + k).withColumn("line", F.lit(k))
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in p.schema)
+    Q.merge(line(1).unionByName(line(2)), folder, "profiles", schema, "acara_sml_id", ["line"])
+    return Q.stored(spark, folder, "profiles", schema)

@@ -1,6 +1,6 @@
 """Versioned tables in parts: written beside what readers see, shown by one small file, changed part by part.
 
-A folder holds ``<table>/v=<version>/part=<part>/`` and ``manifest/``, an append-only table with a row for each part of each
+A folder holds ``<table>/snapshot=<version>/part=<part>/`` and ``manifest/``, an append-only table with a row for each part of each
 version: (version, table, part, made), where ``made`` is the version whose folder holds the part.  A version exists once its
 rows are in the manifest, which one task writes as one file; until then readers see the version before, and after
 that the new one, never a mixture.  Parts that did not change are listed again and not written again.
@@ -44,17 +44,17 @@ def read(spark: SparkSession, folder: str, table: str, schema: str, version: int
     """A table of a version (the newest if none is given), with its ``part`` column; ``only`` reads those parts alone."""
     version = current(spark, folder) if version is None else version
     held = parts(spark, folder, table, version)
-    paths = [f"{folder}/{table}/v={made}/part={part}" for part, made in held.items() if only is None or part in only]
+    paths = [f"{folder}/{table}/snapshot={made}/part={part}" for part, made in held.items() if only is None or part in only]
     if not paths:
         return spark.createDataFrame([], f"{schema}, part string")
-    rows = spark.read.option("basePath", f"{folder}/{table}").schema(f"{schema}, v bigint, part string").parquet(*paths)
-    return rows.drop("v")
+    rows = spark.read.option("basePath", f"{folder}/{table}").schema(f"{schema}, snapshot bigint, part string").parquet(*paths)
+    return rows.drop("snapshot")
 
 
 def write(df: DataFrame, folder: str, table: str, version: int) -> list[str]:
     """Write the parts of ``df`` (column ``part``) under ``version``; returns the parts that have rows.  Large parts are spread over
     tasks and small ones share them (rebalancing by part)."""
-    path = f"{folder}/{table}/v={version}"
+    path = f"{folder}/{table}/snapshot={version}"
     df.hint("rebalance", F.col("part")).write.mode("overwrite").partitionBy("part").parquet(path)
     spark = df.sparkSession
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema if f.name != "part")
@@ -71,7 +71,7 @@ def vacuum(spark: SparkSession, folder: str) -> int:
     """Delete the folders that the newest version does not list; returns how many.  For use when no reader holds an older version."""
     version = current(spark, folder)
     rows = _manifest(spark, folder).filter(F.col("version") == version)
-    listed = {(r["table"], f"v={r['made']}", f"part={r['part']}") for r in rows.collect()}
+    listed = {(r["table"], f"snapshot={r['made']}", f"part={r['part']}") for r in rows.collect()}
     root = spark._jvm.org.apache.hadoop.fs.Path(folder)
     files = root.getFileSystem(spark._jsc.hadoopConfiguration())
     gone = 0

@@ -118,47 +118,78 @@ _QUOTA_STATE = "months array<string>, used array<int>"
 _QUOTA_OUT = "usage_id long, user_id long, month date, allowed boolean"
 
 
-def _quota_fold(key, batches, state):
-    """Per user: calls arrive in order; a call is allowed while the calls already
-    tracked in its calendar month are below the limit, and only allowed calls are
-    tracked.  Every month has a count of its own, so a late call of an earlier month
-    leaves the current month's count alone.  The calls of one micro-batch are decided
-    in time order, whatever Arrow batches they came in."""
+def _decide(user_id: int, batches, used: dict[str, int]):
+    """Frames of decided calls; ``used`` (month -> calls tracked) is brought up to date.
+
+    Of each month the earliest calls are allowed, as many as its limit leaves, whatever Arrow batches they came in.  Only the
+    calls that may still be allowed are held, so a user's micro-batch is never in memory whole: a call that earlier
+    ones push out is refused at once.
+    """
+    import pandas as pd
+
+    def frame(g, allowed):
+        return pd.DataFrame({"usage_id": g["usage_id"].astype("int64"), "user_id": user_id, "month": g["month"], "allowed": allowed})
+
+    open_calls = {}
+    for batch in batches:
+        for m, g in batch.groupby("month", sort=True):
+            lim, name = g["lim"].iloc[0], str(m)
+            if pd.isna(lim):
+                used[name] = used.get(name, 0) + len(g)
+                yield frame(g, True)
+                continue
+            room = max(int(lim) - used.get(name, 0), 0)
+            held = [open_calls[name], g] if name in open_calls else [g]
+            held = pd.concat(held, ignore_index=True).sort_values(["request_timestamp", "usage_id"])
+            open_calls[name] = held.iloc[:room]
+            if len(held) > room:
+                yield frame(held.iloc[room:], False)
+    for name, g in open_calls.items():
+        used[name] = used.get(name, 0) + len(g)
+        if len(g):
+            yield frame(g, True)
+
+
+def _closes(month: str):
+    """The first instant after a month (``YYYY-MM-01``), in milliseconds."""
     import pandas as pd
 
+    return int((pd.Timestamp(month) + pd.offsets.MonthBegin(1)).value // 1_000_000)
+
+
+def _quota_fold(key, batches, state):
+    """Per user: a call is allowed while the calls tracked in its calendar month are below the limit, and only
+    allowed calls are tracked.  Every month has a count of its own, so a late call of an earlier month leaves
+    the current month's count alone.  Months that the watermark has passed are forgotten, by a timer if no call comes."""
     used = dict(zip(*state.get)) if state.exists else {}
-    out = []
-    calls = pd.concat(list(batches), ignore_index=True).sort_values(["request_timestamp", "usage_id"])
-    for m, g in calls.groupby("month", sort=True):
-        lim, name = g["lim"].iloc[0], str(m)
-        if pd.isna(lim):
-            allowed = pd.Series(True, index=g.index)
-        else:
-            rank = pd.Series(range(1, len(g) + 1), index=g.index)
-            allowed = (used.get(name, 0) + rank) <= int(lim)
-        used[name] = used.get(name, 0) + int(allowed.sum())
-        out.append(pd.DataFrame({"usage_id": g["usage_id"].astype("int64"), "user_id": int(key[0]),
-                                 "month": g["month"], "allowed": allowed.astype(bool)}))
-    state.update((list(used), list(used.values())))
-    if out:
-        yield pd.concat(out, ignore_index=True)
-
-
-def quota_stream(log: DataFrame, user_limits: DataFrame) -> DataFrame:
+    if not state.hasTimedOut:
+        yield from _decide(int(key[0]), batches, used)
+    now = state.getCurrentWatermarkMs()
+    used = {m: n for m, n in used.items() if _closes(m) > now}
+    if used:
+        state.update((list(used), list(used.values())))
+        state.setTimeoutTimestamp(min(map(_closes, used)))
+    elif state.exists:
+        state.remove()
+
+
+def quota_stream(log: DataFrame, user_limits: DataFrame, late: str = "7 days") -> DataFrame:
     """N1 live: decide each call of a streamed usage log as it arrives (append mode).
 
     ``user_limits`` (user_id, searches_per_month) is a static table joined to the
     stream; users missing from it get the first tier's limit, a null limit is
-    unlimited.  State per user is one number per calendar month with calls (twelve a year).
+    unlimited.  State per user is one number for each calendar month that is open: calls more than ``late`` behind the
+    newest one are dropped, and a month is closed ``late`` after its end.
     """
     from pyspark.sql.streaming.state import GroupStateTimeout
 
     from wattle.operators.usage import TIERS, calendar_month
 
     limits = user_limits.select("user_id", F.col("searches_per_month").cast("int").alias("_l"), F.lit(True).alias("_known"))
-    ev = (log.select("usage_id", "user_id", "request_timestamp", calendar_month("request_timestamp").alias("month"))
+    ev = (log.select("usage_id", "user_id", F.col("request_timestamp").cast("timestamp").alias("request_timestamp"), calendar_month("request_timestamp").alias("month"))
+             .withWatermark("request_timestamp", late)
              .join(limits, "user_id", "left")
              .withColumn("lim", F.when(F.col("_known").isNull(), F.lit(TIERS[0][2])).otherwise(F.col("_l")))
              .drop("_l", "_known"))
     return ev.groupBy("user_id").applyInPandasWithState(
-        _quota_fold, _QUOTA_OUT, _QUOTA_STATE, "append", GroupStateTimeout.NoTimeout)
+        _quota_fold, _QUOTA_OUT, _QUOTA_STATE, "append", GroupStateTimeout.EventTimeTimeout)
