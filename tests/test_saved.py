@@ -26,8 +26,8 @@ def box(x, y, w):
 
 def fixture():
     rng = random.Random(6)
-    addresses = [(f"A{i}", rng.uniform(150, 152), rng.uniform(-35, -33), f"S{i % 5}", f"L{i % 2}", str(i % 7)) for i in range(400)] + [("N1", None, None, "S0", "L0", "1"), ("N2", 150.5, None, "S0", "L0", "1")]
-    polygons = [(i, "PRIMARY" if i % 3 else "SECONDARY", box(rng.uniform(150, 151.5), rng.uniform(-35, -33.5), rng.choice([0.01, 0.3, 0.6]))) for i in range(25)]
+    addresses = [(f"A{i}", rng.uniform(150, 150.6), rng.uniform(-35, -34.4), f"S{i % 5}", f"L{i % 2}", str(i % 7)) for i in range(400)] + [("N1", None, None, "S0", "L0", "1"), ("N2", 150.5, None, "S0", "L0", "1")]
+    polygons = [(i, "PRIMARY" if i % 3 else "SECONDARY", box(rng.uniform(150, 150.5), rng.uniform(-35, -34.5), rng.choice([0.01, 0.05, 0.1]))) for i in range(25)]
     return addresses, polygons
 
 
@@ -45,8 +45,8 @@ def test_refresh_equals_build(spark, tmp_path):
     assert jobs.build(*sources(spark, addresses, polygons), folder) == 1
     assert jobs.refresh(*sources(spark, addresses, polygons), folder) == 1  # nothing differs
     was, before = files(folder), tables(spark, folder)
-    changed = addresses[:200] + [(p, x + 0.4 if x else x, y, s, l, c) for p, x, y, s, l, c in addresses[201:203]] + addresses[203:] + [("B1", 150.6, -34.2, "S1", "L1", "9"), ("A200", 151.0, None, "S2", "L0", "3")]
-    redrawn = polygons[1:7] + [(7, "OTHER", polygons[7][2]), (8, polygons[8][1], box(150.2, -34.9, 0.2))] + polygons[9:] + [(60, "PRIMARY", box(150.9, -34.4, 0.3))]
+    changed = addresses[:200] + [(p, x + 0.3 if x else x, y, s, l, c) for p, x, y, s, l, c in addresses[201:203]] + addresses[203:] + [("B1", 150.6, -34.2, "S1", "L1", "9"), ("A200", 151.0, None, "S2", "L0", "3")]
+    redrawn = polygons[1:7] + [(7, "OTHER", polygons[7][2]), (8, polygons[8][1], box(150.2, -34.9, 0.1))] + polygons[9:] + [(60, "PRIMARY", box(150.4, -34.6, 0.1))]
     now = sources(spark, changed, redrawn)
     assert jobs.refresh(*now, folder) == 2
     jobs.build(*now, other)
