@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from wattle.operators import quality as Q
+from wattle.plans import contract_tables as CT
 from wattle.plans import domain as D
 from wattle.plans.oracle import sql
 from wattle.plans.registry import register
+from wattle.sources import contracts as C
 from wattle.sources.tables import Tables
 
 
@@ -57,3 +59,56 @@ def q3_postcode_format(spark, d):
  UNION ALL SELECT 'engagement_status', count(engagement_status), count(*) FROM bob) x""", "bob"))
 def q4_column_population(spark, d):
     return Q.column_population(D.bob(Tables(spark, d)))
+
+
+# ----------------------------------------------------------------------------- all 35 tables
+def _loaded_sql(table: str) -> str:
+    kinds = {f.name: C.plain_type(f) for f in C.contracts()[table].fields}
+    cells = ", ".join(f"{c} AS {c}" if kinds[c] == "string" else f"TRY_CAST({c} AS {kinds[c]}) AS {c}" for c in kinds)
+    return f"SELECT {cells} FROM ({CT.raw_sql(table)}) r"
+
+
+def _loaded(t: Tables) -> dict:
+    return {name: C.typed(CT.raw(t, name), name) for name in C.contracts()}
+
+
+def _keys_sql(name: str) -> str:
+    key = C.key_of(name)
+    return f"""SELECT '{name}' AS table_name, '{key}' AS pk, (SELECT count(*) FROM {name}_c) AS row_count,
+ (SELECT count(*) FROM (SELECT {key} FROM {name}_c WHERE {key} IS NOT NULL GROUP BY 1 HAVING count(*) > 1) x) AS duplicate_keys,
+ (SELECT count(*) FROM {name}_c WHERE {key} IS NULL) AS null_keys"""
+
+
+def _references_sql(child: str, column: str, parent: str) -> str:
+    return f"""SELECT '{child}.{column}' AS fk_name, '{parent}' AS parent, count(*) AS orphan_rows, count(DISTINCT c.{column}) AS orphan_values FROM {child}_c c
+ WHERE c.{column} IS NOT NULL AND NOT EXISTS (SELECT 1 FROM {parent}_c p WHERE p.{C.key_of(parent)} = c.{column})"""
+
+
+def _cells_sql(name: str) -> str:
+    parts = []
+    for f in C.contracts()[name].fields:
+        kind, length = C.plain_type(f), getattr(f.dataType, "length", None)
+        parts.append(f"""SELECT '{name}' AS table_name, '{f.name}' AS column_name, count(*) AS row_count,
+ {0 if f.nullable else f'count(*) FILTER (WHERE {f.name} IS NULL)'}::bigint AS empty_required,
+ {0 if length else f'count(*) FILTER (WHERE {f.name} IS NOT NULL AND TRY_CAST({f.name} AS {kind}) IS NULL)'}::bigint AS unreadable,
+ {f'count(*) FILTER (WHERE length({f.name}) > {length})' if length else 0}::bigint AS too_long FROM {name}_r""")
+    return "\nUNION ALL ".join(parts)
+
+
+_TYPED = {f"{name}_c": _loaded_sql(name) for name in C.contracts()}
+
+
+@register("q1_contract_keys", sql("\nUNION ALL ".join(map(_keys_sql, C.contracts())), extra=_TYPED))
+def q1_contract_keys(spark, d):
+    return C.key_report(_loaded(Tables(spark, d)))
+
+
+@register("q2_contract_references", sql("\nUNION ALL ".join(_references_sql(c, col, p) for c, cols in C.REFERENCES.items() for col, p in cols.items()), extra=_TYPED))
+def q2_contract_references(spark, d):
+    return C.reference_report(_loaded(Tables(spark, d)))
+
+
+@register("q5_contract_cells", sql("\nUNION ALL ".join(map(_cells_sql, C.contracts())), extra={f"{name}_r": CT.raw_sql(name) for name in C.contracts()}))
+def q5_contract_cells(spark, d):
+    t = Tables(spark, d)
+    return C.all_cells({name: CT.raw(t, name) for name in C.contracts()})
