@@ -61,10 +61,19 @@ def full_address(flat_type_name, flat_number, level_type_name, level_number, num
     )
 
 
+def plain_address(flat_number, number_first, street_name, street_type_name=None, *area) -> Column:
+    """A3: ``[Unit n,] number street [type] [locality STATE postcode]``; parts that are null are left out.
+
+    The four shapes: without type (``simple_address``), street line alone (no ``area``), and with type and area, which
+    the postcode and the geocode listings share.
+    """
+    parts = [number_first, street_name, *([] if street_type_name is None else [street_type_name]), *area]
+    return F.concat_ws(" ", F.when(_c(flat_number).isNotNull(), cat(F.lit("Unit "), flat_number, F.lit(","))), *[_s(p) for p in parts])
+
+
 def simple_address(flat_number, number_first, street_name, locality_name, state_abbreviation, postcode) -> Column:
     """A3: ``[Unit n,] number street locality STATE postcode``."""
-    return F.concat_ws(" ", F.when(_c(flat_number).isNotNull(), cat(F.lit("Unit "), flat_number, F.lit(","))),
-                       _s(number_first), _s(street_name), _s(locality_name), _s(state_abbreviation), _s(postcode))
+    return plain_address(flat_number, number_first, street_name, None, locality_name, state_abbreviation, postcode)
 
 
 def search_address(number_first_prefix, number_first, number_first_suffix, street_name, street_type_name,
@@ -277,3 +286,42 @@ def lot_address(c: dict) -> Column:
         co(g("number_last"), ""), co(g("number_last_suffix"), " "), co(g("street_name"), " "),
         co(g("street_type"), " "),
     )
+
+
+# The school page's descriptions of geocode types and of confidence words (A9, second set).
+GEOCODE_DETAIL = {
+    "BAP": "Building Access Point - Point of access to the building",
+    "BC": "Building Centroid - Centre of building footprint",
+    "BCP": "Building Centroid Point - Centre of building",
+    "CDF": "Cadastral Frontage - Property boundary on street",
+    "EC": "Emergency Access - Emergency service access point",
+    "ECP": "Emergency Centroid Point - Emergency centroid",
+    "FC": "Frontage Centre - Centre of property frontage",
+    "FCP": "Frontage Centre Point - Centre point of frontage",
+    "GAP": "Gazetted Address Point - Official gazetted location",
+    "LCP": "Locality Centre Point - Centre of locality",
+    "PAP": "Property Access Point - Main property access",
+    "PC": "Property Centroid - Centre of property",
+    "UC": "Unit Centroid - Centre of unit",
+}
+CONFIDENCE_DETAIL = {
+    "HIGH": "High confidence in coordinate accuracy",
+    "MEDIUM": "Medium confidence in coordinate accuracy",
+    "LOW": "Low confidence in coordinate accuracy",
+    "VERY LOW": "Very low confidence in coordinate accuracy",
+    "UNKNOWN": "Confidence level unknown",
+}
+
+
+def _described(c, words: dict[str, str], other: str) -> Column:
+    return F.coalesce(F.element_at(_dict_map(words), _s(c)), F.lit(other))
+
+
+def geocode_detail(code) -> Column:
+    """The school page's description of a geocode type."""
+    return _described(code, GEOCODE_DETAIL, "Unknown geocode type")
+
+
+def confidence_detail(word) -> Column:
+    """The school page's description of a confidence word."""
+    return _described(word, CONFIDENCE_DETAIL, "Unknown confidence level")

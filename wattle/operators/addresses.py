@@ -51,6 +51,27 @@ def star(address: DataFrame, streets: DataFrame, street_types: DataFrame, locali
     return a.drop("_street_locality_pid") if not locality_via_street else a
 
 
+def full_star(address: DataFrame, streets: DataFrame, localities: DataFrame, states: DataFrame, codes: dict[str, DataFrame],
+              geocodes: DataFrame | None = None) -> DataFrame:
+    """J6 whole: ``star`` with the names of flat type, level type and street suffix, and the default geocode with its type's name.
+
+    ``codes`` holds the code tables ``flat_type``, ``level_type``, ``street_type``, ``street_suffix`` and ``geocode_type``.  All joins are
+    left joins: a code that its table lacks leaves the name null.  An address without a geocode stays; one with two comes twice.
+    The streets' suffix names are joined to the streets, before these meet the addresses.
+    """
+    suffixed = streets.select("street_locality_pid", "street_suffix_code").join(_names(codes, "street_suffix"), "street_suffix_code", "left")
+    a = star(address, streets, codes["street_type"], localities, states, codes["flat_type"]).join(suffixed, "street_locality_pid", "left")
+    a = a.join(_names(codes, "level_type"), "level_type_code", "left")
+    if geocodes is not None:
+        g = geocodes.join(_names(codes, "geocode_type"), "geocode_type_code", "left")
+        a = a.join(g.select("address_detail_pid", "geocode_type_code", "geocode_type", "latitude", "longitude"), "address_detail_pid", "left")
+    return a
+
+
+def _names(codes: dict[str, DataFrame], kind: str) -> DataFrame:
+    return codes[kind].select(F.col("code").alias(f"{kind}_code"), F.col("name").alias(kind))
+
+
 def with_address_text(df: DataFrame) -> DataFrame:
     """Component parts, full address, simple and search forms, street number label."""
     c = lambda n: _opt(df, n)

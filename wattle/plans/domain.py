@@ -172,6 +172,44 @@ def street_locality(t: Tables) -> DataFrame:
     )
 
 
+# Fixed values of the fixture's code tables.
+CODES = {
+    "flat_type": {"UNIT": "UNIT", "APT": "APARTMENT"},
+    "level_type": {"L": "LEVEL", "B": "BASEMENT"},
+    "street_type": {"ST": "STREET", "RD": "ROAD", "AVE": "AVENUE"},
+    "street_suffix": {"N": "NORTH", "EX": "EXTENSION"},
+    "geocode_type": {"BC": "BUILDING CENTROID", "FC": "FRONTAGE CENTRE", "PC": "PROPERTY CENTROID"},
+}
+
+
+def code_tables(t: Tables) -> dict[str, DataFrame]:
+    return {kind: t.spark.createDataFrame(list(rows.items()), "code string, name string") for kind, rows in CODES.items()}
+
+
+def address_whole(t: Tables) -> DataFrame:
+    """Addresses with level, confidence, and flats of known, unknown and no type."""
+    k = F.substring("address_detail_pid", 3, 9).cast("bigint")
+    return address(t).drop("lon", "lat").withColumns({
+        "flat_type_code": F.when(k % 10 == 0, "UNIT").when(k % 15 == 0, "APT").when(k % 25 == 0, "ZZ"),
+        "level_type_code": F.when(k % 6 == 0, "L").when(k % 6 == 1, "B").when(k % 6 == 2, "ZZ"),
+        "level_number": F.when(k % 6 < 3, k % 12),
+        "confidence": F.when(k % 23 != 0, k % 6 - 1),
+    })
+
+
+def street_whole(t: Tables) -> DataFrame:
+    k = F.substring("street_locality_pid", 3, 20).cast("bigint")
+    return street_locality(t).withColumn("street_suffix_code", F.when(k % 9 == 0, "N").when(k % 9 == 1, "EX").when(k % 9 == 2, "ZZ"))
+
+
+def default_geocode(t: Tables) -> DataFrame:
+    """Default geocodes of most addresses, some of a type without a name."""
+    k = F.substring("address_detail_pid", 3, 9).cast("bigint")
+    return address(t).filter(k % 10 != 3).select(
+        "address_detail_pid", F.when(k % 4 == 0, "BC").when(k % 4 == 1, "FC").when(k % 4 == 2, "GAP").otherwise("PC").alias("geocode_type_code"),
+        F.col("lat").alias("latitude"), F.col("lon").alias("longitude"))
+
+
 def suburb_postcode(t: Tables) -> DataFrame:
     c = t.customer.select("c_custkey", "c_nationkey")
     n = t.nation.select("n_nationkey", "n_name", "n_regionkey")

@@ -431,3 +431,79 @@ def o6_suburbs_by_prefix(spark, d):
     """O6 from the suburb table alone."""
     sp = D.suburb_postcode(Tables(spark, d)).withColumnRenamed("state_name", "state_abbreviation")
     return A.suburb_autocomplete(sp, SUBURB_START).withColumnRenamed("state_abbreviation", "state_name")
+
+
+# ----------------------------------------------------------------------------- J6 whole, A3, A9
+def _codes_sql(kind: str) -> str:
+    return "SELECT * FROM (VALUES " + ", ".join(f"('{k}', '{v}')" for k, v in D.CODES[kind].items()) + ") AS t(code, name)"
+
+
+_WHOLE = {
+    "whole": """SELECT a.address_detail_pid, a.number_first, a.number_last, a.flat_number, a.street_locality_pid, a.locality_pid, a.postcode,
+ CASE WHEN k % 10 = 0 THEN 'UNIT' WHEN k % 15 = 0 THEN 'APT' WHEN k % 25 = 0 THEN 'ZZ' END AS flat_type_code,
+ CASE k % 6 WHEN 0 THEN 'L' WHEN 1 THEN 'B' WHEN 2 THEN 'ZZ' END AS level_type_code, CASE WHEN k % 6 < 3 THEN k % 12 END AS level_number,
+ CASE WHEN k % 23 <> 0 THEN k % 6 - 1 END AS confidence FROM (SELECT *, cast(substr(address_detail_pid, 3) AS bigint) AS k FROM address) a""",
+    "street_whole": """SELECT *, CASE cast(substr(street_locality_pid, 3) AS bigint) % 9 WHEN 0 THEN 'N' WHEN 1 THEN 'EX' WHEN 2 THEN 'ZZ' END AS street_suffix_code
+ FROM street_locality""",
+    "default_geocode": """SELECT address_detail_pid, CASE k % 4 WHEN 0 THEN 'BC' WHEN 1 THEN 'FC' WHEN 2 THEN 'GAP' ELSE 'PC' END AS geocode_type_code, lat AS latitude, lon AS longitude
+ FROM (SELECT *, cast(substr(address_detail_pid, 3) AS bigint) AS k FROM address) g WHERE k % 10 <> 3""",
+    **{f"{kind}_codes": _codes_sql(kind) for kind in D.CODES},
+    "full_star": """SELECT w.*, ft.name AS flat_type, lt.name AS level_type, sl.street_name, st.name AS street_type, ss.name AS street_suffix, l.locality_name,
+ s.state_abbreviation, g.geocode_type_code, gt.name AS geocode_type, g.latitude, g.longitude FROM whole w
+LEFT JOIN flat_type_codes ft ON ft.code = w.flat_type_code LEFT JOIN level_type_codes lt ON lt.code = w.level_type_code
+LEFT JOIN street_whole sl ON sl.street_locality_pid = w.street_locality_pid LEFT JOIN street_type_codes st ON st.code = sl.street_type_code
+LEFT JOIN street_suffix_codes ss ON ss.code = sl.street_suffix_code LEFT JOIN locality l ON l.locality_pid = w.locality_pid LEFT JOIN state s ON s.state_pid = l.state_pid
+LEFT JOIN default_geocode g ON g.address_detail_pid = w.address_detail_pid LEFT JOIN geocode_type_codes gt ON gt.code = g.geocode_type_code""",
+}
+_UNIT = "CASE WHEN flat_number IS NOT NULL THEN 'Unit ' || flat_number || ',' END"
+_AREA = "locality_name, state_abbreviation, postcode"
+
+
+def _whole(t: Tables):
+    return A.full_star(D.address_whole(t), D.street_whole(t), D.locality(t), D.state(t), D.code_tables(t), D.default_geocode(t))
+
+
+@register("j6_full_star", sql(f"""SELECT address_detail_pid, concat_ws(' ', flat_type, flat_number) AS unit_part, concat_ws(' ', street_name, street_type, street_suffix) AS street,
+ concat_ws(', ', nullif(trim(concat_ws(' ', flat_type, flat_number)), ''), nullif(trim(concat_ws(' ', level_type, level_number)), ''),
+  trim(concat_ws(' ', number_first, '-' || number_last, street_name, street_type, street_suffix)), locality_name, concat(state_abbreviation, ' ', postcode)) AS full_address,
+ concat_ws(' ', {_UNIT}, number_first, street_name, {_AREA}) AS simple_address, concat_ws(' ', {_UNIT}, number_first, street_name, street_type) AS street_address,
+ concat_ws(' ', {_UNIT}, number_first, street_name, street_type, {_AREA}) AS listed_address, geocode_type_code, geocode_type, latitude, longitude FROM full_star""",
+                              "address", "street_locality", "locality", "state", extra=_WHOLE))
+def j6_full_star(spark, d):
+    area = ["locality_name", "state_abbreviation", "postcode"]
+    return A.with_address_text(_whole(Tables(spark, d))).select(
+        "address_detail_pid", "unit_part", "street", "full_address", "simple_address",
+        T.plain_address("flat_number", "number_first", "street_name", "street_type").alias("street_address"),
+        T.plain_address("flat_number", "number_first", "street_name", "street_type", *area).alias("listed_address"),
+        "geocode_type_code", "geocode_type", "latitude", "longitude")
+
+
+def _words_sql(column: str, words: dict[str, str], other: str) -> str:
+    return f"CASE {column} " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in words.items()) + f" ELSE '{other}' END"
+
+
+_WORD = "CASE confidence WHEN 3 THEN 'HIGH' WHEN 2 THEN 'MEDIUM' WHEN 1 THEN 'LOW' WHEN 0 THEN 'VERY LOW' WHEN -1 THEN 'UNKNOWN' END"
+
+
+@register("a9_geocode_details", sql(f"""SELECT geocode_detail, confidence_detail, count(*) AS address_count FROM (
+ SELECT {_words_sql('geocode_type_code', T.GEOCODE_DETAIL, 'Unknown geocode type')} AS geocode_detail,
+  {_words_sql(f'({_WORD})', T.CONFIDENCE_DETAIL, 'Unknown confidence level')} AS confidence_detail FROM full_star) x GROUP BY 1, 2""",
+                                    "address", "street_locality", "locality", "state", extra=_WHOLE))
+def a9_geocode_details(spark, d):
+    t = Tables(spark, d)
+    c = F.col("confidence")
+    word = F.when(c == 3, "HIGH").when(c == 2, "MEDIUM").when(c == 1, "LOW").when(c == 0, "VERY LOW").when(c == -1, "UNKNOWN")
+    a = D.address_whole(t).select("address_detail_pid", "confidence").join(D.default_geocode(t).select("address_detail_pid", "geocode_type_code"), "address_detail_pid", "left")
+    return (a.groupBy(T.geocode_detail("geocode_type_code").alias("geocode_detail"), T.confidence_detail(word).alias("confidence_detail"))
+             .agg(F.count(F.lit(1)).alias("address_count")))
+
+
+@register("a9_geocode_labels", sql(f"""SELECT geocode_label, confidence_label, count(*) AS address_count FROM (
+ SELECT {_words_sql('geocode_type_code', T.GEOCODE_TYPE_LABELS, 'N/A')} AS geocode_label,
+  CASE confidence WHEN 3 THEN 'Very High' WHEN 2 THEN 'High' WHEN 1 THEN 'Medium' WHEN 0 THEN 'Low' WHEN -1 THEN 'None' ELSE 'Unknown' END AS confidence_label
+ FROM full_star) x GROUP BY 1, 2""", "address", "street_locality", "locality", "state", extra=_WHOLE))
+def a9_geocode_labels(spark, d):
+    t = Tables(spark, d)
+    a = D.address_whole(t).select("address_detail_pid", "confidence").join(D.default_geocode(t).select("address_detail_pid", "geocode_type_code"), "address_detail_pid", "left")
+    return (a.groupBy(T.geocode_type_label("geocode_type_code").alias("geocode_label"), T.confidence_label("confidence").alias("confidence_label"))
+             .agg(F.count(F.lit(1)).alias("address_count")))
