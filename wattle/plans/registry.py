@@ -31,5 +31,5 @@ def register(name: str, oracle: str | None = None):
 def load_all() -> None:
     # Importing the modules registers their queries.
     from wattle.plans import (  # noqa: F401
-        q_ledger, q_addresses, q_spatial, q_schools, q_quality, q_usage,
+        q_ledger, q_addresses, q_spatial, q_schools, q_quality, q_usage, q_loads,
     )
