@@ -66,6 +66,53 @@ def test_star_below_large_roots(spark, monkeypatch):
     assert len(missed) == 0
 
 
+def test_many_texts_of_one_template(spark, monkeypatch):
+    # all share two thirds of their words (likeness 0.5, no link) but for some planted near pairs; every root is large
+    monkeypatch.setattr(C, "LEAF", 100)
+    rng, n = random.Random(9), 4000
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    core = [word() for _ in range(84)]
+    texts = [core + [word() for _ in range(44)] for _ in range(n)]
+    want = {i: i for i in range(n)}
+    for k in range(40):
+        copy = list(texts[k])
+        copy[90 + k % 8] = word()
+        texts.append(copy)
+        want[n + k] = k
+    made = []
+    leaves = C._leaves
+
+    def counted(*args):
+        made.append(leaves(*args))
+        return made[-1]
+
+    monkeypatch.setattr(C, "_leaves", counted)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    sizes = {len(brute.shingles(t)) for _, t in rows}
+    assert sizes == {124}
+    got = {r.id: r.component_id for r in C.components(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+    assert got == want
+    # what is compared stays linear in the texts
+    assert len(made) == 1 and made[0].count() < 10 * n
+
+
+def test_sets_meet_at_their_rarest_shingles(spark):
+    rng = np.random.default_rng(4)
+    sets = []
+    for _ in range(60):
+        base = rng.integers(0, 400, rng.integers(1, 90)).astype(np.uint64)
+        sets += [np.unique(base), np.unique(np.concatenate([base[:len(base) * 9 // 10], rng.integers(0, 400, 3).astype(np.uint64)]))]
+    members = spark.createDataFrame([(i, s.tobytes()) for i, s in enumerate(sets)], "cid long, members binary").repartition(3)
+    rows = C._rare(members.selectExpr("cid", "cid as label"), members).collect()
+    nodes = {}
+    for r in rows:
+        nodes.setdefault(r.node, set()).add(r.cid)
+    pairs = {(a, b) for c in nodes.values() for a in c for b in c if a < b}
+    similar = {(a, b) for b in range(len(sets)) for a in range(b) if C._similar(sets[a], sets[b])}
+    assert similar and similar <= pairs
+    assert C._rare(members.selectExpr("cid", "cid as label").limit(0), members.limit(0)).count() == 0
+
+
 def test_exactly_at_the_threshold(spark):
     # 30 and 30 words share 26 + 26 - ... : similarity 0.75 counts, just under does not
     base = [f"w{i}" for i in range(18)]

@@ -7,11 +7,13 @@ it form a node.  Nodes of up to ``LEAF`` sets are compared exhaustively.  In a l
 meets the node's hub; the links so found and those of the small nodes are confirmed and give a first set of
 components.  Large nodes whose sets lie in one component end there.  The others part by size (sets that
 differ by more than the threshold in size cannot be similar; each set goes to its own and the next class) and then
-branch on two coordinates chosen by the node's path.  A pair at the threshold shares 1.5 of its two children
+branch on two coordinates chosen by the node's path, as long as that lessens the rows in large nodes.  What is left
+then, as with many texts of one template, branches on its rarest shingles: similar sets share one
+of the rarest quarter of each (prefix filter), so no pair that shares a large node parts here.  A pair at the threshold shares 1.5 of its two children
 on average, more than one, so it goes on meeting at any depth with probability 8/9 while others part.
 It shares a given root with probability 0.75, so ten trees miss it with probability 0.25 ** 10 (1e-6) where the
-roots are small, and with (1 - 0.75 * 8/9) ** 10 = 1.7e-5 at most where all ten are large; nodes that are still large
-after ``DEPTH`` branchings are compared in blocks, so none is cut off.
+roots are small, and with (1 - 0.75 * 8/9) ** 10 = 1.7e-5 at most where all ten are large; nodes of rare shingles
+that are large all the same are compared in blocks, so none is cut off.
 
 Comparisons inside nodes use 256 MinHash bytes: pairs estimated at LOW (four standard deviations
 under the threshold) or more are candidates, and every reported link is confirmed on the full sets.
@@ -48,6 +50,8 @@ THRESHOLD = 75
 TREES, LEAF, DEPTH = 10, 1000, 12
 COORDINATES = 256
 LOW, HIGH = 0.64, 0.86
+#: Counters of the table that orders shingles by frequency, at most (two bytes each), and in one piece of it.
+COUNTERS, PIECE = 1 << 22, 1 << 15
 
 _random = np.random.default_rng(20240607)
 _POWERS = _random.integers(0, 1 << 63, WORDS + 1, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -389,22 +393,100 @@ def _confirm(pairs: DataFrame, members: DataFrame) -> DataFrame:
     return pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y").mapInArrow(tidy(run), "a bigint, b bigint")
 
 
-def _leaves(large: DataFrame, sketches: DataFrame) -> DataFrame:
-    """The trees below large nodes: rows (node, cid, label) of nodes small enough to compare."""
+def _shingle_counts(members: DataFrame) -> np.ndarray:
+    """How many sets (cid, members) hold a shingle, at least: counters by hash, stopping at 65,535.
+
+    The table follows the number of shingles up to COUNTERS; past that it only ranks them more coarsely.
+    """
+    total, size = members.agg(F.sum(F.length("members"))).first()[0] or 0, PIECE
+    while size < min(total // 2, COUNTERS):
+        size *= 2
+
+    def pack(seen: np.ndarray) -> bytes:
+        return np.minimum(seen, 65535).astype("<u2").tobytes()
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(size, np.int64)
+        for b in batches:
+            at = binary_values(b.column(0))[1].view(np.uint64) & np.uint64(size - 1)
+            seen += np.bincount(at.astype(np.int64), minlength=size)
+        parts = [(i, seen[i * PIECE:(i + 1) * PIECE]) for i in range(size // PIECE)]
+        parts = [(i, pack(part)) for i, part in parts if part.any()]
+        yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in parts], pa.int32()), pa.array([part for _, part in parts], pa.binary())], names=["piece", "seen"])
+
+    def merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        # a piece comes once from each task and is summed as it comes
+        sums: dict[int, np.ndarray] = {}
+        for b in batches:
+            for i, part in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                sums[i] = np.minimum(sums.get(i, 0) + np.frombuffer(part, "<u2").astype(np.int64), 65535)
+        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([pack(v) for v in sums.values()], pa.binary())], names=["piece", "seen"])
+
+    schema = "piece int, seen binary"
+    out = np.zeros(size, np.uint16)
+    for row in members.select("members").mapInArrow(tidy(count), schema).repartition(size // PIECE, "piece").mapInArrow(tidy(merge), schema).collect():
+        out[row["piece"] * PIECE:(row["piece"] + 1) * PIECE] = np.frombuffer(bytes(row["seen"]), "<u2")
+    return out
+
+
+def _rare(sets: DataFrame, members: DataFrame) -> DataFrame:
+    """Rows (node, cid, label): sets (cid, label) branch to a node for each of their rarest shingles.
+
+    Similar sets share at least THRESHOLD of either one's shingles, so in any common order the first others + 1 of
+    both meet.  The order is by frequency; a shingle counted once is in no other set and names no node.
+    Nodes of the same sets are one node.
+    """
+    members = materialize(members, "near-indexed")
+    counts = sets.sparkSession.sparkContext.broadcast(_shingle_counts(members))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen_by = counts.value
+        for b in batches:
+            nodes = []
+            for v in b.column(2):
+                own = np.frombuffer(v.as_buffer(), np.uint64)
+                seen = seen_by[(own & np.uint64(len(seen_by) - 1)).astype(np.int64)]
+                first = len(own) + THRESHOLD * len(own) // -100 + 1
+                rarest = np.lexsort((own, seen))[:first]
+                nodes.append(own[rarest[seen[rarest] > 1]].view(np.int64))
+            row = pa.array(np.repeat(np.arange(len(nodes)), list(map(len, nodes))))
+            yield pa.RecordBatch.from_arrays([_long(nodes), b.column(0).take(row), b.column(1).take(row)], names=["node", "cid", "label"])
+
+    joined = sets.join(members, "cid").select("cid", "label", "members")
+    rows = materialize(joined.mapInArrow(tidy(run), "node bigint, cid bigint, label bigint"), "near-rare")
+    same = rows.groupBy("node").agg(F.count("*").alias("n"), F.bit_xor(F.xxhash64("cid")).alias("who")).filter("n > 1")
+    return rows.join(same, "node").select(F.xxhash64("n", "who").alias("node"), "cid", "label").distinct()
+
+
+def _leaves(large: DataFrame, sketches: DataFrame, members_of=None) -> DataFrame:
+    """The trees below large nodes: rows (node, cid, label) of nodes small enough to compare.
+
+    ``members_of`` gives the full sets (cid, members) of a table of cids; without it what branching leaves goes to blocks.
+    """
     leaves, rows = None, materialize(large, "near-rows")
-    for level in range(-1, DEPTH + 1):
+    step, level, before = "size", 0, None
+    while True:
         tasks = tasks_for(rows.count())
         nodes = materialize(_open(rows), "near-nodes", tasks)
         rows = materialize(rows.join(nodes, "node"), "near-rows", tasks)
         small, big = rows.filter("small").select("node", "cid", "label"), rows.filter("not small")
         leaves = small if leaves is None else leaves.unionByName(small)
-        if big.isEmpty():
-            break
-        if level == DEPTH:
-            leaves = leaves.unionByName(_blocks(big))
-            break
-        rows = materialize(_by_size(big, sketches) if level < 0 else _branch(big.join(sketches, "cid"), level), "near-rows", 2 * tasks)
-    return leaves
+        left = big.count()
+        if not left:
+            return leaves
+        if step == "size":
+            made, step = _by_size(big, sketches), "branch"
+        elif step == "branch" and level < DEPTH and (members_of is None or before is None or left < before):
+            made, level, before = _branch(big.join(sketches, "cid"), level), level + 1, left
+        elif step == "branch" and members_of is not None:
+            # a set's label is the same in all its nodes
+            sets = materialize(big.select("cid", "label").distinct(), "near-rest", tasks)
+            made, step = _rare(sets, members_of(sets.select("cid"))), "rare"
+        elif step == "rare":
+            made, step = _by_size(big, sketches), "blocks"
+        else:
+            return leaves.unionByName(_blocks(big))
+        rows = materialize(made, "near-rows", 2 * tasks)
 
 
 def _label(rows: DataFrame, labels: DataFrame) -> DataFrame:
@@ -442,7 +524,7 @@ def _link(df: DataFrame, id_col: str, text_col: str, classes: DataFrame) -> Data
     more = materialize(_label(small.join(met.filter("a is null").select("node").distinct(), "node", "left_semi"), labels), "near-more", tasks)
     leaves = more.join(_open(more).select("node"), "node", "left_semi")
     if some_large:
-        leaves = leaves.unionByName(_leaves(_label(large, labels), sketches))
+        leaves = leaves.unionByName(_leaves(_label(large, labels), sketches, lambda cids: _members_of(df, id_col, text_col, classes, cids)))
     leaves = materialize(_involved(leaves.dropDuplicates(["node", "cid"]), sketches), "near-open", 2 * tasks)
     if leaves.isEmpty():
         return labels
