@@ -35,6 +35,31 @@ def test_segment_gives_single_documents():
     s = T.Segment(T.write_segment([None, *range(1, 500)], np.array(list(map(len, docs))), np.concatenate(docs)))
     assert s.doc_ids().to_pylist() == [None, *range(1, 500)]
     assert all((s.document(i) == d).all() for i, d in enumerate(docs))
+    assert s.doc_ids(0, 1).to_pylist() == [None] and s.doc_ids(3, 200).to_pylist() == list(range(3, 200)) and s.doc_ids(7, 7).to_pylist() == []
+    assert (s.edges(130, 260) == np.concatenate([[0], s.ends.decode()])[130:261]).all()
+    with pytest.raises(ValueError):
+        T.write_segment([2, 1], np.array([0, 0]), np.zeros(0, np.uint16))
+
+
+@pytest.mark.parametrize("ids", [[], [None, None], [None, -(1 << 63), -5, -5, 0, (1 << 63) - 1], [-(1 << 63), -(1 << 63) + 9], [(1 << 62) + 3] * 70, [0, (1 << 62) - 1], [0, 1 << 62]])
+def test_any_document_ids(ids):
+    s = T.Segment(T.write_segment(ids, np.arange(len(ids)), np.zeros(sum(range(len(ids))), np.uint16)))
+    assert s.doc_ids().to_pylist() == ids and all(s.doc_ids(i, i + 1).to_pylist() == [d] for i, d in enumerate(ids))
+
+
+def test_ids_and_ends_of_a_segment_take_little_space():
+    n = 10_000
+    size = len(T.write_segment(list(range(7 * n, 8 * n)), np.full(n, 300), np.zeros(300 * n, np.uint16))) - 600 * n
+    assert size < 3 * n  # bytes; two 64-bit tables take 160,000
+
+
+def test_piece_table_is_bounded_in_text(monkeypatch):
+    monkeypatch.setattr(T, "MOST_TEXT", 5000)
+    pieces, plain = T.PieceTable(T.load_tokenizer(), 10**6), Tokenizer.from_str(T.load_tokenizer())
+    for k in range(20):
+        text = "日本" * 500 + str(k)
+        ids, counts = pieces.encode([text])
+        assert ids.tolist() == plain.encode(text, add_special_tokens=False).ids and pieces.held <= 5000 + len(text) + 1
 
 
 def expected(rows):

@@ -1,10 +1,10 @@
 """Token-id files with Elias-Fano document boundaries.
 
 Documents are range-partitioned and sorted by id, tokenised, and written as segments: each
-segment is one concatenated id array (16 bits an id where the vocabulary allows it), the document ids, and the
-documents' ends as an Elias-Fano sequence: the low bits of every end packed, the high bits
+segment is one concatenated id array (16 bits an id where the vocabulary allows it), and two Elias-Fano sequences,
+the documents' ids and their ends: the low bits of every value packed, the high bits
 in unary, about 2 + log2(ids / documents) bits a document instead of a 64-bit table.  A
-sampled select index gives any document's offsets without decoding the rest.  Segments are binary rows
+sampled select index gives any document's offsets without decoding the rest, and reading goes through it in blocks of documents.  Segments are binary rows
 of a Parquet table, so writing, retries and reading work on any store Spark can reach.
 
 Words are tokenised through a table of distinct pre-tokens, like the library would: lower-cased
@@ -13,8 +13,8 @@ once, and everything else (other scripts, special tokens) goes to the library by
 chunks, which its pre-tokenizer never joins.
 
 Defined results: null text counts as empty (only the end id); null ids come first; of
-repeated ids the order is by the text's hash, then the text; an empty table gives an empty one; other columns
-are not read.
+repeated ids the order is by the text's hash, then the text; ids 2 ** 62 or more apart in one segment are kept in 64 bits each;
+an empty table gives an empty one; other columns are not read.
 """
 
 from __future__ import annotations
@@ -53,26 +53,34 @@ class EliasFano:
         ones = (values >> low_bits) + np.arange(n)
         bits = np.zeros(int(top >> low_bits) + n + 1, np.uint8)
         bits[ones] = 1
-        shifts = np.arange(low_bits)
-        low = np.packbits((values[:, None] >> shifts & 1).astype(np.uint8).ravel(), bitorder="little")
+        tail = np.empty((n, low_bits), np.uint8)
+        for k in range(low_bits):
+            tail[:, k] = values >> k & 1
+        low = np.packbits(tail.ravel(), bitorder="little")
         return cls(n, low_bits, low, np.packbits(bits, bitorder="little"), ones[::SAMPLE].astype(np.int64))
 
-    def select(self, i: int) -> int:
-        """The i-th value, from one sample, at most SAMPLE ones further on, and the low bits at their place."""
-        start = int(self.samples[i // SAMPLE])
-        end = int(self.samples[i // SAMPLE + 1]) + 1 if i // SAMPLE + 1 < len(self.samples) else len(self.high) * 8
+    def between(self, i: int, j: int) -> np.ndarray:
+        """Values i to j - 1, found from the sample before the i-th one on; only the bits they lie in are looked at."""
+        if j <= i:
+            return np.zeros(0, np.int64)
+        start, after = int(self.samples[i // SAMPLE]), (j - 1) // SAMPLE + 1
+        end = int(self.samples[after]) + 1 if after < len(self.samples) else len(self.high) * 8
         first = start >> 3
         ones = np.flatnonzero(np.unpackbits(self.high[first:(end + 7) >> 3], bitorder="little")) + (first << 3)
-        one = int(ones[ones >= start][i % SAMPLE])
-        low, at = 0, i * self.low_bits
+        ones = ones[ones >= start][i % SAMPLE:][:j - i]
+        out = (ones - np.arange(i, j)).astype(np.int64) << self.low_bits
+        at = i * self.low_bits
+        tail = np.unpackbits(self.low[at >> 3:(j * self.low_bits + 7) >> 3], bitorder="little")[at & 7:][:(j - i) * self.low_bits].reshape(j - i, self.low_bits)
         for k in range(self.low_bits):
-            low |= (int(self.low[(at + k) >> 3]) >> ((at + k) & 7) & 1) << k
-        return (one - i) << self.low_bits | low
+            out |= tail[:, k].astype(np.int64) << k
+        return out
+
+    def select(self, i: int) -> int:
+        """The i-th value."""
+        return int(self.between(i, i + 1)[0])
 
     def decode(self) -> np.ndarray:
-        high = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[:self.n] - np.arange(self.n)
-        bits = np.unpackbits(self.low, bitorder="little")[:self.n * self.low_bits].reshape(self.n, self.low_bits)
-        return high.astype(np.int64) << self.low_bits | (bits.astype(np.int64) << np.arange(self.low_bits)).sum(axis=1)
+        return self.between(0, self.n)
 
     def to_bytes(self) -> bytes:
         head = np.array([self.n, self.low_bits, len(self.low), len(self.high), len(self.samples)], "<i8")
@@ -86,16 +94,23 @@ class EliasFano:
 
 # ----------------------------------------------------------------------------- segments
 
-MAGIC = b"EFTOK001"
+MAGIC = b"EFTOK002"
+#: Ids further apart than this are not Elias-Fano coded, so that all sums stay in 64 bits.
+WIDEST = 1 << 62
 
 
 def write_segment(doc_ids: list, lengths: np.ndarray, ids: np.ndarray) -> bytes:
-    """One segment: magic, sizes, document ids with null flags, Elias-Fano ends, ids."""
+    """One segment: magic, sizes, document ids (ascending, nulls first), ends, ids; both sequences Elias-Fano coded."""
     ends = EliasFano.encode(np.cumsum(lengths), len(ids)).to_bytes()
-    numbers = np.array([0 if d is None else d for d in doc_ids], "<i8")
-    nulls = np.packbits(np.array([d is None for d in doc_ids], bool))
-    sizes = np.array([len(doc_ids), len(ids), ids.dtype.itemsize, len(nulls), len(ends)], "<i8")
-    return b"".join([MAGIC, sizes.tobytes(), numbers.tobytes(), nulls.tobytes(), ends, ids.astype(ids.dtype.newbyteorder("<")).tobytes()])
+    numbers = [d for d in doc_ids if d is not None]
+    nulls = len(doc_ids) - len(numbers)
+    if any(d is not None for d in doc_ids[:nulls]) or any(x > y for x, y in zip(numbers, numbers[1:])):
+        raise ValueError("documents must come in ascending order of their ids, those without first")
+    base, span = (numbers[0], numbers[-1] - numbers[0]) if numbers else (0, 0)
+    coded = span < WIDEST
+    names = EliasFano.encode(np.array(numbers, np.int64) - base, span).to_bytes() if coded else np.array(numbers, "<i8").tobytes()
+    sizes = np.array([len(doc_ids), len(ids), ids.dtype.itemsize, nulls, base, coded, len(names), len(ends)], "<i8")
+    return b"".join([MAGIC, sizes.tobytes(), names, ends, ids.astype(ids.dtype.newbyteorder("<")).tobytes()])
 
 
 class Segment:
@@ -105,19 +120,29 @@ class Segment:
         if data[:8] != MAGIC:
             raise ValueError("not a token segment")
         data = memoryview(data)
-        n, self.n_ids, width, nulls, ends = (int(x) for x in np.frombuffer(data, "<i8", 5, 8))
-        at = 48
-        self._numbers, at = np.frombuffer(data, "<i8", n, at), at + 8 * n
-        self._nulls, at = np.frombuffer(data, np.uint8, nulls, at), at + nulls
+        self.n_docs, self.n_ids, width, self.n_nulls, self.base, coded, names, ends = (int(x) for x in np.frombuffer(data, "<i8", 8, 8))
+        at = 72
+        self.names = EliasFano.from_bytes(data[at:at + names]) if coded else np.frombuffer(data, "<i8", names // 8, at)
+        at += names
         self.ends, at = EliasFano.from_bytes(data[at:at + ends]), at + ends
         self.ids = np.frombuffer(data, f"<u{width}", self.n_ids, at)
 
-    def doc_ids(self) -> pa.Array:
-        return pa.array(self._numbers, pa.int64(), mask=np.unpackbits(self._nulls)[:len(self._numbers)].astype(bool))
+    def doc_ids(self, i: int = 0, j: int | None = None) -> pa.Array:
+        """Ids of documents i to j - 1 (all)."""
+        j = self.n_docs if j is None else j
+        nulls = max(0, min(j, self.n_nulls) - i)
+        x, y = max(i - self.n_nulls, 0), max(j - self.n_nulls, 0)
+        found = self.names.between(x, y) + self.base if isinstance(self.names, EliasFano) else self.names[x:y]
+        return pa.concat_arrays([pa.nulls(nulls, pa.int64()), pa.array(found, pa.int64())])
+
+    def edges(self, i: int, j: int) -> np.ndarray:
+        """Start of document i, then the ends of documents i to j - 1."""
+        return np.concatenate([[0], self.ends.between(0, j)]) if i == 0 else self.ends.between(i - 1, j)
 
     def document(self, i: int) -> np.ndarray:
         """Ids of the i-th document, its offsets from two selects."""
-        return self.ids[self.ends.select(i - 1) if i else 0:self.ends.select(i)]
+        start, end = self.edges(i, i + 1).tolist()
+        return self.ids[start:end]
 
 
 # ----------------------------------------------------------------------------- tokenising
@@ -133,6 +158,10 @@ _OTHER = "\0"
 _KNOWN = "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
 
 
+#: Characters of the pieces that a table holds, at most, besides those of the texts at hand.
+MOST_TEXT = 1 << 24
+
+
 class PieceTable(dict):
     """pre-token -> row; ids of row i are ``flat[start[i]:start[i] + length[i]]``."""
 
@@ -155,12 +184,14 @@ class PieceTable(dict):
 
     def reset(self) -> None:
         self.clear()
+        self.held = 0
         self.pending: list[str] = []
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.length, self.rows = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64), 0
 
     def __missing__(self, piece: str) -> int:
         self[piece] = row = len(self)
+        self.held += len(piece)
         self.pending.append(piece)
         return row
 
@@ -209,7 +240,7 @@ class PieceTable(dict):
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of ids of each)."""
-        if len(self) > self.most:
+        if len(self) > self.most or self.held > MOST_TEXT:
             self.reset()
         look = self.__getitem__
         rows = [list(map(look, self.pieces(t))) if t else [] for t in texts]
@@ -227,7 +258,7 @@ _TABLES: dict[int, PieceTable] = {}
 
 
 def piece_table(spec: str, most: int = 400_000) -> PieceTable:
-    """The worker process's table for a tokenizer; it outlives the task, and at ``most`` pieces starts anew."""
+    """The worker process's table for a tokenizer; it outlives the task, and at ``most`` pieces or MOST_TEXT characters starts anew."""
     key = hash(spec)
     if key not in _TABLES:
         _TABLES.clear()
@@ -284,9 +315,16 @@ def write_tokens(df: DataFrame, path: str, spec: str, end_id: int | None = 1, id
 
 
 def _starts(segments: DataFrame) -> DataFrame:
-    """(part, segment, first): ids before each segment.  One row per SEGMENT_IDS ids, so the window is small."""
-    before = Window.orderBy("part", "segment").rowsBetween(Window.unboundedPreceding, -1)
-    return segments.select("part", "segment", F.coalesce(F.sum("n_ids").over(before), F.lit(0)).alias("first"))
+    """(part, segment, first): ids before each segment, from sums of the parts (a row for each writing task) and within each part."""
+    earlier = lambda w: w.rowsBetween(Window.unboundedPreceding, -1)
+    parts = segments.groupBy("part").agg(F.sum("n_ids").alias("n"))
+    parts = parts.select("part", F.coalesce(F.sum("n").over(earlier(Window.orderBy("part"))), F.lit(0)).alias("before"))
+    own = F.coalesce(F.sum("n_ids").over(earlier(Window.partitionBy("part").orderBy("segment"))), F.lit(0))
+    return segments.select("part", "segment", own.alias("own")).join(parts, "part").select("part", "segment", (F.col("before") + F.col("own")).alias("first"))
+
+
+#: Documents read from a segment at a time.
+READ_DOCS = 1 << 12
 
 
 def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
@@ -297,15 +335,16 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
         for b in batches:
             for part, segment, data in zip(*(c.to_pylist() for c in b.columns)):
                 s = Segment(data)
-                ends = s.ends.decode()
-                starts = np.concatenate([[0], ends[:-1]])
-                ids = s.ids.astype("<u4")
-                crc = [zlib.crc32(ids[x:y].tobytes()) for x, y in zip(starts.tolist(), ends.tolist())]
-                n = len(ends)
-                columns = [pa.array(np.full(n, part)), pa.array(np.full(n, segment)), s.doc_ids(), pa.array(starts), pa.array(ends - starts), pa.array(crc, pa.int64())]
-                if with_ids:
-                    columns.append(pa.ListArray.from_arrays(np.concatenate([starts[:1], ends]).astype(np.int32), ids.astype(np.int32)))
-                yield pa.RecordBatch.from_arrays(columns, names=names)
+                for i in range(0, s.n_docs, READ_DOCS):
+                    j = min(i + READ_DOCS, s.n_docs)
+                    edges = s.edges(i, j)
+                    at, n = edges - edges[0], j - i
+                    ids = s.ids[edges[0]:edges[-1]].astype("<u4")
+                    crc = [zlib.crc32(ids[x:y].tobytes()) for x, y in zip(at[:-1].tolist(), at[1:].tolist())]
+                    columns = [pa.array(np.full(n, part)), pa.array(np.full(n, segment)), s.doc_ids(i, j), pa.array(edges[:-1]), pa.array(np.diff(edges)), pa.array(crc, pa.int64())]
+                    if with_ids:
+                        columns.append(pa.ListArray.from_arrays(at.astype(np.int32), ids.astype(np.int32)))
+                    yield pa.RecordBatch.from_arrays(columns, names=names)
 
     names = ["part", "segment", "doc_id", "at", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
     kinds = dict.fromkeys(names, "bigint") | {"ids": "array<int>"}
