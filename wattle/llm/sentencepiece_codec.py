@@ -50,6 +50,10 @@ def check_model(model: bytes) -> None:
             raise ValueError("needs a model that only adds a leading marker and escapes spaces")
 
 
+#: Characters of the chunks that a table holds, at most, besides those of the texts at hand.
+MOST_TEXT = 1 << 24
+
+
 class ChunkTable(dict):
     """chunk -> row number; ``ids`` of row i are ``flat[start[i]:start[i] + length[i]]``."""
 
@@ -64,6 +68,7 @@ class ChunkTable(dict):
 
     def reset(self) -> None:
         self.clear()
+        self.held = 0
         self.pending: list[str] = []
         self.flat, self.used = np.zeros(1 << 16, np.uint32), 0
         self.start, self.length = np.zeros(1 << 14, np.int64), np.zeros(1 << 14, np.int64)
@@ -71,6 +76,7 @@ class ChunkTable(dict):
 
     def __missing__(self, chunk: str) -> int:
         self[chunk] = row = len(self)
+        self.held += len(chunk)
         self.pending.append(chunk)
         return row
 
@@ -96,7 +102,7 @@ class ChunkTable(dict):
 
     def encode(self, texts: list[str]) -> Iterator[tuple[np.ndarray, str]]:
         """(ids without begin and end, text decoded from them) of each text."""
-        if len(self) > self.max_chunks:
+        if len(self) > self.max_chunks or self.held > MOST_TEXT:
             self.reset()
         look = self.__getitem__
         rows = [list(map(look, _CHUNK.findall(MARK + t.replace(" ", MARK)))) if t else [] for t in texts]
