@@ -4,11 +4,14 @@ Features are lower-cased words and their prefixes of 4 to 6 letters, weighted lo
 counted over a bounded sample of labelled documents (``MOST_TOXIC`` + ``MOST_CLEAN`` rows, the first by
 hash of the id), and the FEATURES most associated with the toxic label (likelihood ratio) are kept.
 
-Grades: clean documents are 0; toxic ones fall into 1 (mild) to 3 (severe) by how many
-associated features they show, a third of them each.  The model is the proportional-odds one,
+Grades: clean documents are 0; toxic ones are 1 (mild) to 3 (severe).  A text is split into two halves, its words by turns;
+a half is a training row, and its grade comes from the other half, by how many associated features that one
+shows (a third of the rows each), so the model learns to tell a grade it does not see.  Halves without any feature say
+nothing and are left out unless both are (then the document is one row).  The model is the proportional-odds one,
 P(grade <= k) = sigmoid(theta_k - w.x): one weight vector is shared by all thresholds theta_0 < theta_1 <
 theta_2.  Clean sample rows are weighted up to their share of all labels.  Every document
-gets its expected severity sum_k P(grade >= k); it is rejected when a grade above 0 is the likelier case.
+gets its expected severity sum_k P(grade >= k); it is rejected when a grade above 0 is the likelier case.  On held-out halves
+severity follows the grade within 0.4, but for the most severe ones, where it is half a grade too high: one slope serves all thresholds.
 
 Defined results: null or empty text has no feature; labels that are null or without document are ignored, repeated
 ones count as toxic if any is; without labels of both kinds nothing is rejected and severity is 0; repeated rows
@@ -50,23 +53,26 @@ def word_features(word: str) -> list[int]:
     return [xxhash.xxh64_intdigest(n.encode()) - (1 << 63) for n in names]
 
 
-def text_words(text: str | None) -> Counter:
-    return Counter(_WORD.findall((text or "").lower()))
-
-
-def counted(text: str | None) -> Counter:
+def counted(words: list[str]) -> Counter:
     out: Counter = Counter()
-    for word, n in text_words(text).items():
+    for word, n in Counter(words).items():
         for f in word_features(word):
             out[f] += n
     return out
 
 
+def halves(text: str | None) -> tuple[Counter, Counter]:
+    """Feature counts of the words at even and at odd places."""
+    words = _WORD.findall((text or "").lower())
+    return counted(words[::2]), counted(words[1::2])
+
+
 @dataclass
 class OrdinalModel:
     features: np.ndarray  # sorted hashes
     weights: np.ndarray
     thresholds: np.ndarray  # theta_0 < theta_1 < ...
+    cuts: np.ndarray  # a toxic half is of grade 1 + the number of cuts that its features exceed
 
     def probabilities(self, score: np.ndarray) -> np.ndarray:
         """P(grade >= k) for k = 1, 2, ... in columns."""
@@ -74,7 +80,7 @@ class OrdinalModel:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str) -> tuple[DataFrame, dict[int, int]]:
-    """(toxic, features, counts) of the sampled documents, written; and the number of labels of each kind."""
+    """(toxic, features, even, odd) of the sampled documents, written, with the counts in both halves; and the number of labels of each kind."""
     labels = labels.filter("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     kinds = {r["toxic"]: r["n"] for r in labels.groupBy("toxic").agg(F.count("*").alias("n")).collect()}
     first = lambda toxic, most: labels.filter(F.col("toxic") == toxic).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
@@ -84,11 +90,12 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, id_col: str, text_col: s
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [counted(t) for t in b.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([list(c) for c in found], pa.list_(pa.int64())), pa.array([list(c.values()) for c in found], pa.list_(pa.int32()))],
-                                             names=["toxic", "features", "counts"])
+            found = [halves(t) for t in b.column(1).to_pylist()]
+            names = [list(x | y) for x, y in found]
+            parts = [pa.array([[x[k][f] for f in fs] for x, fs in zip(found, names)], pa.list_(pa.int32())) for k in range(2)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(names, pa.list_(pa.int64())), *parts], names=["toxic", "features", "even", "odd"])
 
-    return materialize(bound_batches(rows).mapInArrow(tidy(run), "toxic int, features array<bigint>, counts array<int>"), "toxic-sample"), kinds
+    return materialize(bound_batches(rows).mapInArrow(tidy(run), "toxic int, features array<bigint>, even array<int>, odd array<int>"), "toxic-sample"), kinds
 
 
 def associated(sample: DataFrame) -> list[int]:
@@ -106,7 +113,7 @@ def associated(sample: DataFrame) -> list[int]:
     return [r["f"] for r in best.collect()]
 
 
-def fit_thresholds(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 800, ridge: float = 1e-5) -> tuple[np.ndarray, np.ndarray]:
+def fit_thresholds(x: np.ndarray, y: np.ndarray, weight: np.ndarray, steps: int = 800, ridge: float = 5e-4) -> tuple[np.ndarray, np.ndarray]:
     """Weights and ordered thresholds of the proportional-odds model, by full-batch Adam."""
     k = GRADES - 1
     # thetas as a first value and positive gaps
@@ -141,31 +148,61 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     sample, kinds = labelled_sample(docs, labels, id_col, text_col)
     chosen = np.array(sorted(associated(sample)), np.int64)
     if not len(chosen):
-        return OrdinalModel(chosen, np.zeros(0), np.full(GRADES - 1, 500.0))
+        return OrdinalModel(chosen, np.zeros(0), np.full(GRADES - 1, 500.0), np.zeros(GRADES - 2))
+    # equal rows (most clean ones show no feature at all) are one row with their number as weight
+    rows: Counter = Counter()
+    for r in known_features(sample, chosen).collect():
+        for own, others, weight in training_rows(r):
+            rows[r["toxic"], own, others] += weight
+    ordered = sorted(rows)
+    x, toxic, others = np.zeros((len(ordered), len(chosen))), np.array([r[0] for r in ordered]), np.array([r[2] for r in ordered])
+    times = np.array([rows[r] for r in ordered], float)
+    for i, (_, values, _) in enumerate(ordered):
+        for k, n in values:
+            x[i, k] = np.log2(1.0 + n)
+    # times are whole or half numbers
+    cuts = np.quantile(np.repeat(others, (2 * times).astype(int))[np.repeat(toxic, (2 * times).astype(int)) == 1], [k / (GRADES - 1) for k in range(1, GRADES - 1)])
+    y = np.where(toxic == 1, 1 + (others[:, None] > cuts[None, :]).sum(axis=1), 0)
+    weight = times * np.where(toxic == 1, kinds[1] / max(times[toxic == 1].sum(), 1), kinds[0] / max(times[toxic == 0].sum(), 1))
+    return OrdinalModel(chosen, *fit_thresholds(x, y, weight), cuts)
+
+
+def known_features(sample: DataFrame, chosen: np.ndarray) -> DataFrame:
+    """(toxic, at, even, odd): the sample's features that are in the sorted array ``chosen``, by their place there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            at, value = [], []
-            for f, c in zip(b.column(1), b.column(2)):
-                f, c = f.values.to_numpy(), c.values.to_numpy()
+            at, parts = [], ([], [])
+            for f, *counts in zip(*b.columns[1:]):
+                f = f.values.to_numpy()
                 i = np.minimum(np.searchsorted(chosen, f), len(chosen) - 1)
                 hit = chosen[i] == f
                 at.append(i[hit].astype(np.int32))
-                value.append(np.log2(1.0 + c[hit]))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(at, pa.list_(pa.int32())), pa.array(value, pa.list_(pa.float64()))], names=["toxic", "at", "value"])
-
-    # equal rows (most clean ones show no feature at all) are one row with their number as weight
-    rows = Counter((r["toxic"], tuple(sorted(zip(r["at"], r["value"])))) for r in sample.mapInArrow(tidy(run), "toxic int, at array<int>, value array<double>").collect())
-    ordered = sorted(rows)
-    x, toxic, times = np.zeros((len(ordered), len(chosen))), np.array([r[0] for r in ordered]), np.array([rows[r] for r in ordered], float)
-    for i, (_, values) in enumerate(ordered):
-        for k, value in values:
-            x[i, k] = value
-    hits = (x > 0).sum(axis=1)
-    cuts = np.quantile(np.repeat(hits, times.astype(int))[np.repeat(toxic, times.astype(int)) == 1], [1 / 3, 2 / 3])
-    y = np.where(toxic == 1, 1 + (hits[:, None] > cuts[None, :]).sum(axis=1), 0)
-    weight = times * np.where(toxic == 1, kinds[1] / max(times[toxic == 1].sum(), 1), kinds[0] / max(times[toxic == 0].sum(), 1))
-    return OrdinalModel(chosen, *fit_thresholds(x, y, weight))
+                for part, c in zip(parts, counts):
+                    part.append(c.values.to_numpy()[hit])
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array(v, pa.list_(pa.int32())) for v in (at, *parts))], names=["toxic", "at", "even", "odd"])
+
+    return sample.select("toxic", "features", "even", "odd").mapInArrow(tidy(run), "toxic int, at array<int>, even array<int>, odd array<int>")
+
+
+def training_rows(row) -> list[tuple[tuple, int, float]]:
+    """((place, count) of a half's features, number of the other half's, weight) of each half that shows a feature, of one if none does."""
+    both = [tuple(sorted((k, n) for k, n in zip(row["at"], row[part]) if n)) for part in ("even", "odd")]
+    shown = [(own, len(other)) for own, other in (both, both[::-1]) if own] or [((), 0)]
+    return [(own, others, 1 / len(shown)) for own, others in shown]
+
+
+def calibration(docs: DataFrame, labels: DataFrame, model: OrdinalModel, id_col: str = "doc_id", text_col: str = "text") -> list[tuple[float, float, float]]:
+    """(weight, mean severity told from a half, mean grade by its other half) of labelled documents the model was not
+    fitted on, by the grade that is likeliest to be reached; a bounded sample of them, as for ``fit``."""
+    sample, _ = labelled_sample(docs, labels, id_col, text_col)
+    out = np.zeros((GRADES, 3))
+    for r in known_features(sample, model.features).collect() if len(model.features) else []:
+        for own, others, weight in training_rows(r):
+            reach = model.probabilities(np.array([sum(model.weights[k] * np.log2(1.0 + n) for k, n in own)]))[0]
+            grade = 1 + int((others > model.cuts).sum()) if r["toxic"] else 0
+            out[int((reach >= 0.5).sum())] += weight * np.array([1.0, reach.sum(), grade])
+    return [(n, severity / n, grade / n) for n, severity, grade in out.tolist() if n]
 
 
 def score(df: DataFrame, model: OrdinalModel, text_col: str = "text", keep_text: bool = True) -> DataFrame:
