@@ -11,7 +11,7 @@ nothing and are left out unless both are (then the document is one row).  The mo
 P(grade <= k) = sigmoid(theta_k - w.x): one weight vector is shared by all thresholds theta_0 < theta_1 <
 theta_2.  Clean sample rows are weighted up to their share of all labels.  Every document
 gets its expected severity sum_k P(grade >= k); it is rejected when a grade above 0 is the likelier case.  On held-out halves
-severity follows the grade within 0.4, but for the most severe ones, where it is half a grade too high: one slope serves all thresholds.
+severity rises with the grade and is off by up to 0.5: too low for mild texts, too high for severe ones, as one slope serves all thresholds.
 
 Defined results: null or empty text has no feature; labels that are null or without document are ignored, repeated
 ones count as toxic if any is; without labels of both kinds nothing is rejected and severity is 0; repeated rows
@@ -53,7 +53,11 @@ def word_features(word: str) -> list[int]:
     return [xxhash.xxh64_intdigest(n.encode()) - (1 << 63) for n in names]
 
 
-def counted(words: list[str]) -> Counter:
+def text_words(text: str | None) -> list[str]:
+    return _WORD.findall((text or "").lower())
+
+
+def _counts(words: list[str]) -> Counter:
     out: Counter = Counter()
     for word, n in Counter(words).items():
         for f in word_features(word):
@@ -61,10 +65,14 @@ def counted(words: list[str]) -> Counter:
     return out
 
 
+def counted(text: str | None) -> Counter:
+    return _counts(text_words(text))
+
+
 def halves(text: str | None) -> tuple[Counter, Counter]:
     """Feature counts of the words at even and at odd places."""
-    words = _WORD.findall((text or "").lower())
-    return counted(words[::2]), counted(words[1::2])
+    words = text_words(text)
+    return _counts(words[::2]), _counts(words[1::2])
 
 
 @dataclass
