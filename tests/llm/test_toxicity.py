@@ -26,7 +26,7 @@ def test_held_out_accuracy(spark):
     assert sum(r.rejected for r in clean) / len(clean) <= 0.02
     assert all(0 <= r.severity <= 3 and r.rejected == (r.grade >= 1) for r in scored)
     # severities told from one half of held-out texts against the grades of the other half; one slope for
-    # all thresholds leaves them up to half a grade off (measured on four folds: 0.52 at most)
+    # all thresholds leaves them off (measured on four folds: 0.59 at most, 0.52 on this one)
     bins = O.calibration(docs, labels.filter("doc_id % 5 = 0"), model)
     assert len(bins) == 4 and all(abs(severity - grade) < 0.6 for _, severity, grade in bins)
     assert bins[0][2] < 0.2 and bins[-1][2] > 2

@@ -11,7 +11,7 @@ nothing and are left out unless both are (then the document is one row).  The mo
 P(grade <= k) = sigmoid(theta_k - w.x): one weight vector is shared by all thresholds theta_0 < theta_1 <
 theta_2.  Clean sample rows are weighted up to their share of all labels.  Every document
 gets its expected severity sum_k P(grade >= k); it is rejected when a grade above 0 is the likelier case.  On held-out halves
-severity rises with the grade and is off by up to 0.5: too low for mild texts, too high for severe ones, as one slope serves all thresholds.
+severity rises with the grade and is off by up to 0.6: too low for mild texts, too high for severe ones, as one slope serves all thresholds.
 
 Defined results: null or empty text has no feature; labels that are null or without document are ignored, repeated
 ones count as toxic if any is; without labels of both kinds nothing is rejected and severity is 0; repeated rows
