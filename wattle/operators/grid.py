@@ -28,6 +28,12 @@ def ring_edges(polys: DataFrame, poly_id: str, rings: str = "rings", *more: str)
         a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by")))))
 
 
+def exploded(df: DataFrame) -> DataFrame:
+    """``df``, whose rows were multiplied by ``explode``, to be joined by sort-merge.  The planner takes its size from the
+    table before the explode, and so would send many times that to the driver and to every task (broadcast)."""
+    return df.hint("merge")
+
+
 def _index(v: Column, size: Column) -> Column:
     return F.floor(v / size).cast("long")
 
@@ -198,8 +204,9 @@ def disc_counts(centres: DataFrame, points: DataFrame, centre_id: str, radius_de
     counts = dots.groupBy("_fx", "_fy").agg(F.count(F.lit(1)).alias("_n"))
     reach = F.lit(radius_deg)
     wide = reach if reach_lon is None else reach_lon
-    met = (own.withColumn("_fx", F.explode(F.sequence(square_cell(F.col("_x") - wide, base), square_cell(F.col("_x") + wide, base))))
-           .withColumn("_fy", F.explode(F.sequence(square_cell(F.col("_y") - reach, base), square_cell(F.col("_y") + reach, base)))).join(counts, ["_fx", "_fy"]))
+    around = (own.withColumn("_fx", F.explode(F.sequence(square_cell(F.col("_x") - wide, base), square_cell(F.col("_x") + wide, base))))
+              .withColumn("_fy", F.explode(F.sequence(square_cell(F.col("_y") - reach, base), square_cell(F.col("_y") + reach, base)))))
+    met = exploded(around).join(counts, ["_fx", "_fy"])
     near, far = _cell_distances(base)
     met = met.select("*", near.alias("_near"), far.alias("_far"), ((F.col("_fx") + 0.5) * base).alias("_mid_lon"), ((F.col("_fy") + 0.5) * base).alias("_mid_lat"),
                      F.lit(math.radians(base) * EARTH_RADIUS_M).alias("_half_m"))
@@ -209,7 +216,7 @@ def disc_counts(centres: DataFrame, points: DataFrame, centre_id: str, radius_de
         all_in = all_in & F.col(f"_in_{name}")
     whole = met.groupBy(centre_id).agg(*(F.sum(F.when(F.col(f"_in_{name}"), F.col("_n")).otherwise(0)).alias(name) for name in tests))
     rim = met.filter(~all_in).select(centre_id, "_x", "_y", "_fx", "_fy", *(f"_in_{name}" for name in tests))
-    tested = rim.join(dots, ["_fx", "_fy"]).groupBy(centre_id).agg(
+    tested = exploded(rim).join(dots, ["_fx", "_fy"]).groupBy(centre_id).agg(
         *(F.sum(F.when(~F.col(f"_in_{name}") & holds, 1).otherwise(0)).alias(name) for name, (_, holds) in tests.items()))
     return whole.unionByName(tested).groupBy(centre_id).agg(*(F.sum(name).alias(name) for name in tests))
 
