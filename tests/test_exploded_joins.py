@@ -43,3 +43,7 @@ def test_disc_counts_broadcast_nothing(stored):
     counts = GR.disc_counts(_points(stored), dots, "id", 0.045, {"n": (F.col("_far") < 0.04, near)})
     assert "Broadcast" not in _plan(counts)
     assert {r.id: r.n for r in counts.collect()} == {1: 2, 2: 2}
+
+
+def test_hazard_boxes_broadcast_nothing(spark):
+    assert "Broadcast" not in _plan(E.queries()["sp18_hazard_exposure"](spark, SF_SMALL))

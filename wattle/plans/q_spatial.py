@@ -341,7 +341,7 @@ def sp18_hazard_exposure(spark, d):
     # A box test (edges included) rather than ST_Contains: grid join + bbox filter only.
     pts = cent.withColumn("_cx", G.square_cell("lon", 0.05)).withColumn("_cy", G.square_cell("lat", 0.05))
     cells = S.polygon_cells(boxes, "hazard_id", 0.05).withColumnRenamed("cx", "_cx").withColumnRenamed("cy", "_cy")
-    j = pts.join(cells, ["_cx", "_cy"]).join(boxes.select("hazard_id", "x0", "y0", "d"), "hazard_id")
+    j = pts.join(GR.exploded(cells), ["_cx", "_cy"]).join(boxes.select("hazard_id", "x0", "y0", "d").hint("merge"), "hazard_id")
     return j.filter(F.col("lon").between(x0 - m, x0 + dd + m) & F.col("lat").between(y0 - m, y0 + dd + m)) \
             .select("postcode", "hazard_id")
 
