@@ -47,3 +47,11 @@ def test_disc_counts_broadcast_nothing(stored):
 
 def test_hazard_boxes_broadcast_nothing(spark):
     assert "Broadcast" not in _plan(E.queries()["sp18_hazard_exposure"](spark, SF_SMALL))
+
+
+def test_boundary_distances_broadcast_nothing(stored):
+    near = S.near_polygon_boundary(_points(stored), _squares(stored), "pid", 150.0, point_id="id")
+    assert "Broadcast" not in _plan(near)
+    assert {(r.id, r.pid) for r in near.collect()} == {(1, 8)}
+    few = S.near_polygon_boundary(_points(stored), _squares(stored), "pid", 150.0, point_id="id", few=True)
+    assert "Broadcast" in _plan(few) and few.collect() == near.collect()

@@ -6,8 +6,8 @@ a database, expressed with ordinary operators:
 1. every point gets a cell ``(floor(lon/s), floor(lat/s))``;
 2. every polygon / search disc is exploded to the cells its bounding box covers;
 3. an equi-join on the cell pairs candidates (hash-partitioned on the cell, so
-   it scales out like any shuffle join; AQE broadcasts the polygon side only
-   when its measured size is small and splits skewed - dense CBD - cells);
+   it scales out like any shuffle join; exploded cells go by sort-merge
+   (``grid.exploded``), and AQE splits skewed - dense CBD - cells);
 4. a bounding-box test, then the exact test (ray casting / distance) filters.
 
 A point lies in exactly one cell, so each (point, polygon) pair is produced at
@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from wattle.operators.grid import Cover, crossing_parity, nearest_cells, ring_edges, walk_segments
+from wattle.operators.grid import Cover, crossing_parity, exploded, nearest_cells, ring_edges, walk_segments
 from wattle.functions.geo import (EARTH_RADIUS_M, haversine_m, metres_per_degree, point_in_polygon, rings_bbox, square_cell, to_3857, vincenty_m,
                                  with_vincenty)
 
@@ -67,7 +67,7 @@ def _parity_pairs(cand: DataFrame, edges: DataFrame, poly_id: str, keys: list[st
     touch = (((bx - ax) * (py - ay) - (by - ay) * (px - ax)) == 0) & px.between(F.least(ax, bx), F.greatest(ax, bx)) \
         & py.between(F.least(ay, by), F.greatest(ay, by))
     return (cand.withColumn("_band", square_cell(lat, size))
-                .join(edges, [poly_id, "_band"]).filter(F.col("maxx") >= px)
+                .join(exploded(edges), [poly_id, "_band"]).filter(F.col("maxx") >= px)
                 .groupBy(*keys, poly_id)
                 .agg(F.sum(F.when(cross, 1).otherwise(0)).alias("_n"), F.max(touch).alias("_t"))
                 .filter((F.col("_n") % 2 == 1) & ~F.col("_t"))
@@ -88,7 +88,7 @@ def classified_cells(polys: DataFrame, poly_id: str, size: float, rings: str = "
                      .select(poly_id, "_cx", F.col("_band").alias("_cy")).distinct()
                      .withColumn("_edge", F.lit(True)))
     cells = (polygon_cells(polys, poly_id, size, rings).select(poly_id, F.col("cx").alias("_cx"), F.col("cy").alias("_cy"))
-             .join(boundary, [poly_id, "_cx", "_cy"], "left"))
+             .join(exploded(boundary), [poly_id, "_cx", "_cy"], "left"))
     open_cells = (cells.filter(F.col("_edge").isNull())
                        .select(poly_id, "_cx", "_cy",
                                ((F.col("_cx") + F.lit(0.5)) * F.lit(size)).alias("_x"),
@@ -124,7 +124,7 @@ def points_in_polygons(points: DataFrame, polys: DataFrame, poly_id: str, size:
     others = [c for c in polys.columns if c != poly_id and (keep_rings or c != rings)]
     if method == "rings":
         cells = polygon_cells(polys, poly_id, size, rings).withColumnRenamed("cx", "_cx").withColumnRenamed("cy", "_cy")
-        cand = (pts.join(cells, ["_cx", "_cy"])
+        cand = (pts.join(exploded(cells), ["_cx", "_cy"])
                    .filter(F.col(lon).between(F.col("minx"), F.col("maxx")) & F.col(lat).between(F.col("miny"), F.col("maxy")))
                    .drop("_cx", "_cy", "minx", "miny", "maxx", "maxy"))
         hit = cand.join(polys, poly_id).filter(point_in_polygon(F.col(rings), F.col(lon), F.col(lat)))
@@ -132,7 +132,7 @@ def points_in_polygons(points: DataFrame, polys: DataFrame, poly_id: str, size:
     if point_id is None:
         raise ValueError("method='edges' needs point_id (a unique point key)")
     if single_pass:
-        cand = pts.join(classified_cells(polys, poly_id, size, rings), ["_cx", "_cy"]).drop("_cx", "_cy")
+        cand = pts.join(exploded(classified_cells(polys, poly_id, size, rings)), ["_cx", "_cy"]).drop("_cx", "_cy")
     else:
         cover = Cover(polys, poly_id, size, rings)
         cand = cover.candidates(pts.drop("_cx", "_cy"), lon, lat)
@@ -145,7 +145,7 @@ def points_in_polygons(points: DataFrame, polys: DataFrame, poly_id: str, size:
         px, py = F.col(lon), F.col(lat)
         ax, ay, bx, by = F.col("ax"), F.col("ay"), F.col("bx"), F.col("by")
         c = cand.withColumn("_band", square_cell(lat, size)).alias("c")
-        e = edges.alias("e")
+        e = exploded(edges).alias("e")
         cond = ((F.col("c." + poly_id) == F.col("e." + poly_id)) & (F.col("c._band") == F.col("e._band"))
                 & ~F.col("c._inside") & (F.col("e.maxx") >= F.col("c." + lon)))
         j = c.join(e, cond, "left").select("c.*", "e.ax", "e.ay", "e.bx", "e.by")
@@ -234,7 +234,8 @@ def nearest_neighbour(left: DataFrame, right: DataFrame, left_id: str, right_id:
 
 
 def near_polygon_boundary(points: DataFrame, polys: DataFrame, poly_id: str, meters: float, size: float | None = None,
-                          lon: str = "lon", lat: str = "lat", rings: str = "rings", point_id: str | None = None, spheroid: bool = False) -> DataFrame:
+                          lon: str = "lon", lat: str = "lat", rings: str = "rings", point_id: str | None = None, spheroid: bool = False,
+                          few: bool = False) -> DataFrame:
     """J20/SP9: (point, polygon) pairs whose distance to the polygon boundary is at most
     ``meters`` (inside or outside), with ``boundary_m``.
 
@@ -248,6 +249,8 @@ def near_polygon_boundary(points: DataFrame, polys: DataFrame, poly_id: str, met
 
     ``spheroid=True`` measures with the spheroid's radii of curvature at the point
     (metres of a degree north and east) in place of the sphere's.
+
+    ``few=True``: a handful of polygons, whatever the data; the planner may broadcast their edges.
     """
     slack = 0.99 if spheroid else 1.0  # a degree of the spheroid's meridian is up to 0.7 % shorter
     dlat = math.degrees(meters / (EARTH_RADIUS_M * slack)) * 1.000001
@@ -264,7 +267,7 @@ def near_polygon_boundary(points: DataFrame, polys: DataFrame, poly_id: str, met
     pts = pts.withColumn("_cx", square_cell(lon, size)).withColumn("_cy", square_cell(lat, size))
     x, y = F.col(lon), F.col(lat)
     kx, ky = metres_per_degree(y) if spheroid else (F.lit(math.pi / 180 * EARTH_RADIUS_M) * F.cos(F.radians(y)), F.lit(math.pi / 180 * EARTH_RADIUS_M))
-    j = (pts.join(e, ["_cx", "_cy"])
+    j = (pts.join(e if few else exploded(e), ["_cx", "_cy"])
             .withColumn("_ax", (F.col("ax") - x) * kx).withColumn("_ay", (F.col("ay") - y) * ky)
             .withColumn("_bx", (F.col("bx") - x) * kx).withColumn("_by", (F.col("by") - y) * ky)
             .withColumn("_dx", F.col("_bx") - F.col("_ax")).withColumn("_dy", F.col("_by") - F.col("_ay"))
@@ -352,11 +355,12 @@ def radius_page(left: DataFrame, right: DataFrame, left_id: str, right_id: str,
 
 
 def near_polyline(points: DataFrame, lines: DataFrame, line_id: str, meters: float, size: float | None = None,
-                  lon: str = "lon", lat: str = "lat", path: str = "path", point_id: str | None = None, spheroid: bool = False) -> DataFrame:
+                  lon: str = "lon", lat: str = "lat", path: str = "path", point_id: str | None = None, spheroid: bool = False,
+                  few: bool = False) -> DataFrame:
     """Points within ``meters`` of a polyline (``path array<struct<x,y>>``), with
     ``distance_m``; the grid join of ``near_polygon_boundary`` with the line as one ring."""
     as_rings = lines.select(line_id, F.array(F.col(path)).alias("rings"))
-    return (near_polygon_boundary(points, as_rings, line_id, meters, size, lon, lat, "rings", point_id, spheroid)
+    return (near_polygon_boundary(points, as_rings, line_id, meters, size, lon, lat, "rings", point_id, spheroid, few)
             .withColumnRenamed("boundary_m", "distance_m"))
 
 
@@ -383,7 +387,7 @@ def within_polygon_distance(points: DataFrame, polys: DataFrame, poly_id: str, u
     len2 = dx * dx + dy * dy
     t = F.when(len2 == 0, F.lit(0.0)).otherwise(F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((F.col("_x") - F.col("ax")) * dx + (F.col("_y") - F.col("ay")) * dy) / len2)))
     qx, qy = F.col("ax") + t * dx - F.col("_x"), F.col("ay") + t * dy - F.col("_y")
-    near = pts.join(e, ["_cx", "_cy"]).select(point_id, poly_id, F.sqrt(qx * qx + qy * qy).alias("d")).groupBy(point_id, poly_id).agg(F.min("d").alias("distance"))
+    near = pts.join(exploded(e), ["_cx", "_cy"]).select(point_id, poly_id, F.sqrt(qx * qx + qy * qy).alias("d")).groupBy(point_id, poly_id).agg(F.min("d").alias("distance"))
     inside = points_in_polygons(points.select(point_id, lon, lat), polys.select(poly_id, rings), poly_id, inside_size, lon, lat, rings, point_id=point_id)
     both = near.filter(F.col("distance") <= F.lit(float(units))).unionByName(inside.select(point_id, poly_id, F.lit(0.0).alias("distance")))
     return both.groupBy(point_id, poly_id).agg(F.min("distance").alias("distance"))

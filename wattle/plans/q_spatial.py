@@ -578,7 +578,7 @@ def j23_route_corridor(spark, d):
     t = Tables(spark, d)
     route = spark.createDataFrame([(1, [{"x": x, "y": y} for x, y in ROUTE])], "route_id int, path array<struct<x:double,y:double>>")
     pts = A.active(D.address(t), "date_retired").select("address_detail_pid", "lon", "lat")
-    near = S.near_polyline(pts, route, "route_id", CORRIDOR_M, point_id="address_detail_pid")
+    near = S.near_polyline(pts, route, "route_id", CORRIDOR_M, point_id="address_detail_pid", few=True)
     return near.select("address_detail_pid", F.round("distance_m", 3).alias("distance_m"))
 
 
@@ -599,7 +599,7 @@ def j23_route_corridor_geodesic(spark, d):
     """J23 on the spheroid: active addresses within 2 km of the route."""
     t = Tables(spark, d)
     route = spark.createDataFrame([(1, [{"x": x, "y": y} for x, y in ROUTE])], "route_id int, path array<struct<x:double,y:double>>")
-    near = S.near_polyline(D.address_active(t).select("address_detail_pid", "lon", "lat"), route, "route_id", 2000.0, point_id="address_detail_pid", spheroid=True)
+    near = S.near_polyline(D.address_active(t).select("address_detail_pid", "lon", "lat"), route, "route_id", 2000.0, point_id="address_detail_pid", spheroid=True, few=True)
     return near.select("address_detail_pid", F.round("distance_m", 3).alias("distance_m"))
 
 
