@@ -55,3 +55,28 @@ def test_boundary_distances_broadcast_nothing(stored):
     assert {(r.id, r.pid) for r in near.collect()} == {(1, 8)}
     few = S.near_polygon_boundary(_points(stored), _squares(stored), "pid", 150.0, point_id="id", few=True)
     assert "Broadcast" in _plan(few) and few.collect() == near.collect()
+
+
+def test_polygon_distances_broadcast_nothing(stored):
+    near = S.within_polygon_distance(_points(stored), _squares(stored), "pid", 150.0, "id")
+    assert "Broadcast" not in _plan(near)
+    assert {(r.id, r.pid, r.distance) for r in near.collect()} == {(1, 7, 0.0), (1, 8, 0.0), (2, 8, 0.0)}
+
+
+def test_cover_and_its_points_broadcast_nothing(stored, monkeypatch):
+    kept, write = [], GR.written
+    monkeypatch.setattr(GR, "written", lambda df, name: kept.append(_plan(df)) or write(df, name))
+    inside = S.points_in_polygons(_points(stored), _squares(stored), "pid", 0.0025, point_id="id")
+    assert len(kept) == 1 and "Broadcast" not in kept[0] + _plan(inside)
+    assert {(r.id, r.pid) for r in inside.collect()} == {(1, 7), (2, 8)}
+
+
+def test_streets_are_not_broadcast(stored):
+    t = stored
+    streets = jobs.catchment_streets(
+        t([("A1", 5, "PRIMARY")], "address_detail_pid string, school_id long, school_type string"),
+        t([("A1", "S1", "L1", "2000")], "address_detail_pid string, street_locality_pid string, locality_pid string, postcode string"),
+        t([("S1", "HILL", "ST")], "street_locality_pid string, street_name string, street_type_code string"),
+        t([("ST", "STREET")], "code string, name string"), t([("L1", "TOWN")], "locality_pid string, locality_name string"))
+    assert "SortMergeJoin [street_locality_pid" in _plan(streets)
+    assert [tuple(r) for r in streets.collect()] == [(5, "PRIMARY", "HILL", "STREET", "TOWN", "2000")]

@@ -183,7 +183,8 @@ def _listed(spark: SparkSession, folder: str, table: str, held: dict[str, dict[s
 def catchment_streets(mapping: DataFrame, addresses: DataFrame, streets: DataFrame, street_types: DataFrame, localities: DataFrame) -> DataFrame:
     """The distinct streets (with suburb and postcode) of every catchment."""
     a = addresses.select("address_detail_pid", "street_locality_pid", "locality_pid", "postcode")
-    s = streets.select("street_locality_pid", "street_name", "street_type_code")
+    # streets grow with the addresses: by sort-merge, however small their file
+    s = streets.select("street_locality_pid", "street_name", "street_type_code").hint("merge")
     kinds = street_types.select(F.col("code").alias("street_type_code"), F.col("name").alias("street_type"))
     j = (mapping.join(a, "address_detail_pid").join(s, "street_locality_pid").join(kinds, "street_type_code", "left")
          .join(localities.select("locality_pid", "locality_name"), "locality_pid"))

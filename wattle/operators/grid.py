@@ -65,7 +65,7 @@ def crossing_parity(cand: DataFrame, edges: DataFrame, poly_id: str, keys: list[
     ax, ay, bx, by = (F.col(c) for c in ("ax", "ay", "bx", "by"))
     cross = ((ay > py) != (by > py)) & (px < (bx - ax) * (py - ay) / (by - ay) + ax)
     touch = (((bx - ax) * (py - ay) - (by - ay) * (px - ax)) == 0) & px.between(F.least(ax, bx), F.greatest(ax, bx)) & py.between(F.least(ay, by), F.greatest(ay, by))
-    met = cand.join(edges, [poly_id, "_band"]).filter(F.col("maxx") >= px)
+    met = cand.join(exploded(edges), [poly_id, "_band"]).filter(F.col("maxx") >= px)
     return (met.groupBy(*keys, poly_id).agg(F.sum(F.when(cross, 1).otherwise(0)).alias("_n"), F.max(touch).alias("_t"))
             .filter((F.col("_n") % 2 == 1) & ~F.col("_t")).drop("_n", "_t"))
 
@@ -99,7 +99,7 @@ class Cover:
         four = F.expr("inline(array(struct(0 AS _dx, 0 AS _dy), struct(0 AS _dx, 1 AS _dy), struct(1 AS _dx, 0 AS _dy), struct(1 AS _dx, 1 AS _dy)))")
         children = (border.filter(F.col("_lv") > F.col("_fine")).select(poly_id, "_fine", (F.col("_lv") - 1).alias("_lv"), F.col("_cx").alias("_px"), F.col("_cy").alias("_py"), four)
                     .select(poly_id, "_fine", "_lv", (F.col("_px") * 2 + F.col("_dx")).alias("_cx"), (F.col("_py") * 2 + F.col("_dy")).alias("_cy")))
-        whole = children.join(border.select(poly_id, "_lv", "_cx", "_cy"), [poly_id, "_lv", "_cx", "_cy"], "left_anti")
+        whole = children.join(exploded(border.select(poly_id, "_lv", "_cx", "_cy")), [poly_id, "_lv", "_cx", "_cy"], "left_anti")
         cell = F.lit(base) * F.pow(F.lit(2.0), F.col("_lv"))
         x, y = (F.col("_cx") + 0.5) * cell, (F.col("_cy") + 0.5) * cell
         whole = whole.select(poly_id, "_lv", "_cx", "_cy", x.alias("_x"), y.alias("_y"), _index(y, size).alias("_band"))
@@ -113,7 +113,7 @@ class Cover:
         levels = F.explode(F.array(*(F.lit(v) for v in self.levels))) if self.levels else F.lit(0)
         placed = points.select("*", square_cell(lon, self.base).alias("_ix"), square_cell(lat, self.base).alias("_iy"), levels.alias("_lv"))
         placed = placed.select(*points.columns, "_lv", _shift("_ix", F.col("_lv")).alias("_cx"), _shift("_iy", F.col("_lv")).alias("_cy"))
-        return placed.join(self.cells, ["_lv", "_cx", "_cy"]).withColumnRenamed("_cy", "_band").drop("_lv", "_cx")
+        return placed.join(exploded(self.cells), ["_lv", "_cx", "_cy"]).withColumnRenamed("_cy", "_band").drop("_lv", "_cx")
 
 
 # ----------------------------------------------------------------------------- count pyramid
