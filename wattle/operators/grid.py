@@ -76,7 +76,7 @@ class Cover:
     ``cells``: (poly_id, _lv, _cx, _cy, _inside).  The border cells of a polygon all have its finest level; a child of a larger
     border cell that no edge meets lies wholly inside or outside, which its centre tells.  Their number follows the border's
     length in finest cells, at most some FINEST_CUTS a side, whatever the polygon's area.  ``edges`` has each
-    polygon's edges by band of its finest cell height.  ``levels`` are those that occur.  The cells are written once.
+    polygon's edges by band of its finest cell height.  ``levels`` are those that occur.  Cells and edges are written once.
     """
 
     def __init__(self, polys: DataFrame, poly_id: str, base: float, rings: str = "rings"):
@@ -93,9 +93,10 @@ class Cover:
         border = met.select(poly_id, "_fine", F.explode(F.sequence("_fine", F.greatest("_fine", "_top"))).alias("_lv"), "_cx", "_cy")
         up = F.col("_lv") - F.col("_fine")
         border = border.select(poly_id, "_fine", "_lv", F.call_function("shiftright", "_cx", up).alias("_cx"), F.call_function("shiftright", "_cy", up).alias("_cy")).distinct()
+        border = written(border, "cover-border")
         banded = edges.select(poly_id, "ax", "ay", "bx", "by", F.greatest("ax", "bx").alias("maxx"),
                               F.explode(F.sequence(_index(F.least("ay", "by"), F.col("_size")), _index(F.greatest("ay", "by"), F.col("_size")))).alias("_band"))
-        self.edges = banded
+        self.edges = written(banded, "cover-edges")
         four = F.expr("inline(array(struct(0 AS _dx, 0 AS _dy), struct(0 AS _dx, 1 AS _dy), struct(1 AS _dx, 0 AS _dy), struct(1 AS _dx, 1 AS _dy)))")
         children = (border.filter(F.col("_lv") > F.col("_fine")).select(poly_id, "_fine", (F.col("_lv") - 1).alias("_lv"), F.col("_cx").alias("_px"), F.col("_cy").alias("_py"), four)
                     .select(poly_id, "_fine", "_lv", (F.col("_px") * 2 + F.col("_dx")).alias("_cx"), (F.col("_py") * 2 + F.col("_dy")).alias("_cy")))
