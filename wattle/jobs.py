@@ -131,8 +131,8 @@ def refresh(addresses: DataFrame, streets: DataFrame, street_types: DataFrame, l
     changed_p = written(differ(now_s, was_s, "school_id").unionByName(differ(was_s, now_s, "school_id")).select("school_id", "part").distinct(), "changed-polygons")
     ids = changed_p.select("school_id").distinct()
     tiles_p = _tiles_of(was_p.join(ids, "school_id", "left_semi")).unionByName(_tiles_of(now_p.join(ids, "school_id", "left_semi"))).select("part").distinct()
-    moved = changed_a.select("part").distinct()
-    touched = [r["part"] for r in moved.unionByName(tiles_p).distinct().collect()]
+    moved = [r["part"] for r in changed_a.select("part").distinct().collect()]
+    touched = sorted({*moved, *(r["part"] for r in tiles_p.collect())})
     if not touched:
         return old
 
@@ -149,7 +149,8 @@ def refresh(addresses: DataFrame, streets: DataFrame, street_types: DataFrame, l
     redrawn = _mapped(settled.join(tiles_p, "part", "left_semi"), now_p.join(ids, "school_id", "left_semi").drop("part"))
     now_m = written(kept.select(*was_m.columns).unionByName(moved_in).unionByName(redrawn), "touched-mapping")
     put(now_m, MAPPING, touched)
-    put(now_a.filter(F.col("part").isin(touched)), ADDRESSES, touched)
+    if moved:  # where polygons alone differ, the addresses are those saved
+        put(now_a.filter(F.col("part").isin(moved)), ADDRESSES, moved)
     buckets_p = [r["part"] for r in changed_p.select("part").distinct().collect()]
     if buckets_p:
         put(now_p.filter(F.col("part").isin(buckets_p)), POLYGONS, buckets_p)
