@@ -60,6 +60,23 @@ def test_refresh_equals_build(spark, tmp_path):
     assert snapshots.vacuum(spark, folder) > 0 and tables(spark, folder) == tables(spark, other)
 
 
+def test_build_reads_no_parts_back(spark, tmp_path, monkeypatch):
+    """Tiles grow in number with the data, each a folder with a small file: later steps read copies without parts."""
+    read, written, write = {}, {}, snapshots.write
+
+    def kept(df, folder, table, version):
+        read[table] = df.inputFiles()
+        written[table] = write(df, folder, table, version)
+        return written[table]
+
+    monkeypatch.setattr(snapshots, "write", kept)
+    folder = str(tmp_path / "a")
+    jobs.build(*sources(spark, *fixture()), folder)
+    assert set(read) == set(jobs.SCHEMAS) and not [f for found in read.values() for f in found if "snapshot=" in f]
+    for table, parts in written.items():
+        assert sorted(parts) == sorted(r[0] for r in snapshots.read(spark, folder, table, jobs.SCHEMAS[table]).select("part").distinct().collect())
+
+
 def test_readers_see_one_version(spark, tmp_path, monkeypatch):
     addresses, polygons = fixture()
     folder = str(tmp_path / "a")

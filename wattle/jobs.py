@@ -85,18 +85,25 @@ def _derive(spark: SparkSession, mapping: DataFrame, addresses: DataFrame, stree
 
 
 def build(addresses: DataFrame, streets: DataFrame, street_types: DataFrame, localities: DataFrame, polygons: DataFrame, names: DataFrame, folder: str) -> int:
-    """Write all tables as the folder's next version and show it; returns the version."""
+    """Write all tables as the folder's next version and show it; returns the version.
+
+    What later steps need is written once more without parts: tiles grow in number with the data, and each is a folder
+    to list and a small file to open at every reading.
+    """
     spark = addresses.sparkSession
     version = snapshots.current(spark, folder) + 1
     held = {}
 
-    def put(df: DataFrame, table: str) -> DataFrame:
+    def put(df: DataFrame, table: str) -> None:
         held[table] = dict.fromkeys(snapshots.write(df, folder, table, version), version)
-        return spark.read.schema(f"{SCHEMAS[table]}, part string").parquet(f"{folder}/{table}/snapshot={version}")
 
-    a = put(_placed(addresses), ADDRESSES)
-    p = put(polygons.select("school_id", "school_type", "rings").withColumn("part", _bucket()), POLYGONS)
-    m = put(_mapped(a, p.drop("part")), MAPPING).drop("part")
+    a = written(_placed(addresses), "addresses")
+    put(a, ADDRESSES)
+    p = written(polygons.select("school_id", "school_type", "rings").withColumn("part", _bucket()), "polygons")
+    put(p, POLYGONS)
+    m = written(_mapped(a, p.drop("part")), "mapping")
+    put(m, MAPPING)
+    m = m.drop("part")
     derived, statistics = _derive(spark, m, a, streets, street_types, localities, p, names)
     put(derived, STREETS)
     put(statistics, STATISTICS)
