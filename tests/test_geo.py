@@ -229,3 +229,27 @@ def test_nearest_pages_in_sparse_and_dense_places(spark):
     fits = [b for b in sorted(right, key=lambda b: key(a, b)) if round(d[b[0]], 2) <= 2.0 and key(a, b)[0] <= 0.02 ** 2]
     assert [x.rid for x in sorted(page, key=lambda x: x["rank"])] == [b[0] for b in fits[7:14]]
     assert [x.rid for x in sorted(page, key=lambda x: x["position"])] == [b[0] for b in sorted(fits[7:14], key=lambda b: (round(d[b[0]], 2), b[0]))]
+
+
+def test_cover_of_some_polygons(spark):
+    """The cover of some polygons is part of the whole one, and the points near it are all that can lie in them."""
+    from wattle.operators.grid import Cover
+
+    rng = random.Random(3)
+    ring = lambda x, y, w: [[{"x": x, "y": y}, {"x": x + w, "y": y}, {"x": x + w / 2, "y": y + w}, {"x": x, "y": y}]]
+    rows = [(i, ring(151 + rng.random(), -34 + rng.random(), rng.choice([0.004, 0.05, 0.9]) if i else 0.05)) for i in range(12)]
+    schema = "pid int, rings array<array<struct<x:double,y:double>>>"
+    polys = spark.createDataFrame(rows, schema)
+    points = spark.createDataFrame([(i, 150.9 + 1.2 * rng.random(), -34.1 + 1.2 * rng.random()) for i in range(3000)] + [(-1, None, None)], "id int, lon double, lat double")
+    whole = Cover(polys, "pid", 0.0025)
+    for some in ([0], [3, 5], []):
+        own = Cover(spark.createDataFrame([r for r in rows if r[0] in some], schema), "pid", 0.0025)
+        part = whole.of(spark.createDataFrame([(i,) for i in some], "pid int"))
+        assert sorted(map(tuple, part.cells.collect())) == sorted(map(tuple, own.cells.collect())) and part.levels == own.levels
+        assert sorted(map(tuple, part.edges.collect())) == sorted(map(tuple, own.edges.collect()))
+        near = {r.id for r in part.near(points, "lon", "lat").collect()}
+        found = {r.id for r in own.candidates(points, "lon", "lat").select("id").collect()}
+        assert found <= near and len(near) < (3000 if some else 1)
+    polygons = polys.filter("pid IN (3, 5)")
+    once = S.points_in_polygons(points, polygons, "pid", 0.0025, point_id="id", once=True, cover=whole.of(polygons.select("pid")))
+    assert sorted((r.id, r.pid) for r in once.collect()) == sorted((r.id, r.pid) for r in S.points_in_polygons(points, polygons, "pid", 0.0025, point_id="id").collect())

@@ -77,6 +77,53 @@ def test_build_reads_no_parts_back(spark, tmp_path, monkeypatch):
         assert sorted(parts) == sorted(r[0] for r in snapshots.read(spark, folder, table, jobs.SCHEMAS[table]).select("part").distinct().collect())
 
 
+def test_refresh_opens_each_part_once(spark, tmp_path, monkeypatch):
+    """Nor are tiles named in a condition on every row, and what is written anew comes from copies without parts."""
+    from pyspark.sql.readwriter import DataFrameReader
+
+    addresses, polygons = fixture()
+    folder = str(tmp_path / "a")
+    jobs.build(*sources(spark, addresses, polygons), folder)
+    opened, plans, parquet, write = [], {}, DataFrameReader.parquet, snapshots.write
+
+    def listed(reader, *paths, **more):
+        opened.extend(p for p in paths if "/part=" in p)
+        return parquet(reader, *paths, **more)
+
+    def kept(df, folder, table, version):
+        plans[table] = (df.inputFiles(), df._jdf.queryExecution().optimizedPlan().toString())
+        return write(df, folder, table, version)
+
+    key = "spark.sql.sources.parallelPartitionDiscovery.parallelism"
+    most = spark.conf.get(key)
+    with monkeypatch.context() as m:
+        m.setattr(DataFrameReader, "parquet", listed)
+        m.setattr(snapshots, "write", kept)
+        changed = [(p, x + 0.02 if x and i % 3 == 0 else x, y, s, l, c) for i, (p, x, y, s, l, c) in enumerate(addresses)]
+        assert jobs.refresh(*sources(spark, changed, polygons[2:]), folder) == 2
+    tiles = [p for p in opened if f"/{jobs.ADDRESSES}/" in p or f"/{jobs.MAPPING}/" in p]
+    assert tiles and len(tiles) == len(set(tiles)) and not [p for p in tiles if "snapshot=2" in p]
+    assert not [f for f in plans[jobs.ADDRESSES][0] if "snapshot=" in f]
+    assert " IN " not in plans[jobs.ADDRESSES][1] and "INSET" not in plans[jobs.ADDRESSES][1]
+    assert spark.conf.get(key) == most
+    jobs.build(*sources(spark, changed, polygons[2:]), str(tmp_path / "b"))
+    assert tables(spark, folder) == tables(spark, str(tmp_path / "b"))
+
+
+def test_refresh_of_repeated_addresses(spark, tmp_path):
+    """An address in two places: one of them moves, the other's tile is not touched; and one whose coordinates go."""
+    polygons = [(i, "PRIMARY", box(150 + 0.3 * i, -35.0, 0.1)) for i in range(3)]
+    at = lambda i, dx: (150 + 0.3 * i + dx, -34.95, "S1", "L1", "1")
+    addresses = [("A", *at(0, 0.05)), ("A", *at(2, 0.05)), ("B", *at(0, 0.06)), ("C", *at(0, 0.07)), ("D", *at(2, 0.01))]
+    folder = str(tmp_path / "a")
+    jobs.build(*sources(spark, addresses, polygons), folder)
+    now = sources(spark, [("A", *at(1, 0.05)), *addresses[1:3], ("C", None, None, "S1", "L1", "1"), addresses[4]], polygons)
+    assert jobs.refresh(*now, folder) == 2
+    jobs.build(*now, str(tmp_path / "b"))
+    assert tables(spark, folder) == tables(spark, str(tmp_path / "b"))
+    assert sorted((r[0], r[1]) for r in jobs.read(spark, folder, jobs.MAPPING).collect()) == [("A", 1), ("A", 2), ("B", 0), ("D", 2)]
+
+
 def test_readers_see_one_version(spark, tmp_path, monkeypatch):
     addresses, polygons = fixture()
     folder = str(tmp_path / "a")

@@ -5,7 +5,7 @@ addresses and polygons with those the saved version was made from and rebuilds o
 
 * the mapping lies in tiles of TILE degrees.  Addresses that are new, gone or moved touch their tiles, polygons that are
   new, gone or changed the tiles of their cover, before and after.  In a touched tile, saved rows of unchanged addresses and unchanged
-  polygons stay; changed addresses meet all polygons, unchanged ones the changed polygons alone;
+  polygons stay; changed addresses meet all polygons, unchanged ones near a changed polygon the changed polygons alone;
 * streets and statistics lie in buckets of schools; the buckets of schools whose rows differ are derived again.
 
 Readers take the newest version (``sources.snapshots``) and never see a half-written one.
@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from wattle.functions.geo import rings_bbox, square_cell
 from wattle.operators import schools
 from wattle.operators import spatial_join as S
+from wattle.operators.grid import Cover
 from wattle.sources import snapshots
 from wattle.sources.scratch import written
 
@@ -71,10 +72,10 @@ def _placed(addresses: DataFrame) -> DataFrame:
     return a.withColumn("part", _tile("lon", "lat"))
 
 
-def _mapped(addresses: DataFrame, polygons: DataFrame) -> DataFrame:
-    """(mapping columns, part) of addresses that lie in polygons."""
+def _mapped(addresses: DataFrame, polygons: DataFrame, cover: Cover | None = None) -> DataFrame:
+    """(mapping columns, part) of addresses that lie in polygons; ``cover`` is that of the polygons, if there is one."""
     points = addresses.select("address_detail_pid", "lon", "lat", "part")
-    found = S.points_in_polygons(points, polygons, "school_id", CELL, point_id="address_detail_pid")
+    found = S.points_in_polygons(points, polygons, "school_id", CELL, point_id="address_detail_pid", once=True, cover=cover)
     return found.select("address_detail_pid", "school_id", "school_type", "part")
 
 
@@ -124,68 +125,75 @@ def refresh(addresses: DataFrame, streets: DataFrame, street_types: DataFrame, l
     version = old + 1
     held = {table: snapshots.parts(spark, folder, table, old) for table in SCHEMAS}
     was_a, was_p = snapshots.read(spark, folder, ADDRESSES, _ADDRESS, old), snapshots.read(spark, folder, POLYGONS, _POLYGON, old)
-    now_a = _placed(addresses)
-    now_p = polygons.select("school_id", "school_type", "rings").withColumn("part", _bucket())
+    now_a = written(_placed(addresses), "addresses")
+    now_p = written(polygons.select("school_id", "school_type", "rings").withColumn("part", _bucket()), "polygons")
 
     # rows that differ: address by address and polygon by polygon, each with the tiles it touches, before or after
     cells = lambda df, key: [x for c in df.columns if c not in (key, "part") for x in (F.col(c), F.col(c).isNull())]
-    row = lambda df, key: df.select(key, F.xxhash64(*cells(df, key)).alias("h"), "part")
-    now_r, was_r = row(now_a, "address_detail_pid"), row(was_a, "address_detail_pid")
-    differ = lambda a, b, key: a.join(b.select(key, "h"), [key, "h"], "left_anti")
-    changed_a = written(differ(now_r, was_r, "address_detail_pid").withColumn("now", F.lit(True))
-                        .unionByName(differ(was_r, now_r, "address_detail_pid").withColumn("now", F.lit(False))), "changed-addresses")
-    now_s, was_s = row(now_p, "school_id"), row(was_p, "school_id")
-    changed_p = written(differ(now_s, was_s, "school_id").unionByName(differ(was_s, now_s, "school_id")).select("school_id", "part").distinct(), "changed-polygons")
-    ids = changed_p.select("school_id").distinct()
+    row = lambda df, key, side: df.select(key, F.xxhash64(*cells(df, key)).alias("h"), F.col("part").alias(side))
+
+    def differ(now: DataFrame, was: DataFrame, key: str) -> DataFrame:
+        both = row(now, key, "_now").join(row(was, key, "_was"), [key, "h"], "full_outer").filter(F.col("_now").isNull() | F.col("_was").isNull())
+        return both.select(key, F.coalesce("_now", "_was").alias("part"), F.col("_now").isNotNull().alias("now"))
+
+    changed_a = written(differ(now_a, was_a, "address_detail_pid"), "changed-addresses")
+    changed_p = written(differ(now_p, was_p, "school_id").select("school_id", "part").distinct(), "changed-polygons")
+    ids = written(changed_p.select("school_id").distinct(), "changed-schools")
     tiles_p = _tiles_of(was_p.join(ids, "school_id", "left_semi")).unionByName(_tiles_of(now_p.join(ids, "school_id", "left_semi"))).select("part").distinct()
-    moved = [r["part"] for r in changed_a.select("part").distinct().collect()]
-    touched = sorted({*moved, *(r["part"] for r in tiles_p.collect())})
+    # tiles by the thousand: joined as small tables, as a list of names would be part of every row's condition
+    moved_parts = written(changed_a.select("part").distinct(), "moved-tiles")
+    touched_parts = written(moved_parts.unionByName(tiles_p).distinct(), "touched-tiles")
+    touched = {r["part"] for r in touched_parts.collect()}
     if not touched:
         return old
 
-    def put(df: DataFrame, table: str, replaced: list[str]) -> None:
+    def put(df: DataFrame, table: str, replaced: set[str]) -> None:
         new = snapshots.write(df, folder, table, version)
         held[table] = {k: v for k, v in held[table].items() if k not in replaced} | dict.fromkeys(new, version)
 
-    in_touched = now_a.filter(F.col("part").isin(touched))
-    fresh = in_touched.join(changed_a.filter("now").select("address_detail_pid"), "address_detail_pid", "left_semi")
-    settled = in_touched.join(changed_a.filter("now").select("address_detail_pid"), "address_detail_pid", "left_anti")
     was_m = snapshots.read(spark, folder, MAPPING, SCHEMAS[MAPPING], old, touched)
+    beside = snapshots.read(spark, folder, MAPPING, SCHEMAS[MAPPING], old, held[MAPPING].keys() - touched)
     kept = was_m.join(changed_a.select("address_detail_pid"), "address_detail_pid", "left_anti").join(ids, "school_id", "left_anti")
-    moved_in = _mapped(fresh, now_p.drop("part"))
-    redrawn = _mapped(settled.join(tiles_p, "part", "left_semi"), now_p.join(ids, "school_id", "left_semi").drop("part"))
+    now_pids = changed_a.filter("now").select("address_detail_pid")
+    cover = Cover(now_p, "school_id", CELL)
+    redrawn_cover = cover.of(ids)
+    # what lies in a changed polygon is in a touched tile
+    settled = redrawn_cover.near(now_a, "lon", "lat").join(now_pids, "address_detail_pid", "left_anti")
+    fresh = now_a.join(now_pids, "address_detail_pid", "left_semi").join(touched_parts, "part", "left_semi")
+    moved_in = _mapped(fresh, now_p.drop("part"), cover)
+    redrawn = _mapped(settled, now_p.join(ids, "school_id", "left_semi").drop("part"), redrawn_cover)
     now_m = written(kept.select(*was_m.columns).unionByName(moved_in).unionByName(redrawn), "touched-mapping")
     put(now_m, MAPPING, touched)
+    moved = {r["part"] for r in moved_parts.collect()}
     if moved:  # where polygons alone differ, the addresses are those saved
-        put(now_a.filter(F.col("part").isin(moved)), ADDRESSES, moved)
-    buckets_p = [r["part"] for r in changed_p.select("part").distinct().collect()]
+        put(now_a.join(moved_parts, "part", "left_semi"), ADDRESSES, moved)
+    buckets_p = {r["part"] for r in changed_p.select("part").distinct().collect()}
     if buckets_p:
         put(now_p.filter(F.col("part").isin(buckets_p)), POLYGONS, buckets_p)
 
-    # schools whose mapping rows, or the addresses behind them, differ
-    other = lambda a, b: a.select("address_detail_pid", "school_id").join(b.select("address_detail_pid", "school_id"), ["address_detail_pid", "school_id"], "left_anti").select("school_id")
-    behind = now_m.join(changed_a.select("address_detail_pid"), "address_detail_pid", "left_semi").select("school_id")
-    stale = other(now_m, was_m).unionByName(other(was_m, now_m)).unionByName(behind).unionByName(ids).select(_bucket().alias("part")).distinct()
-    stale = [r["part"] for r in stale.collect()]
-    now = {t: held[t] for t in (MAPPING, ADDRESSES, POLYGONS)}
-    m = _listed(spark, folder, MAPPING, now)
+    # schools whose mapping rows, or the addresses behind them, differ; those in buckets of changed polygons are known to
+    stale = buckets_p
+    if len(stale) < BUCKETS:
+        open_m, open_was = (df.filter(~_bucket().isin(buckets_p)).select("address_detail_pid", "school_id") for df in (now_m, was_m))
+        either = (open_m.withColumn("_now", F.lit(True)).join(open_was.withColumn("_was", F.lit(True)), ["address_detail_pid", "school_id"], "full_outer")
+                  .filter(F.col("_now").isNull() | F.col("_was").isNull()).select("school_id"))
+        behind = open_m.join(changed_a.select("address_detail_pid"), "address_detail_pid", "left_semi").select("school_id")
+        stale = stale | {r["part"] for r in either.unionByName(behind).select(_bucket().alias("part")).distinct().collect()}
+    m = now_m.unionByName(beside).drop("part")
     if stale:
         of_stale = m.filter(_bucket().isin(stale))
-        derived, statistics = _derive(spark, of_stale, _listed(spark, folder, ADDRESSES, now), streets, street_types, localities,
-                                      _listed(spark, folder, POLYGONS, now).filter(_bucket().isin(stale)), names)
+        derived, statistics = _derive(spark, of_stale, now_a, streets, street_types, localities,
+                                      _listed(spark, folder, POLYGONS, held[POLYGONS]).filter(_bucket().isin(stale)), names)
         put(derived, STREETS, stale)
         put(statistics, STATISTICS, stale)
-    put(mapping_counts(m).withColumn("part", F.lit("all")), SUMMARY, ["all"])
+    put(mapping_counts(m).withColumn("part", F.lit("all")), SUMMARY, {"all"})
     snapshots.commit(spark, folder, version, held)
     return version
 
 
-def _listed(spark: SparkSession, folder: str, table: str, held: dict[str, dict[str, int]]) -> DataFrame:
+def _listed(spark: SparkSession, folder: str, table: str, held: dict[str, int]) -> DataFrame:
     """A table of the version that is being made."""
-    paths = [f"{folder}/{table}/snapshot={made}/part={part}" for part, made in held[table].items()]
-    if not paths:
-        return spark.createDataFrame([], SCHEMAS[table])
-    return spark.read.option("basePath", f"{folder}/{table}").schema(f"{SCHEMAS[table]}, snapshot bigint, part string").parquet(*paths).drop("snapshot", "part")
+    return snapshots.opened(spark, folder, table, SCHEMAS[table], held).drop("part")
 
 
 def catchment_streets(mapping: DataFrame, addresses: DataFrame, streets: DataFrame, street_types: DataFrame, localities: DataFrame) -> DataFrame:

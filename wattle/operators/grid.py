@@ -6,6 +6,7 @@ all levels follow from one division.
 
 from __future__ import annotations
 
+import copy
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -107,7 +108,28 @@ class Cover:
         inside = crossing_parity(whole, self.edges, poly_id, ["_lv", "_cx", "_cy"], "_x", "_y").select(poly_id, "_lv", "_cx", "_cy", F.lit(True).alias("_inside"))
         fine = border.filter(F.col("_lv") == F.col("_fine")).select(poly_id, "_lv", "_cx", "_cy", F.lit(False).alias("_inside"))
         self.cells = written(fine.unionByName(inside), "cover")
-        self.levels = sorted(r[0] for r in self.cells.select("_lv").distinct().collect())
+        self.levels = self._levels()
+
+    def _levels(self) -> list[int]:
+        return sorted(r[0] for r in self.cells.select("_lv").distinct().collect())
+
+    def of(self, ids: DataFrame) -> Cover:
+        """The cover of those polygons alone (``ids`` has their poly_id)."""
+        some = copy.copy(self)
+        some.cells = written(self.cells.join(ids, self.poly_id, "left_semi"), "cover")
+        some.edges = written(self.edges.join(ids, self.poly_id, "left_semi"), "cover-edges")
+        some.levels = some._levels()
+        return some
+
+    def near(self, points: DataFrame, lon: str, lat: str) -> DataFrame:
+        """The points that lie in a cell of the largest level in use with any cell of the cover in it: all that ``candidates``
+        can find a polygon for, from one lookup each."""
+        top = max(self.levels, default=0)
+        up = F.lit(top) - F.col("_lv")
+        places = written(self.cells.select(_shift("_cx", up).alias("_cx"), _shift("_cy", up).alias("_cy")).distinct(), "cover-places")
+        at = lambda v: F.call_function("shiftright", square_cell(v, self.base), F.lit(top))
+        placed = points.select("*", at(lon).alias("_cx"), at(lat).alias("_cy"))
+        return placed.join(places, ["_cx", "_cy"], "left_semi").select(*points.columns)
 
     def candidates(self, points: DataFrame, lon: str, lat: str) -> DataFrame:
         """``points`` once for each polygon with a cell there, with _inside and, for border cells, the _band of the edges."""

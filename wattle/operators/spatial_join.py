@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 from wattle.operators.grid import Cover, crossing_parity, exploded, nearest_cells, ring_edges, walk_segments
 from wattle.functions.geo import (EARTH_RADIUS_M, haversine_m, metres_per_degree, point_in_polygon, rings_bbox, square_cell, to_3857, vincenty_m,
                                  with_vincenty)
+from wattle.sources.scratch import written
 
 # The sphere (R = 6371 km) and the WGS84 geodesic differ by well under 1 %, so a
 # haversine distance outside [0.99, 1.01] x limit decides a geodesic radius test
@@ -100,7 +101,8 @@ def classified_cells(polys: DataFrame, poly_id: str, size: float, rings: str = "
 
 def points_in_polygons(points: DataFrame, polys: DataFrame, poly_id: str, size: float = 0.01,
                        lon: str = "lon", lat: str = "lat", rings: str = "rings", keep_rings: bool = False,
-                       point_id: str | None = None, method: str = "edges", single_pass: bool = False) -> DataFrame:
+                       point_id: str | None = None, method: str = "edges", single_pass: bool = False,
+                       once: bool = False, cover: Cover | None = None) -> DataFrame:
     """All (point, polygon) pairs with ``ST_Contains(polygon, point)``.
 
     Output: the point columns plus ``poly_id`` and the polygon's other columns
@@ -118,6 +120,9 @@ def points_in_polygons(points: DataFrame, polys: DataFrame, poly_id: str, size:
 
     ``single_pass=True`` classifies cells of one size and handles both kinds in one scan
     and one aggregate (inside hits are shuffled too).
+
+    ``once=True`` writes the pairs of points and cells, which otherwise are joined once for the inside cells and
+    once more for the border.  ``cover``: the cover of ``polys`` of that smallest cell, where the caller has it.
     """
     pts = (points.filter(F.col(lon).isNotNull() & F.col(lat).isNotNull())
                  .withColumn("_cx", square_cell(lon, size)).withColumn("_cy", square_cell(lat, size)))
@@ -134,8 +139,10 @@ def points_in_polygons(points: DataFrame, polys: DataFrame, poly_id: str, size:
     if single_pass:
         cand = pts.join(exploded(classified_cells(polys, poly_id, size, rings)), ["_cx", "_cy"]).drop("_cx", "_cy")
     else:
-        cover = Cover(polys, poly_id, size, rings)
+        cover = cover or Cover(polys, poly_id, size, rings)
         cand = cover.candidates(pts.drop("_cx", "_cy"), lon, lat)
+        if once:
+            cand = written(cand, "candidates")
     carried = [c for c in cand.columns if c not in (point_id, poly_id, "_inside", "_band")]
     if single_pass:
         # One scan: boundary-cell rows pick up their band's edges through a

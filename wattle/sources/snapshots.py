@@ -10,10 +10,14 @@ One writer at a time; a writer that dies leaves folders that no version lists, a
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _MANIFEST = "version bigint, table string, part string, made bigint"
+#: Spark's bound on the tasks that list folders, and how many of them a core gets here.
+_LISTING, LISTING_TASKS = "spark.sql.sources.parallelPartitionDiscovery.parallelism", 4
 
 
 def _manifest(spark: SparkSession, folder: str) -> DataFrame:
@@ -40,14 +44,25 @@ def parts(spark: SparkSession, folder: str, table: str, version: int) -> dict[st
     return {r["part"]: r["made"] for r in rows.select("part", "made").collect()}
 
 
-def read(spark: SparkSession, folder: str, table: str, schema: str, version: int | None = None, only: list[str] | None = None) -> DataFrame:
+def read(spark: SparkSession, folder: str, table: str, schema: str, version: int | None = None, only: Collection[str] | None = None) -> DataFrame:
     """A table of a version (the newest if none is given), with its ``part`` column; ``only`` reads those parts alone."""
     version = current(spark, folder) if version is None else version
-    held = parts(spark, folder, table, version)
-    paths = [f"{folder}/{table}/snapshot={made}/part={part}" for part, made in held.items() if only is None or part in only]
+    held, only = parts(spark, folder, table, version), None if only is None else {*only}
+    return opened(spark, folder, table, schema, {part: made for part, made in held.items() if only is None or part in only})
+
+
+def opened(spark: SparkSession, folder: str, table: str, schema: str, held: dict[str, int]) -> DataFrame:
+    """The given parts (part -> version that holds it) of a table, with its ``part`` column.  They are listed by a few tasks a
+    core: Spark's own choice is a task for each folder, and there are thousands."""
+    paths = [f"{folder}/{table}/snapshot={made}/part={part}" for part, made in held.items()]
     if not paths:
         return spark.createDataFrame([], f"{schema}, part string")
-    rows = spark.read.option("basePath", f"{folder}/{table}").schema(f"{schema}, snapshot bigint, part string").parquet(*paths)
+    most = spark.conf.get(_LISTING)
+    spark.conf.set(_LISTING, str(min(int(most), LISTING_TASKS * spark.sparkContext.defaultParallelism)))
+    try:
+        rows = spark.read.option("basePath", f"{folder}/{table}").schema(f"{schema}, snapshot bigint, part string").parquet(*paths)
+    finally:
+        spark.conf.set(_LISTING, most)
     return rows.drop("snapshot")
 
 
